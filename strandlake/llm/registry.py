@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import token_counts, word_bpe
+from strandlake.llm import chat, language_id, quality, token_counts, word_bpe
 from strandlake.llm.shared import table
 
 
@@ -12,12 +12,32 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs)).drop("proportions")
+
+
 def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.format_digests(rows.unionByName(probe))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_bradley_terry": op3_bradley_terry,
+    "op4_language_mixture": op4_language_mixture,
     "op5_word_bpe": op5_word_bpe,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {}
