@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import chat, language_id, quality, token_counts, word_bpe
+from strandlake.llm import chat, language_id, quality, token_counts, topk, warc, word_bpe
 from strandlake.llm.shared import table
 
 
@@ -26,6 +26,14 @@ def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op6_dual_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -38,6 +46,17 @@ QUERIES = {
     "op3_bradley_terry": op3_bradley_terry,
     "op4_language_mixture": op4_language_mixture,
     "op5_word_bpe": op5_word_bpe,
+    "op6_dual_tree_top_k": op6_dual_tree_top_k,
+    "op7_warc": op7_warc,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES: dict[str, str] = {}
+#: floor(256 x) as doubles are whole numbers, and their sums are exact.
+_TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256.0 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, p.vec_id AS vec_id, CAST(list_dot_product(q.v, p.v) AS BIGINT) AS score
+      FROM v q JOIN v p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+ORACLES: dict[str, str] = {"op6_dual_tree_top_k": _TOP_K}
