@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import chat, language_id, quality, token_counts, topk, warc, word_bpe
+from strandlake.llm import chat, decontaminate, language_id, quality, token_counts, topk, warc, word_bpe
 from strandlake.llm.shared import table
 
 
@@ -34,6 +34,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -48,6 +52,7 @@ QUERIES = {
     "op5_word_bpe": op5_word_bpe,
     "op6_dual_tree_top_k": op6_dual_tree_top_k,
     "op7_warc": op7_warc,
+    "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
 }
 #: floor(256 x) as doubles are whole numbers, and their sums are exact.
@@ -59,4 +64,39 @@ s AS (SELECT q.vec_id AS query_id, p.vec_id AS vec_id, CAST(list_dot_product(q.v
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
-ORACLES: dict[str, str] = {"op6_dual_tree_top_k": _TOP_K}
+_WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS h, max(page_id) OVER (PARTITION BY sha1(b)) AS keep FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (j // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - j % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+FROM d
+"""
+_DECONTAMINATE = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, size, array_to_string(w[s : s + size - 1], ' ') AS t FROM (
+  SELECT item_id, w, least(len(w), 13) AS size, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (SELECT doc_id, size, s, array_to_string(w[s : s + size - 1], ' ') AS t FROM (
+  SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM w, sizes WHERE len(w) >= size)),
+hit AS (SELECT doc_id, item_id, s, dw.size FROM dw JOIN iw ON dw.size = iw.size AND dw.t = iw.t),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated
+FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+_CHAT = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(20 + length(role || text) + len(regexp_extract_all(role || text, '[\\\\<\\[]'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+ORACLES: dict[str, str] = {"op6_dual_tree_top_k": _TOP_K, "op7_warc": _WARC, "op9_decontaminate": _DECONTAMINATE, "op10_chat_format": _CHAT}
