@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import chat, decontaminate, language_id, ngram_join, quality, token_counts, topk, warc, word_bpe
+from strandlake.llm import chat, decontaminate, language_id, ngram_join, quality, substring_dedup, token_counts, topk, warc, word_bpe
 from strandlake.llm.shared import table
 
 
+def op1_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fm_dedup": op1_fm_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_bradley_terry": op3_bradley_terry,
     "op4_language_mixture": op4_language_mixture,
@@ -107,6 +112,16 @@ m AS (SELECT doc_id, min(o) AS o FROM r GROUP BY doc_id)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.o, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
+_REPEATS = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, i, hash(array_to_string(w[i : i + 49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS o FROM x) WHERE o < doc_id),
+c AS (SELECT doc_id, list_distinct(list(j)) AS js FROM (SELECT doc_id, unnest(range(i, i + 50)) AS j FROM f) GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(t, ' ' ORDER BY j) AS t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS j FROM w) b
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(js) AS j FROM c) d WHERE d.doc_id = b.doc_id AND d.j = b.j) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
 _CHAT = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
@@ -117,4 +132,4 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   CAST(sum(20 + length(role || text) + len(regexp_extract_all(role || text, '[\\\\<\\[]'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
-ORACLES: dict[str, str] = {"op6_dual_tree_top_k": _TOP_K, "op7_warc": _WARC, "op8_jaccard_components": _JACCARD, "op9_decontaminate": _DECONTAMINATE, "op10_chat_format": _CHAT}
+ORACLES: dict[str, str] = {"op1_fm_dedup": _REPEATS, "op6_dual_tree_top_k": _TOP_K, "op7_warc": _WARC, "op8_jaccard_components": _JACCARD, "op9_decontaminate": _DECONTAMINATE, "op10_chat_format": _CHAT}
