@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.kernels import row_slices, slices
+from strandlake.llm.kernels import row_slices
 from strandlake.llm.quality import held_out
 
 MAX_TRAIN = 20_000

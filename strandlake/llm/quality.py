@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.kernels import Words, row_slices
+from strandlake.llm.kernels import Words, row_slices, slices
 
 MAX_TRAIN = 20_000
 PAIRS = 200_000
@@ -160,3 +160,19 @@ def score(df: DataFrame, model: BradleyTerry, id_col: str = "doc_id", text_col:
 
     out = df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def keep_good(df: DataFrame, model: BradleyTerry, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df, with all their columns, that score at least the threshold; one pass, no shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                keep = []
+                for _, raws in slices(range(part.num_rows), part.column(at).to_pylist()):
+                    keep.append(model.score(features(raws)) >= threshold)
+                yield part.filter(pa.array(np.concatenate(keep)))
+
+    return df.mapInArrow(run, df.schema)
