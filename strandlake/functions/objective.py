@@ -1,0 +1,58 @@
+"""Soft windows, survival and the worst-axis objective, as Column expressions."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from strandlake.functions.scales import MOMENT_FLOOR, POTENCY_UM, WINDOWS
+
+AXES = ("gram_positive", "gram_negative", "safety_window", "qc_survival")
+THRESHOLD = math.log2(POTENCY_UM)
+
+
+def window_factor(x: Column, lo: float, hi: float, softness: float = 0.5) -> Column:
+    """1 inside the window, exp(-(d / softness)^2) at distance d outside."""
+    d = F.greatest(F.lit(lo) - x, x - F.lit(hi), F.lit(0.0))
+    return F.exp(-F.pow(d / max(softness, 1e-6), F.lit(2.0)))
+
+
+def potency(log2_mic: Column, spread: Column) -> Column:
+    return 1 / (1 + F.exp((log2_mic - THRESHOLD) / F.greatest(spread, F.lit(0.75))))
+
+
+def qc_survival(c=F.col) -> Column:
+    p = F.pow(F.lit(0.995), F.greatest(c("length") - 12.0, F.lit(0.0)))
+    p = p * window_factor(c("frac_hydrophobic"), 0.0, 0.5, 0.08) * window_factor(c("longest_hydrophobic_run"), 0.0, 4.0, 1.5) * window_factor(c("longest_beta_branched_run"), 0.0, 2.0, 1.2)
+    p = p * F.pow(F.lit(0.97), c("n_oxidation_prone")) * F.pow(F.lit(0.93), c("n_liability_motifs")) * window_factor(c("mean_sheet_propensity"), 0.0, 1.2, 0.15)
+    return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+
+
+def soft_factor(scale: float = 1.0, compat: bool = False) -> Column:
+    """compat=True leaves out the window of the hydrophobic run, whose name the original rule never matched."""
+    f = window_factor(F.col("moment_helix"), MOMENT_FLOOR, 1.0, 0.12 * scale)
+    for name, (lo, hi) in WINDOWS.items():
+        if not (compat and name == "longest_hydrophobic_run"):
+            f = f * window_factor(F.col(name), lo, hi, 0.5 * scale)
+    return f
+
+
+def with_axes(df: DataFrame, resistant_weight: float = 0.35) -> DataFrame:
+    """Columns of AXES from predictions (log2_mic_*, log2_hc50, spread_*) and descriptors; a null resistant prediction is left out."""
+    zero = lambda k: F.coalesce(F.col(k), F.lit(0.0))
+    blend = lambda k: F.when(F.col("log2_mic_resistant").isNull(), F.col(k)).otherwise((1 - resistant_weight) * F.col(k) + resistant_weight * F.col("log2_mic_resistant"))
+    df = df.withColumns({"_pos": blend("log2_mic_gram_positive"), "_neg": blend("log2_mic_gram_negative")})
+    return df.withColumns({
+        "gram_positive": potency(F.col("_pos"), zero("spread_gram_positive")), "gram_negative": potency(F.col("_neg"), zero("spread_gram_negative")),
+        "safety_window": F.greatest(F.col("log2_hc50") - F.least("_pos", "_neg"), F.lit(0.0)), "qc_survival": qc_survival(),
+    }).drop("_pos", "_neg")
+
+
+def with_score(df: DataFrame, ideal_safety: float = 5.0, rho: float = 0.05, softness: float = 1.0, compat: bool = False, risk: float = 0.25) -> DataFrame:
+    """chebyshev, risk_adjusted and broad_spectrum on top of the axes."""
+    norm = {k: F.least(F.col(k) / (ideal_safety if k == "safety_window" else 1.0), F.lit(1.0)) for k in AXES}
+    df = df.withColumn("chebyshev", (F.least(*norm.values()) + rho * sum(norm.values(), F.lit(0.0)) / len(AXES)) * soft_factor(softness, compat))
+    spread = sum((F.coalesce(F.col(f"spread_{k}"), F.lit(0.0)) for k in ("gram_positive", "gram_negative", "hc50")), F.lit(0.0)) / 3
+    return df.withColumns({"risk_adjusted": F.col("chebyshev") * (1 - risk * spread), "broad_spectrum": (15 * F.col("gram_negative") + 5 * F.col("gram_positive")) / 20})
