@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.components import components
+from strandlake.llm.components import components, forest
 from strandlake.llm.kernels import U64, Words, mix, rolling, row_slices
 from strandlake.llm.shared import materialize
 
@@ -43,7 +43,7 @@ NUM, DEN = 80, 100
 #: A shingle this frequent (counted where a slice of text holds it SLICE_DF times) is left out of signatures.
 FREQUENT_DF, SLICE_DF, MAX_FREQUENT = 64, 3, 200_000
 #: Lists up to this length are paired; longer ones become a star.
-PAIRED = 128
+PAIRED = 16
 SEEDS = 4
 BLOCK_SETS, BLOCK_SHINGLES = 1_500, 1_000_000
 PACK_SHINGLES = 1_500_000
@@ -329,25 +329,6 @@ def candidate_pairs(table: pa.Table, num: int, den: int, paired: int = PAIRED) -
     return pa.table([pa.array(c.astype(bool) if t == pa.bool_() else c.astype(np.int64), t) for c, t in zip(cols, types)], names=names)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Indices of edges that make a spanning forest."""
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while root.setdefault(v, v) != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    keep = []
-    for i, (u, v) in enumerate(zip(a.tolist(), b.tolist())):
-        u, v = find(u), find(v)
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            keep.append(i)
-    return np.array(keep, np.int64)
-
-
 def links_within(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """A forest of the links between sets of `left` and sets of `right` (flags), by exact counts."""
     n = len(ids)
@@ -439,7 +420,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 blobs = [x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), part.column(3), part.column(4), pa.array(blobs, pa.binary())], ["root", "rep", "blocks", "block", "items"])
 
-    rows = docs.join(placed, docs.doc_id == placed.rep).select("rep", "text", "root", "blocks", "block").dropDuplicates(["rep", "root"])
+    rows = docs.join(placed.hint("merge"), docs.doc_id == placed.rep).select("rep", "text", "root", "blocks", "block").dropDuplicates(["rep", "root"])
     held = rows.mapInArrow(items, "root long, rep long, blocks int, block int, items binary")
     # a group of one block goes to a pack of small groups; another to every pair of blocks that holds its block
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
