@@ -40,9 +40,7 @@ def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
     return np.bitwise_count(~v & full).astype(np.int64)
 
 
-@F.pandas_udf("int")
-def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence, where both are given."""
+def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     ok = a.notna() & b.notna()
     out = pd.Series(np.nan, index=a.index)
     if ok.any():
@@ -50,6 +48,11 @@ def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return out.astype("Int32")
 
 
+def lcs(a: Column, b: Column) -> Column:
+    """Longest common subsequence, where both are given."""
+    return F.pandas_udf(_lcs, "int")(a, b)
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2.0 * lcs(a, b) / (F.length(a) + F.length(b)))
 

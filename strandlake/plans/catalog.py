@@ -1,13 +1,468 @@
-"""Registry of the engine's own queries and their DuckDB counterparts."""
+"""Registry of the engine's own queries and their DuckDB counterparts.
+
+The SQL states each result from the tables alone, by list functions, not by the formulas of the engine.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandlake.functions import cleaning as C
+from strandlake.functions import descriptors as D
+from strandlake.functions import objective as O
+from strandlake.functions import scales as S
+from strandlake.operators import similarity, tables
+from strandlake.operators import select as sel
+from strandlake.plans import projection as P
+from strandlake.sources import records
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    """Doubles to six places, without -0; moved by 1e-10 first, so that ties don't hang on the last bit."""
+    return df.withColumns({n: F.round(F.col(n) + 1e-10, 6) + F.lit(0.0) for n in names})
+
+
+# ---- pieces of SQL
+
+R = lambda x, name: f"round({x} + 1e-10, 6) + 0.0 AS {name}"
+CASES = lambda scale, v="c", other="0.0": "CASE " + v + " " + " ".join(f"WHEN '{a}' THEN CAST({x!r} AS DOUBLE)" for a, x in scale.items()) + f" ELSE {other} END"
+LIST = lambda scale, s="s", other="0.0": f"list_transform(string_split({s}, ''), lambda c: {CASES(scale, 'c', other)})"
+SUM = lambda scale, s="s": f"list_sum({LIST(scale, s)})"
+N_OF = lambda letters, s="s": f"length(regexp_replace({s}, '[^{letters}]', '', 'g'))"
+SEQS = f"seqs AS (SELECT DISTINCT s FROM ({P.LIBRARY_SQL}))"
+MOMENT = lambda h, deg, n: f"sqrt(pow(list_sum(list_transform(range(0, len({h})), lambda i: {h}[i + 1] * cos(radians({deg}) * i))), 2) + pow(list_sum(list_transform(range(0, len({h})), lambda i: {h}[i + 1] * sin(radians({deg}) * i))), 2)) / {n}"
+
+
+def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.library(spark, sf_dir).select("s").distinct()
+
+
+# ---- sequences and descriptors
+
+
+@query(f"SELECT s, CAST(min(ord) AS BIGINT) AS ord, CAST(count(*) AS BIGINT) AS n, length(s) BETWEEN 12 AND 30 AND s NOT LIKE '%C%' AS candidate FROM ({P.LIBRARY_SQL}) GROUP BY s")
+def clean_sequences(spark, sf_dir):
+    """Feasible sequences, kept at their first place."""
+    return P.library(spark, sf_dir).groupBy("s").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n")).withColumn("candidate", C.candidate_feasible(F.col("s")))
+
+
+_CHARGE_TERMS = {a: 1 / (1 + 10 ** (7.4 - p)) for a, p in S.PKA_BASE.items()} | {a: -1 / (1 + 10 ** (p - 7.4)) for a, p in S.PKA_ACID.items()}
+_ENDS = 1 / (1 + 10 ** (7.4 - S.PKA_N_TERMINUS)) - 1 / (1 + 10 ** (S.PKA_C_TERMINUS - 7.4))
+_GLOBALS = ["net_charge", "charge_density", "mean_hydrophobicity", "gravy", "boman", "mean_helix_propensity", "molecular_weight", *D.COMPOSITION, *D.PARTITION, *D.LIABILITY]
+
+
+@query(f"""WITH {SEQS}, a AS (SELECT s, length(s) AS n, {SUM(_CHARGE_TERMS)} + {_ENDS!r} AS q, {SUM(S.WW_INTERFACE)} AS wi, {SUM(S.WW_OCTANOL)} AS wo FROM seqs)
+SELECT s, {R('q', 'net_charge')}, {R('q / n', 'charge_density')}, {R(SUM(S.EISENBERG) + ' / n', 'mean_hydrophobicity')}, {R(SUM(S.KYTE_DOOLITTLE) + ' / n', 'gravy')}, {R(SUM(S.BOMAN) + ' / n', 'boman')},
+ {R(SUM(S.HELIX_PROPENSITY) + ' / n', 'mean_helix_propensity')}, {R(SUM(S.RESIDUE_MASS) + ' + 18.0153', 'molecular_weight')},
+ {R(N_OF('KRDE') + ' / n', 'fcr')}, {R('(' + N_OF('KR') + ' - ' + N_OF('DE') + ') / n', 'ncpr')}, {R(N_OF('KR') + ' / n', 'frac_cationic')}, {R(N_OF('DE') + ' / n', 'frac_anionic')},
+ {R(N_OF('FWY') + ' / n', 'frac_aromatic')}, {R(N_OF('G') + ' / n', 'frac_glycine')}, {R(N_OF('P') + ' / n', 'frac_proline')},
+ {R('wi', 'dg_interface')}, {R('wo', 'dg_octanol')}, {R('wi / n', 'dg_interface_per_res')}, {R('wo / n', 'dg_octanol_per_res')}, {R('wo - wi', 'interfacial_preference')},
+ {R(N_OF(S.HYDROPHOBIC) + ' / n', 'frac_hydrophobic')}, CAST(coalesce(list_max(list_transform(regexp_extract_all(s, '[AILMFVWY]+'), lambda x: length(x))), 0) AS DOUBLE) AS longest_hydrophobic_run,
+ CAST(coalesce(list_max(list_transform(regexp_extract_all(s, '[IVT]+'), lambda x: length(x))), 0) AS DOUBLE) AS longest_beta_branched_run, CAST({N_OF('MW')} AS DOUBLE) AS n_oxidation_prone,
+ CAST(len(regexp_extract_all(s, 'NG')) + len(regexp_extract_all(s, 'DP')) + len(regexp_extract_all(s, 'DG')) + len(regexp_extract_all(s, 'NS')) AS DOUBLE) AS n_liability_motifs,
+ {R(SUM(S.SHEET_PROPENSITY) + ' / n', 'mean_sheet_propensity')}, CAST(n AS DOUBLE) AS length FROM a""")
+def descriptors_additive(spark, sf_dir):
+    """F1, F2, F4, F11-F14."""
+    return rounded(D.with_descriptors(seqs(spark, sf_dir), topology=False).select("s", *_GLOBALS), *_GLOBALS)
+
+
+_PI_CHARGE = "1 / (1 + pow(10.0, mid - 9.69)) - 1 / (1 + pow(10.0, 2.34 - mid))" + "".join(f" + {N_OF(a)} / (1 + pow(10.0, mid - {p}))" for a, p in S.PKA_BASE.items()) + "".join(f" - {N_OF(a)} / (1 + pow(10.0, {p} - mid))" for a, p in S.PKA_ACID.items())
+
+
+@query(f"""WITH RECURSIVE {SEQS}, b(s, k, lo, hi) AS (SELECT s, 0, CAST(0 AS DOUBLE), CAST(14 AS DOUBLE) FROM seqs
+ UNION ALL SELECT s, k + 1, CASE WHEN {_PI_CHARGE.replace('mid', '(lo + hi) / 2')} > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_PI_CHARGE.replace('mid', '(lo + hi) / 2')} > 0 THEN hi ELSE (lo + hi) / 2 END FROM b WHERE k < 60)
+SELECT s, {R('(lo + hi) / 2', 'isoelectric_point')} FROM b WHERE k = 60""")
+def isoelectric_points(spark, sf_dir):
+    """bisection in a fold."""
+    return rounded(seqs(spark, sf_dir).withColumn("isoelectric_point", D.isoelectric_point(F.col("s"))), "isoelectric_point")
+
+
+@query(f"""WITH {SEQS}, h AS (SELECT s, length(s) AS n, {LIST(S.EISENBERG)} AS h FROM seqs),
+c AS (SELECT *, list_transform(h, lambda x: x - list_sum(h) / n) AS z FROM h),
+p AS (SELECT s, list_transform(range(1, 180), lambda a: pow(list_sum(list_transform(range(0, n), lambda i: z[i + 1] * cos(radians(2 * a) * i))), 2) + pow(list_sum(list_transform(range(0, n), lambda i: z[i + 1] * sin(radians(2 * a) * i))), 2)) AS p FROM c)
+SELECT s, {R(MOMENT('h', 100, 'n'), 'moment_helix')}, {R(MOMENT('h', 180, 'n'), 'moment_sheet')},
+ {R('CASE WHEN n <= 11 THEN ' + MOMENT('h', 100, 'n') + ' ELSE list_max(list_transform(range(1, n - 9), lambda j: ' + MOMENT('h[j : j + 10]', 100, '11') + ')) END', 'moment_windowed')},
+ {R("CASE WHEN list_sum(list_transform(z, lambda x: x * x)) <= 1e-20 THEN 0 ELSE p[50] / list_sum(p) END", 'periodicity_purity')}
+FROM c JOIN p USING (s)""")
+def moments(spark, sf_dir):
+    """F5-F7."""
+    s = F.col("s")
+    df = seqs(spark, sf_dir).withColumns({"moment_helix": D.hydrophobic_moment(s), "moment_sheet": D.hydrophobic_moment(s, 180.0), "moment_windowed": D.windowed_moment(s), "periodicity_purity": D.periodicity_purity(s)})
+    return rounded(df, "moment_helix", "moment_sheet", "moment_windowed", "periodicity_purity")
+
+
+@query(f"""WITH {SEQS}, a AS (SELECT s, list_filter(range(0, length(s)), lambda i: contains('AILMFVWY', substr(s, CAST(i + 1 AS BIGINT), 1))) AS i FROM seqs),
+b AS (SELECT s, len(i) AS n, list_sort(list_transform(i, lambda x: (x * 100) % 360)) AS a FROM a),
+g AS (SELECT *, CASE WHEN n >= 2 THEN list_sort(list_concat(list_transform(range(2, n + 1), lambda k: a[k] - a[k - 1]), [a[1] + 360 - a[n]])) END AS g,
+ sqrt(pow(list_sum(list_transform(a, lambda x: cos(radians(x)))), 2) + pow(list_sum(list_transform(a, lambda x: sin(radians(x)))), 2)) / n AS r FROM b)
+SELECT s, CAST(CASE WHEN n < 2 THEN 0 ELSE 360 - g[n] END AS DOUBLE) AS wheel_arc_width, CAST(CASE WHEN n < 2 THEN 0 ELSE g[n - 1] END AS DOUBLE) AS wheel_largest_gap,
+ {R('CASE WHEN n < 2 THEN 0 ELSE r END', 'wheel_resultant')}, {R('CASE WHEN n < 2 THEN 1 ELSE 1 - r END', 'wheel_circular_var')}, CAST(n AS DOUBLE) AS wheel_n_hydrophobic FROM g""")
+def wheel_statistics(spark, sf_dir):
+    """F8."""
+    df = seqs(spark, sf_dir).withColumn("w", D.wheel(F.col("s"))).select("s", "w.*")
+    return rounded(df, "wheel_resultant", "wheel_circular_var")
+
+
+_BLOB = lambda c, b: f"""CASE WHEN len({c}) < {b} THEN 0 ELSE list_avg(list_transform(range(1, len({c}) - {b} + 2), lambda i: CASE WHEN len(list_filter({c}[i : i + {b - 1}], lambda x: x <> 0)) = 0
+ THEN pow(list_sum({c}) / len({c}), 2) ELSE pow(pow(list_sum({c}[i : i + {b - 1}]) / {b}.0, 2) / (len(list_filter({c}[i : i + {b - 1}], lambda x: x <> 0)) / {b}.0)
+ - CASE WHEN len(list_filter({c}, lambda x: x <> 0)) = 0 THEN 0 ELSE pow(list_sum({c}) / len({c}), 2) / (len(list_filter({c}, lambda x: x <> 0)) / len({c})) END, 2) END)) END"""
+_RATIO = lambda c, d: f"CASE WHEN len(list_filter({c}, lambda x: x <> 0)) = 0 OR ({_BLOB(d, 5)}) + ({_BLOB(d, 6)}) <= 0 THEN 0 ELSE (({_BLOB(c, 5)}) + ({_BLOB(c, 6)})) / (({_BLOB(d, 5)}) + ({_BLOB(d, 6)})) END"
+
+
+@query(f"""WITH {SEQS}, c AS (SELECT s, {LIST({'K': 1, 'R': 1, 'D': -1, 'E': -1}, 's', '0')} AS q, list_transform(string_split(s, ''), lambda c: CASE WHEN contains('AILMFVWY', c) THEN 1.0 ELSE -1.0 END) AS h FROM seqs),
+d AS (SELECT *, list_reverse_sort(q) AS qs, list_reverse_sort(h) AS hs FROM c)
+SELECT s, {R(_RATIO('q', 'qs'), 'kappa')}, {R(_RATIO('h', 'hs'), 'hydrophobic_blockiness')} FROM d""")
+def charge_patterning(spark, sf_dir):
+    """F9, F10."""
+    df = seqs(spark, sf_dir).withColumns({"kappa": D.kappa(F.col("s")), "hydrophobic_blockiness": D.hydrophobic_blockiness(F.col("s"))})
+    return rounded(df, "kappa", "hydrophobic_blockiness")
+
+
+@query()
+def face_topology(spark, sf_dir):
+    """Spanning tree in a fold; held against brute force in the tests."""
+    return rounded(seqs(spark, sf_dir).withColumn("h", D.h0(F.col("s"))).select("s", "h.*"), *D.TOPOLOGY)
+
+
+_LOGZ = lambda v, boost: f"""(list_reduce(list_transform(w, lambda x: struct_pack(a := x, b := CAST(0 AS DOUBLE), l := CAST(0 AS DOUBLE))), lambda z, x: struct_pack(a := (x.a * {boost} * z.a + {v} * z.b) / (x.a * {boost} * z.a + {v} * z.b + z.a + z.b),
+ b := (z.a + z.b) / (x.a * {boost} * z.a + {v} * z.b + z.a + z.b), l := z.l + ln(x.a * {boost} * z.a + {v} * z.b + z.a + z.b)), struct_pack(a := CAST(1 AS DOUBLE), b := CAST(1 AS DOUBLE), l := CAST(0 AS DOUBLE)))).l"""
+_HELICITY = lambda v: f"CASE WHEN n < 4 THEN 0 ELSE least(greatest(({_LOGZ(v, 1.001)} - {_LOGZ(v, 1.0)}) / 0.001 / n, 0), 1) END"
+
+
+@query(f"""WITH {SEQS}, a AS (SELECT s, length(s) AS n, {LIST(S.HELIX_WEIGHT, 's', '0.5')} AS w0 FROM seqs),
+x AS (SELECT s, n, {_HELICITY(0.036)} AS hw FROM (SELECT s, n, w0 AS w FROM a)), y AS (SELECT s, {_HELICITY(0.145)} AS hi FROM (SELECT s, n, list_transform(w0, lambda q: q * 1.45) AS w FROM a)),
+z AS (SELECT *, pow(hw - 0.18, 2) AS d FROM x JOIN y USING (s))
+SELECT s, {R('hw', 'helicity_water')}, {R('hi', 'helicity_interface')}, {R('hi - hw', 'helicity_gap')}, {R('hi / greatest(hw, 0.001)', 'helicity_ratio')}, {R('(hi - hw) * exp(-d / 0.02)', 'switchability')},
+ {R('d', 'water_optimum_dev')}, {R('hw * ' + N_OF(S.HYDROPHOBIC) + ' / n', 'prefold_risk')}, {R('(' + N_OF('K') + ' * 1.16 + ' + N_OF('R') + ' * 0.98 + ' + N_OF('H') + ' * 1.0) / n', 'charge_helix_coupling')}, {R('hi * n', 'helicity_length_product')} FROM z""")
+def conditional_disorder(spark, sf_dir):
+    """F18, F19."""
+    return rounded(D.with_disorder(seqs(spark, sf_dir)), *D.DISORDER)
+
+
+# ---- objective
+
+
+def predictions(df: DataFrame) -> DataFrame:
+    """Fixed pseudo-predictions, so that the objective can be checked without a model."""
+    return df.withColumns({
+        "log2_mic_gram_positive": 6 - F.col("moment_helix") * 4, "log2_mic_gram_negative": 7 - F.col("net_charge") * 0.5, "log2_mic_resistant": F.when(F.length("s") % 2 == 0, 5 - F.col("gravy")),
+        "log2_hc50": 8 + F.col("gravy"), "spread_gram_positive": F.lit(0.5), "spread_gram_negative": F.col("frac_glycine") * 4, "spread_hc50": F.lit(0.25),
+    })
+
+
+_OUT = [*O.AXES, "broad_spectrum", "chebyshev", "risk_adjusted"]
+_W = lambda x, lo, hi, w: f"(CASE WHEN {x} BETWEEN {lo} AND {hi} THEN 1.0 WHEN {x} < {lo} THEN exp(-pow(({lo} - ({x})) / {w}, 2)) ELSE exp(-pow((({x}) - {hi}) / {w}, 2)) END)"
+
+
+def scored(df: DataFrame) -> DataFrame:
+    return O.with_score(O.with_axes(predictions(D.with_descriptors(df, topology=False))))
+
+
+@query(f"""WITH {SEQS}, a AS (SELECT s, length(s) AS n, {LIST(S.EISENBERG)} AS h, {SUM(_CHARGE_TERMS)} + {_ENDS!r} AS q, {SUM(S.KYTE_DOOLITTLE)} / length(s) AS gravy, {SUM(S.BOMAN)} / length(s) AS boman, {SUM(S.SHEET_PROPENSITY)} / length(s) AS sheet,
+ {N_OF(S.HYDROPHOBIC)} / length(s) AS fh, coalesce(list_max(list_transform(regexp_extract_all(s, '[AILMFVWY]+'), lambda x: length(x))), 0) AS run, coalesce(list_max(list_transform(regexp_extract_all(s, '[IVT]+'), lambda x: length(x))), 0) AS beta,
+ {N_OF('MW')} AS ox, len(regexp_extract_all(s, 'NG')) + len(regexp_extract_all(s, 'DP')) + len(regexp_extract_all(s, 'DG')) + len(regexp_extract_all(s, 'NS')) AS motifs, {N_OF('G')} / length(s) AS g FROM seqs),
+b AS (SELECT *, {MOMENT('h', 100, 'n')} AS m, list_sum(h) / n AS mh FROM a),
+c AS (SELECT *, CASE WHEN n % 2 = 0 THEN 0.65 * (6 - 4 * m) + 0.35 * (5 - gravy) ELSE 6 - 4 * m END AS p, CASE WHEN n % 2 = 0 THEN 0.65 * (7 - 0.5 * q) + 0.35 * (5 - gravy) ELSE 7 - 0.5 * q END AS r FROM b),
+d AS (SELECT *, 1 / (1 + exp((p - 4) / 0.75)) AS gp, 1 / (1 + exp((r - 4) / greatest(4 * g, 0.75))) AS gn, greatest(8 + gravy - least(p, r), 0) AS sw,
+ least(greatest(pow(0.995, greatest(n - 12, 0)) * {_W('fh', 0.0, 0.5, 0.08)} * {_W('run', 0.0, 4.0, 1.5)} * {_W('beta', 0.0, 2.0, 1.2)} * pow(0.97, ox) * pow(0.93, motifs) * {_W('sheet', 0.0, 1.2, 0.15)}, 0), 1) AS qc,
+ {_W('q', 3.0, 9.0, 0.5)} * {_W('mh', -0.1, 0.55, 0.5)} * {_W('run', 0.0, 4.0, 0.5)} * {_W('boman', 0.0, 3.2, 0.5)} * {_W('m', 0.25, 1.0, 0.12)} AS soft FROM c),
+e AS (SELECT *, (least(gp, gn, least(sw / 5, 1), qc) + 0.05 * (gp + gn + least(sw / 5, 1) + qc) / 4) * soft AS ch FROM d)
+SELECT s, {R('gp', 'gram_positive')}, {R('gn', 'gram_negative')}, {R('sw', 'safety_window')}, {R('qc', 'qc_survival')}, {R('(15 * gn + 5 * gp) / 20', 'broad_spectrum')}, {R('ch', 'chebyshev')}, {R('ch * (1 - 0.25 * (0.75 + 4 * g) / 3)', 'risk_adjusted')} FROM e""")
+def objective_scores(spark, sf_dir):
+    """F21-F29."""
+    return rounded(scored(seqs(spark, sf_dir)).select("s", *_OUT), *_OUT)
+
+
+# ---- ingest and tables
+
+_MEASURED = P.MEASUREMENTS_SQL.replace("{mass}", CASES(S.RESIDUE_MASS))
+
+
+def long_table(spark, sf_dir) -> DataFrame:
+    return records.measurements(records.parse_records(P.record_lines(spark, sf_dir)))
+
+
+@query(f"SELECT id, s, endpoint, grp, species, resistant, {R('value_um', 'value_um')}, censor, amidated FROM ({_MEASURED})")
+def ingest_measurements(spark, sf_dir):
+    """NDJSON lines to the long table."""
+    return rounded(long_table(spark, sf_dir).where("drop_reason is null").drop("drop_reason"), "value_um")
+
+
+@query("""SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN event_id % 19 = 0 THEN 'bad_json' WHEN event_id % 11 = 0 THEN 'not_monomer' WHEN event_id % 13 = 0 THEN 'unusual_residues' WHEN event_id % 17 = 0 THEN 'bad_sequence' ELSE 'usable' END AS reason FROM events) GROUP BY reason""")
+def drop_counters(spark, sf_dir):
+    """Records by the first filter that drops them."""
+    return records.parse_records(P.record_lines(spark, sf_dir)).groupBy(F.coalesce("drop_reason", F.lit("usable")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_LONG4 = f"m AS ({_MEASURED}), l AS (SELECT s, grp, log2(value_um) AS v, censor, amidated FROM m UNION ALL SELECT s, 'resistant', log2(value_um), censor, amidated FROM m WHERE resistant)"
+_AGG = f"{_LONG4}, g AS (SELECT s, grp, median(v) AS v, CASE WHEN bool_and(censor = 1) THEN 1 ELSE 0 END AS c, count(*) AS n, bool_or(amidated) AS a FROM l GROUP BY s, grp)"
+_WIDE = _AGG + ", w AS (SELECT s" + "".join(f", max(v) FILTER (grp = '{g}') AS {g}, max(c) FILTER (grp = '{g}') AS {g}_censor, max(n) FILTER (grp = '{g}') AS {g}_n" for g in tables.GROUPS) + " FROM g GROUP BY s)"
+
+
+@query(f"WITH {_AGG} SELECT s, grp, {R('v', 'log2_um')}, c AS censor, CAST(n AS BIGINT) AS n_obs, a AS amidated FROM g")
+def activity_table(spark, sf_dir):
+    """A1, U2."""
+    return rounded(tables.aggregate_activity(long_table(spark, sf_dir)), "log2_um")
+
+
+@query(f"WITH {_WIDE} SELECT s, {', '.join(R(g, g) + f', CAST({g}_censor AS DOUBLE) AS {g}_censor, CAST({g}_n AS DOUBLE) AS {g}_n' for g in tables.GROUPS)} FROM w")
+def activity_wide(spark, sf_dir):
+    """A2, J1."""
+    wide = tables.to_wide(tables.aggregate_activity(long_table(spark, sf_dir)))
+    return rounded(wide.withColumns({c: F.col(c).cast("double") for c in wide.columns if c.endswith(("_censor", "_n"))}), *tables.GROUPS)
+
+
+@query(f"WITH {_WIDE} " + " UNION ALL ".join(f"SELECT '{g}' AS grp, CAST(count({g}) AS BIGINT) AS measured, CAST(count(*) FILTER ({g}_censor = 1) AS DOUBLE) AS bounds, CAST(count(*) FILTER ({g} <= 4) AS DOUBLE) AS potent FROM w" for g in tables.GROUPS)
+       + " UNION ALL SELECT 'both_gram', CAST(count(*) FILTER (gram_negative IS NOT NULL AND gram_positive IS NOT NULL) AS BIGINT), NULL, NULL FROM w UNION ALL SELECT 'any_gram', CAST(count(coalesce(gram_negative, gram_positive)) AS BIGINT), NULL, NULL FROM w")
+def activity_coverage(spark, sf_dir):
+    """A3."""
+    got = tables.coverage(tables.to_wide(tables.aggregate_activity(long_table(spark, sf_dir))))
+    return got.withColumns({c: F.col(c).cast("double") for c in ("bounds", "potent")})
+
+
+@query(f"WITH {_WIDE}, x AS (SELECT hc50 - least(gram_positive, gram_negative) AS w FROM w) SELECT CAST(count(w) AS BIGINT) AS n, {R('CASE WHEN count(w) > 100 THEN quantile_cont(w, 0.75) ELSE 5.0 END', 'target')} FROM x WHERE w > 0")
+def safety_target(spark, sf_dir):
+    """A5."""
+    return rounded(tables.safety_target(tables.to_wide(tables.aggregate_activity(long_table(spark, sf_dir)))), "target")
+
+
+@query(f"WITH {SEQS}, a AS (SELECT length(s) // 10 AS population, {SUM(_CHARGE_TERMS)} + {_ENDS!r} AS net_charge, CAST(length(s) AS DOUBLE) AS length FROM seqs), l AS (SELECT population, 'net_charge' AS \"column\", net_charge AS x FROM a UNION ALL SELECT population, 'length', length FROM a) SELECT CAST(population AS BIGINT) AS population, \"column\", CAST(count(*) AS BIGINT) AS n, {R('quantile_cont(x, 0.1)', 'q10')}, {R('quantile_cont(x, 0.5)', 'q50')}, {R('quantile_cont(x, 0.9)', 'q90')} FROM l GROUP BY population, \"column\" HAVING count(*) >= 50")
+def quantile_windows(spark, sf_dir):
+    """A4: by length class."""
+    df = seqs(spark, sf_dir).withColumns({"net_charge": D.net_charge(F.col("s")), "length": F.length("s").cast("double")})
+    return rounded(tables.quantile_windows(df, ["net_charge", "length"], F.floor(F.length("s") / 10)), "q10", "q50", "q90")
+
+
+@query("SELECT event_type AS name, CAST(count(*) AS BIGINT) AS n, round(avg(value) + 1e-10, 6) + 0.0 AS mean, round(stddev_pop(value) + 1e-10, 6) + 0.0 AS std FROM events GROUP BY event_type")
+def value_counts(spark, sf_dir):
+    """A6, A7."""
+    df = tables.run_summary(P.table(spark, sf_dir, "events"), "event_type", "value")
+    return rounded(df.withColumnRenamed("event_type", "name"), "mean", "std").select("name", "n", "mean", "std")
+
+
+@query()
+def source_summary(spark, sf_dir):
+    """S8."""
+    lines = P.record_lines(spark, sf_dir)
+    return records.summarise(records.parse_records(lines), lines)
+
+
+# ---- similarity, clusters, splits
+
+_LCS = lambda a, b: f"list_reduce(list_prepend(list_transform(range(0, length({b}) + 1), lambda j: 0), list_transform(string_split({a}, ''), lambda c: [ascii(c)])), lambda p, c: list_reduce(list_prepend([0], list_transform(range(1, length({b}) + 1), lambda j: [CASE WHEN ascii(substr({b}, CAST(j AS BIGINT), 1)) = c[1] THEN p[j] + 1 ELSE p[j + 1] END])), lambda r, x: list_append(r, greatest(r[len(r)], x[1]))))[length({b}) + 1]"
+_PAIRS = f"""refs AS (SELECT s, min(ord) AS ord FROM ({P.REFERENCES_SQL}) GROUP BY s), lib AS (SELECT s, min(ord) AS ord FROM ({P.LIBRARY_SQL}) GROUP BY s),
+f AS (SELECT l.s AS s, r.s AS ref, r.ord AS r_ord FROM lib l JOIN refs r ON 2 * least(length(l.s), length(r.s)) >= 0.8 * (length(l.s) + length(r.s)) - 1e-9
+ AND 2 * ({' + '.join(f"least(len(l.s) - len(replace(l.s, '{c}', '')), len(r.s) - len(replace(r.s, '{c}', '')))" for c in S.ALPHABET)}) >= 0.8 * (length(l.s) + length(r.s)) - 1e-9),
+near AS MATERIALIZED (SELECT * FROM (SELECT *, 2.0 * ({_LCS('s', 'ref')}) / (length(s) + length(ref)) AS ratio FROM f) WHERE ratio >= 0.8 - 1e-12)"""
+
+
+@query(f"WITH {_PAIRS} SELECT ord, s FROM ({P.LIBRARY_SQL}) WHERE s NOT IN (SELECT s FROM near)")
+def novelty_screen(spark, sf_dir):
+    """Sequences of documents without a benchmark sequence of ratio >= 0.8."""
+    return similarity.novel(P.library(spark, sf_dir), P.references(spark, sf_dir))
+
+
+@query(f"WITH {_PAIRS}, b AS (SELECT s, arg_max(ref, (ratio, -r_ord)) AS ref, max(ratio) AS ratio FROM near GROUP BY s) SELECT ord, l.s, ref, round(coalesce(ratio, 0) + 1e-10, 6) + 0.0 AS identity FROM ({P.LIBRARY_SQL}) l LEFT JOIN b USING (s)")
+def closest_reference(spark, sf_dir):
+    """The closest benchmark sequence at 0.8 or more."""
+    return rounded(similarity.closest(P.library(spark, sf_dir), P.references(spark, sf_dir), 0.8), "identity")
+
+
+@query(f"WITH r AS (SELECT DISTINCT s FROM ({P.REFERENCES_SQL})), p AS (SELECT a.s AS a, b.s AS b FROM r a JOIN r b ON a.s < b.s) SELECT a, b, round(2.0 * ({_LCS('a', 'b')}) / (length(a) + length(b)) + 1e-10, 6) + 0.0 AS ratio FROM p")
+def similarity_matrix(spark, sf_dir):
+    """All pairs of the benchmark's sequences (a stated short list), by blocks of lengths."""
+    r = P.references(spark, sf_dir).select("s").distinct().withColumn("k", F.lit(1))
+    p = r.withColumnRenamed("s", "a").join(r.withColumnRenamed("s", "b"), "k").where("a < b")
+    return rounded(p.select("a", "b", similarity.ratio(F.col("a"), F.col("b")).alias("ratio")), "ratio")
+
+
+@query(f"WITH a AS (SELECT DISTINCT s FROM ({P.REFERENCES_SQL})), b AS (SELECT DISTINCT s FROM ({P.LIBRARY_SQL})) SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(b.s) AS BIGINT) AS shared, round(count(b.s) / count(*) + 1e-10, 6) + 0.0 AS share FROM a LEFT JOIN b USING (s)")
+def overlap_share(spark, sf_dir):
+    """J8, J9."""
+    return rounded(similarity.overlap(P.references(spark, sf_dir), P.library(spark, sf_dir)), "share")
+
+
+def _save(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared checkpoint folder, where one is set; else keep the rows in memory."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist()
+
+
+@query()
+def leader_clusters(spark, sf_dir):
+    """C1 on the benchmark's sequences; held against the sequential rule in the tests."""
+    return similarity.leader_clusters(P.references(spark, sf_dir), 0.6, _save)
+
+
+@query("WITH ids AS (SELECT source, row_number() OVER (ORDER BY md5('42:' || source)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)) SELECT doc_id, source, r <= greatest(1, round(0.2 * n)) AS test FROM documents JOIN ids USING (source)")
+def group_split(spark, sf_dir):
+    """Documents split by whole sources."""
+    return similarity.group_split(P.table(spark, sf_dir, "documents").select("doc_id", "source"), "source").select("doc_id", "source", "test")
+
+
+@query("WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR))) AS r, count(*) OVER () AS n FROM documents), s AS (SELECT lang, r <= greatest(1, round(0.2 * n)) AS test FROM r) SELECT CAST(count(*) AS BIGINT) AS n_test, round(avg(CASE WHEN lang IN (SELECT lang FROM s WHERE NOT test) THEN 1.0 ELSE 0.0 END) + 1e-10, 6) + 0.0 AS leaked FROM s WHERE test")
+def random_split_leakage(spark, sf_dir):
+    """Languages on both sides of a random split."""
+    return rounded(similarity.split_leakage(similarity.random_split(P.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"), "lang"), "leaked")
+
+
+# ---- ranks, bands, selection
+
+_SCORE = f"q AS (SELECT s, min(ord) AS ord, {SUM(_CHARGE_TERMS)} + {_ENDS!r} AS c, {SUM(S.BOMAN)} / length(s) AS b FROM ({P.LIBRARY_SQL}) GROUP BY s), sc AS (SELECT s, ord, round(c + 1e-10, 6) + 0.0 AS charge, round(b + 1e-10, 6) + 0.0 AS boman FROM q)"
+
+
+def charges(spark, sf_dir) -> DataFrame:
+    df = similarity.distinct_first(P.library(spark, sf_dir))
+    return rounded(df.withColumns({"charge": D.net_charge(F.col("s")), "boman": D.weighted(F.col("s"), S.BOMAN) / F.length("s")}), "charge", "boman").select("s", "ord", "charge", "boman")
+
+
+@query("WITH r AS (SELECT (SELECT 1) AS k, l_quantity AS x, l_extendedprice AS y FROM lineitem), a AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM r) SELECT CAST(count(*) AS BIGINT) AS n, round(corr(rx, ry) + 1e-10, 6) + 0.0 AS spearman FROM a")
+def rank_correlation(spark, sf_dir):
+    """A10 on lineitem: quantity and price."""
+    return rounded(tables.spearman(P.table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), "spearman")
+
+
+@query(f"WITH {_SCORE}, m AS (SELECT median(charge) AS a, median(boman) AS b FROM sc), x AS (SELECT CASE WHEN charge >= a THEN 'charge:hi' ELSE 'charge:lo' END || '|' || CASE WHEN boman >= b THEN 'boman:hi' ELSE 'boman:lo' END AS cell, charge FROM sc, m) SELECT cell, CAST(count(*) AS BIGINT) AS n, round(avg(charge) + 1e-10, 6) + 0.0 AS mean_charge FROM x GROUP BY cell")
+def factorial_cells(spark, sf_dir):
+    """A8, A11."""
+    return rounded(tables.median_cells(charges(spark, sf_dir), ["charge", "boman"]).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg("charge").alias("mean_charge")), "mean_charge")
+
+
+@query(f"WITH {_SCORE}, b AS (SELECT max(charge) AS hi, min(charge) AS lo FROM sc) SELECT s, ord, charge, boman FROM sc, b WHERE charge >= hi - 0.25 * CASE WHEN hi > lo THEN hi - lo ELSE 1 END")
+def eligible_band(spark, sf_dir):
+    """W6."""
+    return sel.eligible_band(charges(spark, sf_dir), "charge", 0.25)
+
+
+@query(f"WITH {_SCORE} SELECT s, ord, charge, boman, CAST(row_number() OVER (ORDER BY charge DESC, ord) AS INTEGER) AS rank FROM sc ORDER BY charge DESC, ord LIMIT 100")
+def top_ranked(spark, sf_dir):
+    """A top-100 report, ties by first place."""
+    return sel.top_k(charges(spark, sf_dir), "charge", 100)
+
+
+@query(f"WITH {_SCORE} SELECT s, ord, charge, boman FROM sc WHERE charge >= 2 ORDER BY ord LIMIT 500")
+def first_passing(spark, sf_dir):
+    """The first 500 that pass, in input order (the truncation is the operator)."""
+    return sel.first_passing(charges(spark, sf_dir), F.col("charge") >= 2, 500)
+
+
+@query(f"SELECT s, CAST(part AS INTEGER) AS part, ord FROM (SELECT s, part, ord, row_number() OVER (PARTITION BY s ORDER BY part, ord) AS r FROM (SELECT 0 AS part, ord, s FROM ({P.REFERENCES_SQL}) UNION ALL SELECT 1, ord, s FROM ({P.LIBRARY_SQL}))) WHERE r = 1")
+def ordered_union(spark, sf_dir):
+    """U1."""
+    return sel.ordered_union(P.references(spark, sf_dir), P.library(spark, sf_dir))
+
+
+@query("WITH r AS (SELECT abs(o_totalprice - (SELECT avg(o_totalprice) FROM orders)) AS r FROM orders) SELECT CAST(count(*) AS BIGINT) AS n, round(quantile_cont(r, (SELECT least(1.0, ceil((count(*) + 1) * 0.9) / count(*)) FROM r)), 4) + 0.0 AS width FROM r")
+def conformal_width(spark, sf_dir):
+    """M5: residuals of order prices from their mean."""
+    o = P.table(spark, sf_dir, "orders")
+    mean = o.agg(F.avg("o_totalprice").alias("m"))
+    got = tables.conformal_width(o.join(F.broadcast(mean)).select((F.col("o_totalprice") - F.col("m")).alias("r")), "r")
+    return got.select("n", (F.round("width", 4) + F.lit(0.0)).alias("width"))
+
+
+_EV = f"""WITH {_AGG}, e AS (SELECT v AS t, c, 1.0 + 0.1 * length(s) AS p FROM g WHERE grp = 'gram_negative'), o AS (SELECT * FROM e WHERE c = 0),
+k AS (SELECT rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS a, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS b FROM o)
+SELECT CAST(count(*) AS BIGINT) AS n, {R('avg(abs(t - p))', 'mae')}, {R('avg(CASE WHEN abs(t - p) <= 1 THEN 1.0 ELSE 0 END)', 'within_1')}, {R('avg(CASE WHEN abs(t - p) <= 2 THEN 1.0 ELSE 0 END)', 'within_2')}, (SELECT round(corr(a, b) + 1e-10, 6) + 0.0 FROM k) AS spearman,
+ (SELECT CAST(count(*) AS BIGINT) FROM e WHERE c = 1) AS n_censored, (SELECT round(avg(CASE WHEN p >= t THEN 1.0 ELSE 0 END) + 1e-10, 6) + 0.0 FROM e WHERE c = 1) AS bound_respected FROM o"""
+
+
+@query(_EV)
+def model_metrics(spark, sf_dir):
+    """M3, on a fixed pseudo-prediction."""
+    df = tables.aggregate_activity(long_table(spark, sf_dir)).where("grp = 'gram_negative'").withColumn("p", 1.0 + 0.1 * F.length("s"))
+    return rounded(tables.evaluate(df.withColumn("log2_um", F.col("log2_um")), "log2_um", "p", "censor"), "mae", "within_1", "within_2", "spearman", "bound_respected")
+
+
+# ---- fitted and sequential operators (rows only; held against brute force or bounds in the tests)
+
+
+@query()
+def censored_regression(spark, sf_dir):
+    """Predictions of log2 concentration with their spread."""
+    from strandlake.operators.models import CensoredRegressor
+
+    df = D.with_descriptors(tables.aggregate_activity(long_table(spark, sf_dir)).where("grp = 'gram_negative'"), topology=False)
+    model = CensoredRegressor(["net_charge", "boman", "gravy", "length", "moment_helix"], seeds=(0, 1), rounds=2, trees=5)
+    return model.fit(df, "log2_um", "censor").predict(df).select("s", "log2_um", "censor", "prediction", "spread")
+
+
+@query()
+def distribution_gate(spark, sf_dir):
+    """M4: robust distances of embeddings' first components from their centre; all rows are scored."""
+    from strandlake.operators.models import DistributionGate
+
+    e = P.table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", i).cast("double").alias(f"x{i}") for i in range(8)])
+    return DistributionGate([f"x{i}" for i in range(8)]).fit(e).apply(e).select("vec_id", "distance", "in_distribution")
+
+
+@query()
+def quality_classifier(spark, sf_dir):
+    """M6: boosted trees with isotonic calibration on label statistics."""
+    from strandlake.operators.models import ActivityClassifier
+
+    d = P.table(spark, sf_dir, "documents").join(P.table(spark, sf_dir, "labels"), "doc_id")
+    d = d.select("doc_id", "quality", F.log1p("n_chars").alias("size"), ((F.length("text") - F.length(F.translate("text", "#%$*&|", ""))) / F.greatest(F.length("text"), F.lit(1))).alias("marks"))
+    return ActivityClassifier(["size", "marks"], trees=5).fit(d, "quality", "doc_id").predict(d).select("doc_id", "quality", "probability_active")
+
+
+@query()
+def sampled_pool(spark, sf_dir):
+    """M8, M9: draws from an n-gram model of the documents' sequences (a declared substitute for a neural sampler)."""
+    from strandlake.operators.search import sample_pool
+
+    return sample_pool(seqs(spark, sf_dir), 2_000)
+
+
+@query()
+def annealed_chains(spark, sf_dir):
+    """Each benchmark candidate refined by its own seeded chain."""
+    from strandlake.operators.search import refine
+
+    return refine(similarity.distinct_first(P.references(spark, sf_dir)).where(C.candidate_feasible(F.col("s"))), steps=60).where("best")
+
+
+@query()
+def diverse_top_list(spark, sf_dir):
+    """Feasible, novel, diverse."""
+    return sel.top_list(charges(spark, sf_dir), P.references(spark, sf_dir), "charge", 50, 25)
+
+
+@query()
+def factorial_selection(spark, sf_dir):
+    """Equal shares of the cells of two median splits."""
+    return sel.factorial_select(charges(spark, sf_dir), "charge", ["charge", "boman"], 40)
+
+
+@query()
+def screening_funnel(spark, sf_dir):
+    """Sample, gate, score, refine, rank."""
+    from strandlake.plans.funnel import run
+
+    return run(P.references(spark, sf_dir), seqs(spark, sf_dir))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feasible sequences with their lengths."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Feasible, unseen sequences, scored by the worst-axis objective: the best hundred."""
+    lib = similarity.distinct_first(P.library(spark, sf_dir)).where(C.candidate_feasible(F.col("s")))
+    unseen = lib.join(P.references(spark, sf_dir).select("s").distinct(), "s", "left_anti")
+    return sel.top_k(scored(unseen).select("s", "ord", *_OUT), "chebyshev", 100)
+
+
+QUERIES["flagship"] = flagship
