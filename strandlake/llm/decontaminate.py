@@ -93,22 +93,29 @@ def phrase_matches(docs: DataFrame, tests: DataFrame, n: int = WINDOW) -> DataFr
         index.join(items, "item_id")
         .groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "offset", F.col("words").alias("item"))).alias("alignments"))
     )
-    rows = docs.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", "alignments", words(F.col("text")).alias("w"))
+    rows = docs.select("doc_id", "text").join(by_doc, "doc_id", "left")
 
-    def starts(a: Column) -> Column:
+    def starts(a: Column, w: Column) -> Column:
         """Document positions of the windows of one alignment."""
         size = F.least(F.size(a["item"]), F.lit(n))
         here = F.sequence(F.lit(0), F.size(a["item"]) - F.lit(1))
-        same = F.transform(here, lambda i: F.coalesce(F.when(a["offset"] + i >= 0, F.get(F.col("w"), a["offset"] + i)) == F.get(a["item"], i), F.lit(False)))
-        # the length of the run of matches that ends at each place
-        runs = F.aggregate(
-            same, F.array(F.lit(0)), lambda acc, ok: F.concat(acc, F.array(F.when(ok, F.element_at(acc, -1) + 1).otherwise(0)))
-        )
-        ends = F.filter(F.sequence(F.lit(1), F.size(a["item"])), lambda j: F.get(runs, j) >= size)
-        return F.transform(ends, lambda j: (a["offset"] + j - size).cast("int"))
-
-    found = F.transform("alignments", lambda a: F.struct(a["item_id"].alias("item_id"), F.least(F.size(a["item"]), F.lit(n)).alias("size"), starts(a).alias("starts")))
-    return rows.select("doc_id", F.size("w").alias("n_words"), F.filter(F.coalesce(found, F.array().cast("array<struct<item_id:bigint,size:int,starts:array<int>>>")), lambda m: F.size(m["starts"]) > 0).alias("matches"))
+        same = F.filter(here, lambda i: F.coalesce(F.when(a["offset"] + i >= 0, F.get(w, a["offset"] + i)) == F.get(a["item"], i), F.lit(False)))
+        # places that match, in order: a window ends at one that stands size - 1 places after the one size - 1 before it
+        ends = bound(same, lambda m: F.when(F.size(m) >= size, F.filter(m, lambda i, k: F.get(m, k - size + 1) == i - size + 1)).otherwise(F.array().cast("array<int>")))
+        return F.transform(ends, lambda i: (a["offset"] + i - size + 1).cast("int"))
+
+    none = F.array().cast("array<struct<item_id:bigint,size:int,starts:array<int>>>")
+    found = bound(
+        words(F.col("text")),
+        lambda w: F.transform("alignments", lambda a: F.struct(a["item_id"].alias("item_id"), F.least(F.size(a["item"]), F.lit(n)).alias("size"), starts(a, w).alias("starts"))),
+    )
+    matches = F.when(F.col("alignments").isNull(), none).otherwise(F.filter(found, lambda m: F.size(m["starts"]) > 0))
+    return rows.select("doc_id", F.size(raw_words(F.col("text"))).alias("n_words"), matches.alias("matches"))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once: as a lambda's variable it isn't copied into every place of use."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def proximity_matches(docs: DataFrame, tests: DataFrame, distance: int = 3, n: int = WINDOW) -> DataFrame:
