@@ -368,7 +368,9 @@ def ordered_union(spark, sf_dir):
     return sel.ordered_union(P.references(spark, sf_dir), P.library(spark, sf_dir))
 
 
-@query("WITH r AS (SELECT abs(o_totalprice - (SELECT avg(o_totalprice) FROM orders)) AS r FROM orders) SELECT CAST(count(*) AS BIGINT) AS n, round(quantile_cont(r, (SELECT least(1.0, ceil((count(*) + 1) * 0.9) / count(*)) FROM r)), 4) + 0.0 AS width FROM r")
+@query("""WITH r AS (SELECT abs(o_totalprice - (SELECT avg(o_totalprice) FROM orders)) AS r FROM orders), l AS (SELECT list(r ORDER BY r) AS v, count(*) AS n FROM r),
+p AS (SELECT v, n, least(1.0, ceil((n + 1) * 0.9) / n) * (n - 1) AS i FROM l), q AS (SELECT v, n, i, CAST(floor(i) AS BIGINT) AS f FROM p)
+SELECT CAST(n AS BIGINT) AS n, round(v[f + 1] + (i - f) * (v[least(f + 2, n)] - v[f + 1]), 4) + 0.0 AS width FROM q""")
 def conformal_width(spark, sf_dir):
     """M5: residuals of order prices from their mean."""
     o = P.table(spark, sf_dir, "orders")

@@ -29,18 +29,19 @@ def score(df: DataFrame, predict=rule_predictions) -> DataFrame:
 
 def run(refs: DataFrame, training: DataFrame, n: int = 1_000, gated: int = 800, seeds: int = 30, top: int = 20, steps: int = 40, predict=rule_predictions) -> DataFrame:
     """rank, s and the objective's columns of the top list."""
-    pool = sample_pool(training, n)
+    pool = sample_pool(training, n).persist()
     fresh = pool.join(refs.select("s").distinct(), "s", "left_anti")
     described = D.with_descriptors(fresh, topology=False)
     gate = DistributionGate(GATE).fit(D.with_descriptors(training.where(candidate_feasible(F.col("s"))), topology=False))
-    passed = gate.apply(described)
+    # each short list is read by several later steps
+    passed = gate.apply(described).persist()
     counts = passed.agg(F.count(F.lit(1)).alias("n"), F.count_if("in_distribution").alias("ok")).first()
     if counts["ok"] < LEAST_PASS * counts["n"]:
         raise ValueError("fewer than 2 % of the pool pass the gate")
     first = sel.first_passing(passed, F.col("in_distribution"), gated)
-    best = sel.top_k(score(first, predict), "chebyshev", seeds)
-    chains = refine(best.select("ord", "s"), steps)
+    best = sel.top_k(score(first, predict), "chebyshev", seeds).persist()
+    chains = refine(best.select("ord", "s"), steps).persist()
     union = sel.ordered_union(chains.select(F.col("chain").alias("ord"), "s"), best.select("ord", "s")).withColumn("ord", F.col("part") * 1_000_000_000 + F.col("ord")).select("ord", "s")
-    final = score(gate.apply(D.with_descriptors(union, topology=False)).where("in_distribution"), predict)
+    final = score(gate.apply(D.with_descriptors(union, topology=False)).where("in_distribution"), predict).select("s", "ord", "risk_adjusted", *O.AXES, "chebyshev", "broad_spectrum").persist()
     listed = sel.top_list(final.select("s", "ord", "risk_adjusted"), refs, "risk_adjusted", top, top // 2)
     return listed.select(F.col("pick").alias("rank"), "s", "risk_adjusted").join(final.select("s", *O.AXES, "chebyshev", "broad_spectrum"), "s")
