@@ -83,9 +83,7 @@ def with_ceiling(value: Column, censor: Column) -> Column:
 def to_micromolar(value: Column, unit: Column, s: Column) -> Column:
     """Null for values that aren't positive and finite, and for unknown units."""
     u = F.translate(F.lower(F.trim(unit)), "μµ", "uu")
-    mw = molecular_weight(s)
-    got = (
-        F.when(u.isin("um", "umol/l", "micromolar"), value).when(u.isin("nm", "nmol/l"), value / 1000.0).when(u.isin("mm", "mmol/l"), value * 1000.0)
-        .when(u.isin("ug/ml", "mg/l", "microg/ml"), value * 1000.0 / mw).when(u.isin("mg/ml", "g/l"), value * 1e6 / mw).when(u.isin("ng/ml", "ug/l"), value / mw)
-    )
-    return F.when((value > 0) & (value < float("inf")), got)
+    # the mass stands in one place only, which keeps the generated code small
+    times = F.when(u.isin("um", "umol/l", "micromolar", "nm", "nmol/l", "ng/ml", "ug/l"), 1.0).when(u.isin("mm", "mmol/l", "ug/ml", "mg/l", "microg/ml"), 1000.0).when(u.isin("mg/ml", "g/l"), 1e6)
+    over = F.when(u.isin("nm", "nmol/l"), 1000.0).when(u.isin("ug/ml", "mg/l", "microg/ml", "mg/ml", "g/l", "ng/ml", "ug/l"), molecular_weight(s)).otherwise(1.0)
+    return F.when((value > 0) & (value < float("inf")), value * times / over)
