@@ -68,6 +68,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = thinned(edges.where("a <> b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(now, "edges")
+    # many tasks each keep a forest over the same nodes: thin those forests together, some tasks' at a time
+    tasks = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = now
+    now = materialize(thinned(now.coalesce(max(4, tasks // 32)).toDF("a", "b")).toDF("u", "v"), "edges")
+    discard(now.sparkSession, first)
     state = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

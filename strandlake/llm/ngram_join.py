@@ -47,6 +47,7 @@ PAIRED = 16
 SEEDS = 4
 BLOCK_SETS, BLOCK_SHINGLES = 1_500, 1_000_000
 PACK_SHINGLES = 1_500_000
+BUCKET_SHINGLES = 4_000_000
 
 
 def shingle_sets(raws: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -385,8 +386,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard >= num/den) of each row."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     seen = materialize(describe(docs, k), "sets")
+    if not buckets:  # a bucket's signatures fit in a task, whatever the input
+        total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SHINGLES))
     often = (
         seen.where("often is not null").select(F.explode("often").alias("o")).groupBy("o.x").agg(F.sum("o.n").alias("n"))
         .where(F.col("n") >= FREQUENT_DF).orderBy(F.desc("n"), "x").limit(MAX_FREQUENT).select("x").toArrow()
