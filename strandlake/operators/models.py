@@ -6,12 +6,18 @@ Gradient boosting comes from pyspark.ml: the same algorithms as the usual single
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most rows on which the gate's covariance is fitted (by hash of the row).
-GATE_ROWS = 6_000
+#: Distinct rows (by hash) in which the gate's steps over all rows find their starts, and how many starts are followed.
+START_ROWS, START_MODELS = 1_500, 3
+#: Most concentration steps over all rows.
+MOST_STEPS = 30
+#: Rows of a bin from which on its distinct distances are listed.
+LISTED = 65_536
 
 
 class CensoredRegressor:
@@ -86,54 +92,178 @@ class ActivityClassifier:
         return self.isotonic.transform(out).drop("_features", "_raw", "rawPrediction", "probability", "prediction")
 
 
-def fast_mcd(x: np.ndarray, support: float = 0.85, starts: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and covariance of least determinant over subsets of a share `support`: concentration steps from random starts."""
+def quadratic(x: np.ndarray, mu: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """(x - mu)' inverse (x - mu) of each row, summed column by column: a row's result doesn't depend on its batch."""
+    z = x - mu
+    y, out = np.zeros_like(z), np.zeros(len(z))
+    for j in range(z.shape[1]):
+        y += z[:, j : j + 1] * inverse[j]
+    for j in range(z.shape[1]):
+        out += z[:, j] * y[:, j]
+    return np.maximum(out, 0.0)
+
+
+def inverse_of(cov: np.ndarray) -> np.ndarray:
+    return np.linalg.pinv(cov, hermitian=True)
+
+
+def logdet(cov: np.ndarray) -> float:
+    return float(np.linalg.slogdet(cov + 1e-9 * np.eye(len(cov)))[1])
+
+
+def fast_mcd(x: np.ndarray, support: float = 0.85, starts: int = 30, seed: int = 0, best: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The `best` centres and covariances of least determinant over subsets of a share `support`: concentration steps from random starts."""
     n, p = x.shape
-    h = max(p + 1, int(np.ceil(support * n)))
+    h = max(min(p + 1, n), int(np.ceil(support * n)))
     rng = np.random.default_rng(seed)
-    best = None
+    found = {}
     for _ in range(starts):
         at = rng.choice(n, min(n, p + 1), replace=False)
         for _ in range(30):
             mu, cov = x[at].mean(0), np.cov(x[at].T, bias=True).reshape(p, p) + 1e-9 * np.eye(p)
-            d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.pinv(cov), x - mu)
-            new = np.argsort(d, kind="stable")[:h]
-            if len(new) == len(at) and set(new) == set(at):
+            z = x - mu
+            new = np.sort(np.argsort(((z @ inverse_of(cov)) * z).sum(axis=1), kind="stable")[:h])
+            if np.array_equal(new, at):
                 break
             at = new
-        det = np.linalg.slogdet(np.cov(x[at].T, bias=True).reshape(p, p) + 1e-9 * np.eye(p))[1]
-        if best is None or det < best[0]:
-            best = det, at
-    at = best[1]
-    return x[at].mean(0), np.cov(x[at].T, bias=True).reshape(p, p)
+        cov = np.cov(x[at].T, bias=True).reshape(p, p)
+        found.setdefault(tuple(at), (logdet(cov), x[at].mean(0), cov))
+    return [(mu, cov) for _, mu, cov in sorted(found.values(), key=lambda f: f[0])[:best]]
 
 
 class DistributionGate:
-    """Passes rows whose robust distance from the fitted centre is within a quantile of the fitted rows' distances."""
+    """Passes rows whose robust distance from the fitted centre is within a quantile of the fitted rows' distances.
+
+    Minimum covariance determinant over all finite rows: START_ROWS distinct rows only give the centres and covariances that the
+    concentration steps start from. Each step's cut (the distance of rank h), means and covariances, as well as the dropped columns and the
+    threshold, are aggregates over all rows. Of rows that stand at the cut, each counts with the share that fills h, so copies need no order.
+    Without a finite row nothing passes; where no column varies, all rows have distance 0.
+    """
 
     def __init__(self, features: list[str], level: float = 0.975, support: float = 0.85):
         self.features, self.level, self.support = features, level, support
 
-    def fit(self, df: DataFrame, max_rows: int = GATE_ROWS) -> DistributionGate:
-        ok = df.select(*[F.col(f).cast("double").alias(f) for f in self.features]).dropna()
-        ok = ok.orderBy(F.xxhash64(*self.features)).limit(max_rows)
-        x = ok.toPandas().to_numpy(float)
-        x = x[np.isfinite(x).all(axis=1)]
-        self.kept = [f for f, v in zip(self.features, x.var(axis=0) if len(x) else []) if v > 1e-12]
-        x = x[:, [self.features.index(f) for f in self.kept]]
-        self.mu, cov = fast_mcd(x, self.support)
-        self.inverse = np.linalg.pinv(cov)
-        d = np.einsum("ij,jk,ik->i", x - self.mu, self.inverse, x - self.mu)
-        self.threshold = float(np.quantile(d, self.level))
+    def fit(self, df: DataFrame) -> DistributionGate:
+        ok = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(self.features)]).dropna()
+        rows = ok.select(F.array(*ok.columns).alias("x")).where(F.forall("x", lambda v: F.abs(v) < float("inf"))).persist()
+        try:
+            return self._fit(rows)
+        finally:
+            rows.unpersist()
+
+    def _fit(self, rows: DataFrame) -> DistributionGate:
+        spread = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.count("v").alias("n"), F.var_pop("v").alias("v"), F.avg("v").alias("m")).orderBy("i").collect()
+        at = [r["i"] for r in spread if r["v"] > 1e-12]
+        n, p = (spread[0]["n"] if spread else 0), len(at)
+        self.kept, self.mu, self.inverse = [self.features[i] for i in at], np.zeros(p), np.zeros((p, p))
+        self.threshold = 0.0 if n else -1.0
+        if not p:
+            return self
+        middle, h = np.array([spread[i]["m"] for i in at]), max(min(p + 1, n), int(np.ceil(self.support * n)))
+        first = rows.distinct().orderBy(F.xxhash64("x"), "x").limit(START_ROWS).collect()
+        models = fast_mcd(np.array([r["x"] for r in first], float)[:, at], self.support, best=START_MODELS)
+        done: list[tuple[float, np.ndarray, np.ndarray]] = []
+        last = [np.inf] * len(models)
+        for step in range(MOST_STEPS):
+            shapes = [(mu, inverse_of(cov + 1e-9 * np.eye(p))) for mu, cov in models]
+            cuts = [c[0] for c in ranked(rows, at, shapes, [h - 1] * len(shapes))]
+            models = concentrated(rows, at, shapes, cuts, h, middle)
+            det = [logdet(cov) for _, cov in models]
+            over = [step == MOST_STEPS - 1 or d >= l - 1e-9 for d, l in zip(det, last)]
+            done += [(d, *m) for d, m, o in zip(det, models, over) if o]
+            models, last = [m for m, o in zip(models, over) if not o], [d for d, o in zip(det, over) if not o]
+            if not models:
+                break
+        _, self.mu, cov = min(done, key=lambda d: d[0])
+        self.inverse = inverse_of(cov)
+        place = (n - 1) * self.level
+        lo, hi = int(np.floor(place)), int(np.ceil(place))
+        shape = [(self.mu, self.inverse)] * 2
+        (a, _, _), (b, _, _) = ranked(rows, at, shape, [lo, hi])
+        self.threshold = float(a + (b - a) * (place - lo))
         return self
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """distance and in_distribution: the quadratic form as a Column expression, in codegen."""
-        z = [F.col(f) - float(m) for f, m in zip(self.kept, self.mu)]
-        df = df.withColumns({f"_z{i}": v for i, v in enumerate(z)})
-        total = F.lit(0.0)
-        for i in range(len(z)):
-            row = sum((F.col(f"_z{j}") * float(self.inverse[i, j]) for j in range(len(z))), F.lit(0.0))
-            total = total + F.col(f"_z{i}") * row
-        df = df.withColumn("distance", total).drop(*[f"_z{i}" for i in range(len(z))])
-        return df.withColumn("in_distribution", F.coalesce(F.col("distance") <= self.threshold, F.lit(False)))
+        """distance (null where a kept column is null, NaN where one isn't finite) and in_distribution."""
+        mu, inverse = self.mu, self.inverse
+
+        def far(x: pd.Series) -> pd.Series:
+            out = pd.Series(np.nan, index=x.index, dtype=float)
+            if len(x):
+                m = np.array(x.tolist(), float).reshape(len(x), -1)
+                with np.errstate(invalid="ignore", over="ignore"):
+                    out[:] = np.where(np.isfinite(m).all(axis=1), quadratic(m, mu, inverse), np.nan)
+            return out
+
+        if not self.kept:
+            distance = F.lit(0.0)
+        else:
+            x = F.array(*[F.col(f).cast("double") for f in self.kept])
+            some = F.exists(x, lambda v: v.isNull())
+            d = F.pandas_udf(far, "double")(F.transform(x, lambda v: F.coalesce(v, F.lit(float("nan")))))
+            distance = F.when(some, None).otherwise(F.coalesce(d, F.lit(float("nan"))))
+        return df.withColumn("distance", distance).withColumn("in_distribution", F.coalesce(F.col("distance") <= self.threshold, F.lit(False)))
+
+
+def _matrices(batches, at: list[int]):
+    for b in batches:
+        col = b.column(0)
+        if len(col):
+            x = col.flatten().to_numpy(zero_copy_only=False)
+            yield x.reshape(len(col), -1)[:, at]
+
+
+def ranked(rows: DataFrame, at: list[int], shapes: list, ranks: list[int]) -> list[tuple[float, int, int]]:
+    """For each shape its distance of that rank (from 0) over all rows, how many are smaller, and how many are equal: exact.
+
+    Doubles that aren't negative order like their bits. Counts by leading bits narrow the rank's bin down by 16 bits a round, or to the
+    distinct values at once where few rows are left in it.
+    """
+    total = rows.count()
+    state = [{"prefix": 0, "shift": 64, "below": 0, "left": total} for _ in shapes]
+    while any(s["shift"] for s in state):
+        now = [(i, s["prefix"], s["shift"], 0 if s["left"] <= LISTED else s["shift"] - 16) for i, s in enumerate(state) if s["shift"]]
+
+        def count(batches):
+            for x in _matrices(batches, at):
+                for i, prefix, old, new in now:
+                    bits = quadratic(x, *shapes[i]).view(np.uint64)
+                    if old < 64:
+                        bits = bits[bits >> np.uint64(old) == np.uint64(prefix)]
+                    key, n = np.unique(bits >> np.uint64(new), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i), pa.int32()), pa.array(key.astype(np.int64)), pa.array(n, pa.int64())], ["i", "key", "n"])
+
+        got = rows.mapInArrow(count, "i int, key long, n long").groupBy("i", "key").agg(F.sum("n").alias("n")).toPandas().sort_values(["i", "key"])
+        for i, _, _, new in now:
+            mine, s = got[got["i"] == i], state[i]
+            upto = s["below"] + mine["n"].cumsum().to_numpy()
+            k = int(np.searchsorted(upto, ranks[i], side="right"))
+            n = int(mine["n"].iloc[k])
+            s.update(prefix=int(mine["key"].iloc[k]), shift=new, below=int(upto[k]) - n, left=n)
+    return [(float(np.array([s["prefix"]], np.uint64).view(float)[0]), s["below"], s["left"]) for s in state]
+
+
+def concentrated(rows: DataFrame, at: list[int], shapes: list, cuts: list[float], h: int, middle: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Centre and covariance of each shape's h nearest rows; sums are taken around `middle`, per task, and added on the driver."""
+    p = len(at)
+
+    def sums(batches):
+        # rows within the cut and rows at it: count, sum and products of each
+        acc = np.zeros((len(shapes), 2, 1 + p + p * p))
+        for x in _matrices(batches, at):
+            for i, (shape, cut) in enumerate(zip(shapes, cuts)):
+                d = quadratic(x, *shape)
+                for k, some in enumerate((d < cut, d == cut)):
+                    z = x[some] - middle
+                    acc[i, k] += np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([acc.ravel().tolist()], pa.list_(pa.float64()))], ["acc"])
+
+    total = np.zeros((len(shapes), 2, 1 + p + p * p))
+    for r in rows.mapInArrow(sums, "acc array<double>").toLocalIterator():
+        total += np.array(r["acc"]).reshape(total.shape)
+    out = []
+    for inner, edge in total:
+        t = inner + edge * ((h - inner[0]) / max(edge[0], 1.0))
+        m, prod = t[1 : p + 1] / h, t[p + 1 :].reshape(p, p) / h
+        out.append((middle + m, prod - np.outer(m, m)))
+    return out

@@ -407,11 +407,11 @@ def censored_regression(spark, sf_dir):
 
 @query()
 def distribution_gate(spark, sf_dir):
-    """M4: robust distances of embeddings' first components from their centre; all rows are scored."""
+    """M4: robust distances of embeddings from their centre, over all components; fitted on all rows, and all are scored."""
     from strandlake.operators.models import DistributionGate
 
-    e = P.table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", i).cast("double").alias(f"x{i}") for i in range(8)])
-    return DistributionGate([f"x{i}" for i in range(8)]).fit(e).apply(e).select("vec_id", "distance", "in_distribution")
+    e = P.table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", i).cast("double").alias(f"x{i}") for i in range(64)])
+    return DistributionGate([f"x{i}" for i in range(64)]).fit(e).apply(e).select("vec_id", "distance", "in_distribution")
 
 
 @query()

@@ -99,3 +99,28 @@ def test_gate_and_regression(spark):
     long = df.where("id < 1000").selectExpr("a", "b", "2 * a as y", "cast(0 as int) as k")
     fitted = models.CensoredRegressor(["a", "b"], seeds=(0,), rounds=1, trees=5).fit(long, "y", "k").predict(long).collect()
     assert np.corrcoef([r["y"] for r in fitted], [r["prediction"] for r in fitted])[0, 1] > 0.9
+
+
+def test_gate_fits_on_all_rows(spark):
+    # more rows than any sample, a block of copies among them, and rows that aren't finite
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(4000, 2)), np.tile([0.5, 0.5], (7000, 1)), rng.normal(6, 1, size=(900, 2))])
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(-1, float("nan"), 1.0), (-2, None, 1.0), (-3, float("inf"), 1.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").repartition(5)
+    gate = models.DistributionGate(["a", "b"]).fit(df)
+    got = {r["id"]: r for r in gate.apply(df).collect()}
+    assert gate.kept == ["a", "b"] and len(got) == len(rows) and not any(got[i]["in_distribution"] for i in (-1, -2, -3))
+    d = np.array([got[i]["distance"] for i in range(len(x))])
+    assert gate.threshold == pytest.approx(np.quantile(d, 0.975)) and all(got[i]["in_distribution"] == (d[i] <= gate.threshold) for i in range(len(x)))
+    # a concentration step over all rows doesn't move the centre any more
+    h, order = int(np.ceil(0.85 * len(x))), np.argsort(d, kind="stable")
+    assert np.allclose(x[order[:h]].mean(axis=0), gate.mu, atol=1e-6)
+
+
+def test_ranks_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(models, "LISTED", 10)
+    x = np.round(np.random.default_rng(5).normal(size=(500, 1)), 2)
+    rows = spark.createDataFrame([([float(v)],) for v in x[:, 0]], "x array<double>")
+    d = np.sort(models.quadratic(x, np.zeros(1), np.eye(1)))
+    got = models.ranked(rows, [0], [(np.zeros(1), np.eye(1))] * 3, [0, 250, 499])
+    assert got == [(d[r], int((d < d[r]).sum()), int((d == d[r]).sum())) for r in (0, 250, 499)]
