@@ -103,6 +103,63 @@ def closest(candidates: DataFrame, refs: DataFrame, t: float) -> DataFrame:
     return candidates.join(best, candidates.s == best.l_s, "left").select("ord", "s", F.col("b.r_s").alias("ref"), F.coalesce("b.ratio", F.lit(0.0)).alias("identity"))
 
 
+def code_table(seqs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bit masks of each letter's places (letters x sequences), full words, and lengths; sequences have at most 63 residues."""
+    size = np.fromiter(map(len, seqs), np.int64, len(seqs))
+    masks = np.zeros((26, len(seqs)), np.uint64)
+    wide = int(size.max(initial=0))
+    codes = np.frombuffer(b"".join(x.encode().ljust(wide, b"[") for x in seqs), np.uint8).reshape(len(seqs), wide) - 65 if wide else np.zeros((len(seqs), 0), np.uint8)
+    for i in range(wide):
+        at = np.flatnonzero(codes[:, i] < 26)
+        masks[codes[at, i], at] |= np.uint64(1 << i)
+    return masks, (np.uint64(1) << size.astype(np.uint64)) - np.uint64(1), size
+
+
+def ratios_to(table: tuple[np.ndarray, np.ndarray, np.ndarray], s: str) -> np.ndarray:
+    """Ratio of each of the table's sequences to s."""
+    masks, full, size = table
+    v = full.copy()
+    for c in s:
+        m = masks[ord(c) - 65]
+        u = v & m
+        v = (v + u) | (v - u)
+    both = size + len(s)
+    return np.where(both == 0, 1.0, 2.0 * np.bitwise_count(~v & full) / np.maximum(both, 1))
+
+
+def closest_of_all(candidates: DataFrame, refs: DataFrame) -> DataFrame:
+    """ord, s, ref, identity: each candidate's best reference of any ratio, the first one on ties; null and 0 only without references.
+
+    All distinct pairs are compared, a batch of candidates with one reference after another. References are sent to the
+    tasks in parts of at most about BROADCAST_ROWS, each part by a pass over the distinct candidates.
+    """
+    unique, known = distinct_first(candidates), distinct_first(refs)
+    parts = max(1, -(-known.count() // BROADCAST_ROWS))
+    hits = None
+    for part in range(parts):
+        listed = known.where(F.pmod(F.xxhash64("s"), F.lit(parts)) == part).orderBy("ord", "s").collect()
+        sent = candidates.sparkSession.sparkContext.broadcast([(r["ord"], r["s"]) for r in listed])
+
+        def best(batches, sent=sent):
+            for b in batches:
+                for lo in range(0, len(b), 8_192):
+                    s = b["s"].iloc[lo : lo + 8_192]
+                    table, top, at = code_table(s.tolist()), np.full(len(s), -1.0), np.zeros(len(s), np.int64)
+                    for i, (_, r) in enumerate(sent.value):
+                        now = ratios_to(table, r)
+                        better = now > top
+                        top[better], at[better] = now[better], i
+                    if sent.value:
+                        yield pd.DataFrame({"l_s": s.to_numpy(), "r_ord": [sent.value[i][0] for i in at], "r_s": [sent.value[i][1] for i in at], "ratio": top})
+
+        hit = unique.select("s").mapInPandas(best, "l_s string, r_ord long, r_s string, ratio double")
+        hits = hit if hits is None else hits.unionByName(hit)
+    if parts > 1:
+        top = F.max_by(F.struct("r_ord", "r_s", "ratio"), F.struct("ratio", -F.col("r_ord")))
+        hits = hits.groupBy("l_s").agg(top.alias("b")).select("l_s", "b.*")
+    return candidates.join(hits, candidates.s == hits.l_s, "left").select("ord", "s", F.col("r_s").alias("ref"), F.coalesce("ratio", F.lit(0.0)).alias("identity"))
+
+
 def violations(candidates: DataFrame, refs: DataFrame, t: float = 0.8) -> DataFrame:
     """Candidates whose closest reference is strictly above t."""
     return closest(candidates, refs, t).where(F.col("identity") > t).withColumn("identity", F.round("identity", 4))

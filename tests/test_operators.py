@@ -124,3 +124,18 @@ def test_ranks_are_exact(spark, monkeypatch):
     d = np.sort(models.quadratic(x, np.zeros(1), np.eye(1)))
     got = models.ranked(rows, [0], [(np.zeros(1), np.eye(1))] * 3, [0, 250, 499])
     assert got == [(d[r], int((d < d[r]).sum()), int((d == d[r]).sum())) for r in (0, 250, 499)]
+
+
+def test_closest_of_any_similarity(spark, monkeypatch):
+    from strandlake.plans import catalog
+
+    refs, cand = seqs(40, 3) + ["KKKKKKKKKK"], seqs(60, 4) + ["AAAAAAAAAA", "AAAAAAAACC", "KLWKLWKL"] * 2
+    want = {i: max(ratio(c, r) for r in refs) for i, c in enumerate(cand)}
+    for rows in (100_000, 7):
+        monkeypatch.setattr(similarity, "BROADCAST_ROWS", rows)
+        best = {r["ord"]: (r["ref"], r["identity"]) for r in similarity.closest_of_all(frame(spark, cand), frame(spark, refs)).collect()}
+        assert best == {i: (next(r for r in refs if ratio(c, r) == want[i]), pytest.approx(want[i])) for i, c in enumerate(cand)}
+    none = similarity.closest_of_all(frame(spark, cand), frame(spark, refs).limit(0)).collect()
+    assert len(none) == len(cand) and all(r["ref"] is None and r["identity"] == 0 for r in none)
+    got = catalog.QUERIES["closest_reference"](spark, "/root/testdata/sf0.001")
+    assert got.where("ref is null").count() == 0 and got.where("identity < 0.8").count() > 0
