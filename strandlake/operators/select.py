@@ -11,6 +11,7 @@ from strandlake.functions import cleaning as C
 from strandlake.operators.similarity import lcs_lengths, novel
 from strandlake.operators.tables import median_cells
 
+#: Rows of the top list's shortlist.
 SHORTLIST = 600
 
 
@@ -56,11 +57,8 @@ def greedy_indices(seqs: list[str], score: np.ndarray, k: int, weight: float) ->
     return out
 
 
-def greedy_diverse(df: DataFrame, score: str, k: int, weight: float = 0.5, by: str | None = None) -> DataFrame:
-    """df's chosen rows with `pick` (1..k), for each value of `by`. Groups are short lists: at most SHORTLIST rows each enter (by score, then ord)."""
-    key = by or "_all"
-    rows = df if by else df.withColumn("_all", F.lit(0))
-    short = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), "ord"))).where(F.col("_r") <= SHORTLIST).drop("_r")
+def greedy_short(df: DataFrame, score: str, k: int, weight: float = 0.5) -> DataFrame:
+    """greedy_diverse of a short list, in one task."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("ord", kind="stable").reset_index(drop=True)
@@ -69,29 +67,74 @@ def greedy_diverse(df: DataFrame, score: str, k: int, weight: float = 0.5, by: s
 
     from pyspark.sql.types import LongType, StructType
 
-    schema = StructType([*short.schema.fields]).add("pick", LongType())
-    out = short.groupBy(key).applyInPandas(run, schema)
-    return out if by else out.drop("_all")
+    rows = df.withColumn("_all", F.lit(0))
+    schema = StructType([*rows.schema.fields]).add("pick", LongType())
+    return rows.groupBy("_all").applyInPandas(run, schema).drop("_all")
+
+
+def greedy_diverse(df: DataFrame, score: str, k: int, by: str, weight: float = 0.5) -> DataFrame:
+    """df's chosen rows with `pick` (1..k), for each value of `by`: greedy_indices over all rows of each group, of any size.
+
+    A round is one argmax aggregate over all groups' rows; picks are known by ord, which must be unique. Rows that can't
+    be picked are left out first: a row's gain lies between score and score * (1 - weight), and the k best by the smaller
+    of the two have a larger gain than it. The frame is read in each round. Null scores are never picked.
+    """
+    rows = df.where(F.col(score).isNotNull()).withColumns({"_hi": F.greatest(F.col(score), F.col(score) * (1 - weight)), "_lo": F.least(F.col(score), F.col(score) * (1 - weight))}).persist()
+    # the k-th largest lower bound of each group; Spark keeps k rows a group and task before the shuffle
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("_lo")))
+    floor = rows.select(by, "_lo").withColumn("_n", place).where(F.col("_n") <= k).groupBy(by).agg(F.min("_lo").alias("_floor"))
+    open_rows = rows.join(F.broadcast(floor), by).where(F.col("_hi") >= F.col("_floor")).select(*df.columns).persist()
+    picks: list[tuple] = []  # group, ord, s, pick
+
+    for pick in range(1, k + 1):
+        chosen: dict = {}
+        for g, _, s, _ in picks:
+            chosen.setdefault(g, []).append(s)
+        taken = [o for _, o, _, _ in picks]
+
+        def near(group: pd.Series, s: pd.Series) -> pd.Series:
+            out = np.zeros(len(s))
+            for g, at in group.groupby(group).indices.items():
+                own = s.iloc[at].tolist()
+                size = np.array([len(x) for x in own])
+                for c in chosen.get(g, []):
+                    out[at] = np.maximum(out[at], 2 * lcs_lengths([c] * len(own), own) / np.maximum(size + len(c), 1))
+            return pd.Series(out)
+
+        left = open_rows.where(~F.col("ord").isin(taken)) if taken else open_rows
+        gain = F.col(score) * (1 - weight * (F.pandas_udf(near, "double")(by, "s") if taken else F.lit(0.0)))
+        best = left.select(by, "ord", "s", gain.alias("_gain")).groupBy(by).agg(F.max_by(F.struct("ord", "s"), F.struct("_gain", -F.col("ord"))).alias("b")).collect()
+        if not best:
+            break
+        picks += [(r[by], r["b"]["ord"], r["b"]["s"], pick) for r in best]
+    rows.unpersist()
+    from pyspark.sql.types import LongType, StructType
+
+    kinds = StructType().add("ord", df.schema["ord"].dataType).add("pick", LongType())
+    listed = df.sparkSession.createDataFrame([(o, n) for _, o, _, n in picks], kinds)
+    return open_rows.join(F.broadcast(listed), "ord").select(*df.columns, "pick")
 
 
 def top_list(df: DataFrame, refs: DataFrame, score: str, k: int, head: int, weight: float = 0.5, t: float = 0.8) -> DataFrame:
     """Feasible, novel, shortlisted by score; `head` picked greedily among the 4 * head best, the rest from what is left."""
     ok = novel(df.where(C.candidate_feasible(F.col("s"))), refs, t)
     short = top_k(ok, score, SHORTLIST).withColumnRenamed("rank", "place")
-    first = greedy_diverse(short.where(F.col("place") <= 4 * head), score, head, weight)
-    rest = greedy_diverse(short.join(first.select("s"), "s", "left_anti").select(*short.columns), score, max(k - head, 0), weight).withColumn("pick", F.col("pick") + head)
+    first = greedy_short(short.where(F.col("place") <= 4 * head), score, head, weight)
+    rest = greedy_short(short.join(first.select("s"), "s", "left_anti").select(*short.columns), score, max(k - head, 0), weight).withColumn("pick", F.col("pick") + head)
     return first.select("s", "ord", score, "pick").unionByName(rest.select("s", "ord", score, "pick"))
 
 
 def factorial_select(df: DataFrame, score: str, axes: list[str], pool: int, tolerance: float = 0.25, weight: float = 0.5) -> DataFrame:
     """`pool` rows: of the eligible band (or, where that is short, the max(3 pool, 150) best) the cells of median splits each give pool // cells by greedy
     diversity; what is missing is filled by score."""
+    # read by several later steps and by each pick
+    df = df.persist()
     band = eligible_band(df, score, tolerance)
     if band.count() < 3 * pool:
         band = top_k(df, score, max(3 * pool, 150)).drop("rank")
-    cells = median_cells(band, axes)
+    cells = median_cells(band, axes).persist()
     n = max(1, cells.select("cell").distinct().count())
-    chosen = greedy_diverse(cells, score, pool // n, weight, by="cell")
+    chosen = greedy_diverse(cells, score, pool // n, "cell", weight)
     left = cells.join(chosen.select("s"), "s", "left_anti").select(*cells.columns)
     fill = top_k(left, score, max(0, pool - n * (pool // n)) + pool).withColumnRenamed("rank", "pick")
     both = chosen.select(*cells.columns, F.lit(0).alias("_late"), "pick").unionByName(fill.select(*cells.columns, F.lit(1).alias("_late"), F.col("pick").cast("long")))

@@ -139,3 +139,18 @@ def test_closest_of_any_similarity(spark, monkeypatch):
     assert len(none) == len(cand) and all(r["ref"] is None and r["identity"] == 0 for r in none)
     got = catalog.QUERIES["closest_reference"](spark, "/root/testdata/sf0.001")
     assert got.where("ref is null").count() == 0 and got.where("identity < 0.8").count() > 0
+
+
+def test_cells_choose_among_all_rows(spark):
+    # 700 near copies with better scores in each cell, and less similar rows behind them
+    rng = random.Random(11)
+    words = ["KKKKKKKKKKKK" + "".join(rng.choice("KL") for _ in range(8)) for _ in range(1400)] + seqs(100, 12, "AGST")
+    score = [2.0 - 0.0005 * (i // 2) for i in range(1400)] + [1.5 - 0.001 * i for i in range(100)]
+    for shift in (0.0, -1.6):
+        df = spark.createDataFrame([(i, w, x + shift, "ab"[i % 2]) for i, (w, x) in enumerate(zip(words, score))], "ord long, s string, v double, cell string").repartition(5)
+        got = {(r["cell"], r["pick"]): r["ord"] for r in sel.greedy_diverse(df, "v", 6, "cell").collect()}
+        for c in (0, 1):
+            own = list(range(c, 1500, 2))
+            want = sel.greedy_indices([words[i] for i in own], np.array([score[i] + shift for i in own]), 6, 0.5)
+            assert [got["ab"[c], n + 1] for n in range(6)] == [own[i] for i in want]
+            assert shift or any(own[i] >= 1400 for i in want)
