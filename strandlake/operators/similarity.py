@@ -7,6 +7,8 @@ that both have. An equi-join key keeps the pair join from being a cross join: le
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,8 @@ from strandlake.functions.scales import ALPHABET
 
 #: Most reference rows (of at most 64 residues each) that are broadcast.
 BROADCAST_ROWS = 100_000
+#: Sequences that a round of leader clustering decides at least.
+BLOCK_ROWS = 2_000
 
 
 def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
@@ -179,32 +183,57 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("shared"), (F.count("hit") / F.count(F.lit(1))).alias("share"))
 
 
+def lead_block(seqs: list[str], t: float) -> list[str]:
+    """Leaders of the sequential rule among sequences in order."""
+    masks, full, size = code_table(seqs)
+    open_, out = np.arange(len(seqs)), []
+    while len(open_):
+        leader = seqs[open_[0]]
+        out.append(leader)
+        now = ratios_to((masks[:, open_], full[open_], size[open_]), leader)
+        near = now >= t - 1e-12
+        near[0] = True
+        open_ = open_[~near]
+    return out
+
+
 def leader_clusters(df: DataFrame, t: float, save) -> DataFrame:
     """s, leader, cluster_id: leader clustering in the order (-length, s): join the first leader of ratio >= t, else lead.
 
-    The sequential rule is the lexicographically first independent set of the graph of near pairs, found in rounds: a sequence
-    with no undecided earlier neighbour leads, unless an earlier neighbour leads already. `save` cuts the lineage of each round.
-    Only distinct sequences and near pairs are shuffled.
+    Rounds: the first BLOCK_ROWS undecided sequences are clustered by the sequential rule on the driver, as no earlier
+    leader is near them; then each undecided sequence joins the first of the new leaders that is near it, or stays
+    undecided. A round decides a block at least. `save` cuts the lineage of each round. No pairs are stored: work grows with sequences x leaders.
     """
-    rank = Window.orderBy(F.desc(F.length("s")), "s")
-    seqs = save(df.select("s").distinct().withColumn("ord", F.row_number().over(rank).cast("long")))
-    near = pairs(seqs, seqs, t, same=True).select(F.col("l_ord").alias("early"), F.col("r_ord").alias("late"))
-    near = save(near)
-    state = save(seqs.select("ord", F.lit(0).alias("lead")))  # 0 undecided, 1 leader, -1 member
+    schema = "s string, leader string"
+    left, parts = save(df.select("s").distinct().where(F.col("s").isNotNull())), []
     while True:
-        left = state.where("lead = 0").count()
-        if not left:
+        block = [r["s"] for r in left.orderBy(F.desc(F.length("s")), "s").limit(BLOCK_ROWS).collect()]
+        if not block:
             break
-        seen = near.join(state.withColumnRenamed("ord", "early"), "early").groupBy("late").agg(F.max(F.col("lead") == 1).alias("led"), F.max(F.col("lead") == 0).alias("open"))
-        now = state.join(seen, state.ord == seen.late, "left")
-        lead = F.when(F.col("lead") != 0, F.col("lead")).when(F.coalesce("led", F.lit(False)), -1).when(F.coalesce("open", F.lit(False)), 0).otherwise(1)
-        state = save(now.select("ord", lead.alias("lead")))
-    leaders = state.where("lead = 1").select("ord")
-    first = near.join(leaders, near.early == leaders.ord).groupBy("late").agg(F.min("early").alias("early"))
-    owner = seqs.join(first, seqs.ord == first.late, "left").select("s", F.coalesce("early", "ord").alias("o"))
-    ids = leaders.withColumn("cluster_id", F.row_number().over(Window.orderBy("ord")) - 1).withColumnRenamed("ord", "o")
-    named = seqs.select(F.col("ord").alias("o"), F.col("s").alias("leader"))
-    return owner.join(ids, "o").join(named, "o").select("s", "leader", "cluster_id")
+        leaders = lead_block(block, t)
+
+        def join(batches, leaders=leaders):
+            for b in batches:
+                for lo in range(0, len(b), 8_192):
+                    s = b["s"].iloc[lo : lo + 8_192].to_numpy()
+                    masks, full, size = code_table(s.tolist())
+                    open_, owner = np.arange(len(s)), np.full(len(s), None, object)
+                    for r in leaders:
+                        near = ratios_to((masks, full, size), r) >= t - 1e-12
+                        if near.any():
+                            owner[open_[near]] = r
+                            open_, masks, full, size = open_[~near], masks[:, ~near], full[~near], size[~near]
+                            if not len(open_):
+                                break
+                    yield pd.DataFrame({"s": s, "leader": owner})
+
+        done = save(left.select("s").mapInPandas(join, schema))
+        parts.append(done.where("leader is not null"))
+        left = done.where("leader is null").select("s")
+    owned = reduce(DataFrame.unionByName, parts, left.select("s", F.lit(None).cast("string").alias("leader")))
+    order = Window.orderBy(F.desc(F.length("leader")), "leader")
+    ids = owned.select("leader").distinct().withColumn("cluster_id", F.row_number().over(order) - 1)
+    return owned.join(ids, "leader").select("s", "leader", "cluster_id")
 
 
 def group_split(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> DataFrame:

@@ -154,3 +154,28 @@ def test_cells_choose_among_all_rows(spark):
             want = sel.greedy_indices([words[i] for i in own], np.array([score[i] + shift for i in own]), 6, 0.5)
             assert [got["ab"[c], n + 1] for n in range(6)] == [own[i] for i in want]
             assert shift or any(own[i] >= 1400 for i in want)
+
+
+def test_leader_clusters_in_many_rounds(spark, monkeypatch):
+    from strandlake.operators.tables import aggregate_activity
+    from strandlake.plans import catalog
+
+    def rule(words, t):
+        leaders, out = [], {}
+        for s in sorted(set(words), key=lambda s: (-len(s), s)):
+            hit = next((c for c in leaders if ratio(s, c) >= t - 1e-12), None)
+            if hit is None:
+                leaders.append(s)
+            out[s] = (hit or s, leaders.index(hit or s))
+        return out
+
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 20)
+    words = seqs(150, 21, "KLWAGSTDE") * 2
+    for t in (0.4, 0.65):
+        got = similarity.leader_clusters(frame(spark, words), t, lambda d: d.persist()).collect()
+        assert {r["s"]: (r["leader"], r["cluster_id"]) for r in got} == rule(words, t) and len(got) == 150
+    assert similarity.leader_clusters(frame(spark, words).limit(0), 0.4, lambda d: d).count() == 0
+    monkeypatch.undo()
+    sf = "/root/testdata/sf0.001"
+    known = [r["s"] for r in aggregate_activity(catalog.long_table(spark, sf)).select("s").collect()]
+    assert {r["s"]: (r["leader"], r["cluster_id"]) for r in catalog.QUERIES["leader_clusters"](spark, sf).collect()} == rule(known, 0.4)
