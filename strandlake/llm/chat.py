@@ -6,12 +6,14 @@ it adds is the new turn's span; where it doesn't, the template rewrites history,
 the first such turn. Trailing text that every output has (say, an end marker) is found by rendering no
 turn, and is left out of the comparison.
 
-Prefixes grow to WINDOW turns; then the window moves on, keeping its last turn as context, and the
-context's own span must come out as it did before. A template that looks back further than that is
-reported as rewriting history, never formatted silently. Memory is bounded by the window and the
-longest turn: conversations stream through in order of their turns, and digests are updated turn by
-turn. One conversation's digest is sequential by definition, so its turns meet in one task, as a
-stream, sorted by Spark with spilling.
+Whole prefixes are rendered, as a template may look back as far as it likes: time grows with the square of a
+conversation's turns, and its text is held in memory. A caller who knows that a turn's span depends on no turn before the last
+one declares it with `window`: then prefixes grow to `window` turns and begin again with their last turn as context, whose
+own span must come out as it did before, else RewritesHistory is raised. Under that declaration a
+template that looks back further than the window can't be told from one that doesn't. inst_template renders each turn
+by itself, so for it WINDOW turns are declared; then memory is bounded by the window and the longest turn. Conversations stream
+through in order of their turns, and digests are updated turn by turn. One conversation's digest is
+sequential by definition, so its turns meet in one task, as a stream, sorted by Spark with spilling.
 
 Cases: null text and null role are empty; rows of one conversation and turn are ordered by role, then
 text; a null conv_id is a conversation of its own; repeated rows are repeated turns; an empty table gives an
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Turns = list[tuple[str, str]]
+#: Turns of a prefix for a template that is declared to render each turn by itself.
 WINDOW = 32
 #: Control strings of the template.
 OPEN, MID, CLOSE, TARGET = "<s>", "[INST]", "</s>", "[/INST]"
@@ -80,8 +83,8 @@ class RewritesHistory(ValueError):
 class Incremental:
     """Spans of a conversation's turns, one by one, from a black-box template."""
 
-    def __init__(self, template: Callable[[Turns], str], window: int = WINDOW):
-        self.template, self.window = template, window
+    def __init__(self, template: Callable[[Turns], str], window: int | None = None):
+        self.template, self.window = template, window or (WINDOW if template is inst_template else None)
         self.tail = template([])
         self.turns: Turns = []
         self.text, self.last, self.n = "", "", 0
@@ -93,7 +96,7 @@ class Incremental:
         return out[: len(out) - len(self.tail)]
 
     def add(self, role: str, text: str) -> str:
-        if len(self.turns) >= self.window:
+        if self.window and len(self.turns) >= self.window:
             self.turns = self.turns[-1:]
             self.text = self._body(self.turns)
             if not self.text.endswith(self.last):
@@ -107,7 +110,7 @@ class Incremental:
         return self.last
 
 
-def rewrites_history(template: Callable[[Turns], str], turns: Turns, window: int = WINDOW) -> int | None:
+def rewrites_history(template: Callable[[Turns], str], turns: Turns, window: int | None = None) -> int | None:
     """The first turn at which the template changes earlier output, or None."""
     inc = Incremental(template, window)
     for i, (r, t) in enumerate(turns):
@@ -120,7 +123,7 @@ def rewrites_history(template: Callable[[Turns], str], turns: Turns, window: int
 
 def turn_spans(
     df: DataFrame, template: Callable[[Turns], str] = inst_template, conv_col: str = "conv_id", turn_col: str = "turn",
-    role_col: str = "role", text_col: str = "text", window: int = WINDOW,
+    role_col: str = "role", text_col: str = "text", window: int | None = None,
 ) -> DataFrame:
     """conv_id, pos (0, 1, ...), start, span (the formatted text of the turn), loss_start, loss_end (within the span, or null).
 
@@ -142,7 +145,7 @@ def _rows(batches: Iterator[pa.RecordBatch]):
             yield from zip(*(part.column(i).to_pylist() for i in range(3)))
 
 
-def _spans(template: Callable[[Turns], str], window: int):
+def _spans(template: Callable[[Turns], str], window: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = run
         out: list[tuple] = []
@@ -179,7 +182,7 @@ def _spans(template: Callable[[Turns], str], window: int):
 
 def format_digests(
     df: DataFrame, template: Callable[[Turns], str] = inst_template, conv_col: str = "conv_id", turn_col: str = "turn",
-    role_col: str = "role", text_col: str = "text", window: int = WINDOW,
+    role_col: str = "role", text_col: str = "text", window: int | None = None,
 ) -> DataFrame:
     """Per conversation, read back from its formatted text: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     kind = df.schema[conv_col].dataType.simpleString()

@@ -79,3 +79,14 @@ def test_templates_that_rewrite_history():
     assert chat.rewrites_history(strip, turns) == 2 and chat.rewrites_history(tailed, turns) is None and chat.rewrites_history(chat.inst_template, turns * 50) is None
     numbered = lambda t: "".join(f"{i}{x}" for i, (_, x) in enumerate(t))
     assert chat.rewrites_history(numbered, turns * 10, window=8) == 8
+
+
+def test_whole_prefixes_are_rendered(spark):
+    turns = [("user", f"t{i}") for i in range(60)]
+    last = lambda t: "".join(f"<{r}>{x}" for r, x in t[-40:])
+    numbered = lambda t: "".join(f"<s>[INST]{r}[/INST]{i}{x}</s>" for i, (r, x) in enumerate(t))
+    assert chat.rewrites_history(last, turns) == 40 and chat.rewrites_history(numbered, turns) is None
+    df = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    spans = chat.turn_spans(df, lambda t: "".join(f"<s>[INST]{r}[/INST]{i}{x}</s>" for i, (r, x) in enumerate(t))).orderBy("pos").collect()
+    assert "".join(r["span"] for r in spans) == numbered(turns)
+    assert chat.Incremental(chat.inst_template).window == chat.WINDOW
