@@ -4,6 +4,9 @@ Every stage takes (spark, docs, sf_dir) and works on all rows that the stage bef
 last return the columns of documents. Text that a stage changes is its kept words joined by one space,
 with n_chars counted anew; other rows pass unchanged, and only the quality, near-duplicate and
 decontamination stages drop rows.
+
+A document without an id can't be ordered or named by it: it passes the near-duplicate and repeated-passage stages
+unchanged, and is no earlier copy of others there. The decontamination stage judges it by its text as any other.
 """
 
 from __future__ import annotations
@@ -21,15 +24,16 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of smallest id."""
-    groups = ngram_join.jaccard_components(docs)
-    first = groups.where("component_id = doc_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near duplicates, the document of smallest id; documents without an id pass."""
+    named = docs.where("doc_id is not null")
+    first = ngram_join.jaccard_components(named).where("component_id = doc_id").select("doc_id")
+    kept = named.join(first, "doc_id", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that begin in earlier ones."""
-    cut = substring_dedup.remove_repeats(docs, outputs="texts").where("n_removed > 0").select("doc_id", "kept")
+    cut = substring_dedup.remove_repeats(docs.where("doc_id is not null"), outputs="texts").where("n_removed > 0").select("doc_id", "kept")
     text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("kept"))
     size = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
     return docs.join(cut, "doc_id", "left").withColumns({"text": text, "n_chars": size}).select(*docs.columns)
@@ -37,8 +41,15 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth lies in benchmark windows."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    tests, named, nameless = table(spark, sf_dir, "benchmark"), docs.where("doc_id is not null"), docs.where("doc_id is null")
+    found = decontaminate.decontaminate(named, tests)
+    kept = named.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    if nameless.isEmpty():
+        return kept
+    # numbers stand in for the missing ids; they are stored, so that they stay the same
+    given = materialize(nameless.withColumn("_row", F.monotonically_increasing_id()), "nameless")
+    found = decontaminate.decontaminate(given, tests, id_col="_row").where("contaminated").select(F.col("doc_id").alias("_row"))
+    return kept.unionByName(given.join(found, "_row", "left_anti").select(*docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,3 +77,15 @@ def test_pipeline(spark, tmp_path):
     got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, d).collect()}
     assert got == expected and 25 not in got and 26 in got and 21 not in got
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "substring_dedup", "decontamination", "encoding"]
+
+
+def test_documents_without_an_id(spark, tmp_path):
+    words_ = lambda a, n: " ".join(f"w{a}x{i}" for i in range(n))
+    test, d = words_("t", 30), str(tmp_path)
+    spark.createDataFrame([(1, test)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    texts = [(1, words_("a", 80)), (2, words_("a", 80)), (None, words_("a", 80)), (None, words_("b", 90)), (None, words_("c", 20) + " " + test), (3, test), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.keep_one_of_each_group, corpus_pipeline.remove_repeated_passages, corpus_pipeline.drop_contaminated):
+        docs = stage(spark, docs, d)
+    got = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+    assert got == sorted([texts[0], texts[2], texts[3], texts[6]], key=str)
