@@ -2,11 +2,12 @@
 
 1. Test items become windows of `n` consecutive words (a shorter item is one window). The training table
    is exploded into (doc_id, pos, term) postings of the tests' terms, and their document frequencies over all rows are counted.
-2. Of every window the rarest term is its anchor: the offset-adjusted intersection starts at the shortest
-   posting list. Only postings of anchors are kept (the stored index); each proposes an alignment
+2. Of every window the rarest term is its anchor, the shortest posting list. Only postings of anchors are kept (the stored index); each proposes an alignment
    (item, pos - position in the item).
-3. Alignments are grouped by document, and the postings of the other terms are intersected with them at
-   their own offsets: term i of the item must stand at alignment + i. Runs of n matching terms are hits.
+3. Alignments are grouped by document and compared with the words of its text: term i of the item must stand at
+   alignment + i. Runs of n matching terms are hits. The other terms' postings are not stored for this.
+
+proximity_matches stores the postings of all test terms; more terms of an item propose alignments there, since the rarest may be altered.
 
 The test side is broadcast only while it has at most BROADCAST_TERMS rows; beyond that Spark joins by
 shuffle, and splits skewed terms. Nothing is collected but that one count.
@@ -119,16 +120,35 @@ def bound(value: Column, use) -> Column:
 
 
 def proximity_matches(docs: DataFrame, tests: DataFrame, distance: int = 3, n: int = WINDOW) -> DataFrame:
-    """doc_id, item_id, at: places where an anchor of the item stands with at least n of the item's terms within
-    `distance` of the places that the alignment gives them (a phrase match with insertions or deletions)."""
-    items, index = build(docs, tests, n)
-    by_doc = index.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "offset", F.col("words").alias("item"))).alias("alignments"))
-    rows = docs.select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", F.explode("alignments").alias("a"), words(F.col("text")).alias("w"))
-    near = F.filter(
-        F.sequence(F.lit(0), F.size("a.item") - 1),
-        lambda i: F.array_contains(F.slice("w", F.greatest(F.col("a.offset") + i - distance, F.lit(0)) + 1, F.lit(2 * distance + 1)), F.get(F.col("a.item"), i)),
+    """doc_id, item_id, at: alignments at which a term of the item stands in its very place, and at least min(n, item size) of the item's terms
+    within `distance` of theirs (a phrase match with altered, inserted or deleted words).
+
+    Of an item of m terms with k needed, any m - k + 1 hold one that stands near its place in every match. So the m - k + 1
+    rarest propose alignments, a term that no document has being one of them; a posting proposes those up to `distance` around it.
+    """
+    items = materialize(tests.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("_item", F.monotonically_increasing_id()), "items")
+    spots = items.select("_item", F.size("words").alias("size"), F.posexplode("words").alias("i", "term"))
+    vocabulary = materialize(spots.select("term").distinct(), "vocabulary")
+    small = vocabulary.count() <= BROADCAST_TERMS
+    index = materialize(postings(docs, vocabulary, small).select("doc_id", "pos", "term"), "all_postings")
+    frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ranked = spots.join(frequency, "term", "left").groupBy("_item", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "i", "term"))).alias("all"))
+    chosen = ranked.select("_item", F.explode(F.slice("all", F.lit(1), F.col("size") - F.least(F.col("size"), F.lit(n)) + 1)).alias("c")).select("_item", "c.i", "c.term")
+    shifts = F.explode(F.sequence(F.lit(-distance), F.lit(distance)))
+    proposed = index.join(chosen, "term").select("doc_id", "_item", (F.col("pos") - F.col("i")).alias("base")).distinct().withColumn("shift", shifts)
+    by_doc = (
+        proposed.select("doc_id", "_item", (F.col("base") + F.col("shift")).alias("offset")).distinct()
+        .join(items, "_item").select("doc_id", F.struct("item_id", "offset", F.col("words").alias("item")).alias("a"))
     )
-    return rows.where(F.size(near) >= F.least(F.size("a.item"), F.lit(n))).select("doc_id", F.col("a.item_id").alias("item_id"), F.col("a.offset").alias("at")).distinct()
+    # compared with the text's words at each place
+    rows = by_doc.join(docs.select("doc_id", words(F.col("text")).alias("w")), "doc_id")
+    here = F.sequence(F.lit(0), F.size("a.item") - 1)
+    lo = lambda i: F.greatest(F.col("a.offset") + i - distance, F.lit(0))
+    hi = lambda i: F.greatest(F.col("a.offset") + i + distance + 1, F.lit(0))
+    near = F.filter(here, lambda i: F.array_contains(F.slice("w", lo(i) + 1, hi(i) - lo(i)), F.get(F.col("a.item"), i)))
+    exact = F.exists(here, lambda i: F.coalesce(F.when(F.col("a.offset") + i >= 0, F.get(F.col("w"), F.col("a.offset") + i)) == F.get(F.col("a.item"), i), F.lit(False)))
+    found = rows.where((F.size(near) >= F.least(F.size("a.item"), F.lit(n))) & exact)
+    return found.select("doc_id", F.col("a.item_id").alias("item_id"), F.col("a.offset").alias("at")).distinct()
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, n: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

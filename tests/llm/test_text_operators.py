@@ -182,3 +182,22 @@ def test_quality_and_language(spark):
     assert all(lang[i]["lang_pred"] == ("en", "de")[i % 2] for i in held) and [lang[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3
     assert lang[1003]["lang_pred"] == "de" and 0.6 < lang[1003]["score"] < 0.9 and lang[1003]["proportions"]["en"] > 0.1
     assert {r["lang_pred"] for r in language_id.identify(df, language_id.learn(df.limit(0))).collect()} == {"und"}
+
+
+def test_proximity_with_altered_words(spark):
+    item = [f"w{i}" for i in range(20)]
+    filler = " ".join(f"w{i} z" for i in range(20) if i not in (9,))
+    changed = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(item))
+    texts = ["f " + changed(9), changed(1, 4, 7, 9, 12, 15, 18), changed(0, 1, 4, 7, 9, 12, 15, 18), " ".join(item[:10] + ["new", "words"] + item[10:]), filler, "w9", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tests = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "never seen")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["at"]) for r in decontaminate.proximity_matches(docs, tests).collect()}
+    want = set()
+    for d, t in enumerate(texts):
+        w = (t or "").split()
+        for k, q in ((1, item), (3, ["never", "seen"])):
+            for o in range(-len(q), len(w) + 1):
+                near = sum(q[i] in w[max(o + i - 3, 0) : max(o + i + 4, 0)] for i in range(len(q)))
+                if near >= min(13, len(q)) and any(0 <= o + i < len(w) and w[o + i] == q[i] for i in range(len(q))):
+                    want.add((d, k, o))
+    assert got == want and {(0, 1, 1), (1, 1, 0)} <= got and {d for d, _, _ in got} >= {0, 1, 3} and not {2, 5, 6} & {d for d, _, _ in got}
