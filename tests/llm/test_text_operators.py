@@ -201,3 +201,31 @@ def test_proximity_with_altered_words(spark):
                 if near >= min(13, len(q)) and any(0 <= o + i < len(w) and w[o + i] == q[i] for i in range(len(q))):
                     want.add((d, k, o))
     assert got == want and {(0, 1, 1), (1, 1, 0)} <= got and {d for d, _, _ in got} >= {0, 1, 3} and not {2, 5, 6} & {d for d, _, _ in got}
+
+
+def test_contamination_of_repeated_words_rows_and_ids(spark):
+    """One word over and over against an item of it; ids that are null, repeated or text; columns with the operator's names."""
+    test = " ".join(f"t{i}" for i in range(20))
+    texts = [(1, "w " * 20_000), (1, "w " * 12), (None, "x " + test), (3, None), (3, "a b " * 9), (4, test), (4, test)]
+    docs = spark.createDataFrame([(i, t, "n", -k, True) for k, (i, t) in enumerate(texts)], "doc_id long, text string, row string, n_hit int, held boolean").repartition(3)
+    tests = spark.createDataFrame([("w", "w " * 1000), ("w", "w " * 1000), (None, test), ("none", "never seen"), ("short", "b A")], "item_id string, text string")
+    got = decontaminate.decontaminate(docs, tests).collect()
+    want = [(1, 20_000, 20_000, 1, sha("w"), True), (1, 12, 0, 0, sha(""), False), (None, 21, 20, 1, sha(""), True), (3, 0, 0, 0, sha(""), False), (3, 18, 16, 1, sha("short"), True)] + [(4, 20, 20, 1, sha(""), True)] * 2
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+    kept = decontaminate.clean(docs, tests).collect()
+    assert kept[0].__fields__ == docs.columns and sorted(r["n_hit"] for r in kept) == [-3, -1]
+    assert decontaminate.decontaminate(docs.limit(0), tests).count() == 0 and decontaminate.clean(docs, tests.limit(0)).count() == len(texts)
+    assert decontaminate.proximity_matches(docs.limit(0).select("doc_id", "text"), tests).count() == 0
+
+
+def test_anchors_cover_every_window(spark):
+    """Ranges of anchors: each window of an item whose terms all have postings stands in exactly one range, around its rarest term."""
+    rng = random.Random(5)
+    item = [rng.choice("abcde") for _ in range(40)] + ["unseen"] + ["a"] * 60
+    docs = spark.createDataFrame([(1, " ".join(rng.choice("abcde") for _ in range(300)) + " e e")], "doc_id long, text string")
+    index = decontaminate.build(docs, spark.createDataFrame([("1", " ".join(item))], "item_id string, text string"), docs.doc_id)
+    rows, seen = decontaminate.anchors_of(index, 13).collect(), []
+    for r in rows:
+        assert r["hi"] <= r["at"] <= r["lo"] + 12 and len(r["terms"]) == r["hi"] - r["lo"] + 13
+        seen += range(r["lo"], r["hi"] + 1)
+    assert sorted(seen) == [s for s in range(len(item) - 12) if "unseen" not in item[s : s + 13]] and len(rows) < 30
