@@ -3,22 +3,26 @@
 A window is `window` consecutive words of one document. Routing: every window has a key, the smallest hash of
 the ANCHOR-word runs in it; equal windows have equal keys. Consecutive windows of one key form a fragment. Keys
 that only one document has can't repeat; only fragments of the other keys are kept, equal fragments are one
-(with the smallest document that has it), and all fragments of a key meet in one shard. A key that very many
-documents have is refined by the second smallest hash, so that a common passage doesn't gather all its
-neighbourhoods in one shard.
+(with the smallest document that has it), and all fragments of a key meet in one shard. The key of very many documents is refined
+by more of the smallest hashes, the more the more documents there are, up to all of a window's; then a key stands for one window's
+words, of which a shard holds a single copy. So a passage that any share of the documents has doesn't gather their neighbourhoods in one shard.
 
-In a shard, an FM-index over the fragments' words is built: suffix ranks to depth 64, the Burrows-Wheeler
-transform, and a wavelet matrix over bit vectors with block counts. The fragments are then streamed through
-it from right to left, all in step: each backward search extends the match by one word, and a match longer than
-the window is widened to the interval of its first `window` words. That gives the matching statistics, capped at
-the window, and the smallest document of each interval tells whether the window begins in an earlier one.
+In a shard, a key's fragments are ranked by their documents, and merged as in a tournament: at each level the fragments of every left half
+are indexed, and those of the right half, which are of later documents, are streamed through the index. What is found to be a repeat is
+neither indexed nor streamed again, so that a family of copies shrinks to its distinct windows.
 
-Words are compared by 64-bit hashes when routed and by 32-bit hashes inside a shard, over windows of at least
-`window` words.
+The index is a wavelet matrix over the Burrows-Wheeler transform (bit vectors with block counts), the symbols' counts, and one byte a row with the
+longest common prefix of neighbouring rows, capped at the window. No suffix array is kept. Documents are read from right to left, all in step:
+a backward search extends the match by one word; where that fails, the match is cut to the parent interval's length and the
+search goes on. That gives each position's matching statistic, and positions with one of at least the window begin a repeat.
+Over sigma distinct symbols, a word of index takes 1.5 log2(sigma) bits and a byte (`FmIndex.bytes`): about 5 bytes in a full shard.
+
+Words are compared by 64-bit hashes over windows of at least `window` words.
 
 Cases: null text has no words; texts shorter than a window lose nothing; repeats within one document only are kept; of equal texts the one
-with the smallest doc_id keeps its words; ids must be unique and not null; an empty table gives an empty result; very long texts cost memory in
-proportion to their length; other columns are ignored.
+with the smallest doc_id keeps its words; rows of one doc_id are parts of one document, each with its own result, and don't cut each other; rows without an id
+lose nothing and cut nothing; an empty table gives an empty result; very long texts cost memory in proportion to their length; other columns
+are ignored, and kept whatever their names by outputs='rows'.
 """
 
 from __future__ import annotations
@@ -30,14 +34,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from strandlake.llm.kernels import U64, Words, mix, rolling, row_slices
 from strandlake.llm.shared import materialize
 
 WINDOW = 50
 ANCHOR = 20
-HOT_DOCS = 4_000
+#: From how many documents of a key on it is refined, and by how many hashes (0: all of the window's).
+HOT_DOCS = 1_000
+REFINED = ((1, 2), (32, 6), (512, 0))
 SHARD_WORDS = 600_000
+#: Windows of a stretch that is streamed in one piece, and the match length at which the search goes back to the window's.
+PIECE, DEEPEST = 1_024, 62
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -53,8 +62,7 @@ class Bits:
         padded[:n] = flags
         self.blocks = np.packbits(padded, bitorder="little").view("<u8")
         self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.blocks), dtype=np.int64)))[:-1].astype(np.int32)
-        self.ones = int(flags.sum())
-        self.zeros = n - self.ones
+        self.zeros = n - int(flags.sum())
 
     def rank1(self, i: np.ndarray) -> np.ndarray:
         """Ones before each position."""
@@ -87,75 +95,154 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Backward search to depth 64 over fragments (arrays of word codes)."""
-
-    def __init__(self, fragments: list[np.ndarray], window: int):
-        assert 32 <= window <= 64
-        lengths = np.array([len(f) for f in fragments], np.int64)
-        codes = np.concatenate(fragments)
-        _, dense = np.unique(codes, return_inverse=True)
-        n = int(lengths.sum() + len(lengths))
-        self.ends = np.cumsum(lengths + 1) - 1  # each fragment is followed by a separator, symbol 0
-        self.starts = self.ends - lengths
+    """Matching statistics, up to `window`, against texts (arrays of 64-bit word codes)."""
+
+    def __init__(self, texts: list[np.ndarray], window: int):
+        assert 1 <= window < DEEPEST
+        self.window = window
+        lengths = np.array([len(f) for f in texts], np.int64)
+        self.alphabet, dense = np.unique(np.concatenate(texts), return_inverse=True)
+        self.n = n = int(lengths.sum() + len(lengths))
         inside = np.ones(n, bool)
-        inside[self.ends] = False
-        self.text = np.zeros(n, np.int64)
-        self.text[inside] = dense + 1
-        self.symbols = int(self.text.max()) + 1
-        rank, step = self.text, 1
-        while step < 32:
-            rank, step = self._double(rank, step), 2 * step
-        self.group = self._double(rank, window - 32, 32)  # equal first `window` symbols
-        rank = self._double(rank, 32)
-        sa = np.argsort(rank, kind="stable")
-        self.group_rows = self.group[sa]
-        edge = np.flatnonzero(np.concatenate(([True], self.group_rows[1:] != self.group_rows[:-1])))
-        # groups in row order: lo and hi of the interval that a row's group takes
-        self.lo, self.hi, self.sa = edge, np.append(edge[1:], n), sa
-        self.row_group = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, n)))
-        self.wavelet = WaveletMatrix(self.text[sa - 1], self.symbols)
-        counts = np.bincount(self.text, minlength=self.symbols)
-        self.before = np.concatenate(([0], np.cumsum(counts)))[:-1]
+        inside[np.cumsum(lengths + 1) - 1] = False  # each text is followed by a separator, symbol 0
+        text = np.zeros(n, np.int32)
+        text[inside] = dense + 1
+        symbols = len(self.alphabet) + 1
+        # ranks by the first 1, 2, 4, ..., 64 symbols; they are dropped once the rows are in order
+        ranks = [text]
+        for step in (1, 2, 4, 8, 16, 32):
+            ranks.append(self._double(ranks[-1], step))
+        rows = np.argsort(ranks[-1], kind="stable")
+        self.wavelet = WaveletMatrix(text[rows - 1].astype(np.int64), symbols)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))[:-1]
+        shared, a, b = np.zeros(n - 1, np.int64), rows[:-1], rows[1:]
+        for rank, step in zip(ranks[5::-1], (32, 16, 8, 4, 2, 1)):
+            i, j = a + shared, b + shared
+            ok = (i < n) & (j < n)
+            ok[ok] = rank[i[ok]] == rank[j[ok]]
+            shared += step * ok
+        #: common prefix of each row and the one before it; 0 at both ends, so that scans stop there
+        self.common = np.zeros(n + 1, np.uint8)
+        self.common[1:n] = np.minimum(shared, window)
+        blocks = np.zeros(-(-(n + 1) // 64) * 64, np.uint8)
+        blocks[: n + 1] = self.common
+        self.lows = blocks.reshape(-1, 64).min(axis=1)
 
     @staticmethod
-    def _double(rank: np.ndarray, shift: int, width: int | None = None) -> np.ndarray:
+    def _double(rank: np.ndarray, shift: int) -> np.ndarray:
         n = len(rank)
         second = np.zeros(n, np.int64)
         if shift < n:
-            second[: n - shift] = rank[shift:] + 1
-        _, out = np.unique(rank * (n + 2) + second, return_inverse=True)
+            second[: n - shift] = rank[shift:].astype(np.int64) + 1
+        _, out = np.unique(rank * np.int64(n + 2) + second, return_inverse=True)
+        return out.astype(np.int32)
+
+    @property
+    def bytes(self) -> int:
+        """Size of what the search reads, without the alphabet."""
+        w = self.wavelet
+        return sum(v.blocks.nbytes + v.before.nbytes for v in w.levels) + w.base.nbytes + self.first.nbytes + self.common.nbytes + self.lows.nbytes
+
+    def symbols(self, codes: np.ndarray) -> np.ndarray:
+        """The index's symbol of each code, -1 where it has none."""
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == codes, at + 1, -1)
+
+    def _scan(self, at: np.ndarray, less: np.ndarray, way: int) -> np.ndarray:
+        """The nearest row at or before (way -1) or behind (way 1) `at` whose common prefix is shorter than `less`."""
+        out, open_ = at.copy(), np.arange(len(at))
+        edge = 63 if way < 0 else 0
+        while len(open_):
+            open_ = open_[self.common[out[open_]] >= less[open_]]
+            out[open_] += way
+            far = open_[(out[open_] & 63) == edge]
+            while len(far):  # whole blocks without such a row
+                far = far[self.lows[out[far] >> 6] >= less[far]]
+                out[far] += 64 * way
         return out
 
-    def matching_groups(self, window: int):
-        """For all fragments in step, from the right: (fragment numbers, position, group of the window that starts there)."""
-        length = self.ends - self.starts
-        order = np.argsort(-length, kind="stable")
-        longest = int(length.max())
-        sizes = length[order]
-        lo, hi = np.zeros(len(order), np.int64), np.full(len(order), len(self.text), np.int64)
-        for t in range(longest):
-            live = int(np.searchsorted(-sizes, -t, side="left"))  # fragments longer than t
-            at = self.ends[order[:live]] - 1 - t
-            c = self.text[at]
-            l, h = self.before[c] + self.wavelet.rank(c, lo[:live]), self.before[c] + self.wavelet.rank(c, hi[:live])
-            if t >= window - 1:
-                g = self.row_group[l]
-                l, h = self.lo[g], self.hi[g]
-                yield order[:live], at - self.starts[order[:live]], g
-            lo[:live], hi[:live] = l, h
-
-
-def earliest(fragments: list[np.ndarray], owners: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each fragment and window in it: the smallest owner of a fragment that has the window."""
-    index = FmIndex(fragments, window)
-    by_pos = np.repeat(owners, index.ends - index.starts + 1)
-    least = np.minimum.reduceat(by_pos[index.sa], index.lo)
-    out = [np.zeros(len(f) - window + 1, np.int64) for f in fragments]
-    flat = np.concatenate(out)
-    offset = np.concatenate(([0], np.cumsum([len(o) for o in out])))[:-1]
-    for who, pos, group in index.matching_groups(window):
-        flat[offset[who] + pos] = least[group]
-    return np.split(flat, offset[1:])
+    def cut(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of the first `length` (> 0) symbols of the rows lo .. hi - 1."""
+        return self._scan(lo, length, -1), self._scan(hi, length, 1)
+
+    def statistics(self, queries: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query numbers, position, length of the longest match that starts there, exact up to `window`) of all queries in step, from the right."""
+        size = np.array([len(q) for q in queries], np.int64)
+        order = np.argsort(-size, kind="stable")
+        sorted_size = size[order]
+        ends = np.cumsum(size)[order]
+        text = self.symbols(np.concatenate(queries))
+        lo, hi, depth = np.zeros(len(order), np.int64), np.full(len(order), self.n, np.int64), np.zeros(len(order), np.int64)
+        for t in range(int(sorted_size[0]) if len(order) else 0):
+            live = int(np.searchsorted(-sorted_size, -t, side="left"))  # queries longer than t
+            c = text[ends[:live] - 1 - t]
+            unknown = np.flatnonzero(c < 0)
+            lo[unknown], hi[unknown], depth[unknown] = 0, self.n, 0
+            todo = np.flatnonzero(c >= 0)
+            while len(todo):
+                own, m = c[todo], len(todo)
+                both = self.wavelet.rank(np.concatenate([own, own]), np.concatenate([lo[todo], hi[todo]]))
+                l, h = self.first[own] + both[:m], self.first[own] + both[m:]
+                ok = l < h
+                done = todo[ok]
+                lo[done], hi[done] = l[ok], h[ok]
+                depth[done] += 1
+                todo = todo[~ok]  # never at depth 0, as the index has the symbol
+                self._parents(todo, lo, hi, depth)
+            deep = np.flatnonzero(depth[:live] >= DEEPEST)
+            lo[deep], hi[deep] = self.cut(lo[deep], hi[deep], np.full(len(deep), self.window))
+            depth[deep] = self.window
+            yield order[:live], sorted_size[:live] - 1 - t, depth[:live]
+
+    def _parents(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> None:
+        """Cut the matches `at` to the next shorter length whose interval is wider."""
+        up = np.maximum(self.common[lo[at]], self.common[hi[at]]).astype(np.int64)
+        top, rest = at[up == 0], at[up > 0]
+        lo[top], hi[top], depth[top] = 0, self.n, 0
+        lo[rest], hi[rest] = self.cut(lo[rest], hi[rest], up[up > 0])
+        depth[rest] = up[up > 0]
+
+
+def alive(flags: np.ndarray, piece: int | None = None) -> list[tuple[int, int]]:
+    """Runs (first, last + 1) of windows that aren't flagged, in pieces of at most `piece` windows."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], flags, [True])).astype(np.int8)))
+    runs = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+    return runs if piece is None else [(i, min(i + piece, b)) for a, b in runs for i in range(a, b, piece)]
+
+
+def repeats(fragments: list[np.ndarray], keys: np.ndarray, owners: np.ndarray, window: int) -> list[np.ndarray]:
+    """For each fragment, flags of the windows that a fragment of the same key and a smaller owner has."""
+    flags = [np.zeros(len(f) - window + 1, bool) for f in fragments]
+    if not len(fragments):
+        return flags
+    order = np.lexsort((owners, keys))
+    k, o = keys[order], owners[order]
+    new_key = np.concatenate(([True], k[1:] != k[:-1]))
+    step = np.concatenate(([True], new_key[1:] | (o[1:] != o[:-1])))
+    number = np.cumsum(step) - 1
+    # the owner's place among those of its key, and the key's number
+    place, group = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    place[order] = number - np.maximum.accumulate(np.where(new_key, number, 0))
+    group[order] = np.cumsum(new_key) - 1
+    for level in range(int(place.max()).bit_length()):
+        # a left half and the right half beside it
+        pair = mix((group * (place.max() + 2) + (place >> (level + 1))).astype(np.uint64) * U64(0x9E3779B97F4A7C15) + U64(1))
+        right = (place >> level) & 1 == 1
+        index_of = np.flatnonzero(~right & np.isin(pair, pair[right]))
+        code = lambda i, a, b: mix(fragments[i][a : b + window - 1] ^ pair[i])
+        texts = [code(i, a, b) for i in index_of for a, b in alive(flags[i])]
+        read = [(i, a, b) for i in np.flatnonzero(right) for a, b in alive(flags[i], PIECE)]
+        if not texts or not read:
+            continue
+        found = FmIndex(texts, window).statistics([code(*r) for r in read])
+        who, start = np.array([r[0] for r in read]), np.array([r[1] for r in read])
+        offset = np.concatenate(([0], np.cumsum([len(f) for f in flags])))
+        flat = np.concatenate(flags)
+        for q, pos, length in found:
+            hit = length >= window
+            flat[(offset[who] + start)[q[hit]] + pos[hit]] = True
+        flags = [flat[a:b] for a, b in zip(offset[:-1], offset[1:])]
+    return flags
 
 
 # ---- routing
@@ -177,7 +264,7 @@ def window_keys(h: np.ndarray, doc: np.ndarray, window: int, anchor: int) -> tup
 
 
 def keys_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """key, doc_id of every document's windows, each once."""
+    """key, doc_id, part of every row's windows, each once. docs: doc_id, text, part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raws in row_slices(batches):
@@ -188,66 +275,70 @@ def keys_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             order = np.lexsort((k, d))
             d, k = d[order], k[order]
             keep = np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1]))) if len(d) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64)), pa.array(np.array(ids, np.int64)[d[keep]])], ["key", "doc_id"])
+            of = np.array([(i["doc_id"], i["part"]) for i in ids], np.int64).reshape(-1, 2)[d[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64)), pa.array(of[:, 0]), pa.array(of[:, 1])], ["key", "doc_id", "part"])
 
-    return docs.mapInArrow(run, "key long, doc_id long")
+    return docs.select(F.struct("doc_id", "part"), "text").mapInArrow(run, "key long, doc_id long, part long")
 
 
 def fragments_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, pos, size, key, f1, f2, codes. docs: doc_id, text, keys (those to keep), hot (those to refine).
+    """doc_id, part, pos, size, key, f1, f2, codes. docs: doc_id, part, text, keys (those to keep), hot (for each degree of refinement, the keys of that degree).
 
     f1 and f2 are hashes of the words; codes are given once for equal fragments of a slice.
     """
+    width = window - anchor + 1
+
+    def refine(key: np.ndarray, which: np.ndarray, most: int, at: np.ndarray, runs: np.ndarray) -> None:
+        for a in range(0, len(which), 4096):
+            own = which[a : a + 4096]
+            near = runs[at[own][:, None] + np.arange(width)[None, :]]
+            near = np.sort(near, axis=1)[:, 1:]  # the smallest is the key itself
+            mixed = mix(key[own])
+            for j in range(min(most - 1 if most else width, near.shape[1])):
+                mixed = mix(mixed + mix(near[:, j]))
+            key[own] = mixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                rows = zip(*(part.column(i).to_pylist() for i in range(4)))
-                cols: list[list] = [[] for _ in range(7)]
+                rows = zip(*(part.column(i).to_pylist() for i in range(5)))
+                cols: list[list] = [[] for _ in range(8)]
                 seen: set[tuple[int, int]] = set()
-                for i, text, keys, hot in rows:
+                for i, p, text, keys, hot in rows:
                     w = Words([(text or "").encode("utf-8", "surrogatepass")])
                     h = w.hashes()
                     at, key, runs = window_keys(h, w.doc, window, anchor)
                     if not len(at):
                         continue
                     use = np.isin(key, np.array(keys, np.int64).view(np.uint64))
-                    if hot:
-                        warm = np.flatnonzero(use & np.isin(key, np.array(hot, np.int64).view(np.uint64)))
-                        width = window - anchor + 1
-                        for a in range(0, len(warm), 4096):
-                            own = warm[a : a + 4096]
-                            near = runs[at[own][:, None] + np.arange(width)[None, :]]
-                            second = np.where(near == key[own][:, None], _MAX, near).min(axis=1)
-                            key[own] = mix(key[own] + mix(second))
+                    plain = key.copy()
+                    for (_, most), some in zip(REFINED, hot):
+                        if some:
+                            refine(key, np.flatnonzero(use & np.isin(plain, np.array(some, np.int64).view(np.uint64))), most, at, runs)
                     key = np.where(use, key, _MAX)
                     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                     stop = np.append(edge[1:], len(key))
                     for a, b in zip(edge[key[edge] != _MAX], stop[key[edge] != _MAX]):
                         words = h[at[a] : at[b - 1] + window]
-                        c = (words >> U64(32)).astype(np.uint32)
-                        digest = np.frombuffer(hashlib.blake2b(words.tobytes(), digest_size=16).digest(), np.int64)
+                        raw = words.tobytes()
+                        digest = np.frombuffer(hashlib.blake2b(raw, digest_size=16).digest(), np.int64)
                         f = int(digest[0]), int(digest[1])
-                        for col, v in zip(cols, (i, int(at[a]), len(c), int(key[a].view(np.int64)), *f, None if f in seen else c.tobytes())):
+                        for col, v in zip(cols, (i, p, int(at[a]), len(words), int(key[a].view(np.int64)), *f, None if f in seen else raw)):
                             col.append(v)
                         seen.add(f)
-                types = [pa.int64()] * 6 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "pos", "size", "key", "f1", "f2", "codes"])
+                types = [pa.int64()] * 7 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "part", "pos", "size", "key", "f1", "f2", "codes"])
 
-    return docs.select("doc_id", "text", "keys", "hot").mapInArrow(run, "doc_id long, pos long, size long, key long, f1 long, f2 long, codes binary")
+    return docs.select("doc_id", "part", "text", "keys", "hot").mapInArrow(run, "doc_id long, part long, pos long, size long, key long, f1 long, f2 long, codes binary")
 
 
 def search_shard(table: pa.Table, window: int) -> pa.Table:
     """f1, f2, owner, runs: word ranges of the fragment that windows of smaller documents cover (flat pairs of start and end)."""
-    names = ["f1", "f2", "owner", "runs"]
-    owner = table.column("owner").to_numpy()
-    codes = [np.frombuffer(b, np.uint32) for b in table.column("codes").to_pylist()]
-    runs: list[list[int]] = []
-    if codes:
-        for least, own in zip(earliest(codes, owner, window), owner):
-            runs.append(covered(np.flatnonzero(least < own), window))
-    return pa.table([table.column("f1").cast(pa.int64()), table.column("f2").cast(pa.int64()), pa.array(owner, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=names)
+    owner, key = table.column("owner").to_numpy(), table.column("key").to_numpy()
+    codes = [np.frombuffer(b, np.uint64) for b in table.column("codes").to_pylist()]
+    runs = [covered(np.flatnonzero(f), window) for f in repeats(codes, key, owner, window)]
+    return pa.table([table.column("f1").cast(pa.int64()), table.column("f2").cast(pa.int64()), pa.array(owner, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=["f1", "f2", "owner", "runs"])
 
 
 def covered(starts: np.ndarray, window: int) -> list[int]:
@@ -259,52 +350,66 @@ def covered(starts: np.ndarray, window: int) -> list[int]:
     return np.column_stack([a, b]).ravel().tolist()
 
 
+def _part(text):
+    """What tells rows of one id apart: rows of equal id and text have equal results."""
+    return F.xxhash64(text)
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_docs: int = HOT_DOCS) -> DataFrame:
-    """doc_id, spans: arrays of (start, stop) in words that windows of documents with smaller ids cover. Only documents that have some."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """doc_id, part (xxhash64 of the text), spans: arrays of (start, stop) in words that windows of documents with smaller ids cover. Only rows that have some."""
+    text = F.col(text_col).cast("string")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _part(text).alias("part"))
     keys = materialize(keys_of(docs.where("doc_id is not null and text is not null"), window, anchor), "keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", (F.col("docs") > hot_docs).alias("hot"))
-    marks = keys.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot"))
-    found = materialize(fragments_of(docs.join(marks, "doc_id"), window, anchor), "fragments")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    degree = sum(((F.col("docs") > hot_docs * over).cast("int") for over, _ in REFINED), F.lit(0))
+    hot = F.array(*[F.collect_list(F.when(F.col("degree") == i + 1, F.col("key"))) for i in range(len(REFINED))])
+    marks = keys.join(shared.select("key", degree.alias("degree")), "key").groupBy("doc_id", "part").agg(F.collect_list("key").alias("keys"), hot.alias("hot"))
+    found = materialize(fragments_of(docs.join(marks, ["doc_id", "part"]), window, anchor), "fragments")
     spark = df.sparkSession
     total = found.where("codes is not null").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
     distinct = found.groupBy("key", "f1", "f2").agg(F.min("doc_id").alias("owner"), F.first("codes", ignorenulls=True).alias("codes"))
-    sharded = distinct.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "f1", "f2", "owner", "codes")
+    sharded = distinct.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "f1", "f2", "owner", "codes")
     hits = sharded.groupBy("shard").applyInArrow(lambda t: search_shard(t, window), "f1 long, f2 long, owner long, runs array<int>")
     # a document other than the owner has the whole fragment from the owner
-    at = found.select("doc_id", "pos", "size", "f1", "f2").join(hits, ["f1", "f2"])
+    at = found.select("doc_id", "part", "pos", "size", "f1", "f2").join(hits, ["f1", "f2"])
     runs = F.when(F.col("doc_id") != F.col("owner"), F.array(F.lit(0), F.col("size").cast("int"))).otherwise(F.col("runs"))
-    spans = at.select("doc_id", "pos", runs.alias("runs")).where(F.size("runs") > 0)
+    spans = at.select("doc_id", "part", "pos", runs.alias("runs")).where(F.size("runs") > 0)
     flat = F.col("runs")
     span = lambda i: F.struct((F.col("pos") + F.get(flat, 2 * i)).alias("start"), (F.col("pos") + F.get(flat, 2 * i + 1)).alias("stop"))
     pairs = F.transform(F.sequence(F.lit(0), F.expr("size(runs) div 2 - 1").cast("int")), span)
-    return spans.select("doc_id", pairs.alias("spans")).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return spans.select("doc_id", "part", pairs.alias("spans")).groupBy("doc_id", "part").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def cut_text(text: str | None, spans: list | None) -> tuple[int, int, bytes]:
+    """Words of the text, words removed, and the kept words joined by a space."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    total = len(words)
+    if spans:
+        flag = np.zeros(total, bool)
+        for s in spans:
+            flag[s["start"] : s["stop"]] = True
+        words = [w for w, f in zip(words, flag.tolist()) if not f]
+    return total, total - len(words), b" ".join(words)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_docs: int = HOT_DOCS, outputs: str = "digests") -> DataFrame:
-    """outputs='digests': doc_id, n_words, n_removed, kept_sha256. 'texts': doc_id, n_words, n_removed, kept (the words left, joined by a space)."""
+    """One row for each row of df. outputs='digests': doc_id, n_words, n_removed, kept_sha256. 'texts': doc_id, n_words, n_removed, kept (the words left, joined by a space).
+    'rows': the row's own columns as the struct `row`, n_words, n_removed, kept."""
     spans = repeated_spans(df, id_col, text_col, window, anchor, hot_docs)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    last = "kept_sha256" if outputs == "digests" else "kept"
+    text = F.col(text_col).cast("string")
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if outputs == "rows" else F.col(id_col).cast("long")
+    docs = df.select(own.alias("own"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"), _part(text).alias("part"))
+    rows = docs.join(spans, ["doc_id", "part"], "left").select("own", "text", "spans")
+    first, last = "row" if outputs == "rows" else "doc_id", "kept_sha256" if outputs == "digests" else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                total, gone, kept = [], [], []
-                for text, cut in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    words = (text or "").encode("utf-8", "surrogatepass").split()
-                    total.append(len(words))
-                    if cut:
-                        flag = np.zeros(len(words), bool)
-                        for s in cut:
-                            flag[s["start"] : s["stop"]] = True
-                        words = [w for w, f in zip(words, flag.tolist()) if not f]
-                    gone.append(total[-1] - len(words))
-                    joined = b" ".join(words)
-                    kept.append(hashlib.sha256(joined).hexdigest() if outputs == "digests" else joined.decode("utf-8", "surrogatepass"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", last])
-
-    rows = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string")
+                got = [cut_text(t, s) for t, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                kept = [hashlib.sha256(k).hexdigest() if outputs == "digests" else k.decode("utf-8", "surrogatepass") for _, _, k in got]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _, _ in got], pa.int64()), pa.array([g for _, g, _ in got], pa.int64()), pa.array(kept, pa.string())], [first, "n_words", "n_removed", last])
+
+    schema = StructType().add(first, rows.schema["own"].dataType).add("n_words", LongType()).add("n_removed", LongType()).add(last, StringType())
+    return rows.mapInArrow(run, schema)

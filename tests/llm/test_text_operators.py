@@ -54,23 +54,64 @@ def test_substring_dedup(spark, docs, corpus):
             if seen.setdefault(tuple(w[k : k + 50]), i) < i:
                 gone[k : k + 50] = [True] * 50
         want[i] = (len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g)))
-    for hot in (4_000, 2):  # with and without refined keys
+    for hot in (4_000, 2, 0):  # without and with refined keys
         got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs, hot_docs=hot).collect()}
         assert got == want
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
-def test_fm_index_finds_every_window():
+def test_fm_index_measures_matching_statistics():
+    """Longest matches of texts that aren't in the index, up to the window, against brute force; and the size of the index."""
     import numpy as np
 
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 9, 300).astype(np.uint32)
-    frags = [base[a : a + n].copy() for a, n in ((0, 70), (20, 90), (100, 50), (100, 60), (0, 300))] + [rng.integers(0, 9, 80).astype(np.uint32)]
-    owners = np.array([5, 3, 9, 2, 7, 1])
-    for f, o, got in zip(frags, owners, substring_dedup.earliest(frags, owners, 50)):
-        for k, v in enumerate(got):
-            hits = [p for g, p in zip(frags, owners) for j in range(len(g) - 49) if (g[j : j + 50] == f[k : k + 50]).all()]
-            assert v == min(hits)
+    for symbols, window in ((3, 8), (9, 50), (60, 50)):
+        base = mixed(rng.integers(0, symbols, 400))
+        texts = [base[a : a + n] for a, n in ((0, 70), (60, 90), (100, 55), (300, 100))] + [mixed(rng.integers(0, symbols, 80)), mixed(np.zeros(120, int))]
+        queries = [base.copy(), np.concatenate([base[20:90], mixed(rng.integers(0, 99, 30)), base[110:200]]), mixed(rng.integers(0, symbols, 90)), mixed(np.zeros(200, int))]
+        index = substring_dedup.FmIndex(texts, window)
+        known = {tuple(t[i : i + m]) for t in texts for m in range(1, window + 1) for i in range(len(t) - m + 1)}
+        got = [np.full(len(q), -1) for q in queries]
+        for who, pos, length in index.statistics(queries):
+            for w, p, n in zip(who, pos, length):
+                got[w][p] = min(n, window)
+        for q, own in zip(queries, got):
+            assert own.tolist() == [max(m for m in range(window + 1) if m == 0 or (i + m <= len(q) and tuple(q[i : i + m]) in known)) for i in range(len(q))]
+    big = substring_dedup.FmIndex([mixed(rng.integers(0, 4000, 1000)) for _ in range(200)], 50)
+    assert big.bytes < 5 * big.n
+
+
+def mixed(words):
+    import numpy as np
+
+    return substring_dedup.mix(np.asarray(words).astype(np.uint64) + np.uint64(7))
+
+
+def test_repeats_of_earlier_owners():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 9, 300)
+    cut = [(0, 70), (20, 90), (100, 50), (100, 60), (0, 300), (40, 200), (100, 60), (90, 80)] + [(10 * i, 60 + i) for i in range(12)]
+    frags = [mixed(base[a : a + n]) for a, n in cut] + [mixed(rng.integers(0, 9, 80)), mixed([3] * 1500), mixed([3] * 70)]
+    owners = np.array([5, 3, 9, 2, 7, 5, 2, 5, *range(11, 23), 1, 4, 6])
+    for keys in (np.zeros(len(frags), np.int64), np.arange(len(frags)) % 2):
+        for i, got in enumerate(substring_dedup.repeats(frags, keys, owners, 50)):
+            earlier = {tuple(g[j : j + 50]) for g, k, o in zip(frags, keys, owners) if k == keys[i] and o < owners[i] for j in range(len(g) - 49)}
+            assert got.tolist() == [tuple(frags[i][j : j + 50]) in earlier for j in range(len(frags[i]) - 49)]
+    assert substring_dedup.repeats([], np.zeros(0, int), np.zeros(0, int), 50) == []
+
+
+def test_substring_dedup_of_repeated_ids_and_own_columns(spark):
+    rng = random.Random(6)
+    make = lambda n: " ".join(f"v{rng.randrange(900)}" for _ in range(n))
+    p = make(60)
+    texts = [(5, p + " a"), (5, "b " + p), (5, p + " a"), (7, make(20) + " " + p), (None, p), (None, p), (2, None), (9, p + " " + make(20_000)), (4, p[:200])]
+    df = spark.createDataFrame([(i, t, k, -k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, kept int, part int").repartition(3)
+    for hot in (1_000, 1, 0):
+        got = {r["row"]["kept"]: (r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(df, hot_docs=hot, outputs="rows").collect()}
+        assert len(got) == len(texts) and {k: n for k, (n, _) in got.items() if n} == {3: 60, 7: 60}
+        assert got[3][1] == " ".join(texts[3][1].split()[:20]) and got[0][1] == texts[0][1]
 
 
 def shingles(t):
