@@ -1,33 +1,42 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Candidates are dealt into shards of about SHARD_ROWS rows and queries into blocks of about BLOCK_ROWS by a hash of
-the id. Each (block, shard) task builds a cover tree over its candidates and one over its queries, and walks pairs of
-nodes best bound first: <a, b> <= <cq, cr> + |cq| rr + |cr| rq + rq rr, where c are centres and r covering
-radii. A pair is pruned only when its bound is below the worst kth score of the query node, so ties survive.
-At leaves, scores are integer products. The k best of each task are merged per query by a window over
-k rows a shard.
+Candidates are dealt into shards by a hash of the id, each candidate once. A task reads its shard's candidates, builds one cover tree
+over them, and then streams all queries past it in blocks of BLOCK_ROWS, each with a cover tree of its own: rows reach the task
+sorted, candidates first, so it holds one shard and one block. Pairs of nodes are walked best bound first: <a, b> <= <cq, cr> + |cq| rr +
+|cr| rq + rq rr, where c are centres and r covering radii. A pair is pruned only when its bound is below the worst kth
+score of the query node, so ties survive. At leaves, scores are integer products. The k best of each shard are merged per query by a
+window over k rows a shard.
 
 Equal vectors are one point of the tree that holds its k + 1 smallest ids: no other of them can be in a
 result (one may be the query's own). So a vector that a third of all rows share costs one point.
 
+Doubles hold scores exactly below 2^53. Where a block's and a shard's vectors could exceed that, scores are doubles with an error bound
+first, and those that may be among the k best are computed again in whole numbers of any size.
+
 Cases: vectors that are null, of another length than the most common, or with null or non-finite components take no part, as query or
-candidate; ties go to the smaller vec_id; repeated rows of one id count once; fewer candidates than k
+candidate, and so do components that overflow a double once multiplied by 256; scores beyond a long's range count as its limits;
+ties go to the smaller vec_id; repeated rows of one id count once; fewer candidates than k
 give fewer rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 20_000
+#: Candidates of a shard at most and, while there are fewer than two shards a core, at least.
+SHARD_ROWS, LEAST_SHARD_ROWS = 100_000, 5_000
 BLOCK_ROWS = 2_048
 LEAF = 128
+#: Scores of a leaf pair that are held at once.
+TILE = 1 << 22
+LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 
 class Node:
@@ -37,12 +46,12 @@ class Node:
         self.center, self.norm, self.radius, self.rows, self.children = center, float(np.sqrt(center @ center)), radius, rows, children
 
 
-def cover_tree(x: np.ndarray, leaf: int = LEAF, fan: int = 24) -> Node | None:
+def cover_tree(x: np.ndarray, leaf: int = LEAF, base: float = 2.0) -> Node | None:
     """A cover tree over the rows of x, with measured radii.
 
-    A node's children are a net of its points, taken farthest first: every two centres are at least as far
-    apart as the net's scale, and every point is within that scale of its own centre. The net ends once
-    the scale is half the node's radius, or has `fan` centres where points are spread in many dimensions.
+    A node's children are a net of its points at its radius divided by `base`, taken farthest first. Covering: every point is within that
+    scale of its own centre. Separation: every two centres are farther apart than it. The node's centre is its first child's
+    (nesting). Points whose net would have more than one centre for 16 points don't divide at that scale; they are a leaf, as up to `leaf` points are.
     """
     if not len(x):
         return None
@@ -53,37 +62,35 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF, fan: int = 24) -> Node | None:
         away = lambda i: np.sqrt(np.maximum(own_l + length[i] - 2 * (own_x @ x[i]), 0))
         near = away(c)
         radius = float(near.max())
-        if len(rows) <= leaf or radius == 0.0:
-            return Node(x[c], radius, rows, None)
+        # differences of large numbers: a measured distance may be short by as much
+        slack = 1e-7 * float(np.sqrt(own_l.max()))
+        if len(rows) <= leaf or radius <= slack:
+            return Node(x[c], radius + slack, rows, None)
         own, centres = np.zeros(len(rows), np.int64), [c]
-        while len(centres) < fan and (far := int(near.argmax())) >= 0 and near[far] > radius / 2:
+        while near[far := int(near.argmax())] > radius / base:
+            if 16 * len(centres) >= len(rows):
+                return Node(x[c], radius + slack, rows, None)
             centres.append(int(rows[far]))
             e = away(centres[-1])
             closer = e < near
             near[closer], own[closer] = e[closer], len(centres) - 1
-        kids = [build(rows[own == i], ci) for i, ci in enumerate(centres) if (own == i).any()]
-        if len(kids) == 1:
-            return Node(x[c], radius, rows, None)
-        return Node(x[c], radius, None, kids)
+        return Node(x[c], radius + slack, None, [build(rows[own == i], ci) for i, ci in enumerate(centres)])
 
     return build(np.arange(len(x)), 0)
 
 
-def dual_tree_top_k(queries: np.ndarray, points: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+def dual_tree_top_k(queries: np.ndarray, points: np.ndarray, k: int, tree: Node | None = None) -> list[list[tuple[float, int]]]:
     """For each query (row): the k best (score, row of points), equal scores by the smaller row.
 
-    Both sides hold whole numbers. A score s with row j is kept as s * n + (n - 1 - j), which orders by score, then row;
-    numbers too large for that in a double are refused.
+    Both sides hold whole numbers. A score s with row j is kept as s * n + (n - 1 - j), which orders by score, then row; `packable`
+    says whether all such numbers are exact. tree: that of the points, where it is there already.
     """
     n = len(points)
     if not n or not len(queries):
         return [[] for _ in queries]
     k = min(k, n)
-    largest = np.sqrt((queries**2).sum(axis=1).max() * (points**2).sum(axis=1).max())
-    if (largest + 1) * n >= 2.0**53:
-        raise ValueError("components are too large for exact scores")
     best = np.full((len(queries), k), -np.inf)
-    qt, pt = cover_tree(queries), cover_tree(points)
+    qt, pt = cover_tree(queries), tree or cover_tree(points)
 
     def bound(q: Node, p: Node) -> float:
         ub = float(q.center @ p.center) + q.norm * p.radius + p.norm * q.radius + q.radius * p.radius
@@ -100,11 +107,14 @@ def dual_tree_top_k(queries: np.ndarray, points: np.ndarray, k: int) -> list[lis
         if -b < best[rows_of(q), 0].min():
             continue
         if q.children is None and p.children is None:
-            s = (queries[q.rows] @ points[p.rows].T) * n + (n - 1 - p.rows)
-            both = np.concatenate([best[q.rows], s], axis=1)
-            both = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-            # the smallest of the k stands first: it is what prunes
-            best[q.rows] = np.sort(both, axis=1)
+            step = max(1, TILE // len(q.rows))
+            for at in range(0, len(p.rows), step):
+                own = p.rows[at : at + step]
+                s = (queries[q.rows] @ points[own].T) * n + (n - 1 - own)
+                both = np.concatenate([best[q.rows], s], axis=1)
+                both = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                # the smallest of the k stands first: it is what prunes
+                best[q.rows] = np.sort(both, axis=1)
             continue
         split_q = q.children is not None and (p.children is None or q.radius >= p.radius)
         for a, c in [(a, p) for a in q.children] if split_q else [(q, c) for c in p.children]:
@@ -120,56 +130,146 @@ def dual_tree_top_k(queries: np.ndarray, points: np.ndarray, k: int) -> list[lis
     return out
 
 
-def integers(vectors: list) -> np.ndarray:
+def packable(queries: np.ndarray, points: np.ndarray) -> bool:
+    """Whether every score, with a row beside it, is exact in a double."""
+    with np.errstate(over="ignore"):
+        largest = np.sqrt((queries**2).sum(axis=1).max()) * np.sqrt((points**2).sum(axis=1).max())
+        return bool((largest + 1) * len(points) < 2.0**52)
+
+
+def large_top_k(queries: np.ndarray, points: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    """As dual_tree_top_k, for whole numbers of any size: scores with an error bound, then exact ones of those that may be among the best.
+
+    Rows are divided by a power of two each, so that products don't overflow; scores are compared as extended doubles.
+    """
+    def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        e = np.frexp(np.abs(x).max(axis=1))[1]
+        return np.ldexp(x, -e[:, None]), e
+
+    (q, eq), (p, ep) = scaled(queries), scaled(points)
+    d, clamp = queries.shape[1], lambda s: min(max(s, LONG_MIN), LONG_MAX)
+    exact_p: dict[int, list[int]] = {}
+    out, step = [], max(1, TILE // max(len(points), 1))
+    for at in range(0, len(queries), step):
+        part = q[at : at + step]
+        power = (eq[at : at + step, None] + ep[None, :]).astype(np.int32)
+        near = np.ldexp((part @ p.T).astype(np.longdouble), power)
+        error = np.ldexp(((np.abs(part) @ np.abs(p).T + 1e-300) * (4 * d * 2.0**-53)).astype(np.longdouble), power)
+        low, high = near - error, np.minimum(near + error, np.longdouble(2.0**63))
+        need = np.minimum(np.partition(low, len(points) - min(k, len(points)), axis=1)[:, len(points) - min(k, len(points))], np.longdouble(2.0**63))
+        for i, row in enumerate(high >= need[:, None]):
+            own = [int(v) for v in queries[at + i]]
+            found = []
+            for j in np.flatnonzero(row).tolist():
+                if j not in exact_p:
+                    exact_p[j] = [int(v) for v in points[j]]
+                found.append((-clamp(sum(map(int.__mul__, own, exact_p[j]))), j))
+            out.append([(-s, j) for s, j in heapq.nsmallest(k, found)])
+    return out
+
+
+def integers(vectors: np.ndarray) -> np.ndarray:
     """floor(256 x) of each component, as exact doubles."""
     return np.floor(256.0 * np.asarray(vectors, np.float64))
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, point id, score): the k best of each query among these points, other than itself, ties to the smaller id."""
-    points, inverse = np.unique(p, axis=0, return_inverse=True)
-    order = np.lexsort((pid, inverse.ravel()))
-    group, ids = inverse.ravel()[order], pid[order]
-    first = np.searchsorted(group, np.arange(len(points) + 1))
-    held = [np.unique(ids[a:b])[: k + 1] for a, b in zip(first[:-1], first[1:])]
-    # points in order of their smallest id, so that equal scores go by it
-    order = np.argsort([h[0] for h in held], kind="stable")
-    points, held = points[order], [held[i] for i in order]
-    out = []
-    # one more than k: a query's own vector may be among them
-    for i, found in zip(qid, dual_tree_top_k(q, points, k + 1)):
-        rows = [(-s, int(v)) for s, j in found for v in held[j] if v != i]
-        out += [(int(i), v, int(-s)) for s, v in heapq.nsmallest(k, rows)]
-    return out
+class Shard:
+    """Distinct points in order of their smallest id, the k + 1 smallest ids of each, and their tree."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        points, inverse = np.unique(vectors, axis=0, return_inverse=True)
+        order = np.lexsort((ids, inverse.ravel()))
+        group, ids = inverse.ravel()[order], ids[order]
+        first = np.searchsorted(group, np.arange(len(points) + 1))
+        held = [np.unique(ids[a:b])[: k + 1].tolist() for a, b in zip(first[:-1], first[1:])]
+        # points in order of their smallest id, so that equal scores go by it
+        order = sorted(range(len(points)), key=lambda i: held[i][0])
+        self.points, self.held, self.k, self.tree = points[order], [held[i] for i in order], k, None
+
+    def search(self, ids: np.ndarray, queries: np.ndarray) -> list[tuple[int, int, int]]:
+        """(query id, point id, score): the k best of each query other than itself, ties to the smaller id."""
+        if not len(self.points) or not len(ids):
+            return []
+        # one more than k: a query's own vector may be among them
+        if packable(queries, self.points):
+            self.tree = self.tree or cover_tree(self.points)
+            got = dual_tree_top_k(queries, self.points, self.k + 1, self.tree)
+        else:
+            got = large_top_k(queries, self.points, self.k + 1)
+        out = []
+        for i, found in zip(ids.tolist(), got):
+            rows = [(-int(s), v) for s, j in found for v in self.held[j] if v != i]
+            out += [(i, v, -s) for s, v in heapq.nsmallest(self.k, rows)]
+        return out
+
+
+def search_shards(k: int, block_rows: int):
+    """Maps sorted rows (shard, is_query, vec_id, v): builds each shard when its first query comes, then searches block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard, last = None, None, None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            ids, vectors = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
+            # a repeated row of an id counts once, the first in the sorted order
+            fresh = np.concatenate(([last is None or ids[0] > last], ids[1:] > ids[:-1]))
+            return ids[fresh], vectors[fresh]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, shard, last
+            if held and now[1]:
+                ids, vectors = joined()
+                got = shard.search(ids, vectors) if shard else []
+                last = held[-1][0][-1]
+                cols = list(zip(*got)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+            elif held:
+                shard = Shard(*joined(), k)
+            held, size = [], 0
+
+        for batch in batches:
+            place, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            ids, v = batch.column(2).to_numpy(), batch.column(3)
+            vectors = integers(v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            cut = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (kind[1:] != kind[:-1])))) if batch.num_rows else []
+            for a, b in zip(cut, np.append(cut[1:], batch.num_rows)):
+                key = int(place[a]), bool(kind[a])
+                if key != now:
+                    yield from flush()
+                    last = None
+                    if now is None or key[0] != now[0]:
+                        shard = None
+                    now = key
+                for at in range(a, b, block_rows):
+                    stop = min(b, at + block_rows)
+                    held.append((ids[at:stop], vectors[at:stop]))
+                    size += stop - at
+                    if now[1] and size >= block_rows:
+                        yield from flush()
+        yield from flush()
+
+    return run
 
 
-def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: each query (id divisible by `every`) against all other rows."""
+def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: each query (id divisible by `every`) against all other rows. shard_rows: candidates of a shard, chosen by their number if not given."""
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
-    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * 256.0) < float("inf"))))
     usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, vec_id long, score long"
     if usual is None:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = rows.where(F.size("v") == usual["d"])
     n = usual["count"]
-    shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-n // every // block_rows))
-    is_query = F.col("vec_id") % every == 0
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    points = rows.select("vec_id", "v", shard.alias("shard"), all_of(blocks).alias("block"))
-    queries = rows.where(is_query).select("vec_id", "v", block.alias("block"), all_of(shards).alias("shard"))
-
-    def run(key, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        q = q.drop_duplicates("vec_id")
-        got = search_block(q["vec_id"].to_numpy(), integers(q["v"].tolist()), p["vec_id"].to_numpy(), integers(p["v"].tolist()), k)
-        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
-
-    found = queries.groupBy("block", "shard").cogroup(points.groupBy("block", "shard")).applyInPandas(run, schema)
+    if not shard_rows:
+        shard_rows = min(SHARD_ROWS, max(LEAST_SHARD_ROWS, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    shards = max(1, math.ceil(n / shard_rows))
+    points = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "vec_id", "v")
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "vec_id", "v")
+    dealt = points.unionByName(queries).repartition(shards, "shard").sortWithinPartitions("shard", "is_query", "vec_id", "v")
+    found = dealt.mapInArrow(search_shards(k, block_rows), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 
 import numpy as np
 import pytest
@@ -25,6 +26,49 @@ def test_top_k(spark):
         assert got == want
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id in (0, 3)")).count() == 1
+    twice = df.unionByName(df.where("vec_id % 3 = 0")).unionByName(df.where("vec_id in (0, 50)"))
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(twice, shard_rows=100, block_rows=1).collect()}
+    assert got == want
+
+
+def test_top_k_of_large_components(spark):
+    """Scores beyond a double's whole numbers, beyond a long, and beyond a double, against whole numbers in Python."""
+    rng = np.random.default_rng(8)
+    vec = [[1e9, 2.0], [1.0, 1.0], [1e9 + 1, -3.0], [-1e9, 5.0], [3e9, 1e9]] + [[float(a), float(b)] for a, b in rng.normal(0, 3e6, (60, 2))]
+    vec += [[float(a), float(b)] for a, b in 1e8 + rng.integers(0, 3, (30, 2))] + [[1e300, -1e300], [1e300, 1e-300], [-1e299, 0.0], [1e308, 0.0], [0.0, 0.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vec)], "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in enumerate(vec) if all(math.isfinite(256 * x) for x in v)}
+    assert len(whole) == len(vec) - 1
+    want = set()
+    for q in whole:
+        if q % 5 == 0:
+            score = {j: min(max(sum(a * b for a, b in zip(whole[q], whole[j])), -(2**63)), 2**63 - 1) for j in whole if j != q}
+            want |= {(q, r + 1, j, score[j]) for r, j in enumerate(sorted(score, key=lambda j: (-score[j], j))[:5])}
+    for rows in (1_000, 20):
+        got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, every=5, shard_rows=rows, block_rows=4).collect()}
+        assert got == want
+
+
+def test_cover_tree_covers_and_separates():
+    rng = np.random.default_rng(9)
+    x = np.floor(256 * np.concatenate([c + 0.02 * rng.normal(size=(60, 8)) for c in rng.normal(size=(40, 8))]))
+    seen, inner = [], []
+
+    def walk(node):
+        rows = node.rows if node.children is None else np.concatenate([walk(c) for c in node.children])
+        assert np.sqrt(((x[rows] - node.center) ** 2).sum(1)).max() <= node.radius + 1e-6
+        if node.children is None:
+            seen.extend(rows.tolist())
+        else:
+            inner.append(node)
+            c = np.array([k.center for k in node.children])
+            apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1)) + 1e9 * np.eye(len(c))
+            assert all(k.radius <= node.radius / 2 + 1e-3 for k in node.children) and apart.min() > node.radius / 2 - 1e-3
+            assert (node.children[0].center == node.center).all()
+        return rows
+
+    walk(topk.cover_tree(x, leaf=16))
+    assert sorted(seen) == list(range(len(x))) and len(inner) > 1
 
 
 def test_warc_round_trip_and_pushdown(spark, tmp_path):
