@@ -6,9 +6,11 @@ decodes the payload of a record that passes. In .warc.gz files every record is a
 with an `sl` extra field (skip length) is jumped over, another is decompressed in pieces and dropped.
 Uncompressed archives are jumped by Content-Length. Option payload=false decodes no payload at all.
 
-Writing: each task writes archives of about `maxFileBytes` under names that hold the attempt, and the
-commit lists the finished ones in a manifest. What a lost or repeated attempt wrote is not in the
-manifest, so readers never see it. Paths are URIs that pyarrow.fs opens (file, hdfs, s3, gs).
+Writing: each task writes archives of about `maxFileBytes` under names that hold the attempt, and each
+commit adds a manifest of its own that lists the finished ones. What a lost or repeated attempt wrote is in no
+manifest, so readers never see it. Mode "append" adds to what earlier commits listed; "overwrite" names the manifests that the
+new one replaces, and readers pass over those. Paths are URIs that pyarrow.fs opens (file, hdfs, s3, gs). A response's block is an HTTP message, a
+head and the payload; a revisit's is the head alone. Digests and sizes are those of the payload.
 
 Cases: null payloads count as empty; of equal payloads (also empty ones) the largest id is the response, the others are
 revisits; payloads under `min_bytes` are all responses; rows with a null id are kept, each as a
@@ -37,14 +39,16 @@ from pyspark.sql.datasource import (
 
 from strandlake.llm.shared import new_folder
 
-MANIFEST = "_manifest.json"
+#: Manifests are MANIFEST followed by the commit's name and .json: {"files": [...], "replaces": [names of manifests]}.
+MANIFEST = "_manifest-"
 FILE_BYTES = 64 << 20
-PARTITION_BYTES = 128 << 20
+PARTITION_BYTES, LEAST_PARTITION_BYTES = 128 << 20, 1 << 20
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, content_length long, headers map<string,string>, payload binary"
 #: Column of the schema by WARC header, lower case.
 COLUMNS = {"warc-record-id": "record_id", "warc-type": "record_type", "warc-target-uri": "target_uri", "warc-date": "date", "warc-payload-digest": "payload_digest", "warc-refers-to": "refers_to"}
 #: Own header: the full payload's size, which a revisit record doesn't hold.
 SIZE_HEADER = "X-Payload-Length"
+HTTP = "application/http"
 
 
 def filesystem(uri: str):
@@ -60,6 +64,17 @@ def sha1_base32(payload: bytes) -> str:
 # ---- records
 
 
+def http_head(size: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+
+
+def payload_of(block: bytes, content_type: str | None) -> bytes:
+    """What stands behind the head of an HTTP message; other blocks as they are."""
+    if (content_type or "").partition(";")[0].strip().lower() != HTTP:
+        return block
+    return block.partition(b"\r\n\r\n")[2]
+
+
 def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
     lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -186,6 +201,7 @@ class WarcReader(DataSourceReader):
         self.with_payload = str(options.get("payload", "true")).lower() != "false"
         self.verify = str(options.get("verify", "false")).lower() == "true"
         self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
+        self.parallelism = int(options.get("parallelism", 1))
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters):
@@ -202,14 +218,15 @@ class WarcReader(DataSourceReader):
         info = files.get_file_info(root)
         if info.type == fs.FileType.File:
             found = [info]
-        elif files.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with files.open_input_stream(f"{root}/{MANIFEST}") as f:
-                found = files.get_file_info([f"{root}/{n}" for n in json.loads(f.read())])
+        elif commits := manifests(files, root):
+            found = files.get_file_info([f"{root}/{n}" for c in commits.values() for n in c["files"]])
         else:
             found = [x for x in files.get_file_info(fs.FileSelector(root, recursive=True)) if x.path.endswith((".warc", ".warc.gz"))]
         out, now, size = [], [], 0
+        # whole files can't be split; small ones are packed, but not into fewer tasks than there are cores
+        most = min(self.partition_bytes, max(LEAST_PARTITION_BYTES, sum(x.size for x in found) // max(self.parallelism, 1)))
         for x in sorted(found, key=lambda x: x.path):
-            if now and size + x.size > self.partition_bytes:
+            if now and size + x.size > most:
                 out.append(Files(now))
                 now, size = [], 0
             now.append(x.path)
@@ -238,7 +255,7 @@ class WarcReader(DataSourceReader):
                         continue
                     payload = None
                     if self.with_payload:
-                        payload = archive.payload()
+                        payload = payload_of(archive.payload(), h.get("content-type"))
                         if self.verify and row["record_type"] == "response" and row["payload_digest"] and row["payload_digest"].rpartition(":")[2] != sha1_base32(payload):
                             raise ValueError(f"{row['record_id']}: the payload doesn't match its digest")
                     else:
@@ -253,6 +270,20 @@ class WarcReader(DataSourceReader):
             yield flush()
 
 
+def manifests(files, root: str) -> dict[str, dict]:
+    """The manifests that hold, by name: those that no other one replaces."""
+    from pyarrow import fs
+
+    listed = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    found = {}
+    for x in listed:
+        if x.base_name.startswith(MANIFEST):
+            with files.open_input_stream(x.path) as f:
+                found[x.base_name] = json.loads(f.read())
+    gone = {n for c in found.values() for n in c["replaces"]}
+    return {n: c for n, c in sorted(found.items()) if n not in gone}
+
+
 def _column(f) -> str | None:
     return f.attribute[0] if len(f.attribute) == 1 and f.attribute[0] in {*COLUMNS.values(), "content_length"} else None
 
@@ -297,8 +328,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Columns: record_id, record_type, target_uri, payload, payload_digest, refers_to, payload_length."""
 
-    def __init__(self, options):
-        self.path = options.get("path")
+    def __init__(self, options, overwrite: bool = False):
+        self.path, self.overwrite = options.get("path"), overwrite
         self.file_bytes = int(options.get("maxFileBytes", FILE_BYTES))
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
@@ -311,12 +342,12 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is None:
                         done.append(f"{attempt}-{len(done):05d}.warc.gz")
                         out, size = files.open_output_stream(f"{root}/{done[-1]}", compression=None), 0
-                    h = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "text/html; charset=utf-8"), ("WARC-Payload-Digest", "sha1:" + r["payload_digest"]), (SIZE_HEADER, str(r["payload_length"]))]
+                    h = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", f"{HTTP}; msgtype=response"), ("WARC-Payload-Digest", "sha1:" + r["payload_digest"]), (SIZE_HEADER, str(r["payload_length"]))]
                     if r["target_uri"]:
                         h.append(("WARC-Target-URI", "".join(c for c in r["target_uri"] if c not in "\r\n")))
                     if r["refers_to"]:
                         h += [("WARC-Refers-To", r["refers_to"]), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-                    member = gzip_member(record_bytes(h, r["payload"] or b""))
+                    member = gzip_member(record_bytes(h, http_head(r["payload_length"]) + (r["payload"] or b"")))
                     out.write(member)
                     size += len(member)
                     if size >= self.file_bytes:
@@ -329,8 +360,9 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         files, root = filesystem(self.path)
         files.create_dir(root, recursive=True)
-        with files.open_output_stream(f"{root}/{MANIFEST}", compression=None) as f:
-            f.write(json.dumps(sorted(n for m in messages if m is not None for n in m.files)).encode())
+        own = {"files": sorted(n for m in messages if m is not None for n in m.files), "replaces": [*manifests(files, root)] if self.overwrite else []}
+        with files.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as f:
+            f.write(json.dumps(own).encode())
 
     def abort(self, messages) -> None:
         files, root = filesystem(self.path)
@@ -351,7 +383,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -362,10 +394,10 @@ def register(spark: SparkSession) -> None:
 # ---- deduplicating writer
 
 
-def write_pages(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> None:
+def write_pages(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, mode: str = "append") -> None:
     """Write each page as a response or, where a page of larger id has the same payload, as a revisit of the largest.
 
-    The group of equal payloads is never gathered: the largest id comes from an aggregate with map-side
+    mode: "append" (pages are compared with those of the same call only) or "overwrite". The group of equal payloads is never gathered: the largest id comes from an aggregate with map-side
     partial maxima, and the pages meet it by a join that Spark can split where a digest is frequent.
     """
     register(df.sparkSession)
@@ -378,7 +410,7 @@ def write_pages(df: DataFrame, path: str, id_col: str = "page_id", url_col: str
     rows.select(
         urn("id").alias("record_id"), F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"),
         F.when(~F.col("revisit"), F.col("payload")).alias("payload"), digest.alias("payload_digest"), F.when(F.col("revisit"), urn("keep")).alias("refers_to"), F.col("size").cast("long").alias("payload_length"),
-    ).write.format("warc").mode("append").save(path)
+    ).write.format("warc").mode(mode).save(path)
 
 
 def base32(hex_column: str):
@@ -392,7 +424,7 @@ def base32(hex_column: str):
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, from the archives."""
     register(spark)
-    rows = spark.read.format("warc").option("verify", "true").load(path)
+    rows = spark.read.format("warc").option("verify", "true").option("parallelism", spark.sparkContext.defaultParallelism).load(path)
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
     full = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("headers")[SIZE_HEADER.lower()].cast("long"))
     return rows.select(page("record_id").alias("page_id"), full.alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))

@@ -83,6 +83,25 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     assert some.count() == 2 and "record_type" in some._jdf.queryExecution().toString()
     warc.write_pages(df.limit(0), "file://" + str(tmp_path / "e"))
     assert warc.read_pages(spark, "file://" + str(tmp_path / "e")).count() == 0
+    raw = spark.read.format("warc").load(path).where("record_type = 'response'").select("content_length", "payload", "headers").collect()
+    assert all(r["content_length"] == len(warc.http_head(len(r["payload"]))) + len(r["payload"]) and r["headers"]["content-type"].startswith("application/http") for r in raw)
+
+
+def test_warc_appends_and_overwrites(spark, tmp_path):
+    path = "file://" + str(tmp_path / "a")
+    page = lambda *ids: spark.createDataFrame([(i, "u", f"p{i}") for i in ids], "page_id long, url string, html string")
+    seen = lambda: sorted(r["page_id"] for r in warc.read_pages(spark, path).collect())
+    warc.write_pages(page(1), path)
+    warc.write_pages(page(2, 3), path)
+    assert seen() == [1, 2, 3]
+    (tmp_path / "a" / "lost-00000.warc.gz").write_bytes(b"what a lost attempt wrote")
+    warc.write_pages(page(4), path, mode="overwrite")
+    assert seen() == [4]
+    warc.write_pages(page(5), path)
+    warc.write_pages(page(5).limit(0), path)
+    assert seen() == [4, 5]
+    reader = warc.WarcReader({"path": path, "parallelism": "8"})
+    assert len(reader.partitions()) == 1  # both are far below the least size of a partition
 
 
 def test_warc_reader_skips_payloads():
