@@ -23,6 +23,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 Turns = list[tuple[str, str]]
 #: Turns of a prefix for a template that is declared to render each turn by itself.
-WINDOW = 32
+WINDOW = 4
 #: Control strings of the template.
 OPEN, MID, CLOSE, TARGET = "<s>", "[INST]", "</s>", "[/INST]"
 _CODE = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
@@ -69,13 +70,6 @@ def parse(formatted: str) -> Turns:
     return out
 
 
-def loss_span(span: str, role: str, learned: tuple[str, ...] = ("assistant",)) -> tuple[int, int] | None:
-    """Where the learned text stands in a turn's span, found from the control strings."""
-    if role not in learned:
-        return None
-    return span.index(TARGET) + len(TARGET), len(span) - len(CLOSE)
-
-
 class RewritesHistory(ValueError):
     """The template's output for more turns doesn't begin with its output for fewer."""
 
@@ -89,6 +83,20 @@ class Incremental:
         self.turns: Turns = []
         self.text, self.last, self.n = "", "", 0
 
+    def place_of_text(self) -> tuple[int, int] | None:
+        """Where the last turn's text stands in its span, or None where the template doesn't show it."""
+        before, (role, _) = self.turns[:-1], self.turns[-1]
+        start = len(self.text) - len(self.last)
+        a, b = (self._body([*before, (role, probe)])[start:] for probe in "ab")
+        if a == b:
+            return None
+        head = len(os.path.commonprefix([a, b]))
+        tail = len(os.path.commonprefix([a[:head - len(a) - 1:-1], b[:head - len(b) - 1:-1]]))
+        lo, hi = head, len(self.last) - tail
+        if lo > hi or self.last[:lo] != a[:lo] or self.last[hi:] != a[len(a) - tail :]:
+            raise ValueError(f"turn {self.n - 1}: what surrounds its text depends on it")
+        return lo, hi
+
     def _body(self, turns: Turns) -> str:
         out = self.template(turns)
         if self.tail and not out.endswith(self.tail):
@@ -123,14 +131,14 @@ def rewrites_history(template: Callable[[Turns], str], turns: Turns, window: int
 
 def turn_spans(
     df: DataFrame, template: Callable[[Turns], str] = inst_template, conv_col: str = "conv_id", turn_col: str = "turn",
-    role_col: str = "role", text_col: str = "text", window: int | None = None,
+    role_col: str = "role", text_col: str = "text", window: int | None = None, learned: tuple[str, ...] = ("assistant",),
 ) -> DataFrame:
     """conv_id, pos (0, 1, ...), start, span (the formatted text of the turn), loss_start, loss_end (within the span, or null).
 
     Spans of a conversation, joined in order of pos, are its formatted text.
     """
     kind = df.schema[conv_col].dataType.simpleString()
-    return _sorted(df, conv_col, turn_col, role_col, text_col).mapInArrow(_spans(template, window), f"conv_id {kind}, pos long, start long, span string, loss_start long, loss_end long")
+    return _sorted(df, conv_col, turn_col, role_col, text_col).mapInArrow(_spans(template, window, learned), f"conv_id {kind}, pos long, start long, span string, loss_start long, loss_end long")
 
 
 def _sorted(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
@@ -145,7 +153,7 @@ def _rows(batches: Iterator[pa.RecordBatch]):
             yield from zip(*(part.column(i).to_pylist() for i in range(3)))
 
 
-def _spans(template: Callable[[Turns], str], window: int | None):
+def _spans(template: Callable[[Turns], str], window: int | None, learned: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = run
         out: list[tuple] = []
@@ -167,7 +175,7 @@ def _spans(template: Callable[[Turns], str], window: int | None):
             if now is run or conv != now:
                 now, inc, pos, start = conv, Incremental(template, window), 0, 0
             span = inc.add(role, text)
-            lo, hi = loss_span(span, role) or (None, None)
+            lo, hi = (inc.place_of_text() if role in learned else None) or (None, None)
             out.append((conv, pos, start, span, lo, hi))
             pos, start, size = pos + 1, start + len(span), size + len(span)
             if len(out) >= 1024 or size > 4 << 20:
@@ -182,11 +190,15 @@ def _spans(template: Callable[[Turns], str], window: int | None):
 
 def format_digests(
     df: DataFrame, template: Callable[[Turns], str] = inst_template, conv_col: str = "conv_id", turn_col: str = "turn",
-    role_col: str = "role", text_col: str = "text", window: int | None = None,
+    role_col: str = "role", text_col: str = "text", window: int | None = None, learned: tuple[str, ...] = ("assistant",),
+    read: Callable[[str], Turns] = parse, plain: Callable[[str], str] = unescape,
 ) -> DataFrame:
-    """Per conversation, read back from its formatted text: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Per conversation, read back from its formatted text: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    read: the turns of a formatted span; plain: a learned text from its formatted form.
+    """
     kind = df.schema[conv_col].dataType.simpleString()
-    spans = _spans(template, window)
+    spans = _spans(template, window, learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = run
@@ -209,13 +221,13 @@ def format_digests(
                         close()
                     now, n, chars, loss_chars = conv, 0, 0, 0
                     turns, loss = hashlib.sha256(), hashlib.sha256()
-                for role, text in parse(span):
+                for role, text in read(span):
                     turns.update(f"{role}\n{text}\n".encode("utf-8"))
                     n += 1
                 if lo is not None:
-                    learned = unescape(span[lo:hi])
-                    loss.update(learned.encode("utf-8"))
-                    loss_chars += len(learned)
+                    own = plain(span[lo:hi])
+                    loss.update(own.encode("utf-8"))
+                    loss_chars += len(own)
                 chars += len(span)
             if len(done) >= 4096:
                 yield flush()

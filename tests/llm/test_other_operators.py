@@ -153,3 +153,28 @@ def test_whole_prefixes_are_rendered(spark):
     spans = chat.turn_spans(df, lambda t: "".join(f"<s>[INST]{r}[/INST]{i}{x}</s>" for i, (r, x) in enumerate(t))).orderBy("pos").collect()
     assert "".join(r["span"] for r in spans) == numbered(turns)
     assert chat.Incremental(chat.inst_template).window == chat.WINDOW
+
+
+def test_learned_texts_of_any_template(spark):
+    """The text's place is found without knowing control strings; templates that hide it or wrap it by its content."""
+    marked = lambda t: "".join(f"<|{r}|>{x}<|end|>" for r, x in t)
+    counted = lambda t: "".join(f"{i}:{r}={x.strip()};\n" for i, (r, x) in enumerate(t)) + "done"
+    rows = [(1, 0, "user", "a|b"), (1, 1, "assistant", "<|end|>x"), (1, 2, "assistant", ""), (None, 0, "assistant", "ab"), (None, 1, "user", None), (2, 0, "assistant", "ba")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for template in (marked, counted, chat.inst_template):
+        got = {(r["conv_id"], r["pos"]): r for r in chat.turn_spans(df, template).collect()}
+        for c, t, role, text in rows:
+            r = got[c, t]
+            shown = None if r["loss_start"] is None else r["span"][r["loss_start"] : r["loss_end"]]
+            assert shown == (None if role == "user" else chat.escape(text) if template is chat.inst_template else text)
+    inc = chat.Incremental(lambda t: "".join(f"[{len(x)}]{x}" for _, x in t))
+    inc.add("assistant", "four")
+    with pytest.raises(ValueError):
+        inc.place_of_text()
+    hidden = chat.Incremental(lambda t: "-" * len(t))
+    hidden.add("assistant", "four")
+    assert hidden.place_of_text() is None
+    got = {r["conv_id"]: r for r in chat.format_digests(df).collect()}
+    assert got[None]["n_turns"] == 2 and got[None]["loss_chars"] == 2 and got[1]["loss_chars"] == 8
+    other = chat.format_digests(df.where("conv_id = 2"), marked, read=lambda s: [tuple(s[2:-7].split("|>", 1))], plain=str).first()
+    assert (other["n_turns"], other["loss_chars"], other["formatted_chars"]) == (1, 2, len("<|assistant|>ba<|end|>"))
