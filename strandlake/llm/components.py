@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.shared import discard, materialize
 
+#: Edges that one task thins.
+JOINED_EDGES = 250_000
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Indices of edges that make a spanning forest."""
@@ -68,10 +71,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = thinned(edges.where("a <> b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(now, "edges")
-    # many tasks each keep a forest over the same nodes: thin those forests together, some tasks' at a time
-    tasks = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # many tasks each keep a forest over the same nodes: thin those forests together, in tasks of JOINED_EDGES
     first = now
-    now = materialize(thinned(now.coalesce(max(4, tasks // 32)).toDF("a", "b")).toDF("u", "v"), "edges")
+    now = materialize(thinned(now.coalesce(max(4, -(-first.count() // JOINED_EDGES))).toDF("a", "b")).toDF("u", "v"), "edges")
     discard(now.sparkSession, first)
     state = None
     for _ in range(max_rounds):

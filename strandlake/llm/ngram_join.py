@@ -15,12 +15,14 @@ them are indexed in full, in a scheme of their own, which every pair of such set
 
 Equal sets are one class from the start. Signatures are packed and met in buckets, where classes of a
 short list are paired and counted, and the classes of a long list are tied by a star, without pairs. Pairs
-with at least c common signatures form candidate groups; in these all sets are compared exactly, in blocks
-of bounded size, inside the task; only a forest of links leaves it.
+with at least c common signatures form candidate groups, in which sets are compared exactly inside a task; only a forest of
+links leaves it. A group of one block is compared whole. Of a larger group each block is compared with itself and with SEED_SETS seeds of
+the group, which ties a family of copies together at a cost in proportion to it. Only the sets that this leaves outside the group's largest
+component are then compared with the whole group, block by block, so that no link is lost.
 
 Cases: null texts and texts without words have no shingles, and link with nothing; texts of fewer words than
-`k` have their whole sequence as one shingle; equal texts share a class and a component; repeated ids are
-repeated rows with equal results; an empty table gives an empty result; very long texts cost memory in proportion to
+`k` have their whole sequence as one shingle; equal texts share a class and a component; rows of one id are judged each by its own
+text; rows without an id have no component and link nothing; an empty table gives an empty result; very long texts cost memory in proportion to
 their length; other columns are ignored.
 """
 
@@ -31,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.components import components, forest
@@ -45,7 +47,7 @@ FREQUENT_DF, SLICE_DF, MAX_FREQUENT = 64, 3, 200_000
 #: Lists up to this length are paired; longer ones become a star.
 PAIRED = 16
 SEEDS = 4
-BLOCK_SETS, BLOCK_SHINGLES = 1_500, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES, SEED_SETS = 500, 500_000, 32
 PACK_SHINGLES = 1_500_000
 BUCKET_SHINGLES = 4_000_000
 
@@ -366,11 +368,11 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, righ
 
 
 def verify_group(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Links of the candidate groups of one pack, or of one pair of blocks of a group."""
+    """Links of the candidate groups of one pack, or of a block of a group with what meets it."""
     out: list[tuple[int, int]] = []
     t = table.to_pydict()
     groups = np.array(t["grp"], np.int64)
-    ids = np.array(t["rep"], np.int64)
+    ids = np.array(t["h1"], np.int64)
     side = np.array(t["side"], np.int64)
     order = np.lexsort((ids, groups))
     cut = np.flatnonzero(np.concatenate(([True], groups[order][1:] != groups[order][:-1]))) if len(order) else np.zeros(0, np.int64)
@@ -403,36 +405,81 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = pairs.groupBy("scheme", "a", "b").agg(F.sum("common").alias("common"), F.max("tied").alias("tied"))
     least = F.element_at(F.array(*[F.lit(b.c) for b in bands(num, den)]), (F.greatest(F.col("scheme"), F.lit(0)) / 128).cast("int") + 1)
     edges = pairs.where(F.col("tied") | (F.col("common") >= least)).select("a", "b")
-    groups = components(edges)
-    groups = materialize(groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "h1"), "groups")
-    members = materialize(groups.join(classes, "h1").select("root", "rep", "n"), "members")
+    groups = materialize(with_roots(components(edges)).withColumnRenamed("node", "h1"), "groups")
+    members = materialize(groups.join(classes, "h1").select("root", "h1", "rep", "n"), "members")
 
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("items"))
     sizes = sizes.where("sets > 1").select("root", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("items") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     packs = max(1, -(-total // PACK_SHINGLES), min(buckets, total // 50_000))
-    placed = materialize(members.join(sizes, "root").select("root", "rep", "blocks", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int").alias("block")), "placed")
+    placed = materialize(members.join(sizes, "root").select("root", "h1", "rep", "blocks", F.pmod(F.xxhash64("h1", F.lit(5)), F.col("blocks")).cast("int").alias("block")), "placed")
+    held = set_table(docs, placed.where("blocks = 1"), k)
+    pack = F.pmod(F.xxhash64("root"), F.lit(packs))
+    links = verified(held.select(pack.alias("task"), F.col("root").alias("grp"), "h1", F.lit(2).alias("side"), "items"), num, den)
+    large = placed.where("blocks > 1")
+    if not large.isEmpty():
+        links = links.unionByName(links_of_large_groups(docs, large, k, num, den))
+    # classes that are linked, and the smallest id of each component
+    roots = materialize(with_roots(components(links)).join(classes, F.col("node") == F.col("h1")).select("root", "h1", "rep"), "roots")
+    least = roots.groupBy("root").agg(F.min("rep").alias("component"))
+    linked = classes.join(roots.join(least, "root").select("h1", "component"), "h1", "left")
+    labelled = sets.join(linked, ["h1", "h2", "n"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    return labelled.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def with_roots(found: DataFrame) -> DataFrame:
+    """Components with their roots as nodes of their own."""
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def set_table(docs: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """placed (with h1 and rep, the class and a document of it) with items, the set's shingles: from the texts of the documents, each class once."""
+    names = ["h1", "root", "blocks", "block"]
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(0).to_pylist()]
                 x, d = shingle_sets(raws, k)
+                # of an id's rows with other texts, that of the class
+                own = np.flatnonzero(class_hashes(x, d, len(raws))[0].view(np.int64) == part.column(1).to_numpy())
                 cut = np.searchsorted(d, np.arange(len(raws) + 1))
-                blobs = [x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), part.column(3), part.column(4), pa.array(blobs, pa.binary())], ["root", "rep", "blocks", "block", "items"])
-
-    rows = docs.join(placed.hint("merge"), docs.doc_id == placed.rep).select("rep", "text", "root", "blocks", "block").dropDuplicates(["rep", "root"])
-    held = rows.mapInArrow(items, "root long, rep long, blocks int, block int, items binary")
-    # a group of one block goes to a pack of small groups; another to every pair of blocks that holds its block
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    held = held.select("root", "rep", "items", "blocks", "block", other)
-    lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.xxhash64("root", lo, hi))
-    side = F.when(lo == hi, 2).when(F.col("block") == lo, 0).otherwise(1)
-    held = held.select(task.alias("task"), (F.col("blocks") == 1).alias("small"), F.col("root").alias("grp"), "rep", side.cast("long").alias("side"), "items")
-    links = held.groupBy("small", "task").applyInArrow(lambda t: verify_group(t, num, den), "a long, b long")
-    roots = components(links)
-    labelled = sets.join(classes, ["h1", "h2", "n"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
+                blobs = pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in own], pa.binary())
+                kept = part.take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([kept.column(i + 1) for i in range(4)] + [blobs], [*names, "items"])
+
+    rows = docs.join(placed.hint("merge"), docs.doc_id == placed.rep).withColumn("same", F.xxhash64("text")).dropDuplicates(["h1", "same"])
+    return rows.select("text", *names).mapInArrow(items, "h1 long, root long, blocks int, block int, items binary")
+
+
+def verified(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links a, b of the sets of each task. rows: task, grp, h1, side (0 left, 1 right, 2 both), items."""
+    return rows.groupBy("task").applyInArrow(lambda t: verify_group(t, num, den), "a long, b long")
+
+
+def links_of_large_groups(docs: DataFrame, large: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links that tie the components of groups of several blocks."""
+    by_hash = Window.partitionBy("root").orderBy(F.xxhash64("h1"), "h1")
+    seeds = large.select("root", "h1").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= SEED_SETS).select("h1", F.lit(True).alias("seed"))
+    held = materialize(set_table(docs, large, k).join(seeds, "h1", "left"), "held")
+    # a set goes to its block, a seed to the others' as well
+    own = held.select("root", "block", "h1", F.lit(2).alias("side"), "items")
+    others = held.where("seed").select("root", F.col("block").alias("home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "h1", "items").where("block <> home")
+    first = own.unionByName(others.select("root", "block", "h1", F.lit(1).alias("side"), "items"))
+    links = materialize(verified(first.select(F.xxhash64("root", "block").alias("task"), F.xxhash64("root", "block").alias("grp"), "h1", "side", "items"), num, den), "links")
+    # what is outside a group's largest component meets the whole group
+    tied = held.select("root", "h1", "blocks").join(components(links).withColumnRenamed("root", "tie"), F.col("h1") == F.col("node"), "left").select("root", "h1", "blocks", F.coalesce("tie", "h1").alias("tie"))
+    tied = materialize(tied, "tied")
+    most = tied.groupBy("root", "tie").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("tie", F.struct("n", "tie")).alias("main"))
+    outside = materialize(tied.join(most, "root").where("tie <> main").select("root", "h1"), "outside")
+    if outside.isEmpty():
+        return links
+    parts = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts"))
+    right = held.join(parts, "root").select("root", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "h1", F.lit(1).alias("side"), "items")
+    left = held.select("root", "h1", "items", "blocks").join(outside.select("h1"), "h1").join(parts, "root")
+    left = left.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("h1", F.lit(9)), F.col("parts")).cast("int").alias("part"), "h1", F.lit(0).alias("side"), "items")
+    task = F.xxhash64("root", "block", "part")
+    rest = left.unionByName(right.select(*left.columns)).select(task.alias("task"), task.alias("grp"), "h1", "side", "items")
+    return links.unionByName(verified(rest, num, den))

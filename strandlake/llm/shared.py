@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,15 +17,31 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        # local or local[...], where driver and executors are one process; local-cluster[...] isn't
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders of intermediate tables that this process made and hasn't deleted.
+_MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/strandlake/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/strandlake/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of all operators called so far, once their results are stored; how many there were."""
+    jvm, n = spark.sparkContext._jvm, len(_MADE)
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -89,3 +89,38 @@ def test_documents_without_an_id(spark, tmp_path):
         docs = stage(spark, docs, d)
     got = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
     assert got == sorted([texts[0], texts[2], texts[3], texts[6]], key=str)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Repeated rows, columns named as the operators' own, empty tables, empty and very long texts: rows and columns come back as they were."""
+    words_ = lambda a, n: " ".join(f"w{a}x{i}" for i in range(n))
+    d, test, p = str(tmp_path), words_("t", 30), words_("p", 60)
+    spark.createDataFrame([(1, test)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    names = "doc_id long, text string, lang string, source string, n_chars long, kept int, component_id string, row long, `spans x` array<int>, contaminated boolean"
+    texts = [(1, words_("a", 40) + " " + p), (2, p + " " + words_("b", 300)), (2, p + " " + words_("b", 300)), (2, words_("c", 40)), (3, words_("l", 30_000)), (4, ""), (5, None), (6, test), (6, words_("d", 70)), (7, words_("c", 40))]
+    rows = [(i, t, "en", "s", len(t or ""), k, f"c{k}", -k, [k], None) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, names).repartition(3)
+    after = lambda df: {r["kept"]: tuple(r) for r in df.collect()}
+    near = after(corpus_pipeline.keep_one_of_each_group(spark, docs, d))
+    assert near == {r[5]: r for r in rows if r[0] != 7}
+    cut = after(corpus_pipeline.remove_repeated_passages(spark, docs, d))
+    want = {r[5]: r for r in rows} | {k: (2, words_("b", 300), "en", "s", len(words_("b", 300)), *rows[k][5:]) for k in (1, 2)}
+    assert cut == want
+    assert after(corpus_pipeline.drop_contaminated(spark, docs, d)) == {r[5]: r for r in rows if r[1] != test}
+    assert set(after(corpus_pipeline.keep_good_quality(spark, docs, d))) <= set(range(len(rows)))
+    assert corpus_pipeline.encode(spark, docs, d).count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs.limit(0), d)
+        assert got.columns == docs.columns and got.count() == 0
+    assert corpus_pipeline.encode(spark, docs.limit(0), d).count() == 0
+
+
+def test_intermediate_tables_are_released(spark, tmp_path):
+    import os
+
+    from strandlake.llm import shared
+
+    held = shared.materialize(spark.range(5), "kept")
+    folder = os.path.dirname(held.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(folder) and shared.release(spark) > 0 and not os.path.isdir(folder) and shared.release(spark) == 0

@@ -133,6 +133,43 @@ def test_jaccard_components(spark, docs, corpus):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
 
 
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Families of several blocks, chains whose ends aren't alike, and strangers among them, with blocks of a few sets; repeated and missing ids."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 6)
+    monkeypatch.setattr(ngram_join, "SEED_SETS", 2)
+    monkeypatch.setattr(ngram_join, "PAIRED", 3)
+    rng = random.Random(21)
+    vocab = [f"u{i}" for i in range(500)]
+    base = [rng.choice(vocab) for _ in range(120)]
+    texts = []
+    for k in range(60):  # near copies
+        w = list(base)
+        for _ in range(k % 5):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        texts.append(" ".join(w))
+    chain = [rng.choice(vocab) for _ in range(160)]
+    texts += [" ".join(chain[4 * i : 4 * i + 80]) for i in range(20)]  # each one like the next
+    texts += [" ".join(base[:60] + [rng.choice(vocab) for _ in range(60)]) for _ in range(10)]  # half alike
+    rng.shuffle(texts)
+    rows = list(enumerate(texts)) + [(3, texts[50]), (3, "other words of the same document id here"), (None, texts[0]), (None, None), (7, texts[7])]
+    for paired in (3, 16):
+        monkeypatch.setattr(ngram_join.candidate_pairs, "__defaults__", (paired,))
+        df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, h1 int").repartition(4)
+        got = sorted((r["n_shingles"], r["component_id"] if r["component_id"] is not None else -1, -1 if r["doc_id"] is None else r["doc_id"]) for r in ngram_join.jaccard_components(df).collect())
+        sets = [shingles(t) for _, t in rows]
+        root = list(range(len(rows)))
+        find = lambda v: v if root[v] == v else find(root[v])
+        for a in range(len(rows)):
+            for b in range(a):
+                if None not in (rows[a][0], rows[b][0]) and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+        least = {}
+        for i, (d, _) in enumerate(rows):
+            if d is not None:
+                least[find(i)] = min(d, least.get(find(i), d))
+        assert got == sorted((len(sets[i]), -1 if d is None else least[find(i)], -1 if d is None else d) for i, (d, _) in enumerate(rows))
+
+
 def test_signatures_lose_no_pair():
     """Pairs at and around the threshold share at least the guaranteed number of signatures in one scheme."""
     import numpy as np
