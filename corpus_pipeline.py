@@ -5,8 +5,11 @@ last return the columns of documents. Text that a stage changes is its kept word
 with n_chars counted anew; other rows pass unchanged, and only the quality, near-duplicate and
 decontamination stages drop rows.
 
-A document without an id can't be ordered or named by it: it passes the near-duplicate and repeated-passage stages
-unchanged, and is no earlier copy of others there. The decontamination stage judges it by its text as any other.
+Cases: rows of one doc_id are one document, in parts. They stay or go together in the near-duplicate stage (as the part with the smallest
+component does), never cut each other in the repeated-passage stage, and are judged one by one in the others. A document without an id can't
+be ordered or named by it: it passes the near-duplicate and repeated-passage stages unchanged, and is no earlier copy of others there; the
+other stages judge it by its text. Null and empty texts have no shingles, windows or tokens, and a quality score like any other. Very long texts are
+read whole. Of ties the smallest id stays. Empty tables give empty results; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, ngram_join, quality, substring_dedup, word_bpe
-from strandlake.llm.shared import materialize, table
+from strandlake.llm.shared import discard, materialize, table
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,31 +28,22 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document of smallest id; documents without an id pass."""
-    named = docs.where("doc_id is not null")
-    first = ngram_join.jaccard_components(named).where("component_id = doc_id").select("doc_id")
-    kept = named.join(first, "doc_id", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    first = ngram_join.jaccard_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least")).where("least < doc_id")
+    return docs.join(first.select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that begin in earlier ones."""
-    cut = substring_dedup.remove_repeats(docs.where("doc_id is not null"), outputs="texts").where("n_removed > 0").select("doc_id", "kept")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("kept"))
-    size = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
-    return docs.join(cut, "doc_id", "left").withColumns({"text": text, "n_chars": size}).select(*docs.columns)
+    out = substring_dedup.remove_repeats(docs, outputs="rows")
+    size = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col("kept"), "n_chars": size}
+    whole = F.col("n_removed") == 0
+    return out.select(*[F.when(whole, F.col("row")[c]).otherwise(new[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth lies in benchmark windows."""
-    tests, named, nameless = table(spark, sf_dir, "benchmark"), docs.where("doc_id is not null"), docs.where("doc_id is null")
-    found = decontaminate.decontaminate(named, tests)
-    kept = named.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    if nameless.isEmpty():
-        return kept
-    # numbers stand in for the missing ids; they are stored, so that they stay the same
-    given = materialize(nameless.withColumn("_row", F.monotonically_increasing_id()), "nameless")
-    found = decontaminate.decontaminate(given, tests, id_col="_row").where("contaminated").select(F.col("doc_id").alias("_row"))
-    return kept.unionByName(given.join(found, "_row", "left_anti").select(*docs.columns))
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +61,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs, done = materialize(stage(spark, docs, sf_dir), name), before
+        if done is not None:
+            discard(spark, done)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
