@@ -6,6 +6,8 @@ that only one document has can't repeat; only fragments of the other keys are ke
 (with the smallest document that has it), and all fragments of a key meet in one shard. The key of very many documents is refined
 by more of the smallest hashes, the more the more documents there are, up to all of a window's; then a key stands for one window's
 words, of which a shard holds a single copy. So a passage that any share of the documents has doesn't gather their neighbourhoods in one shard.
+Rows are dealt by key and sorted, and a task takes whole keys as a shard until it has SHARD_WORDS words. The words of a fragment are shuffled once a
+task that cut it out; its smallest document comes from an aggregate of its own, with partial minima.
 
 In a shard, a key's fragments are ranked by their documents, and merged as in a tournament: at each level the fragments of every left half
 are indexed, and those of the right half, which are of later documents, are streamed through the index. What is found to be a repeat is
@@ -37,16 +39,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from strandlake.llm.kernels import U64, Words, mix, rolling, row_slices
-from strandlake.llm.shared import materialize
+from strandlake.llm.shared import discard, materialize
 
 WINDOW = 50
 ANCHOR = 20
 #: From how many documents of a key on it is refined, and by how many hashes (0: all of the window's).
 HOT_DOCS = 1_000
-REFINED = ((1, 2), (32, 6), (512, 0))
-SHARD_WORDS = 600_000
+REFINED = ((1, 4), (16, 12), (256, 0))
+SHARD_WORDS = 1_000_000
+#: Fragments that a task remembers, so that it sends the words of equal ones once.
+SEEN_FRAGMENTS = 500_000
 #: Windows of a stretch that is streamed in one piece, and the match length at which the search goes back to the window's.
-PIECE, DEEPEST = 1_024, 62
+PIECE, DEEPEST = 256, 62
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -284,7 +288,7 @@ def keys_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 def fragments_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """doc_id, part, pos, size, key, f1, f2, codes. docs: doc_id, part, text, keys (those to keep), hot (for each degree of refinement, the keys of that degree).
 
-    f1 and f2 are hashes of the words; codes are given once for equal fragments of a slice.
+    f1 and f2 are hashes of the words; codes are given once for equal fragments of a task, as far as it remembers them.
     """
     width = window - anchor + 1
 
@@ -299,12 +303,14 @@ def fragments_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             key[own] = mixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows = zip(*(part.column(i).to_pylist() for i in range(5)))
                 cols: list[list] = [[] for _ in range(8)]
-                seen: set[tuple[int, int]] = set()
+                if len(seen) > SEEN_FRAGMENTS:
+                    seen.clear()
                 for i, p, text, keys, hot in rows:
                     w = Words([(text or "").encode("utf-8", "surrogatepass")])
                     h = w.hashes()
@@ -333,12 +339,40 @@ def fragments_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.select("doc_id", "part", "text", "keys", "hot").mapInArrow(run, "doc_id long, part long, pos long, size long, key long, f1 long, f2 long, codes binary")
 
 
-def search_shard(table: pa.Table, window: int) -> pa.Table:
-    """f1, f2, owner, runs: word ranges of the fragment that windows of smaller documents cover (flat pairs of start and end)."""
-    owner, key = table.column("owner").to_numpy(), table.column("key").to_numpy()
-    codes = [np.frombuffer(b, np.uint64) for b in table.column("codes").to_pylist()]
-    runs = [covered(np.flatnonzero(f), window) for f in repeats(codes, key, owner, window)]
-    return pa.table([table.column("f1").cast(pa.int64()), table.column("f2").cast(pa.int64()), pa.array(owner, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=["f1", "f2", "owner", "runs"])
+def search_keys(window: int):
+    """Maps rows sorted by key, f1, f2 (doc_id, and codes or null) to f1, f2, owner, runs: one row for each fragment.
+
+    runs: word ranges of the fragment that windows of documents before the owner cover (flat pairs of start and end).
+    """
+    names = ["f1", "f2", "owner", "runs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []  # key, f1, f2, owner, codes
+        words = 0
+
+        def search() -> pa.RecordBatch:
+            rows = [r for r in held if r[4] is not None]
+            flags = repeats([np.frombuffer(r[4], np.uint64) for r in rows], np.array([r[0] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), window)
+            out = [(r[1], r[2], r[3], covered(np.flatnonzero(f), window)) for r, f in zip(rows, flags)]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                key, f1, f2, doc_id, codes = row
+                if held and held[-1][0] != key and words >= SHARD_WORDS:
+                    yield search()
+                    held, words = [], 0
+                if not held or held[-1][0] != key or held[-1][1] != f1 or held[-1][2] != f2:
+                    held.append([key, f1, f2, doc_id, None])
+                last = held[-1]
+                last[3] = min(last[3], doc_id)
+                if codes is not None and last[4] is None:
+                    last[4], words = codes, words + len(codes) // 8
+        if held:
+            yield search()
+
+    return run
 
 
 def covered(starts: np.ndarray, window: int) -> list[int]:
@@ -365,12 +399,12 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = F.array(*[F.collect_list(F.when(F.col("degree") == i + 1, F.col("key"))) for i in range(len(REFINED))])
     marks = keys.join(shared.select("key", degree.alias("degree")), "key").groupBy("doc_id", "part").agg(F.collect_list("key").alias("keys"), hot.alias("hot"))
     found = materialize(fragments_of(docs.join(marks, ["doc_id", "part"]), window, anchor), "fragments")
-    spark = df.sparkSession
+    discard(df.sparkSession, keys)
     total = found.where("codes is not null").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
-    distinct = found.groupBy("key", "f1", "f2").agg(F.min("doc_id").alias("owner"), F.first("codes", ignorenulls=True).alias("codes"))
-    sharded = distinct.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "f1", "f2", "owner", "codes")
-    hits = sharded.groupBy("shard").applyInArrow(lambda t: search_shard(t, window), "f1 long, f2 long, owner long, runs array<int>")
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
+    owners = found.groupBy("key", "f1", "f2").agg(F.min("doc_id").alias("doc_id")).withColumn("codes", F.lit(None).cast("binary"))
+    dealt = owners.unionByName(found.where("codes is not null").select("key", "f1", "f2", "doc_id", "codes")).repartition(tasks, "key")
+    hits = dealt.sortWithinPartitions("key", "f1", "f2").mapInArrow(search_keys(window), "f1 long, f2 long, owner long, runs array<int>")
     # a document other than the owner has the whole fragment from the owner
     at = found.select("doc_id", "part", "pos", "size", "f1", "f2").join(hits, ["f1", "f2"])
     runs = F.when(F.col("doc_id") != F.col("owner"), F.array(F.lit(0), F.col("size").cast("int"))).otherwise(F.col("runs"))
