@@ -17,8 +17,9 @@ Equal sets are one class from the start. Signatures are packed and met in bucket
 short list are paired and counted, and the classes of a long list are tied by a star, without pairs. Pairs
 with at least c common signatures form candidate groups, in which sets are compared exactly inside a task; only a forest of
 links leaves it. A group of one block is compared whole. Of a larger group each block is compared with itself and with SEED_SETS seeds of
-the group, which ties a family of copies together at a cost in proportion to it. Only the sets that this leaves outside the group's largest
-component are then compared with the whole group, block by block, so that no link is lost.
+the group, which ties a family of copies together at a cost in proportion to it. A link that this leaves out is one between two components: its sets
+share one of the smallest elements of each (prefix filtering), so only sets with such an element in common with another component are
+compared once more, by pairs of blocks, and no link is lost.
 
 Cases: null texts and texts without words have no shingles, and link with nothing; texts of fewer words than
 `k` have their whole sequence as one shingle; equal texts share a class and a component; rows of one id are judged each by its own
@@ -332,55 +333,64 @@ def candidate_pairs(table: pa.Table, num: int, den: int, paired: int = PAIRED) -
     return pa.table([pa.array(c.astype(bool) if t == pa.bool_() else c.astype(np.int64), t) for c, t in zip(cols, types)], names=names)
 
 
-def links_within(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A forest of the links between sets of `left` and sets of `right` (flags), by exact counts."""
-    n = len(ids)
+def links_among(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets of distinct elements, by exact counts.
+
+    Components grow set by set: each set that joins is counted against the sets that no component has yet, through lists of the sets
+    that have an element. The lists are made anew once half of their sets are taken, so a family of copies costs about its elements, not its pairs.
+    """
     size = np.array([len(s) for s in sets], np.int64)
-    x = np.concatenate(sets)
-    own = np.repeat(np.arange(n), size)
-    order = np.argsort(x, kind="stable")
-    x, own = x[order], own[order]
-    starts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-    counts = np.diff(np.append(starts, len(x)))
-    column = np.repeat(np.arange(len(starts)), counts)
-    shared = counts[column] > 1
-    own, column = own[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
-    ra, rb = np.flatnonzero(left), np.flatnonzero(right)
-    row_a, row_b = np.full(n, -1), np.full(n, -1)
-    row_a[ra], row_b[rb] = np.arange(len(ra)), np.arange(len(rb))
-    common = np.zeros((len(ra), len(rb)), np.float32)
-    step = max(1, (16 << 20) // (4 * n))  # columns at once
-    bounds = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + step, step))
-    for k, (i, j) in enumerate(zip(bounds[:-1], bounds[1:])):
-        if i == j:
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.concatenate(([0], np.cumsum(size)))
+    owner = np.repeat(np.arange(len(sets)), size)
+    free = np.ones(len(sets), bool)
+    out: list[tuple[int, int]] = []
+
+    def lists():
+        at = np.flatnonzero(free[owner])
+        at = at[np.argsort(column[at], kind="stable")]
+        return owner[at], np.searchsorted(column[at], np.arange(columns + 1))
+
+    columns = int(column.max()) + 1
+    members, start = lists()
+    listed = left = len(sets)
+    for seed in range(len(sets)):
+        if not free[seed]:
             continue
-        part = np.zeros((n, step), np.float32)
-        part[own[i:j], column[i:j] - k * step] = 1
-        common += part[ra] @ part[rb].T
-    common = common.astype(np.int64)
-    union = size[ra][:, None] + size[rb][None, :] - common
-    i, j = np.nonzero(den * common >= num * union)
-    a, b = ids[ra[i]], ids[rb[j]]
-    ok = a != b
-    a, b = a[ok], b[ok]
-    return [(int(a[e]), int(b[e])) for e in forest(a, b)]
+        free[seed] = False
+        left -= 1
+        todo = [seed]
+        while todo and left:
+            if 2 * left < listed:
+                (members, start), listed = lists(), left
+            i = todo.pop()
+            own = column[first[i] : first[i + 1]]
+            lo, n = start[own], start[own + 1] - start[own]
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            common = np.bincount(members[at], minlength=len(sets))
+            seen = np.flatnonzero(common)
+            common = common[seen]
+            ok = free[seen] & (den * common >= num * (size[i] + size[seen] - common))
+            for j in seen[ok].tolist():
+                out.append((int(ids[i]), int(ids[j])))
+                todo.append(j)
+            free[seen[ok]] = False
+            left -= int(ok.sum())
+    return out
 
 
 def verify_group(table: pa.Table, num: int, den: int) -> pa.Table:
     """Links of the candidate groups of one pack, or of a block of a group with what meets it."""
     out: list[tuple[int, int]] = []
-    t = table.to_pydict()
-    groups = np.array(t["grp"], np.int64)
-    ids = np.array(t["h1"], np.int64)
-    side = np.array(t["side"], np.int64)
+    groups, ids = np.array(table.column("grp").to_pylist(), np.int64), np.array(table.column("h1").to_pylist(), np.int64)
+    items = table.column("items").to_pylist()
     order = np.lexsort((ids, groups))
     cut = np.flatnonzero(np.concatenate(([True], groups[order][1:] != groups[order][:-1]))) if len(order) else np.zeros(0, np.int64)
     for lo, hi in zip(cut, np.append(cut[1:], len(order))):
         at = order[lo:hi]
+        at = at[np.concatenate(([True], ids[at][1:] != ids[at][:-1]))]  # a class once
         if len(at) > 1:
-            sets = [np.frombuffer(t["items"][i], np.uint64) for i in at]
-            out += links_within(ids[at], sets, side[at] != 1, side[at] != 0, num, den)
+            out += links_among(ids[at], [np.frombuffer(items[i], np.uint64) for i in at], num, den)
     return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
@@ -413,12 +423,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     packs = max(1, -(-total // PACK_SHINGLES), min(buckets, total // 50_000))
     placed = materialize(members.join(sizes, "root").select("root", "h1", "rep", "blocks", F.pmod(F.xxhash64("h1", F.lit(5)), F.col("blocks")).cast("int").alias("block")), "placed")
-    held = set_table(docs, placed.where("blocks = 1"), k)
+    held = materialize(set_table(docs, placed, k), "held")
     pack = F.pmod(F.xxhash64("root"), F.lit(packs))
-    links = verified(held.select(pack.alias("task"), F.col("root").alias("grp"), "h1", F.lit(2).alias("side"), "items"), num, den)
-    large = placed.where("blocks > 1")
-    if not large.isEmpty():
-        links = links.unionByName(links_of_large_groups(docs, large, k, num, den))
+    links = verified(held.where("blocks = 1").select(pack.alias("task"), F.col("root").alias("grp"), "h1", "items"), num, den)
+    if not placed.where("blocks > 1").isEmpty():
+        links = links.unionByName(links_of_large_groups(held.where("blocks > 1"), num, den))
     # classes that are linked, and the smallest id of each component
     roots = materialize(with_roots(components(links)).join(classes, F.col("node") == F.col("h1")).select("root", "h1", "rep"), "roots")
     least = roots.groupBy("root").agg(F.min("rep").alias("component"))
@@ -455,31 +464,47 @@ def set_table(docs: DataFrame, placed: DataFrame, k: int) -> DataFrame:
 
 
 def verified(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links a, b of the sets of each task. rows: task, grp, h1, side (0 left, 1 right, 2 both), items."""
+    """Links a, b of the sets of each group of a task. rows: task, grp, h1, items."""
     return rows.groupBy("task").applyInArrow(lambda t: verify_group(t, num, den), "a long, b long")
 
 
-def links_of_large_groups(docs: DataFrame, large: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links that tie the components of groups of several blocks."""
+def links_of_large_groups(held: DataFrame, num: int, den: int) -> DataFrame:
+    """Links that tie the components of groups of several blocks. held: h1, root, blocks, block, items."""
     by_hash = Window.partitionBy("root").orderBy(F.xxhash64("h1"), "h1")
-    seeds = large.select("root", "h1").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= SEED_SETS).select("h1", F.lit(True).alias("seed"))
-    held = materialize(set_table(docs, large, k).join(seeds, "h1", "left"), "held")
+    seeds = held.select("root", "h1").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= SEED_SETS).select("root", "h1")
     # a set goes to its block, a seed to the others' as well
-    own = held.select("root", "block", "h1", F.lit(2).alias("side"), "items")
-    others = held.where("seed").select("root", F.col("block").alias("home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "h1", "items").where("block <> home")
-    first = own.unionByName(others.select("root", "block", "h1", F.lit(1).alias("side"), "items"))
-    links = materialize(verified(first.select(F.xxhash64("root", "block").alias("task"), F.xxhash64("root", "block").alias("grp"), "h1", "side", "items"), num, den), "links")
-    # what is outside a group's largest component meets the whole group
-    tied = held.select("root", "h1", "blocks").join(components(links).withColumnRenamed("root", "tie"), F.col("h1") == F.col("node"), "left").select("root", "h1", "blocks", F.coalesce("tie", "h1").alias("tie"))
-    tied = materialize(tied, "tied")
-    most = tied.groupBy("root", "tie").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("tie", F.struct("n", "tie")).alias("main"))
-    outside = materialize(tied.join(most, "root").where("tie <> main").select("root", "h1"), "outside")
-    if outside.isEmpty():
+    own = held.select("root", "block", "h1", "items")
+    others = held.join(seeds, ["root", "h1"], "left_semi").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "h1", "items", F.col("block").alias("home")).where("block <> home").drop("home")
+    task = F.xxhash64("root", "block")
+    links = materialize(verified(own.unionByName(others).select(task.alias("task"), task.alias("grp"), "h1", "items"), num, den), "links")
+    # sets that share an element of their prefixes with a set of another component of the group
+    tied = components(links)
+    tied = materialize(held.select("root", "h1").join(tied.select("node", F.col("root").alias("tie")), F.col("h1") == F.col("node"), "left").select("root", "h1", F.coalesce("tie", "h1").alias("tie")), "tied")
+    if tied.groupBy("root").agg(F.min("tie").alias("a"), F.max("tie").alias("b")).where("a < b").isEmpty():
         return links
-    parts = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts"))
-    right = held.join(parts, "root").select("root", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "h1", F.lit(1).alias("side"), "items")
-    left = held.select("root", "h1", "items", "blocks").join(outside.select("h1"), "h1").join(parts, "root")
-    left = left.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("h1", F.lit(9)), F.col("parts")).cast("int").alias("part"), "h1", F.lit(0).alias("side"), "items")
-    task = F.xxhash64("root", "block", "part")
-    rest = left.unionByName(right.select(*left.columns)).select(task.alias("task"), task.alias("grp"), "h1", "side", "items")
-    return links.unionByName(verified(rest, num, den))
+    elements = prefixes(held.select("h1", "items"), num, den).join(tied, "h1")
+    across = elements.groupBy("root", "x").agg(F.min("tie").alias("a"), F.max("tie").alias("b")).where("a < b").select("root", "x")
+    open_ = materialize(elements.join(across, ["root", "x"]).select("root", "h1").distinct(), "open")
+    parts = open_.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts"))
+    rest = held.select("root", "h1", "items").join(open_, ["root", "h1"]).join(parts, "root").withColumn("part", F.pmod(F.xxhash64("h1", F.lit(9)), F.col("parts")).cast("int"))
+    rest = rest.select("root", "h1", "items", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    task = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))
+    return links.unionByName(verified(rest.select(task.alias("task"), task.alias("grp"), "h1", "items"), num, den))
+
+
+def prefixes(held: DataFrame, num: int, den: int) -> DataFrame:
+    """h1, x: each set's smallest elements, so many that linked sets share one: they have at least num/den of either's elements in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, xs = [], []
+                for i, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    x = np.sort(np.frombuffer(raw, np.uint64))
+                    x = x[: len(x) + 1 - -(-num * len(x) // den)]
+                    ids.append(np.full(len(x), i, np.int64))
+                    xs.append(x.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(xs))], ["h1", "x"])
+
+    return held.mapInArrow(run, "h1 long, x long")
