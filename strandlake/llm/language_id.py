@@ -1,8 +1,8 @@
 """Language identification by multilingual mixture inference.
 
-Each language has a smoothed distribution over hashed byte n-grams. A document's words are drawn from
+Each language has a smoothed distribution over hashed runs of three bytes. A document's words are drawn from
 a mixture of languages; expectation-maximisation estimates the proportions. The set of languages is
-then chosen by penalised likelihood: the sets are the one, two, ... most frequent languages, each set's
+then chosen by penalised likelihood: the sets tried are nested, the one, two, ... most frequent languages (not every set), each set's
 proportions are estimated anew, and each language costs half the logarithm of the number of words.
 The predicted language is the largest of the chosen set, the score its proportion.
 
@@ -40,13 +40,13 @@ for _c in range(97, 123):
 
 
 def grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of the n-grams (of one, two and three bytes after each position's first), starts of the words in them, each word's text.
+    """Slots of the three-byte runs that begin at each letter and at the space before each word, starts of the words in them, each word's text.
 
-    A word is a run of ASCII letters and bytes from 0x80, with one space before it and one behind.
+    A word is a run of ASCII letters and bytes from 0x80. Two spaces stand between texts, so no run reaches into the next one.
     """
-    buf = _FOLD[np.frombuffer(b" ".join([b"", *raws, b"   "]), np.uint8)]
-    sizes = np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws))
-    ends = np.cumsum(sizes) + 1
+    buf = _FOLD[np.frombuffer(b"  ".join([b"", *raws, b"   "]), np.uint8)]
+    sizes = np.fromiter((len(r) + 2 for r in raws), np.int64, len(raws))
+    ends = np.cumsum(sizes) + 2
     inside = buf != 32
     keep = np.flatnonzero(inside[:-3] | inside[1:-2])  # the letters, and the space before each word
     four = np.ndarray((len(buf) - 3,), "<u4", np.ascontiguousarray(buf).data, 0, (1,))[keep].astype(np.uint64)

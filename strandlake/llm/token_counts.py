@@ -8,6 +8,9 @@ character only, so every encoding, wherever it began, breaks at such a position,
 depends on the later text alone. If the overlap holds no such boundary, it is doubled, up to the
 whole rest of the text.
 
+Chunks are encoded by another library than the contract's, with the same vocabulary from a file of its own format (ranks of byte strings);
+the tests hold the counts against the contract's library and file.
+
 Cases: null text counts as empty (0 bytes, 0 tokens); special strings inside a text count as one
 token each, as the tokenizer's default has it, and cut the text; ties and repeated rows are counted
 row by row; an empty table gives an empty result; other columns of the input are ignored.
