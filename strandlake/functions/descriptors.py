@@ -1,17 +1,21 @@
-"""Sequence descriptors as Column expressions; no UDF.
+"""Sequence descriptors as Column expressions.
 
-Additive descriptors are linear in the 20 letter counts, which are computed once per row. Positional
-ones fold over arrays of residue values. Null sequences give nulls.
+Additive descriptors are linear in the 20 letter counts, which with_descriptors makes columns of once per row. Those that hang on the
+order of residues along the whole chain (moments, patterning) run in one Arrow function over batches (functions/vectors.py), which takes
+about a tenth of the time of folds over arrays; wheel, topology and helicity are folds. Null sequences give nulls.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from strandlake.functions import scales as S
+from strandlake.functions import vectors
 
 GLOBAL = ["net_charge", "charge_density", "isoelectric_point", "mean_hydrophobicity", "gravy", "boman", "mean_helix_propensity", "molecular_weight", "moment_helix", "moment_sheet", "moment_windowed", "periodicity_purity", "kappa", "hydrophobic_blockiness"]
 COMPOSITION = ["fcr", "ncpr", "frac_cationic", "frac_anionic", "frac_aromatic", "frac_glycine", "frac_proline"]
@@ -20,10 +24,20 @@ PARTITION = ["dg_interface", "dg_octanol", "dg_interface_per_res", "dg_octanol_p
 LIABILITY = ["frac_hydrophobic", "longest_hydrophobic_run", "longest_beta_branched_run", "n_oxidation_prone", "n_liability_motifs", "mean_sheet_propensity", "length"]
 TOPOLOGY = ["h0_n_components", "h0_max_death", "h0_total_death", "h0_mean_death", "h0_gap", "h0_n_patches"]
 DISORDER = ["helicity_water", "helicity_interface", "helicity_gap", "helicity_ratio", "switchability", "water_optimum_dev", "prefold_risk", "charge_helix_coupling", "helicity_length_product"]
+MOMENTS = ["moment_helix", "moment_sheet", "moment_windowed", "periodicity_purity"]
 #: The descriptor columns in their fixed order.
 FEATURES = GLOBAL + COMPOSITION + WHEEL + PARTITION + LIABILITY + TOPOLOGY
 
 
+def tiers(columns: list[str] = FEATURES) -> dict[str, list[str]]:
+    """Nested lists of descriptors, each with one more kind: what is left without the others, moments, wheel, topology."""
+    kinds = {"+moment": [c for c in columns if c in MOMENTS], "+wheel": [c for c in columns if c in WHEEL], "+topology": [c for c in columns if c in TOPOLOGY]}
+    out = {"composition": [c for c in columns if not any(c in k for k in kinds.values())]}
+    for name, own in kinds.items():
+        out[name] = [*out[list(out)[-1]], *own]
+    return out
+
+
 def bind(value: Column, use) -> Column:
     """use(value) with the value computed once."""
     return F.get(F.transform(F.array(value), use), 0)
@@ -33,13 +47,15 @@ def count_letters(s: Column, letters: str) -> Column:
     return F.length(s) - F.length(F.translate(s, letters, ""))
 
 
-def weighted(s: Column, scale: dict[str, float]) -> Column:
-    """Sum of a scale over a sequence."""
-    terms = [count_letters(s, a) * F.lit(float(v)) for a, v in scale.items()]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+def counted(s: Column):
+    """Count of one letter, as a function of it."""
+    return lambda a: count_letters(s, a)
+
+
+def weighted(s: Column, scale: dict[str, float], count=None) -> Column:
+    """Sum of a scale over a sequence. count: the count of a letter as a Column, where it is there already."""
+    count = count or counted(s)
+    return sum((count(a) * F.lit(float(v)) for a, v in scale.items()), F.lit(0.0))
 
 
 def values(s: Column, scale: dict[str, float], default: float = 0.0) -> Column:
@@ -56,14 +72,14 @@ def molecular_weight(s: Column) -> Column:
     return weighted(s, S.RESIDUE_MASS) + S.WATER_MASS
 
 
-def net_charge(s: Column, ph: float = 7.4) -> Column:
+def net_charge(s: Column, ph: float = 7.4, count=None) -> Column:
     base = {a: 1 / (1 + 10 ** (ph - p)) for a, p in S.PKA_BASE.items()}
     acid = {a: -1 / (1 + 10 ** (p - ph)) for a, p in S.PKA_ACID.items()}
     ends = 1 / (1 + 10 ** (ph - S.PKA_N_TERMINUS)) - 1 / (1 + 10 ** (S.PKA_C_TERMINUS - ph))
-    return weighted(s, base | acid) + ends
+    return weighted(s, base | acid, count) + ends
 
 
-def isoelectric_point(s: Column, steps: int = 60) -> Column:
+def isoelectric_point(s: Column, steps: int = 60, count=None) -> Column:
     """Bisection of the charge over pH 0 to 14."""
     def charge(counts: Column, ph: Column) -> Column:
         out = 1 / (1 + F.pow(F.lit(10.0), ph - S.PKA_N_TERMINUS)) - 1 / (1 + F.pow(F.lit(10.0), S.PKA_C_TERMINUS - ph))
@@ -74,7 +90,7 @@ def isoelectric_point(s: Column, steps: int = 60) -> Column:
                 out = out - F.get(counts, i) / (1 + F.pow(F.lit(10.0), p - ph))
         return out
 
-    counts = F.array(*[count_letters(s, a) for a in [*S.PKA_BASE, *S.PKA_ACID]])
+    counts = F.array(*[(count or counted(s))(a) for a in [*S.PKA_BASE, *S.PKA_ACID]])
 
     def solve(c: Column) -> Column:
         def step(state: Column, _: Column) -> Column:
@@ -88,37 +104,17 @@ def isoelectric_point(s: Column, steps: int = 60) -> Column:
     return bind(counts, solve)
 
 
-def resultant(x: Column, degrees: float) -> Column:
-    """|sum of x[k] e^(i k angle)| of an array."""
-    a = math.radians(degrees)
-    part = lambda f: F.aggregate(F.transform(x, lambda v, k: v * f(k * F.lit(a))), F.lit(0.0), lambda acc, v: acc + v)
-    return F.sqrt(F.pow(part(F.cos), F.lit(2.0)) + F.pow(part(F.sin), F.lit(2.0)))
-
-
-def hydrophobic_moment(s: Column, degrees: float = S.HELIX_DEGREES) -> Column:
-    return F.when(F.length(s) == 0, 0.0).otherwise(resultant(values(s, S.EISENBERG), degrees) / F.length(s))
+def positional(s: Column) -> Column:
+    """Struct of the six descriptors of vectors.POSITIONAL."""
 
+    def run(x: pd.Series) -> pd.DataFrame:
+        got = pd.DataFrame(vectors.positional(x.fillna("").tolist()))
+        return got.mask(x.isna().to_numpy()[:, None].repeat(got.shape[1], axis=1))
 
-def windowed_moment(s: Column, window: int = 11, degrees: float = S.HELIX_DEGREES) -> Column:
-    n = F.length(s)
-    best = bind(values(s, S.EISENBERG), lambda h: F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: resultant(F.slice(h, i, window), degrees))))
-    return F.when(n <= window, hydrophobic_moment(s, degrees)).otherwise(best / window)
-
-
-def periodicity_purity(s: Column) -> Column:
-    """Share of the power at 100 degrees among 2, 4, ..., 358 degrees.
-
-    The 180 angles are a whole DFT, so their powers add up to 180 times the sum of squares, and the power at 0 of
-    centred values is 0: the total needs no loop over angles (for up to 180 residues). Values that are flat but for rounding give 0.
-    """
-    def share(h: Column) -> Column:
-        mean = F.aggregate(h, F.lit(0.0), lambda a, v: a + v) / F.size(h)
-        return bind(
-            bind(mean, lambda m: F.transform(h, lambda v: v - m)),
-            lambda c: bind(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v), lambda ss: F.when(ss <= 1e-20, 0.0).otherwise(F.pow(resultant(c, S.HELIX_DEGREES), F.lit(2.0)) / (ss * 180.0))),
-        )
-
-    return F.when(F.length(s) < 6, 0.0).otherwise(bind(values(s, S.EISENBERG), share))
+    schema = StructType()
+    for name in vectors.POSITIONAL:
+        schema.add(name, DoubleType())
+    return F.pandas_udf(run, schema)(s)
 
 
 def hydrophobic_positions(s: Column) -> Column:
@@ -142,42 +138,13 @@ def wheel(s: Column) -> Column:
     return bind(hydrophobic_positions(s), stats)
 
 
-def _asymmetry(charges: Column, blob: int) -> Column:
-    """Mean over windows of the squared deviation of charge asymmetry from the whole's."""
-    n = F.size(charges)
-    share = lambda x, sign, m: F.size(F.filter(x, lambda v: v == sign)) / m
-
-    def whole(p: Column, q: Column) -> Column:
-        sigma = F.when(p + q > 0, F.pow(p - q, F.lit(2.0)) / (p + q)).otherwise(0.0)
-
-        def window(i: Column) -> Column:
-            w = F.slice(charges, i, blob)
-            return bind(F.struct(share(w, 1, F.lit(float(blob))).alias("p"), share(w, -1, F.lit(float(blob))).alias("q")), lambda t: F.when(t["p"] + t["q"] == 0, F.pow(p - q, F.lit(2.0))).otherwise(F.pow(F.pow(t["p"] - t["q"], F.lit(2.0)) / (t["p"] + t["q"]) - sigma, F.lit(2.0))))
+def face_centre(s: Column) -> Column:
+    """Circular mean of the hydrophobic residues' wheel angles in degrees; 0 without any, and where they cancel out (up to rounding)."""
+    def centre(idx: Column) -> Column:
+        part = lambda f: F.aggregate(idx, F.lit(0.0), lambda acc, i: acc + f(F.radians(((i * 100) % 360).cast("double"))))
+        return bind(F.struct(part(F.cos).alias("x"), part(F.sin).alias("y")), lambda v: F.when(F.hypot(v["x"], v["y"]) < 1e-9, 0.0).otherwise(F.pmod(F.degrees(F.atan2(v["y"], v["x"])) + 360, F.lit(360.0))))
 
-        return F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(n - blob + 1, F.lit(1))), window), F.lit(0.0), lambda a, v: a + v) / (n - blob + 1)
-
-    own = bind(F.struct(share(charges, 1, n).alias("p"), share(charges, -1, n).alias("q")), lambda t: whole(t["p"], t["q"]))
-    return F.when(n < blob, 0.0).otherwise(own)
-
-
-def patterning(charges: Column, blobs: tuple[int, int] = (5, 6)) -> Column:
-    """Asymmetry of an array of 1, 0 and -1 over that of its segregated order (+, 0, -)."""
-    def ratio(c: Column) -> Column:
-        of = lambda v: F.size(F.filter(c, lambda x: x == v))
-        apart = F.concat(F.array_repeat(F.lit(1), of(1)), F.array_repeat(F.lit(0), of(0)), F.array_repeat(F.lit(-1), of(-1)))
-        mean = lambda x: (_asymmetry(x, blobs[0]) + _asymmetry(x, blobs[1])) / 2
-        return bind(bind(apart, mean), lambda ref: F.when((F.size(c) == of(0)) | (ref <= 0), 0.0).otherwise(mean(c) / ref))
-
-    return bind(charges, ratio)
-
-
-def kappa(s: Column) -> Column:
-    sign = lambda c: F.when(F.instr(F.lit("KR"), c) > 0, 1).when(F.instr(F.lit("DE"), c) > 0, -1).otherwise(0)
-    return patterning(F.transform(F.split(s, ""), sign))
-
-
-def hydrophobic_blockiness(s: Column) -> Column:
-    return patterning(F.transform(F.split(s, ""), lambda c: F.when(F.instr(F.lit(S.HYDROPHOBIC), c) > 0, 1).otherwise(-1)))
+    return bind(hydrophobic_positions(s), centre)
 
 
 def longest_run(s: Column, letters: str) -> Column:
@@ -185,14 +152,18 @@ def longest_run(s: Column, letters: str) -> Column:
     return F.when(s.isNotNull(), F.coalesce(F.array_max(runs), F.lit(0)).cast("double"))
 
 
+def distances() -> list[float]:
+    """Distance of two residues on the ideal helix by how far apart they are along the chain."""
+    return [round(math.sqrt(2 * S.HELIX_RADIUS**2 * (1 - math.cos(math.radians(S.HELIX_DEGREES) * d)) + (S.HELIX_RISE * d) ** 2), 9) for d in range(S.MAX_LENGTH)]
+
+
 def h0(s: Column) -> Column:
     """Struct of the six H0 statistics of the hydrophobic points on an ideal helix.
 
     Deaths are the edges of a minimum spanning tree. The distance of two points depends on how far apart they are along
     the chain only, so it is looked up; the tree grows by Prim's rule in a fold.
     """
-    away = [math.sqrt(2 * S.HELIX_RADIUS**2 * (1 - math.cos(math.radians(S.HELIX_DEGREES) * d)) + (S.HELIX_RISE * d) ** 2) for d in range(S.MAX_LENGTH)]
-    table = F.array(*[F.lit(round(x, 9)) for x in away])
+    table = F.array(*[F.lit(x) for x in distances()])
     dist = lambda i, j: F.get(table, F.abs(i - j))
 
     def deaths(idx: Column) -> Column:
@@ -246,27 +217,25 @@ def helicity(s: Column, scale: float, v: float, eps: float = 1e-3) -> Column:
 
 def with_descriptors(df: DataFrame, seq: str = "s", topology: bool = True) -> DataFrame:
     """df with the descriptor columns, in a few projections so that generated methods stay small."""
-    s = F.col(seq)
+    s, own = F.col(seq), df.columns
     n = F.greatest(F.length(s), F.lit(1))
+    count = lambda a: F.col(f"_n_{a}")
+    of = lambda some: sum((count(a) for a in some[1:]), count(some[0])).cast("double")
+    df = df.withColumns({f"_n_{a}": count_letters(s, a) for a in S.ALPHABET}).withColumns({
+        "net_charge": net_charge(s, count=count), "isoelectric_point": isoelectric_point(s, count=count), "mean_hydrophobicity": weighted(s, S.EISENBERG, count) / n, "gravy": weighted(s, S.KYTE_DOOLITTLE, count) / n,
+        "boman": weighted(s, S.BOMAN, count) / n, "mean_helix_propensity": weighted(s, S.HELIX_PROPENSITY, count) / n, "molecular_weight": weighted(s, S.RESIDUE_MASS, count) + S.WATER_MASS,
+        "dg_interface": weighted(s, S.WW_INTERFACE, count), "dg_octanol": weighted(s, S.WW_OCTANOL, count), "mean_sheet_propensity": weighted(s, S.SHEET_PROPENSITY, count) / n, "length": F.length(s).cast("double"),
+        "fcr": of("KRDE") / n, "ncpr": (of("KR") - of("DE")) / n, "frac_cationic": of("KR") / n, "frac_anionic": of("DE") / n, "frac_aromatic": of("FWY") / n, "frac_glycine": of("G") / n, "frac_proline": of("P") / n,
+        "frac_hydrophobic": of(S.HYDROPHOBIC) / n, "n_oxidation_prone": of(S.OXIDATION_PRONE),
+        "longest_hydrophobic_run": longest_run(s, S.HYDROPHOBIC), "longest_beta_branched_run": longest_run(s, S.BETA_BRANCHED),
+        "n_liability_motifs": sum(((F.length(s) - F.length(F.replace(s, F.lit(m), F.lit("")))) / 2 for m in S.LIABILITY_MOTIFS), F.lit(0.0)),
+        "_wheel": wheel(s), "_positional": positional(s),
+    } | ({"_h0": h0(s)} if topology else {}))
     df = df.withColumns({
-        "net_charge": net_charge(s), "isoelectric_point": isoelectric_point(s), "mean_hydrophobicity": weighted(s, S.EISENBERG) / n, "gravy": weighted(s, S.KYTE_DOOLITTLE) / n,
-        "boman": weighted(s, S.BOMAN) / n, "mean_helix_propensity": weighted(s, S.HELIX_PROPENSITY) / n, "molecular_weight": molecular_weight(s),
-        "dg_interface": weighted(s, S.WW_INTERFACE), "dg_octanol": weighted(s, S.WW_OCTANOL), "mean_sheet_propensity": weighted(s, S.SHEET_PROPENSITY) / n, "length": F.length(s).cast("double"),
-    }).withColumns({
         "charge_density": F.col("net_charge") / n, "dg_interface_per_res": F.col("dg_interface") / n, "dg_octanol_per_res": F.col("dg_octanol") / n, "interfacial_preference": F.col("dg_octanol") - F.col("dg_interface"),
-        "moment_helix": hydrophobic_moment(s, 100.0), "moment_sheet": hydrophobic_moment(s, 180.0), "moment_windowed": windowed_moment(s), "periodicity_purity": periodicity_purity(s),
-    }).withColumns({
-        "kappa": kappa(s), "hydrophobic_blockiness": hydrophobic_blockiness(s), "_wheel": wheel(s),
-        "fcr": count_letters(s, "KRDE") / n, "ncpr": (count_letters(s, "KR") - count_letters(s, "DE")) / n, "frac_cationic": count_letters(s, "KR") / n, "frac_anionic": count_letters(s, "DE") / n,
-        "frac_aromatic": count_letters(s, "FWY") / n, "frac_glycine": count_letters(s, "G") / n, "frac_proline": count_letters(s, "P") / n,
-        "frac_hydrophobic": count_letters(s, S.HYDROPHOBIC) / n, "longest_hydrophobic_run": longest_run(s, S.HYDROPHOBIC), "longest_beta_branched_run": longest_run(s, S.BETA_BRANCHED),
-        "n_oxidation_prone": count_letters(s, S.OXIDATION_PRONE).cast("double"),
-        "n_liability_motifs": sum(((F.length(s) - F.length(F.replace(s, F.lit(m), F.lit("")))) / 2 for m in S.LIABILITY_MOTIFS), F.lit(0.0)),
-    })
-    if topology:
-        df = df.withColumn("_h0", h0(s))
-    df = df.withColumns({k: F.col("_wheel")[k] for k in WHEEL} | ({k: F.col("_h0")[k] for k in TOPOLOGY} if topology else {}))
-    return df.drop("_wheel", "_h0")
+    } | {k: F.col("_positional")[k] for k in vectors.POSITIONAL} | {k: F.col("_wheel")[k] for k in WHEEL} | ({k: F.col("_h0")[k] for k in TOPOLOGY} if topology else {}))
+    made = [f for f in FEATURES if topology or f not in TOPOLOGY]
+    return df.select(*[c for c in own if c not in made], *made)
 
 
 def with_disorder(df: DataFrame, seq: str = "s", optimum: float = 0.18) -> DataFrame:

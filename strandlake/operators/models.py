@@ -9,9 +9,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.operators.tables import conformal_width, evaluate, running
+from strandlake.sources.tables import read_json, write_json
+
 #: Distinct rows (by hash) in which the gate's steps over all rows find their starts, and how many starts are followed.
 START_ROWS, START_MODELS = 1_500, 3
 #: Most concentration steps over all rows.
@@ -63,33 +66,211 @@ class CensoredRegressor:
         return dict(zip(self.features, self.models[0].featureImportances.toArray().tolist()))
 
 
+    def save(self, path: str) -> None:
+        """Write the ensembles and their settings under `path`, in any file system that Spark writes to."""
+        for i, m in enumerate(self.models):
+            m.write().overwrite().save(f"{path}/member-{i}")
+        settings = {"features": self.features, "seeds": list(self.seeds), "rounds": self.rounds, "trees": self.trees, "depth": self.depth, "members": len(self.models)}
+        write_json(SparkSession.active(), settings, f"{path}/settings")
+
+    @classmethod
+    def load(cls, path: str) -> CensoredRegressor:
+        from pyspark.ml.regression import GBTRegressionModel
+
+        s = read_json(SparkSession.active(), f"{path}/settings")
+        out = cls(s["features"], tuple(s["seeds"]), s["rounds"], s["trees"], s["depth"])
+        out.models = [GBTRegressionModel.load(f"{path}/member-{i}") for i in range(s["members"])]
+        return out
+
+
 class ActivityClassifier:
-    """Boosted trees with isotonic calibration on a held-out fifth."""
+    """Boosted trees with isotonic calibration: each of `folds` models is fitted without one fold and calibrated on it; a prediction is their mean."""
 
-    def __init__(self, features: list[str], trees: int = 20):
-        self.base = CensoredRegressor(features)
-        self.trees = trees
+    def __init__(self, features: list[str], trees: int = 20, folds: int = 5):
+        self.base, self.trees, self.folds, self.members = CensoredRegressor(features), trees, folds, []
+
+    def _rows(self, df: DataFrame, label: str, key: str) -> DataFrame:
+        rows = self.base._assemble(df.where(F.col(label).isNotNull())).withColumn("_y", F.col(label).cast("double"))
+        return rows.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(self.folds)))
 
     def fit(self, df: DataFrame, label: str, key: str) -> ActivityClassifier:
         from pyspark.ml.classification import GBTClassifier
         from pyspark.ml.regression import IsotonicRegression
 
-        rows = self.base._assemble(df.where(F.col(label).isNotNull())).withColumn("_y", F.col(label).cast("double"))
-        rows = rows.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(5)))
-        self.model = GBTClassifier(featuresCol="_features", labelCol="_y", maxIter=self.trees, maxDepth=3, seed=7).fit(rows.where("_fold > 0").select("_features", "_y"))
-        held = self._raw(self.model.transform(rows.where("_fold = 0")))
-        self.isotonic = IsotonicRegression(featuresCol="_raw", labelCol="_y", predictionCol="probability_active").fit(held.select("_raw", "_y"))
+        rows = self._rows(df, label, key).select("_features", "_y", "_fold").persist()
+        self.members = []
+        for fold in range(self.folds):
+            model = GBTClassifier(featuresCol="_features", labelCol="_y", maxIter=self.trees, maxDepth=3, seed=7).fit(rows.where(F.col("_fold") != fold))
+            held = self._raw(model.transform(rows.where(F.col("_fold") == fold)), "_raw")
+            self.members.append((model, IsotonicRegression(featuresCol="_raw", labelCol="_y", predictionCol="_p").fit(held.select("_raw", "_y"))))
+        rows.unpersist()
         return self
 
     @staticmethod
-    def _raw(df: DataFrame) -> DataFrame:
+    def _raw(df: DataFrame, out: str) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
-        return df.withColumn("_raw", F.get(vector_to_array("probability"), 1))
+        return df.withColumn(out, F.get(vector_to_array("probability"), 1)).drop("rawPrediction", "probability", "prediction")
+
+    def predict(self, df: DataFrame, out: str = "probability_active") -> DataFrame:
+        now, names = self.base._assemble(df), []
+        for i, (model, isotonic) in enumerate(self.members):
+            now = isotonic.copy({isotonic.predictionCol: f"_p{i}"}).transform(self._raw(model.transform(now), "_raw")).drop("_raw")
+            names.append(f"_p{i}")
+        return now.withColumn(out, sum((F.col(c) for c in names[1:]), F.col(names[0])) / len(names)).drop("_features", *names)
+
+    def predict_held_out(self, df: DataFrame, label: str, key: str, out: str = "probability_active") -> DataFrame:
+        """Each row's probability from the model that was fitted without its fold, before the calibration, which saw that fold."""
+        rows, parts = self._rows(df, label, key), None
+        for fold, (model, _) in enumerate(self.members):
+            part = self._raw(model.transform(rows.where(F.col("_fold") == fold)), out)
+            parts = part if parts is None else parts.unionByName(part)
+        return parts.drop("_features", "_y")
+
+
+def classifier_metrics(df: DataFrame, label: str, probability: str) -> DataFrame:
+    """n, base_rate, average_precision and brier of probabilities; rows of equal probability are one step of the curve."""
+    rows = df.where(F.col(label).isNotNull() & F.col(probability).isNotNull()).select(F.col(label).cast("double").alias("y"), F.col(probability).cast("double").alias("p"))
+    steps = rows.groupBy((-F.col("p")).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits"))
+    upto = running(steps, "p", "n").withColumnRenamed("upto", "n_upto").join(running(steps, "p", "hits").select("p", F.col("upto").alias("hits_upto")), "p")
+    area = upto.agg(F.sum(F.col("hits") * F.col("hits_upto") / F.col("n_upto")).alias("area"))
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("base_rate"), F.sum("y").alias("hits"), F.avg(F.pow(F.col("p") - F.col("y"), F.lit(2.0))).alias("brier"))
+    return one.join(F.broadcast(area)).select("n", "base_rate", (F.col("area") / F.col("hits")).alias("average_precision"), "brier")
+
+
+#: Column of each head's predictions, and the heads that count as 6.0 where they are missing.
+HEADS = {"gram_positive": "log2_mic_gram_positive", "gram_negative": "log2_mic_gram_negative", "hc50": "log2_hc50", "resistant": "log2_mic_resistant"}
+DEFAULTED, DEFAULT = ("gram_positive", "gram_negative", "hc50"), 6.0
+
+
+class Predictors:
+    """Fitted heads with their gate, conformal widths and metrics, over one list of features."""
+
+    def __init__(self, features: list[str], heads: dict[str, CensoredRegressor], gate: DistributionGate | None = None, widths: dict[str, float] | None = None, metrics: dict | None = None):
+        self.features, self.heads, self.gate, self.widths, self.metrics = features, heads, gate, widths or {}, metrics or {}
+
+    @classmethod
+    def fit(cls, wide: DataFrame, features: list[str], clusters: DataFrame | None = None, least: int = 200, alpha: float = 0.2, **settings) -> Predictors:
+        """Heads for the columns of `wide` (s, values, *_censor, features) with at least `least` values.
+
+        clusters: s and `test`, the split by whole clusters that metrics and conformal widths are measured on; without it all rows are fitted and none measured.
+        """
+        heads, widths, metrics = {}, {}, {}
+        rows = wide if clusters is None else wide.join(clusters.select("s", "test"), "s")
+        for name in HEADS:
+            own = rows.where(F.col(name).isNotNull()).withColumn("_right", (F.col(f"{name}_censor") == 1).cast("int")).persist()
+            if own.count() >= least:
+                head = CensoredRegressor(features, **settings).fit(own if clusters is None else own.where("not test"), name, "_right")
+                heads[name] = head
+                if clusters is not None:
+                    tested = head.predict(own.where("test")).persist()
+                    metrics[name] = {k: v for k, v in evaluate(tested, name, "prediction", "_right").first().asDict().items() if v is not None}
+                    if metrics[name]["n"] > 5:
+                        widths[name] = conformal_width(tested.where("_right = 0").select((F.col(name) - F.col("prediction")).alias("r")), "r", alpha).first()["width"]
+                    tested.unpersist()
+            own.unpersist()
+        return cls(features, heads, DistributionGate(features).fit(wide), widths, metrics)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        out = self._raw(self.model.transform(self.base._assemble(df)))
-        return self.isotonic.transform(out).drop("_features", "_raw", "rawPrediction", "probability", "prediction")
+        """df with the columns of HEADS and spread_<head>; a missing head's value is 6.0 (null for resistant strains), its spread null."""
+        none = F.lit(None).cast("double")
+        for name, column in HEADS.items():
+            if name in self.heads:
+                df = self.heads[name].predict(df, column, f"spread_{name}")
+            else:
+                df = df.withColumns({column: F.lit(DEFAULT) if name in DEFAULTED else none, f"spread_{name}": none})
+        return df
+
+    def importances(self) -> DataFrame:
+        """head, feature, share: of the first member of each head."""
+        rows = [(h, f, float(v)) for h, m in self.heads.items() for f, v in m.importances().items()]
+        return SparkSession.active().createDataFrame(rows, "head string, feature string, share double")
+
+    def save(self, path: str) -> None:
+        for name, head in self.heads.items():
+            head.save(f"{path}/{name}")
+        settings = {"features": self.features, "heads": list(self.heads), "widths": self.widths, "metrics": self.metrics, "gate": self.gate and self.gate.settings()}
+        write_json(SparkSession.active(), settings, f"{path}/settings")
+
+    @classmethod
+    def load(cls, path: str) -> Predictors:
+        s = read_json(SparkSession.active(), f"{path}/settings")
+        gate = DistributionGate.of(s["gate"]) if s["gate"] else None
+        return cls(s["features"], {n: CensoredRegressor.load(f"{path}/{n}") for n in s["heads"]}, gate, s["widths"], s["metrics"])
+
+    def scorer(self, objective=None) -> Scorer:
+        """A scorer of single sequences that needs no session: it can be sent to workers."""
+        return Scorer(self.features, {n: [Trees.of(m) for m in h.models] for n, h in self.heads.items()}, self.gate, objective or {})
+
+
+class Trees:
+    """A boosted ensemble as arrays, for predictions without a session."""
+
+    def __init__(self, trees: list[tuple[np.ndarray, ...]], weights: np.ndarray):
+        self.trees, self.weights = trees, weights
+
+    @classmethod
+    def of(cls, model) -> Trees:
+        out = []
+        for tree in model.trees:
+            nodes: list[tuple[int, float, int, int, float]] = []
+
+            def walk(node) -> int:
+                at = len(nodes)
+                nodes.append((-1, 0.0, 0, 0, node.prediction()))
+                if node.subtreeDepth() > 0:
+                    split = node.split()
+                    l, r = walk(node.leftChild()), walk(node.rightChild())
+                    nodes[at] = (split.featureIndex(), split.threshold(), l, r, node.prediction())
+                return at
+
+            walk(tree._java_obj.rootNode())
+            out.append(tuple(np.array(c) for c in zip(*nodes)))
+        return cls(out, np.array(list(model.treeWeights)))
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for (feature, threshold, left, right, value), weight in zip(self.trees, self.weights):
+            at = np.zeros(len(x), np.int64)
+            while (open_ := np.flatnonzero(feature[at] >= 0)).size:
+                now = at[open_]
+                at[open_] = np.where(x[open_, feature[now]] <= threshold[now], left[now], right[now])
+            total += weight * value[at]
+        return total
+
+
+class Scorer:
+    """score(sequence, softness): the objective of a sequence from fitted heads, as the Columns give it; -inf where it isn't feasible or outside the gate."""
+
+    def __init__(self, features: list[str], heads: dict[str, list[Trees]], gate: DistributionGate | None, objective: dict):
+        self.features, self.heads, self.gate, self.objective = features, heads, gate, objective
+        self.seen: dict[str, tuple | None] = {}
+
+    def axes(self, s: str) -> tuple | None:
+        """Values of the axes and what the soft windows read; null where the sequence is out."""
+        from strandlake.functions import scales as S
+        from strandlake.functions import vectors
+        from strandlake.functions.objective import plain_axes
+
+        if not S.MIN_LENGTH <= len(s) <= S.MAX_LENGTH or set(s) - set(S.ALPHABET):
+            return None
+        found = vectors.featurize([s])
+        values = {k: float(v[0]) for k, v in found.items()}
+        x = np.array([[values.get(f, 0.0) for f in self.features]])
+        if self.gate is not None and not self.gate.passes(values):
+            return None
+        predicted = {HEADS[n]: np.array([t.predict(x)[0] for t in members]) for n, members in self.heads.items()}
+        mean = {c: float(v.mean()) for c, v in predicted.items()}
+        spread = {f"spread_{n}": float(predicted[HEADS[n]].std()) for n in self.heads}
+        return plain_axes({HEADS[n]: DEFAULT for n in DEFAULTED} | mean | spread, values), values
+
+    def __call__(self, s: str, softness: float = 1.0) -> float:
+        from strandlake.functions.objective import plain_score
+
+        if s not in self.seen:
+            self.seen[s] = self.axes(s)
+        got = self.seen[s]
+        return -np.inf if got is None else plain_score(*got, softness=softness, **self.objective)
 
 
 def quadratic(x: np.ndarray, mu: np.ndarray, inverse: np.ndarray) -> np.ndarray:
@@ -183,6 +364,28 @@ class DistributionGate:
         self.threshold = float(a + (b - a) * (place - lo))
         return self
 
+    def settings(self) -> dict:
+        return {"features": self.features, "level": self.level, "support": self.support, "kept": self.kept, "mu": self.mu.tolist(), "inverse": self.inverse.tolist(), "threshold": self.threshold}
+
+    @classmethod
+    def of(cls, s: dict) -> DistributionGate:
+        out = cls(s["features"], s["level"], s["support"])
+        out.kept, out.mu, out.threshold = s["kept"], np.array(s["mu"], float), s["threshold"]
+        out.inverse = np.array(s["inverse"], float).reshape(len(out.mu), len(out.mu))
+        return out
+
+    def save(self, path: str) -> None:
+        write_json(SparkSession.active(), self.settings(), path)
+
+    @classmethod
+    def load(cls, path: str) -> DistributionGate:
+        return cls.of(read_json(SparkSession.active(), path))
+
+    def passes(self, values: dict[str, float]) -> bool:
+        """Whether one row passes."""
+        x = np.array([[values[f] for f in self.kept]], float).reshape(1, -1)
+        return bool(np.isfinite(x).all() and (quadratic(x, self.mu, self.inverse)[0] if self.kept else 0.0) <= self.threshold)
+
     def apply(self, df: DataFrame) -> DataFrame:
         """distance (null where a kept column is null, NaN where one isn't finite) and in_distribution."""
         mu, inverse = self.mu, self.inverse

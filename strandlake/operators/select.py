@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import cleaning as C
-from strandlake.operators.similarity import lcs_lengths, novel
-from strandlake.operators.tables import median_cells
+from strandlake.operators.similarity import lcs_lengths, novel, violations
+from strandlake.operators.tables import balance_report, median_cells
 
 #: Rows of the top list's shortlist.
 SHORTLIST = 600
 
 
 def top_k(df: DataFrame, score: str, k: int) -> DataFrame:
-    """The k best, with rank 1..k; ties keep the order of ord."""
+    """The k best, with rank 1..k; ties keep the order of ord. Spark keeps k rows a task; the ranks are of those k."""
     return df.orderBy(F.desc(score), "ord").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "ord")))
 
 
@@ -41,15 +41,21 @@ def eligible_band(df: DataFrame, score: str, tolerance: float) -> DataFrame:
     return df.join(F.broadcast(b)).where(F.col(score) >= F.col("_hi") - tolerance * span).drop("_hi", "_lo")
 
 
+def length_order(df: DataFrame, k: int) -> DataFrame:
+    """The first k sequences by length, the longest first, then alphabet, with rank: the order in which clusters are led."""
+    order = [F.desc(F.length("s")), F.col("s")]
+    return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def greedy_indices(seqs: list[str], score: np.ndarray, k: int, weight: float) -> list[int]:
-    """Repeatedly the largest score * (1 - weight * largest ratio to what is chosen); the first on ties."""
+    """Repeatedly the largest score * (1 - weight * largest ratio to what is chosen); the first on ties. Scores that aren't finite are never chosen."""
     n = len(seqs)
     if not n:
         return []
-    near, left, out = np.zeros(n), np.ones(n, bool), []
+    near, left, out = np.zeros(n), np.isfinite(score), []
     size = np.array([len(s) for s in seqs])
-    for _ in range(min(k, n)):
-        gain = np.where(left, score * (1 - weight * near), -np.inf)
+    for _ in range(min(k, int(left.sum()))):
+        gain = np.where(left, np.where(left, score, 0.0) * (1 - weight * near), -np.inf)
         i = int(gain.argmax())
         out.append(i)
         left[i] = False
@@ -57,7 +63,7 @@ def greedy_indices(seqs: list[str], score: np.ndarray, k: int, weight: float) ->
     return out
 
 
-def greedy_short(df: DataFrame, score: str, k: int, weight: float = 0.5) -> DataFrame:
+def greedy_short(df: DataFrame, score: str, k: int, weight: float = 1.0) -> DataFrame:
     """greedy_diverse of a short list, in one task."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -72,12 +78,12 @@ def greedy_short(df: DataFrame, score: str, k: int, weight: float = 0.5) -> Data
     return rows.groupBy("_all").applyInPandas(run, schema).drop("_all")
 
 
-def greedy_diverse(df: DataFrame, score: str, k: int, by: str, weight: float = 0.5) -> DataFrame:
+def greedy_diverse(df: DataFrame, score: str, k: int, by: str, weight: float = 1.0) -> DataFrame:
     """df's chosen rows with `pick` (1..k), for each value of `by`: greedy_indices over all rows of each group, of any size.
 
     A round is one argmax aggregate over all groups' rows; picks are known by ord, which must be unique. Rows that can't
     be picked are left out first: a row's gain lies between score and score * (1 - weight), and the k best by the smaller
-    of the two have a larger gain than it. The frame is read in each round. Null scores are never picked.
+    of the two have a larger gain than it (at a weight of 1 that only leaves out negative scores). The frame is read in each round. Null scores are never picked.
     """
     rows = df.where(F.col(score).isNotNull()).withColumns({"_hi": F.greatest(F.col(score), F.col(score) * (1 - weight)), "_lo": F.least(F.col(score), F.col(score) * (1 - weight))}).persist()
     # the k-th largest lower bound of each group; Spark keeps k rows a group and task before the shuffle
@@ -115,38 +121,94 @@ def greedy_diverse(df: DataFrame, score: str, k: int, by: str, weight: float = 0
     return open_rows.join(F.broadcast(listed), "ord").select(*df.columns, "pick")
 
 
-def top_list(df: DataFrame, refs: DataFrame, score: str, k: int, head: int, weight: float = 0.5, t: float = 0.8) -> DataFrame:
+def eligible(df: DataFrame, refs: DataFrame, score: str, t: float = 0.8) -> DataFrame:
+    """The SHORTLIST best feasible and novel rows, with their place."""
+    return top_k(novel(df.where(C.candidate_feasible(F.col("s"))), refs, t), score, SHORTLIST).withColumnRenamed("rank", "place")
+
+
+def top_list(df: DataFrame, refs: DataFrame, score: str, k: int, head: int, weight: float = 1.0, t: float = 0.8) -> DataFrame:
     """Feasible, novel, shortlisted by score; `head` picked greedily among the 4 * head best, the rest from what is left."""
-    ok = novel(df.where(C.candidate_feasible(F.col("s"))), refs, t)
-    short = top_k(ok, score, SHORTLIST).withColumnRenamed("rank", "place")
-    first = greedy_short(short.where(F.col("place") <= 4 * head), score, head, weight)
+    short = eligible(df, refs, score, t).persist()
+    first = greedy_short(short.where(F.col("place") <= 4 * head), score, min(head, k), weight)
     rest = greedy_short(short.join(first.select("s"), "s", "left_anti").select(*short.columns), score, max(k - head, 0), weight).withColumn("pick", F.col("pick") + head)
     return first.select("s", "ord", score, "pick").unionByName(rest.select("s", "ord", score, "pick"))
 
 
-def factorial_select(df: DataFrame, score: str, axes: list[str], pool: int, tolerance: float = 0.25, weight: float = 0.5) -> DataFrame:
-    """`pool` rows: of the eligible band (or, where that is short, the max(3 pool, 150) best) the cells of median splits each give pool // cells by greedy
-    diversity; what is missing is filled by score."""
-    # read by several later steps and by each pick
-    df = df.persist()
+def factorial_band(df: DataFrame, score: str, axes: list[str], pool: int, tolerance: float = 0.12) -> DataFrame:
+    """The rows that a design of `pool` rows chooses among, with their cell: the eligible band or, where it has fewer than `pool` rows, the max(3 pool, 150) best."""
     band = eligible_band(df, score, tolerance)
-    if band.count() < 3 * pool:
+    if band.count() < pool:
         band = top_k(df, score, max(3 * pool, 150)).drop("rank")
-    cells = median_cells(band, axes).persist()
-    n = max(1, cells.select("cell").distinct().count())
-    chosen = greedy_diverse(cells, score, pool // n, "cell", weight)
-    left = cells.join(chosen.select("s"), "s", "left_anti").select(*cells.columns)
-    fill = top_k(left, score, max(0, pool - n * (pool // n)) + pool).withColumnRenamed("rank", "pick")
-    both = chosen.select(*cells.columns, F.lit(0).alias("_late"), "pick").unionByName(fill.select(*cells.columns, F.lit(1).alias("_late"), F.col("pick").cast("long")))
-    order = Window.orderBy("_late", F.desc(score), "ord")
-    return both.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= pool).drop("_n", "_late")
+    return median_cells(band, axes)
+
+
+def factorial_select(df: DataFrame, score: str, axes: list[str], pool: int, tolerance: float = 0.12, weight: float = 1.0, save=lambda d: d.persist()) -> DataFrame:
+    """`pool` rows with their cell and pick (1..pool): of the band the cells of median splits each give pool // cells (1 at least) by greedy
+    diversity, in order of their names; what is missing is filled by score. `save` keeps the band, which each pick reads."""
+    cells = save(factorial_band(df, score, axes, pool, tolerance))
+    take = max(pool // max(cells.select("cell").distinct().count(), 1), 1)
+    chosen = greedy_diverse(cells, score, take, "cell", weight)
+    fill = top_k(cells.join(chosen.select("ord"), "ord", "left_anti").select(*cells.columns), score, pool)
+    both = chosen.select(*cells.columns, F.lit(0).alias("_late"), "pick").unionByName(fill.select(*cells.columns, F.lit(1).alias("_late"), F.col("rank").cast("long").alias("pick")))
+    # at most pool rows and one a cell stand here
+    order = Window.orderBy("_late", F.when(F.col("_late") == 0, F.col("cell")), "pick")
+    return both.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= pool).drop("_late")
+
+
+def factorial_cells_report(chosen: DataFrame, band: DataFrame, score: str, means: list[str]) -> DataFrame:
+    """cell, available, selected, mean_score and the means of the given columns over the selected rows of each cell of the band."""
+    there = band.groupBy("cell").agg(F.count(F.lit(1)).alias("available"))
+    got = chosen.groupBy("cell").agg(F.count(F.lit(1)).alias("selected"), F.avg(score).alias("mean_score"), *[F.avg(c).alias(f"mean_{c}") for c in means])
+    return there.join(got, "cell", "left").withColumn("selected", F.coalesce("selected", F.lit(0)))
+
+
+def factorial_cost(chosen: DataFrame, df: DataFrame, score: str, axes: list[str], match: list[str]) -> DataFrame:
+    """One row: design_mean and greedy_mean of the score, relative_cost of choosing by design, and for each matched column the spread of its cell means,
+    cells being those of the chosen rows' own medians."""
+    n = chosen.count()
+    best = top_k(df, score, n).agg(F.avg(score).alias("greedy_mean"))
+    own = chosen.agg(F.avg(score).alias("design_mean"))
+    cost = F.when(F.col("greedy_mean") == 0, 0.0).otherwise((F.col("greedy_mean") - F.col("design_mean")) / F.abs("greedy_mean"))
+    out = own.join(F.broadcast(best)).withColumn("relative_cost", F.coalesce(cost, F.lit(0.0)))
+    cells = median_cells(chosen.drop("cell"), axes)
+    for c in match:
+        out = out.join(F.broadcast(balance_report(cells, c).select(F.coalesce("spread", F.lit(0.0)).alias(f"spread_{c}"))))
+    return out
+
+
+class TooDear(ValueError):
+    """A design costs more of the mean score than allowed."""
+
+
+def factorial_top_list(df: DataFrame, refs: DataFrame, score: str, axes: list[str], k: int = 100, pool: int = 50, tolerance: float = 0.12, weight: float = 1.0, t: float = 0.8, most_cost: float | None = None) -> DataFrame:
+    """s, ord, score, pick: a factorial design of `pool` rows of the eligible ones, then the rest by greedy diversity, k in all.
+
+    Without `pool` eligible rows the list is empty. most_cost: raise TooDear where the design's relative cost is above it (0.05 is usual), instead of listing.
+    """
+    short = eligible(df, refs, score, t).drop("place").persist()
+    if short.count() < pool:
+        return short.limit(0).select("s", "ord", score, F.lit(0).cast("long").alias("pick"))
+    first = factorial_select(short, score, axes, pool, tolerance, weight)
+    if most_cost is not None:
+        cost = factorial_cost(first, short, score, axes, []).first()["relative_cost"]
+        if cost > most_cost:
+            raise TooDear(f"the design costs {cost:.2%} of the mean score; at most {most_cost:.2%} is allowed")
+    rest = greedy_short(short.join(first.select("ord"), "ord", "left_anti").select(*short.columns), score, max(k - pool, 0), weight).withColumn("pick", F.col("pick") + pool)
+    return first.select("s", "ord", score, F.col("pick").cast("long")).unionByName(rest.select("s", "ord", score, "pick"))
 
 
 def validate(top: DataFrame, library: DataFrame, refs: DataFrame, k: int, n: int) -> DataFrame:
-    """One row of violation counts: all zero for a valid result."""
+    """One row of violation counts: all zero for a valid result. A top sequence is too close where its best reference is strictly above 0.8."""
     t = top.agg((F.lit(k) - F.count(F.lit(1))).alias("top_missing"), (F.count(F.lit(1)) - F.count_distinct("s")).alias("top_repeats"), F.count_if(~C.candidate_feasible(F.col("s"))).alias("top_infeasible"))
     l = library.agg((F.lit(n) - F.count(F.lit(1))).alias("library_missing"), (F.count(F.lit(1)) - F.count_distinct("s")).alias("library_repeats"), F.count_if(~C.library_feasible(F.col("s"))).alias("library_infeasible"))
     outside = top.join(library.select("s"), "s", "left_anti").agg(F.count(F.lit(1)).alias("top_outside_library"))
     known = library.join(refs.select("s").distinct(), "s", "left_semi").agg(F.count(F.lit(1)).alias("library_known"))
-    close = top.agg(F.count(F.lit(1)).alias("a")).join(novel(top, refs).agg(F.count(F.lit(1)).alias("b"))).select((F.col("a") - F.col("b")).alias("top_not_novel"))
+    close = violations(top, refs).agg(F.count(F.lit(1)).alias("top_too_close"))
     return t.join(l).join(outside).join(known).join(close)
+
+
+def require_valid(counts: DataFrame) -> None:
+    """Raise ValueError with every violated rule of a row of `validate`."""
+    wrong = {k: v for k, v in counts.first().asDict().items() if v}
+    if wrong:
+        raise ValueError("; ".join(f"{k}: {v}" for k, v in wrong.items()))

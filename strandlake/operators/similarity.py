@@ -1,8 +1,9 @@
-"""Similarity of sequences: 2 LCS / (|a| + |b|), joins with exact pruning, and leader clusters.
+"""Similarity of sequences: 2 LCS / (|a| + |b|), best references with exact pruning, block joins of short lists, and leader clusters.
 
-LCS is computed bit-parallel over whole Arrow batches of pairs: one 64-bit word a pair, one step a residue.
-Pairs are pruned first by two exact upper bounds in built-in expressions: the shorter length, and the letters
-that both have. An equi-join key keeps the pair join from being a cross join: length bands, or a letter both must have.
+LCS is computed bit-parallel over whole Arrow batches: one 64-bit word a pair, one step a residue. Candidates stay where they are: each task
+compares its batches with one reference after another, after two exact upper bounds, the lengths and the letters that both have. No
+pairs are stored or shuffled, and work is split by candidates, not by a join key. References are sent to the tasks in parts of at most about
+BROADCAST_ROWS.
 """
 
 from __future__ import annotations
@@ -61,32 +62,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2.0 * lcs(a, b) / (F.length(a) + F.length(b)))
 
 
-def letter_counts(s: Column) -> Column:
-    return F.array(*[F.length(s) - F.length(F.replace(s, F.lit(c), F.lit(""))) for c in ALPHABET])
-
-
-def may_reach(t: float, la: Column, lb: Column, ca: Column, cb: Column) -> Column:
-    """Exact upper bounds, multiplied out so that pairs at the threshold stay: 2 min(l) >= t (la + lb), and the same with common letters."""
-    common = F.aggregate(F.zip_with(ca, cb, lambda x, y: F.least(x, y)), F.lit(0), lambda acc, v: acc + v)
-    need = F.lit(t) * (la + lb) - 1e-9
-    return (2 * F.least(la, lb) >= need) & (2 * common >= need)
-
-
-def pairs(left: DataFrame, right: DataFrame, t: float, same: bool = False) -> DataFrame:
-    """l_ord, l_s, r_ord, r_s, ratio of all pairs with ratio >= t. Inputs have ord and s.
-
-    The join key is the length of the right sequence: each left row is given to the lengths that can reach t. So rows
-    meet by an equi-join, and Spark may broadcast a side only where its size is known to be small. same=True: l_ord < r_ord only.
-    """
-    lo, hi = F.ceil(F.length("l_s") * (t / (2 - t)) - 1e-9), F.floor(F.length("l_s") * ((2 - t) / t) + 1e-9)
-    l = left.select(F.col("ord").alias("l_ord"), F.col("s").alias("l_s")).withColumn("l_c", letter_counts(F.col("l_s")))
-    l = l.withColumn("size", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
-    r = right.select(F.col("ord").alias("r_ord"), F.col("s").alias("r_s")).withColumn("r_c", letter_counts(F.col("r_s"))).withColumn("size", F.length("r_s"))
-    j = l.join(r, "size")
-    if same:
-        j = j.where("l_ord < r_ord")
-    j = j.where(may_reach(t, F.length("l_s"), F.length("r_s"), F.col("l_c"), F.col("r_c")))
-    return j.select("l_ord", "l_s", "r_ord", "r_s").withColumn("ratio", ratio(F.col("l_s"), F.col("r_s"))).where(F.col("ratio") >= t - 1e-12)
+def block_pairs(df: DataFrame, blocks: int = 8) -> DataFrame:
+    """l_ord, l_s, r_ord, r_s, ratio of all pairs of a short list (ord, s) with l_ord < r_ord: blocks of rows meet by an equi-join on the pair of their numbers."""
+    rows = df.select("ord", "s", F.pmod(F.xxhash64("ord", "s"), F.lit(blocks)).cast("int").alias("b"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    l = rows.select(F.col("ord").alias("l_ord"), F.col("s").alias("l_s"), F.col("b").alias("i"), every).withColumnRenamed("other", "j")
+    r = rows.select(F.col("ord").alias("r_ord"), F.col("s").alias("r_s"), F.col("b").alias("j"), every).withColumnRenamed("other", "i")
+    return l.join(r, ["i", "j"]).where("l_ord < r_ord").select("l_ord", "l_s", "r_ord", "r_s", ratio(F.col("l_s"), F.col("r_s")).alias("ratio"))
 
 
 def distinct_first(df: DataFrame) -> DataFrame:
@@ -96,15 +78,14 @@ def distinct_first(df: DataFrame) -> DataFrame:
 
 def novel(candidates: DataFrame, refs: DataFrame, t: float = 0.8) -> DataFrame:
     """Candidates without a reference of ratio >= t (inclusive). Comparison is by distinct sequence."""
-    near = pairs(distinct_first(candidates), distinct_first(refs), t).select(F.col("l_s").alias("s")).distinct()
+    near = best_references(candidates.select("s").distinct(), refs, t).select(F.col("l_s").alias("s")).distinct()
     return candidates.join(near, "s", "left_anti")
 
 
-def closest(candidates: DataFrame, refs: DataFrame, t: float) -> DataFrame:
-    """ord, s, ref, identity: each candidate's best reference of ratio >= t, the first one on ties; null where there is none."""
-    hit = pairs(distinct_first(candidates), distinct_first(refs), t)
-    best = hit.groupBy("l_s").agg(F.max_by(F.struct("r_s", "ratio"), F.struct("ratio", -F.col("r_ord"))).alias("b"))
-    return candidates.join(best, candidates.s == best.l_s, "left").select("ord", "s", F.col("b.r_s").alias("ref"), F.coalesce("b.ratio", F.lit(0.0)).alias("identity"))
+def closest(candidates: DataFrame, refs: DataFrame, t: float = 0.0) -> DataFrame:
+    """ord, s, ref, identity: each candidate's best reference of ratio >= t, the first one on ties; null and 0 where there is none."""
+    hits = best_references(candidates.select("s").distinct(), refs, t)
+    return candidates.join(hits, candidates.s == hits.l_s, "left").select("ord", "s", F.col("r_s").alias("ref"), F.coalesce("ratio", F.lit(0.0)).alias("identity"))
 
 
 def code_table(seqs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,49 +100,66 @@ def code_table(seqs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return masks, (np.uint64(1) << size.astype(np.uint64)) - np.uint64(1), size
 
 
-def ratios_to(table: tuple[np.ndarray, np.ndarray, np.ndarray], s: str) -> np.ndarray:
-    """Ratio of each of the table's sequences to s."""
+def ratios_to(table: tuple[np.ndarray, np.ndarray, np.ndarray], s: str, at=slice(None)) -> np.ndarray:
+    """Ratio of the table's sequences (those at `at`) to s."""
     masks, full, size = table
+    full, both = full[at], size[at] + len(s)
     v = full.copy()
+    own = {c: masks[ord(c) - 65][at] for c in set(s)}
     for c in s:
-        m = masks[ord(c) - 65]
-        u = v & m
+        u = v & own[c]
         v = (v + u) | (v - u)
-    both = size + len(s)
     return np.where(both == 0, 1.0, 2.0 * np.bitwise_count(~v & full) / np.maximum(both, 1))
 
 
-def closest_of_all(candidates: DataFrame, refs: DataFrame) -> DataFrame:
-    """ord, s, ref, identity: each candidate's best reference of any ratio, the first one on ties; null and 0 only without references.
-
-    All distinct pairs are compared, a batch of candidates with one reference after another. References are sent to the
-    tasks in parts of at most about BROADCAST_ROWS, each part by a pass over the distinct candidates.
-    """
-    unique, known = distinct_first(candidates), distinct_first(refs)
+def best_of(seqs: list[str], refs: list[str], t: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(best ratio, its place among refs) of each sequence: the first reference on ties; -1 and -1 where none reaches t."""
+    top, place = np.full(len(seqs), -1.0), np.full(len(seqs), -1)
+    order = np.argsort([len(s) for s in seqs], kind="stable")
+    table = code_table([seqs[i] for i in order])
+    size = table[2]
+    counts = np.bitwise_count(table[0]).astype(np.int16).T
+    best, at = top[order], place[order]
+    for i, r in enumerate(refs):
+        # lengths that can reach t, multiplied out so that pairs at the threshold stay
+        lo = np.searchsorted(size, len(r) * t / (2 - t) - 1e-9)
+        hi = np.searchsorted(size, len(r) * (2 - t) / max(t, 1e-9) + 1e-9, side="right")
+        own = np.bincount([ord(c) - 65 for c in r], minlength=26).astype(np.int16)
+        both = np.maximum(size[lo:hi] + len(r), 1)
+        most = 2.0 * np.minimum(counts[lo:hi], own).sum(axis=1) / both
+        few = lo + np.flatnonzero((most > best[lo:hi] - 1e-12) & (most >= t - 1e-12))
+        if len(few):
+            now = ratios_to(table, r, few)
+            better = (now > best[few]) & (now >= t - 1e-12)
+            best[few[better]], at[few[better]] = now[better], i
+    top[order], place[order] = best, at
+    return top, place
+
+
+def best_references(unique: DataFrame, refs: DataFrame, t: float = 0.0) -> DataFrame:
+    """l_s, r_ord, r_s, ratio: the best reference of ratio >= t of each sequence of `unique` that has one, the first on ties."""
+    known = distinct_first(refs)
     parts = max(1, -(-known.count() // BROADCAST_ROWS))
     hits = None
     for part in range(parts):
         listed = known.where(F.pmod(F.xxhash64("s"), F.lit(parts)) == part).orderBy("ord", "s").collect()
-        sent = candidates.sparkSession.sparkContext.broadcast([(r["ord"], r["s"]) for r in listed])
+        sent = unique.sparkSession.sparkContext.broadcast(([r["ord"] for r in listed], [r["s"] for r in listed]))
 
         def best(batches, sent=sent):
+            ords, seqs = sent.value
             for b in batches:
                 for lo in range(0, len(b), 8_192):
-                    s = b["s"].iloc[lo : lo + 8_192]
-                    table, top, at = code_table(s.tolist()), np.full(len(s), -1.0), np.zeros(len(s), np.int64)
-                    for i, (_, r) in enumerate(sent.value):
-                        now = ratios_to(table, r)
-                        better = now > top
-                        top[better], at[better] = now[better], i
-                    if sent.value:
-                        yield pd.DataFrame({"l_s": s.to_numpy(), "r_ord": [sent.value[i][0] for i in at], "r_s": [sent.value[i][1] for i in at], "ratio": top})
+                    s = b["s"].iloc[lo : lo + 8_192].dropna().tolist()
+                    top, at = best_of(s, seqs, t)
+                    rows = [(x, ords[i], seqs[i], float(v)) for x, i, v in zip(s, at.tolist(), top) if i >= 0]
+                    yield pd.DataFrame(rows, columns=["l_s", "r_ord", "r_s", "ratio"])
 
         hit = unique.select("s").mapInPandas(best, "l_s string, r_ord long, r_s string, ratio double")
         hits = hit if hits is None else hits.unionByName(hit)
     if parts > 1:
         top = F.max_by(F.struct("r_ord", "r_s", "ratio"), F.struct("ratio", -F.col("r_ord")))
         hits = hits.groupBy("l_s").agg(top.alias("b")).select("l_s", "b.*")
-    return candidates.join(hits, candidates.s == hits.l_s, "left").select("ord", "s", F.col("r_s").alias("ref"), F.coalesce("ratio", F.lit(0.0)).alias("identity"))
+    return hits
 
 
 def violations(candidates: DataFrame, refs: DataFrame, t: float = 0.8) -> DataFrame:
@@ -170,11 +168,9 @@ def violations(candidates: DataFrame, refs: DataFrame, t: float = 0.8) -> DataFr
 
 
 def diversity(df: DataFrame) -> DataFrame:
-    """Mean and largest ratio over all pairs of a short list, and length statistics."""
-    l = df.select(F.col("ord").alias("l_ord"), F.col("s").alias("l_s"), F.lit(1).alias("k"))
-    r = df.select(F.col("ord").alias("r_ord"), F.col("s").alias("r_s"), F.lit(1).alias("k"))
-    p = l.join(r, "k").where("l_ord < r_ord").withColumn("ratio", ratio(F.col("l_s"), F.col("r_s"))).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("ratio").alias("mean_ratio"), F.max("ratio").alias("max_ratio"))
-    return p.join(df.agg(F.min(F.length("s")).alias("min_length"), F.avg(F.length("s")).alias("mean_length"), F.max(F.length("s")).alias("max_length")))
+    """n_sequences, mean and largest ratio over all pairs of a short list, and length statistics."""
+    pairs = block_pairs(df).agg(F.avg("ratio").alias("mean_ratio"), F.max("ratio").alias("max_ratio"))
+    return df.agg(F.count(F.lit(1)).alias("n_sequences"), F.min(F.length("s")).alias("min_length"), F.avg(F.length("s")).alias("mean_length"), F.max(F.length("s")).alias("max_length")).join(F.broadcast(pairs))
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -231,8 +227,12 @@ def leader_clusters(df: DataFrame, t: float, save) -> DataFrame:
         parts.append(done.where("leader is not null"))
         left = done.where("leader is null").select("s")
     owned = reduce(DataFrame.unionByName, parts, left.select("s", F.lit(None).cast("string").alias("leader")))
-    order = Window.orderBy(F.desc(F.length("leader")), "leader")
-    ids = owned.select("leader").distinct().withColumn("cluster_id", F.row_number().over(order) - 1)
+    # numbered within groups of equal length and first two letters, and the groups (some 17,000 at most) one after another
+    leaders = owned.select("leader").distinct().select("leader", F.length("leader").alias("n"), F.substring("leader", 1, 2).alias("two"))
+    groups = leaders.groupBy("n", "two").agg(F.count(F.lit(1)).alias("size"))
+    before = groups.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy(F.desc("n"), "two").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("n", "two").orderBy("leader"))
+    ids = leaders.withColumn("place", place).join(F.broadcast(before), ["n", "two"]).select("leader", (F.col("before") + F.col("place") - 1).cast("int").alias("cluster_id"))
     return owned.join(ids, "leader").select("s", "leader", "cluster_id")
 
 
@@ -246,8 +246,26 @@ def group_split(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -
 
 
 def random_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Exactly round(share * n) rows (1 at least) by hash order of a unique key."""
-    return group_split(df, key, share, seed)
+    """df with `test`: exactly round(share * n) rows (1 at least) by hash order of a unique key.
+
+    The hash at the cut is found from exact counts by its leading digits, four more a round, so no row order is made.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    hashed = df.select(h.alias("h"))
+    left, prefix = max(1, round(share * df.count())), ""
+    while len(prefix) < 32:
+        digits = len(prefix) + 4
+        counts = hashed.where(F.substring("h", 1, len(prefix)) == prefix).groupBy(F.substring("h", 1, digits).alias("p")).count().orderBy("p").collect()
+        for r in counts:
+            if r["count"] >= left:
+                prefix = r["p"]
+                break
+            left -= r["count"]
+        else:
+            break  # fewer rows than asked for
+        if r["count"] == left:
+            break  # all of this prefix are taken
+    return df.withColumn("test", F.substring(h, 1, len(prefix)) <= prefix)
 
 
 def split_leakage(df: DataFrame, group: str) -> DataFrame:

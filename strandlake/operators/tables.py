@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.scales import FORBIDDEN, TOP_MAX_LENGTH, TOP_MIN_LENGTH
+
 GROUPS = ["gram_negative", "gram_positive", "hc50", "resistant"]
 
 
@@ -35,18 +35,79 @@ def coverage(wide: DataFrame, potent: float = 4.0) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def running(counts: DataFrame, column: str, weight: str, by: list[str] | None = None, ranges: int = 64) -> DataFrame:
+    """counts with `upto`: the sum of `weight` over rows whose `column` is at most as large, for each value of `by`. A value stands once in a group.
+
+    Rows are cut into ranges of about equal size, summed up in each, and the sums (at most `ranges` + 1 a group) put one after another: no task
+    gets all rows of a group.
+    """
+    by = by or []
+    cuts = sorted(set(counts.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.005)))
+    part = counts.withColumn("_range", sum(((F.col(column) > F.lit(c)).cast("int") for c in cuts), F.lit(0)))
+    sums = part.groupBy(*by, "_range").agg(F.sum(weight).alias("_sum"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inside = F.sum(weight).over(Window.partitionBy(*by, "_range").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    keys = [*by, "_range"]
+    before = before.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return part.withColumn("upto", inside).join(before, same).withColumn("upto", F.col("upto") + F.col("_before")).drop("_before", "_range", *[f"_k_{k}" for k in keys])
+
+
+def exact_quantiles(df: DataFrame, column: str, levels: list, by: list[str] | None = None) -> DataFrame:
+    """by, n, q0, q1, ...: interpolated quantiles of the values that aren't null. levels: shares, or functions of the Column n that give one.
+
+    Values come from counts of distinct values and their running sums, so a group's values are never in one buffer. Groups without a value have no row;
+    ungrouped, there is one row in any case.
+    """
+    by = by or []
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = running(counts, "_v", "_c", by)
+    n = counts.groupBy(*by).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"))
+    keys = [F.col(k).eqNullSafe(F.col(f"_n_{k}")) for k in by]
+    sized = n.withColumnsRenamed({k: f"_n_{k}" for k in by})
+    joined = upto.join(F.broadcast(sized), keys) if by else upto.join(F.broadcast(sized))
+    place = [(level(F.col("n")) if callable(level) else F.lit(float(level))) * (F.col("n") - 1) for level in levels]
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("_v")))
+    got = joined.groupBy(*by, "n").agg(*[f for i, p in enumerate(place) for f in (at(F.floor(p)).alias(f"_lo{i}"), at(F.ceil(p)).alias(f"_hi{i}"))])
+    value = lambda i, p: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (p - F.floor(p))
+    out = got.select(*by, "n", *[value(i, p).alias(f"q{i}") for i, p in enumerate(place)])
+    return out if by else n.join(F.broadcast(out.drop("n")), how="left")
+
+
 def quantile_windows(df: DataFrame, columns: list[str], by: Column, least: int = 50, levels: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """Exact, interpolated quantiles of each column per population; small populations are left out."""
-    q = F.array(*[F.lit(x) for x in levels])
-    long = df.select(by.alias("population"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")).select("population", "r.*")
-    got = long.groupBy("population", "column").agg(F.count("x").alias("n"), F.percentile("x", q).alias("q")).where(F.col("n") >= least)
-    return got.select("population", "column", "n", *[F.get("q", i).alias(f"q{round(100 * x)}") for i, x in enumerate(levels)])
+    rows = df.withColumn("population", by)
+    out = None
+    for c in columns:
+        got = exact_quantiles(rows, c, list(levels), ["population"]).where(F.col("n") >= least)
+        got = got.select("population", F.lit(c).alias("column"), "n", *[F.col(f"q{i}").alias(f"q{round(100 * x)}") for i, x in enumerate(levels)])
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def design_windows(wide: DataFrame, properties: DataFrame, potent: float = 4.0, selective: float = 2.0, least: int = 50) -> DataFrame:
+    """population, n, and the quantiles that the design windows come from, of three nested populations of sequences without cysteine.
+
+    wide: as to_wide gives it; properties: s, net_charge, moment_helix, length. `potent`: a Gram value of at most this log2 concentration; `selective`: in
+    addition a log2 safety window of at least this; `length_band`: in addition a length allowed in top lists. Populations under `least` are left out.
+    """
+    best = F.least("gram_positive", "gram_negative")  # passes over nulls
+    base = wide.where((best <= potent) & ~F.col("s").contains(FORBIDDEN)).join(properties, "s")
+    window = F.coalesce(F.col("hc50") - best >= selective, F.lit(False))
+    names = F.array(F.lit("potent"), F.when(window, "selective"), F.when(window & F.col("length").between(TOP_MIN_LENGTH, TOP_MAX_LENGTH), "length_band"))
+    rows = base.select(F.explode(F.array_compact(names)).alias("population"), "net_charge", "moment_helix", "length")
+    q = quantile_windows(rows, ["net_charge", "moment_helix", "length"], F.col("population"), least)
+    of = lambda c, k: F.max(F.when(F.col("column") == c, F.col(k)))
+    return q.groupBy("population").agg(
+        F.max("n").alias("n"), of("net_charge", "q10").alias("charge_lo"), of("net_charge", "q90").alias("charge_hi"), of("net_charge", "q50").alias("charge_median"),
+        of("moment_helix", "q10").alias("moment_floor"), of("moment_helix", "q50").alias("moment_median"), of("length", "q10").alias("length_lo"), of("length", "q90").alias("length_hi"),
+    )
 
 
 def safety_target(wide: DataFrame, level: float = 0.75, least: int = 100, default: float = 5.0) -> DataFrame:
     """n and target: the quantile of positive safety windows, where there are more than `least`."""
     w = wide.select((F.col("hc50") - F.least("gram_positive", "gram_negative")).alias("w")).where("w > 0")
-    return w.agg(F.count("w").alias("n"), F.percentile("w", F.lit(level)).alias("q")).select("n", F.when(F.col("n") > least, F.col("q")).otherwise(default).alias("target"))
+    return exact_quantiles(w, "w", [level]).select("n", F.when(F.col("n") > least, F.col("q0")).otherwise(default).alias("target"))
 
 
 def run_summary(df: DataFrame, by: str, metric: str) -> DataFrame:
@@ -54,11 +115,10 @@ def run_summary(df: DataFrame, by: str, metric: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Ranks with ties averaged. Ranks come from counts of distinct values, so equal values cost one row of the window."""
+    """Ranks with ties averaged, from running counts of distinct values: equal values cost one row."""
     by = by or []
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn("_upto", F.sum("_c").over(w)).select(*by, column, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out))
+    ranks = running(counts, column, "_c", by).select(*by, column, (F.col("upto") - (F.col("_c") - 1) / 2).alias(out))
     return df.join(ranks, [*by, column])
 
 
@@ -80,9 +140,11 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
 
 def median_cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """cell: hi or lo against the median of each column, joined by '|'. The medians are one row."""
-    med = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
     sides = [F.concat(F.lit(f"{c}:"), F.when(F.col(c) >= F.col(f"_m_{c}"), "hi").otherwise("lo")) for c in columns]
-    return df.join(F.broadcast(med)).withColumn("cell", F.concat_ws("|", *sides)).drop(*[f"_m_{c}" for c in columns])
+    rows = df
+    for c in columns:
+        rows = rows.join(F.broadcast(exact_quantiles(df, c, [0.5]).select(F.col("q0").alias(f"_m_{c}"))))
+    return rows.withColumn("cell", F.concat_ws("|", *sides)).drop(*[f"_m_{c}" for c in columns])
 
 
 def balance_report(df: DataFrame, column: str) -> DataFrame:
@@ -92,12 +154,9 @@ def balance_report(df: DataFrame, column: str) -> DataFrame:
 
 def conformal_width(residuals: DataFrame, column: str, alpha: float = 0.1) -> DataFrame:
     """n, width: the interpolated quantile of |residual| at min(1, ceil((n + 1)(1 - alpha)) / n); 0 without rows."""
-    r = residuals.select(F.abs(column).alias("r")).where("r is not null")
-    n = r.count()
-    if not n:
-        return r.sparkSession.createDataFrame([(0, 0.0)], "n long, width double")
-    level = min(1.0, math.ceil((n + 1) * (1 - alpha)) / n)
-    return r.agg(F.count("r").alias("n"), F.percentile("r", F.lit(level)).alias("width"))
+    r = residuals.select(F.abs(column).alias("r"))
+    level = lambda n: F.least(F.lit(1.0), F.ceil((n + 1) * (1 - alpha)) / n)
+    return exact_quantiles(r, "r", [level]).select("n", F.coalesce("q0", F.lit(0.0)).alias("width"))
 
 
 def evaluate(df: DataFrame, truth: str, pred: str, censor: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sources and sinks: FASTA, NDJSON activity records, paged and resumable fetches, CSV and JSON summaries."""
+"""Sources and sinks: FASTA, NDJSON activity records, paged and resumable fetches. CSV tables and JSON summaries are in tables.py."""
 
 from __future__ import annotations
 
@@ -85,40 +85,110 @@ def still_to_fetch(ids: DataFrame, done: DataFrame) -> DataFrame:
     return ids.join(done, "id", "left_anti")
 
 
+class Status(Exception):
+    """An HTTP answer other than success."""
+
+    def __init__(self, code: int):
+        super().__init__(f"status {code}")
+        self.code = code
+
+
+#: Statuses that may pass by themselves.
+PASSING = (429, 500, 502, 503, 504)
+
+
 def with_retries(get: Callable[[], object], retries: int = 4, backoff: float = 2.0, sleep: Callable[[float], None] = time.sleep):
-    """None for a missing record (LookupError); OSError and ValueError are tried again after backoff * 2^n."""
+    """get(), tried again after backoff * 2^n seconds. None for a missing record (status 404 or LookupError).
+
+    Broken connections, timeouts, unreadable JSON and PASSING statuses are tried again; another status is raised at once. The last try isn't waited for.
+    """
     for n in range(retries):
         try:
             return get()
         except LookupError:
             return None
-        except (OSError, ValueError):
-            if n == retries - 1:
+        except (Status, OSError, ValueError) as e:
+            if isinstance(e, Status) and e.code == 404:
+                return None
+            if n == retries - 1 or (isinstance(e, Status) and e.code not in PASSING):
                 raise
             sleep(backoff * 2**n)
 
 
+def get_json(url: str, retries: int = 4, backoff: float = 2.0, timeout: float = 60.0, sleep: Callable[[float], None] = time.sleep):
+    """The JSON document at a URL, or None where there is none; a try ends after `timeout` seconds."""
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    def once():
+        try:
+            with urlopen(Request(url, headers={"Accept": "application/json"}), timeout=timeout) as answer:
+                return json.loads(answer.read())
+        except HTTPError as e:
+            raise Status(e.code) from e
+
+    return with_retries(once, retries, backoff, sleep)
+
+
+def collect_ids(get: Callable[[int, int], dict | None], page_size: int = 100, most: int | None = None, delay: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[int]:
+    """Ids of a paged index, page after page: get(offset, page_size) gives {"totalCount": n, "data": [{"id": ...}, ...]}.
+
+    It ends at a page that is missing or empty, once the first page's count is reached, or after `most` ids. Pages may be shorter than asked
+    for; items without an id are passed over but count as read.
+    """
+    offset, total, found = 0, None, 0
+    while True:
+        page = with_retries(lambda: get(offset, page_size), sleep=sleep)
+        items = (page or {}).get("data") or []
+        if not items:
+            return
+        if total is None:
+            total = page.get("totalCount")
+        for i in items:
+            if i.get("id") is not None:
+                yield int(i["id"])
+                found += 1
+                if most and found >= most:
+                    return
+        offset += len(items)
+        if total is not None and offset >= total:
+            return
+        sleep(delay)
+
+
 class Page(InputPartition):
     def __init__(self, start: int, stop: int):
         super().__init__((start, stop))
         self.start, self.stop = start, stop
 
 
+def function_of(name: str) -> Callable:
+    """'module:function' as the function."""
+    import importlib
+
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 class PagedReader(DataSourceReader):
-    """Pages of records from option `fetcher` ('module:function' of (start, stop) -> records); one partition a page."""
+    """Pages of records from option `fetcher` ('module:function' of (start, stop) -> records); one partition a page.
+
+    The number of records is option `total`, or what option `counter` ('module:function' of no argument) says.
+    """
 
     def __init__(self, options):
-        self.total, self.page = int(options["total"]), int(options.get("pageSize", 100))
+        self.total, self.page = options.get("total"), int(options.get("pageSize", 100))
+        self.counter = options.get("counter")
+        if self.total is None and not self.counter:
+            raise ValueError("give option total or counter")
         self.fetcher, self.retries = options["fetcher"], int(options.get("retries", 4))
 
     def partitions(self):
+        self.total = int(self.total if self.total is not None else with_retries(function_of(self.counter), self.retries))
         return [Page(i, min(self.total, i + self.page)) for i in range(0, self.total, self.page)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        import importlib
-
-        module, _, name = self.fetcher.partition(":")
-        get = getattr(importlib.import_module(module), name)
+        get = function_of(self.fetcher)
         for r in with_retries(lambda: get(partition.start, partition.stop), self.retries) or ():
             yield (r.get("id"), json.dumps(r))
 
@@ -140,6 +210,44 @@ def append_fetched(records: DataFrame, path: str) -> None:
     records.select("value").write.mode("append").text(path)
 
 
+def fetch_records(ids: DataFrame, path: str, fetcher: str, retries: int = 4, backoff: float = 2.0, tasks: int = 8) -> int:
+    """Fetch the records of the ids (column id) that aren't in the folder `path` yet and append them as NDJSON lines; how many ids were left to fetch.
+
+    fetcher: 'module:function' of an id, which gives a record or None. `tasks` workers fetch at the same time. Each task's lines are kept or dropped as a whole,
+    so a call that was broken off is simply made again.
+    """
+    from pyspark.errors import AnalysisException
+
+    wanted = ids.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
+    try:
+        left = still_to_fetch(wanted, fetched_ids(ids.sparkSession, path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        left = wanted
+    left = left.repartition(tasks, "id").persist()
+
+    def run(parts):
+        get = function_of(fetcher)
+        for p in parts:
+            got = [with_retries(lambda i=i: get(i), retries, backoff) for i in p["id"].tolist()]
+            yield p.assign(value=[None if r is None else json.dumps(r) for r in got])[["value"]]
+
+    n = left.count()
+    if n:
+        append_fetched(left.mapInPandas(run, "value string").where("value is not null"), path)
+    left.unpersist()
+    return n
+
+
+def drop_counts(lines: DataFrame) -> DataFrame:
+    """level (record or measurement), reason, n: rows by the first filter that drops them; 'usable' and 'kept' are the others."""
+    records = parse_records(lines)
+    rows = records.select(F.lit("record").alias("level"), F.coalesce("drop_reason", F.lit("usable")).alias("reason"))
+    rows = rows.unionByName(measurements(records).select(F.lit("measurement").alias("level"), F.coalesce("drop_reason", F.lit("kept")).alias("reason")))
+    return rows.groupBy("level", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def summarise(records: DataFrame, lines: DataFrame) -> DataFrame:
     """kind, name, n: the 12 most usual units, 20 most usual species, and complexities."""
     from pyspark.sql import Window

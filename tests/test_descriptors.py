@@ -8,6 +8,7 @@ import pytest
 
 from strandlake.functions import descriptors as D
 from strandlake.functions import scales as S
+from strandlake.functions import vectors
 
 EDGES = ["A" * 8, "C" * 8, "GP" * 5, "KRDEKRDE", "K" * 11, "K" * 12, "LLLLLLLLLLLLLLLLLLLLLL", "DGNGNSDP", "ILVAFW", "AKA", "W"]
 
@@ -59,3 +60,49 @@ def test_descriptors(spark):
 def test_helicity_bounds_and_short(spark):
     rows = {r["s"]: r for r in D.with_disorder(spark.createDataFrame([("AAA",), ("A" * 30,), ("PPPPPPPP",)], "s string")).collect()}
     assert rows["AAA"]["helicity_water"] == 0 and 0 < rows["PPPPPPPP"]["helicity_water"] < rows["A" * 30]["helicity_water"] <= 1
+
+
+def test_vectors_equal_columns(spark):
+    rng = random.Random(6)
+    seqs = EDGES + ["".join(rng.choice(S.ALPHABET) for _ in range(rng.randint(1, 50))) for _ in range(200)]
+    rows = {r["s"]: r for r in D.with_descriptors(spark.createDataFrame([(s,) for s in seqs], "s string")).collect()}
+    got = vectors.featurize(seqs)
+    assert list(sorted(got)) == sorted(D.FEATURES)
+    for k, v in got.items():
+        assert v == pytest.approx([rows[s][k] for s in seqs], abs=1e-9), k
+    nulls = D.with_descriptors(spark.createDataFrame([(None, 3.0), ("", 4.0)], "s string, length double")).collect()
+    assert nulls[0]["kappa"] is None and nulls[0]["net_charge"] is None and nulls[1]["moment_helix"] == 0 and nulls[1]["length"] == 0
+
+
+def test_patterning_against_its_definition():
+    """Windows of 5 and 6, each share compared with the whole's, over the order +, 0, -."""
+
+    def deviation(q, blob):
+        if len(q) < blob:
+            return 0.0
+        of = lambda x: (sum(v > 0 for v in x) / len(x), sum(v < 0 for v in x) / len(x))
+        p, m = of(q)
+        sigma = (p - m) ** 2 / (p + m) if p + m else 0.0
+        parts = [of(q[i : i + blob]) for i in range(len(q) - blob + 1)]
+        return sum(((a - b) ** 2 / (a + b) - sigma) ** 2 if a + b else (p - m) ** 2 for a, b in parts) / len(parts)
+
+    def ratio(q):
+        ref = sum(deviation(sorted(q, reverse=True), k) for k in (5, 6))
+        return sum(deviation(q, k) for k in (5, 6)) / ref if any(q) and ref > 0 else 0.0
+
+    rng = random.Random(7)
+    seqs = EDGES + ["".join(rng.choice(S.ALPHABET) for _ in range(rng.randint(1, 50))) for _ in range(300)]
+    got = vectors.positional(seqs)
+    sign = {"K": 1, "R": 1, "D": -1, "E": -1}
+    assert got["kappa"] == pytest.approx([ratio([sign.get(c, 0) for c in s]) for s in seqs])
+    assert got["hydrophobic_blockiness"] == pytest.approx([ratio([1 if c in S.HYDROPHOBIC else -1 for c in s]) for s in seqs])
+
+
+def test_published_values():
+    """A few values of each fixed table, written down a second time."""
+    assert (S.EISENBERG["R"], S.EISENBERG["I"], S.KYTE_DOOLITTLE["I"], S.KYTE_DOOLITTLE["R"]) == (-2.53, 1.38, 4.5, -4.5)
+    assert (S.BOMAN["R"], S.BOMAN["L"], S.WW_INTERFACE["W"], S.WW_OCTANOL["D"]) == (14.92, -4.92, -1.85, 3.64)
+    assert (S.HELIX_PROPENSITY["E"], S.SHEET_PROPENSITY["V"], S.RESIDUE_MASS["G"], S.HELIX_WEIGHT["P"]) == (1.51, 1.70, 57.0519, 0.02)
+    assert (S.PKA_BASE["K"], S.PKA_ACID["D"], S.PKA_N_TERMINUS, S.PKA_C_TERMINUS) == (10.54, 3.90, 9.69, 2.34)
+    for scale in (S.EISENBERG, S.KYTE_DOOLITTLE, S.BOMAN, S.WW_INTERFACE, S.WW_OCTANOL, S.HELIX_PROPENSITY, S.SHEET_PROPENSITY, S.RESIDUE_MASS, S.HELIX_WEIGHT):
+        assert "".join(scale) == S.ALPHABET

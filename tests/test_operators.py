@@ -4,8 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from strandlake.functions import descriptors as D
+from strandlake.functions import objective as O
 from strandlake.functions import scales as S
+from strandlake.functions import tokens
 from strandlake.operators import models, search, similarity, tables
 from strandlake.operators import select as sel
 
@@ -65,6 +69,7 @@ def test_greedy():
         gain = [score[i] * (1 - 0.5 * max([ratio(words[i], words[j]) for j in out], default=0)) for i in left]
         out.append(left.pop(int(np.argmax(gain))))
     assert sel.greedy_indices(words, score, 10, 0.5) == out and sel.greedy_indices([], np.zeros(0), 3, 0.5) == []
+    assert sel.greedy_indices(words, np.where(score > 0.5, score, -np.inf), 30, 1.0)[0] == int(score.argmax()) and len(sel.greedy_indices(words, np.where(score > 0.5, score, -np.inf), 30, 1.0)) == (score > 0.5).sum()
 
 
 def test_statistics(spark):
@@ -78,16 +83,61 @@ def test_statistics(spark):
     assert [t["ord"] for t in top] == [1, 2]
 
 
+def test_moves_keep_their_invariants():
+    """Each move by itself: what it may change, within the rules; classes and pools as published."""
+    rng, move = np.random.default_rng(1), search.Mutator()
+    kinds = {c: tokens.residue_class(c) for c in S.ALPHABET}
+    assert sorted(c for c, k in kinds.items() if k == "cationic") == ["H", "K", "R"] and kinds["D"] == "anionic" and kinds["Y"] == "hydrophobic" and kinds["P"] == "polar"
+    starts = ["KWKLFKKIGIGKFLHSAKKF", "K" * 12, "ACDEFGHIKLMN", "L" * 30, "GIGAVLKVLTTGLPALISWIKRKRQQ"]
+    for s in starts:
+        for _ in range(300):
+            t = move.same_class(s, rng)
+            assert len(t) == len(s) and [kinds[c] for c in t] == [kinds[c] for c in s] and sum(a != b for a, b in zip(s, t)) <= 1
+            t = move.swap(s, rng)
+            assert sorted(t) == sorted(s)
+            t = move.face(s, rng)
+            at = [i for i in range(len(s)) if s[i] != t[i]]
+            assert len(t) == len(s) and len(at) <= 1
+            for i in at:
+                assert t[i] in ("AILMFVWGNQSTKR" if search.on_face(i, search.face_centre(s)) else "KRGNQST")
+            t = move.indel(s, rng)
+            assert abs(len(t) - len(s)) <= 1 and 12 <= len(t) <= 30
+            t = move.terminal(s, rng)
+            assert 12 <= len(t) <= 30 and (s in t or t in (s[1:], s[:-1]))
+    names = [rng.choice(move.names, p=move.shares) for _ in range(4000)]
+    assert all(abs(names.count(n) / 4000 - p) < 0.03 for n, p in (("same_class", 0.40), ("face", 0.30), ("swap", 0.15), ("indel", 0.08), ("terminal", 0.07)))
+    on, pools = "KWKLFKKIGIGKFLHSAKKF", []
+    for _ in range(6000):
+        t = move.face(on, rng)
+        pools += [t[i] in "AILMFVW" for i in range(len(on)) if t[i] != on[i] and search.on_face(i, search.face_centre(on))]
+    assert 0.6 < np.mean(pools) < 0.8
+
+
 def test_search_is_seeded_and_feasible(spark):
     start = "KWKLFKKIGIGKFLHSAKKF"
     a, b = search.anneal(start, 3, 60), search.anneal(start, 3, 60)
-    assert a == b and all(search.feasible(s) for s, _ in a) and a[-1][1] >= search.rule_score(start)
+    assert a.best == b.best and list(a.visited) == list(b.visited) and 0 < a.taken <= 60
+    assert all(search.feasible(s) for s in a.visited) and a.score >= search.rule_score(start, 2.0) and (a.best == start or a.best in a.visited)
+    assert len(a.visited) > a.taken * 0.5 and search.anneal("C" * 12, 1, 20).score == -np.inf
     df = frame(spark, [start, "GIGAVLKVLTTGLPALISWI"])
-    x = search.refine(df, 30).where("best").orderBy("chain").collect()
-    y = search.refine(df.repartition(3), 30).where("best").orderBy("chain").collect()
-    assert x == y
-    pool = [r["s"] for r in search.sample_pool(df, 50).collect()]
-    assert len(pool) == len(set(pool)) and all(search.feasible(s) for s in pool)
+    x = search.refine(df, 30).orderBy("chain", "place").collect()
+    y = search.refine(df.repartition(3), 30).orderBy("chain", "place").collect()
+    assert x == y and sum(r["place"] == 0 for r in x) == 2 and len({(r["chain"], r["s"]) for r in x}) == len(x)
+
+
+def test_sampler(spark):
+    words = seqs(80, 31, S.ALPHABET.replace("C", ""))
+    df = frame(spark, words).withColumn("charge", F.length("s") * 1.0 - 10).withColumn("second", F.col("ord") % 3 == 0)
+    for extra in ({}, {"charge": "charge"}, {"charge": "charge", "source": "second"}):
+        pool = [r["s"] for r in search.sample_pool(df, 60, **extra).orderBy("ord").collect()]
+        assert len(pool) == len(set(pool)) >= 60 and all(8 <= len(s) <= 50 for s in pool)
+        assert pool == [r["s"] for r in search.sample_pool(df.repartition(3), 60, **extra).orderBy("ord").collect()]
+    # one word only: the pool stalls
+    assert search.sample_pool(frame(spark, ["KLAKLAKLAKLA"]), 60).count() < 20
+    hot = dict(search.heated([("a", 0.9), ("b", 0.1)], 10.0))
+    assert 0.5 < hot["a"] < 0.6 and dict(search.heated([("a", 0.9), ("b", 0.1)], 0.01))["a"] > 0.999
+    counts = {(r["condition"], r["context"], r["next"]): r["n"] for r in search.ngram_model(df, 1, ("second",)).collect()}
+    assert sum(n for (c, _, x), n in counts.items() if c == "" and x == "$") == 80 and sum(n for (c, _, x), n in counts.items() if c == "true" and x == "$") == 27
 
 
 def test_gate_and_regression(spark):
@@ -133,9 +183,9 @@ def test_closest_of_any_similarity(spark, monkeypatch):
     want = {i: max(ratio(c, r) for r in refs) for i, c in enumerate(cand)}
     for rows in (100_000, 7):
         monkeypatch.setattr(similarity, "BROADCAST_ROWS", rows)
-        best = {r["ord"]: (r["ref"], r["identity"]) for r in similarity.closest_of_all(frame(spark, cand), frame(spark, refs)).collect()}
+        best = {r["ord"]: (r["ref"], r["identity"]) for r in similarity.closest(frame(spark, cand), frame(spark, refs)).collect()}
         assert best == {i: (next(r for r in refs if ratio(c, r) == want[i]), pytest.approx(want[i])) for i, c in enumerate(cand)}
-    none = similarity.closest_of_all(frame(spark, cand), frame(spark, refs).limit(0)).collect()
+    none = similarity.closest(frame(spark, cand), frame(spark, refs).limit(0)).collect()
     assert len(none) == len(cand) and all(r["ref"] is None and r["identity"] == 0 for r in none)
     got = catalog.QUERIES["closest_reference"](spark, "/root/testdata/sf0.001")
     assert got.where("ref is null").count() == 0 and got.where("identity < 0.8").count() > 0
@@ -148,7 +198,7 @@ def test_cells_choose_among_all_rows(spark):
     score = [2.0 - 0.0005 * (i // 2) for i in range(1400)] + [1.5 - 0.001 * i for i in range(100)]
     for shift in (0.0, -1.6):
         df = spark.createDataFrame([(i, w, x + shift, "ab"[i % 2]) for i, (w, x) in enumerate(zip(words, score))], "ord long, s string, v double, cell string").repartition(5)
-        got = {(r["cell"], r["pick"]): r["ord"] for r in sel.greedy_diverse(df, "v", 6, "cell").collect()}
+        got = {(r["cell"], r["pick"]): r["ord"] for r in sel.greedy_diverse(df, "v", 6, "cell", 0.5).collect()}
         for c in (0, 1):
             own = list(range(c, 1500, 2))
             want = sel.greedy_indices([words[i] for i in own], np.array([score[i] + shift for i in own]), 6, 0.5)
@@ -179,3 +229,164 @@ def test_leader_clusters_in_many_rounds(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     known = [r["s"] for r in aggregate_activity(catalog.long_table(spark, sf)).select("s").collect()]
     assert {r["s"]: (r["leader"], r["cluster_id"]) for r in catalog.QUERIES["leader_clusters"](spark, sf).collect()} == rule(known, 0.4)
+
+
+def plain_greedy(rows, k, weight=1.0):
+    left, out = list(rows), []
+    while left and len(out) < k:
+        gain = [v * (1 - weight * max([ratio(s, t) for t, _ in out], default=0)) for s, v in left]
+        out.append(left.pop(int(np.argmax(gain))))
+    return out
+
+
+def test_factorial_design_against_plain_python(spark):
+    rng = random.Random(41)
+    words = list(dict.fromkeys(seqs(260, 42, "KLWAGST")))
+    value = {s: round(rng.random() * 3 + 1, 3) for s in words}
+    axes = {s: (rng.randint(0, 9), rng.randint(0, 5)) for s in words}
+
+    def plain(pool, tolerance):
+        hi, lo = max(value.values()), min(value.values())
+        band = [s for s in words if value[s] >= hi - tolerance * (hi - lo)]
+        if len(band) < pool:
+            band = sorted(words, key=lambda s: (-value[s], words.index(s)))[: max(3 * pool, 150)]
+        cut = [np.median([axes[s][i] for s in band]) for i in (0, 1)]
+        cell = {s: "|".join(f"{n}:{'hi' if axes[s][i] >= cut[i] else 'lo'}" for i, n in enumerate("ab")) for s in band}
+        take = max(pool // len(set(cell.values())), 1)
+        out = []
+        for c in sorted(set(cell.values())):
+            out += [s for s, _ in plain_greedy([(s, value[s]) for s in words if cell.get(s) == c], take)]
+        out += sorted((s for s in band if s not in out), key=lambda s: (-value[s], words.index(s)))[: max(pool - len(out), 0)]
+        return out[:pool], cell
+
+    df = spark.createDataFrame([(i, s, value[s], *axes[s]) for i, s in enumerate(words)], "ord long, s string, v double, a int, b int").repartition(3)
+    for pool, tolerance in ((14, 0.5), (14, 0.01), (3, 0.5)):
+        want, cell = plain(pool, tolerance)
+        got = sel.factorial_select(df, "v", ["a", "b"], pool, tolerance).orderBy("pick").collect()
+        assert [r["s"] for r in got] == want and all(r["cell"] == cell[r["s"]] for r in got)
+        band = {r["s"]: r["cell"] for r in sel.factorial_band(df, "v", ["a", "b"], pool, tolerance).collect()}
+        assert band == cell
+    chosen = sel.factorial_select(df, "v", ["a", "b"], 14, 0.5)
+    want, cell = plain(14, 0.5)
+    cost = sel.factorial_cost(chosen, df, "v", ["a", "b"], ["a"]).first()
+    greedy = np.mean(sorted(value.values())[-14:])
+    assert cost["greedy_mean"] == pytest.approx(greedy) and cost["relative_cost"] == pytest.approx((greedy - np.mean([value[s] for s in want])) / greedy)
+    report = {r["cell"]: r for r in sel.factorial_cells_report(chosen, sel.factorial_band(df, "v", ["a", "b"], 14, 0.5), "v", ["a"]).collect()}
+    assert {c: r["available"] for c, r in report.items()} == {c: list(cell.values()).count(c) for c in set(cell.values())} and sum(r["selected"] for r in report.values()) == 14
+
+
+def test_top_lists(spark):
+    words = list(dict.fromkeys(seqs(120, 51, "KLWAGSTDE")))
+    words = [s for s in words if 12 <= len(s)]
+    value = {s: 5 - 0.01 * i for i, s in enumerate(words)}
+    df = spark.createDataFrame([(i, s, value[s], len(s), s.count("K")) for i, s in enumerate(words)], "ord long, s string, v double, a int, b int")
+    refs = frame(spark, words[:3])
+    open_ = [s for s in words if all(ratio(s, r) < 0.8 - 1e-12 for r in words[:3])]
+    head = [s for s, _ in plain_greedy([(s, value[s]) for s in open_[:40]], 10)]
+    tail = [s for s, _ in plain_greedy([(s, value[s]) for s in open_ if s not in head], 8)]
+    got = [r["s"] for r in sel.top_list(df, refs, "v", 18, 10).orderBy("pick").collect()]
+    assert got == head + tail
+    design = [r["s"] for r in sel.factorial_top_list(df, refs, "v", ["a", "b"], 18, 10).orderBy("pick").collect()]
+    assert len(set(design)) == 18 and set(design) <= set(open_)
+    assert sel.factorial_top_list(df.limit(4), refs, "v", ["a", "b"], 18, 10).count() == 0
+    with pytest.raises(sel.TooDear):
+        sel.factorial_top_list(df, refs, "v", ["a", "b"], 18, 10, tolerance=1.0, most_cost=0.0)
+    counts = sel.validate(frame(spark, [words[0], words[0], "CCCC"]), frame(spark, words), refs, 3, len(words))
+    row = counts.first().asDict()
+    assert {k: v for k, v in row.items() if v} == {"top_repeats": 1, "top_infeasible": 1, "top_outside_library": 1, "library_known": 3, "top_too_close": 2}
+    with pytest.raises(ValueError, match="top_too_close"):
+        sel.require_valid(counts)
+
+
+def test_quantiles_and_running_sums(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, float(v)) for k in (1, 2) for v in np.round(rng.normal(size=300 * k), 1)] + [(3, 1.5), (None, 2.0), (None, 4.0), (4, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    got = {r["k"]: r for r in tables.exact_quantiles(df, "v", [0.1, 0.5, lambda n: F.least(F.lit(1.0), 0.9 + 1 / n)], ["k"]).collect()}
+    assert set(got) == {1, 2, 3, None}
+    for k, r in got.items():
+        own = [v for g, v in rows if g == k and v is not None]
+        assert r["n"] == len(own) and [r["q0"], r["q1"], r["q2"]] == pytest.approx([np.quantile(own, q) for q in (0.1, 0.5, min(1, 0.9 + 1 / len(own)))])
+    one = tables.exact_quantiles(df, "v", [0.25]).first()
+    assert one["q0"] == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.25))
+    none = tables.exact_quantiles(df.limit(0), "v", [0.25]).collect()
+    assert [(r["n"], r["q0"]) for r in none] == [(0, None)]
+    values = spark.range(1000).selectExpr("cast(id as double) v", "id % 3 w")
+    assert {r["v"]: r["upto"] for r in tables.running(values, "v", "w").collect()} == {float(i): sum(j % 3 for j in range(i + 1)) for i in range(1000)}
+
+
+def test_random_split_is_exact(spark):
+    import hashlib
+
+    for n in (1, 2, 37, 1000):
+        df = spark.range(n)
+        order = sorted(range(n), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+        assert {r["id"] for r in similarity.random_split(df, "id").where("test").collect()} == set(order[: max(1, round(0.2 * n))])
+
+
+def test_diversity_and_violations(spark):
+    words = seqs(25, 61)
+    r = similarity.diversity(frame(spark, words)).first()
+    every = [ratio(a, b) for i, a in enumerate(words) for b in words[:i]]
+    assert (r["n_sequences"], r["mean_ratio"], r["max_ratio"]) == (25, pytest.approx(np.mean(every)), pytest.approx(max(every)))
+    got = {x["s"]: x["identity"] for x in similarity.violations(frame(spark, ["A" * 10, "A" * 8 + "CC"]), frame(spark, ["A" * 9 + "D", "A" * 8 + "DD"])).collect()}
+    assert got == {"A" * 10: 0.9}  # 0.8 itself is none
+
+
+def test_tokens(spark):
+    for s, q in (("ACDY", -3.0), ("KKKK", 6.0), ("", 20.0)):
+        ids = tokens.encode(s, q, len(s) > 3)
+        row = spark.createDataFrame([(s, q, len(s) > 3)], "s string, q double, second boolean").select(tokens.encoded(F.col("s"), F.col("q"), F.col("second")).alias("t")).select("t", tokens.decoded(F.col("t")).alias("d")).first()
+        assert row["t"] == ids and row["d"] == s == tokens.decode(ids)
+    assert tokens.encode("A", 2.0) == [25, 30, 0, 3, 1] and tokens.VOCABULARY == 32 and tokens.charge_token(-2.5) == 23 and tokens.charge_token(12.0) == 29
+    t = D.tiers()
+    assert [len(v) for v in t.values()] == [29, 33, 38, 44] and t["+topology"][:29] == t["composition"]
+
+
+def test_heads_are_kept_and_score_alike(spark, tmp_path):
+    rng = random.Random(71)
+    words = ["".join(rng.choice(S.ALPHABET) for _ in range(rng.randint(12, 30))) for _ in range(90)]
+    rows = [(s, s.count("K") * 0.5 + rng.random(), int(i % 5 == 0), 5.0 - s.count("L") * 0.3, 0, 7.0 + s.count("G"), 0, None, None) for i, s in enumerate(words)]
+    names = "s string, gram_negative double, gram_negative_censor int, gram_positive double, gram_positive_censor int, hc50 double, hc50_censor int, resistant double, resistant_censor int"
+    wide = D.with_descriptors(spark.createDataFrame(rows, names)).persist()
+    split = wide.select("s", (F.length("s") % 4 == 0).alias("test"))
+    heads = models.Predictors.fit(wide, D.FEATURES, split, least=20, seeds=(0, 1), rounds=2, trees=3)
+    assert set(heads.heads) == {"gram_negative", "gram_positive", "hc50"} and all(m["n"] > 0 for m in heads.metrics.values()) and all(w > 0 for w in heads.widths.values())
+    heads.save(str(tmp_path / "h"))
+    again = models.Predictors.load(str(tmp_path / "h"))
+    cols = [*models.HEADS.values(), "spread_gram_negative", "spread_resistant"]
+    a, b = ({r["s"]: r for r in h.predict(wide).select("s", *cols).collect()} for h in (heads, again))
+    assert a == b and all(r["log2_mic_resistant"] is None for r in a.values()) and again.metrics == heads.metrics and again.gate.threshold == heads.gate.threshold
+    few = models.Predictors(D.FEATURES, {}, heads.gate).predict(wide).first()
+    assert (few["log2_mic_gram_positive"], few["log2_mic_gram_negative"], few["log2_hc50"], few["log2_mic_resistant"]) == (6.0, 6.0, 6.0, None)
+    # a single sequence's score equals the Columns', and what is outside the gate or the rules has none
+    scorer = again.scorer()
+    passed = {r["s"]: r for r in heads.gate.apply(O.with_score(O.with_axes(heads.predict(wide)))).collect()}
+    soft = {r["s"]: r["chebyshev"] for r in O.with_score(O.with_axes(heads.predict(wide)), softness=0.4).collect()}
+    for s, r in passed.items():
+        assert scorer(s) == (pytest.approx(r["chebyshev"], abs=1e-9) if r["in_distribution"] else -np.inf)
+        assert not r["in_distribution"] or scorer(s, 0.4) == pytest.approx(soft[s], abs=1e-9)
+    assert scorer("KKK") == scorer("B" * 12) == -np.inf
+    assert heads.importances().groupBy("head").agg(F.sum("share").alias("t")).count() == 3
+    # chains on fitted heads run in workers
+    some = [s for s, r in passed.items() if r["in_distribution"]][:3]
+    got = search.refine(frame(spark, some), 10, score=scorer).where("place = 0").collect()
+    assert len(got) == 3 and all(np.isfinite(r["score"]) for r in got)
+
+
+def test_classifier_on_held_out_folds(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(x), float(y), int(x + 0.3 * y + 0.2 * rng.normal() > 0)) for i, (x, y) in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    model = models.ActivityClassifier(["a", "b"], trees=3, folds=3).fit(df, "y", "id")
+    assert all(0 <= r["probability_active"] <= 1 for r in model.predict(df).collect())
+    held = model.predict_held_out(df, "y", "id")
+    got = models.classifier_metrics(held, "y", "probability_active").first()
+    p = [(r["probability_active"], r["y"]) for r in held.collect()]
+    steps, hits, seen, area = sorted({v for v, _ in p}, reverse=True), 0, 0, 0.0
+    for v in steps:
+        own = [y for w, y in p if w == v]
+        hits, seen = hits + sum(own), seen + len(own)
+        area += sum(own) * hits / seen
+    assert got["n"] == 300 and got["average_precision"] == pytest.approx(area / hits) and got["average_precision"] > 0.9
+    assert got["brier"] == pytest.approx(np.mean([(v - y) ** 2 for v, y in p]))
