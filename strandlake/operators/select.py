@@ -134,18 +134,20 @@ def top_list(df: DataFrame, refs: DataFrame, score: str, k: int, head: int, weig
     return first.select("s", "ord", score, "pick").unionByName(rest.select("s", "ord", score, "pick"))
 
 
-def factorial_band(df: DataFrame, score: str, axes: list[str], pool: int, tolerance: float = 0.12) -> DataFrame:
-    """The rows that a design of `pool` rows chooses among, with their cell: the eligible band or, where it has fewer than `pool` rows, the max(3 pool, 150) best."""
-    band = eligible_band(df, score, tolerance)
+def factorial_band(df: DataFrame, score: str, axes: list[str], pool: int, tolerance: float = 0.12, save=lambda d: d.persist()) -> DataFrame:
+    """The rows that a design of `pool` rows chooses among, with their cell: the eligible band or, where it has fewer than `pool` rows, the max(3 pool, 150) best.
+
+    `save` keeps the band, which its medians read."""
+    band = save(eligible_band(df, score, tolerance))
     if band.count() < pool:
-        band = top_k(df, score, max(3 * pool, 150)).drop("rank")
+        band = save(top_k(df, score, max(3 * pool, 150)).drop("rank"))
     return median_cells(band, axes)
 
 
 def factorial_select(df: DataFrame, score: str, axes: list[str], pool: int, tolerance: float = 0.12, weight: float = 1.0, save=lambda d: d.persist()) -> DataFrame:
     """`pool` rows with their cell and pick (1..pool): of the band the cells of median splits each give pool // cells (1 at least) by greedy
     diversity, in order of their names; what is missing is filled by score. `save` keeps the band, which each pick reads."""
-    cells = save(factorial_band(df, score, axes, pool, tolerance))
+    cells = save(factorial_band(df, score, axes, pool, tolerance, save))
     take = max(pool // max(cells.select("cell").distinct().count(), 1), 1)
     chosen = greedy_diverse(cells, score, take, "cell", weight)
     fill = top_k(cells.join(chosen.select("ord"), "ord", "left_anti").select(*cells.columns), score, pool)

@@ -361,7 +361,7 @@ def novelty_screen(spark, sf_dir):
 
 @query(f"WITH {_PAIRS}, b AS (SELECT s, arg_max(ref, (ratio, -r_ord)) AS ref, max(ratio) AS ratio FROM near GROUP BY s) SELECT ord, l.s, ref, round(coalesce(ratio, 0) + 1e-10, 6) + 0.0 AS identity FROM ({P.LIBRARY_SQL}) l LEFT JOIN b USING (s)")
 def closest_reference_at_80(spark, sf_dir):
-    """The closest benchmark sequence at 0.8 or more."""
+    """J6 with a cut: the closest benchmark sequence at 0.8 or more, null below."""
     return rounded(similarity.closest(P.library(spark, sf_dir), P.references(spark, sf_dir), 0.8), "identity")
 
 
@@ -486,7 +486,7 @@ n AS (SELECT count(*) AS n FROM b), f AS (SELECT * FROM b WHERE (SELECT n FROM n
 @query(_BAND + " SELECT s, ord, charge, boman, CASE WHEN charge >= a THEN 'charge:hi' ELSE 'charge:lo' END || '|' || CASE WHEN boman >= b THEN 'boman:hi' ELSE 'boman:lo' END AS cell FROM f, m")
 def factorial_band(spark, sf_dir):
     """What a design of 50 rows chooses among, with its cells."""
-    return sel.factorial_band(_save(charges(spark, sf_dir)), "charge", ["charge", "boman"], 50)
+    return sel.factorial_band(_save(charges(spark, sf_dir)), "charge", ["charge", "boman"], 50, save=_save)
 
 
 _CHECK = f"""WITH {_PAIRS}, {_SCORE}, t AS (SELECT s FROM sc ORDER BY charge DESC, ord LIMIT 100)
@@ -665,7 +665,7 @@ def diverse_top_list(spark, sf_dir):
 @query()
 def factorial_selection(spark, sf_dir):
     """Equal shares of the cells of two median splits."""
-    return sel.factorial_select(charges(spark, sf_dir), "charge", ["charge", "boman"], 50, save=_save)
+    return sel.factorial_select(_save(charges(spark, sf_dir)), "charge", ["charge", "boman"], 50, save=_save)
 
 
 @query()
@@ -680,7 +680,7 @@ def factorial_report(spark, sf_dir):
 @query()
 def factorial_top(spark, sf_dir):
     """A top list whose first half is a factorial design."""
-    return sel.factorial_top_list(charges(spark, sf_dir), P.references(spark, sf_dir), "charge", ["charge", "boman"], 100, 50)
+    return sel.factorial_top_list(_save(charges(spark, sf_dir)), P.references(spark, sf_dir), "charge", ["charge", "boman"], 100, 50)
 
 
 @query()
