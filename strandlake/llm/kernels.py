@@ -13,6 +13,19 @@ _C1, _C2, _C3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB
 SLICE_BYTES = 4 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: a reused worker would hold its largest need for ever."""
+    global _TRIM
+    if _TRIM is None:
+        import ctypes
+
+        _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) or (lambda _: 0)
+    _TRIM(0)
+
+
+_TRIM = None
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U64(30))) * _C2

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.components import components, forest
-from strandlake.llm.kernels import U64, Words, mix, rolling, row_slices
+from strandlake.llm.kernels import U64, Words, give_back, mix, rolling, row_slices
 from strandlake.llm.shared import materialize
 
 K = 5
@@ -50,7 +50,9 @@ PAIRED = 16
 SEEDS = 4
 BLOCK_SETS, BLOCK_SHINGLES, SEED_SETS = 500, 500_000, 32
 PACK_SHINGLES = 1_500_000
-BUCKET_SHINGLES = 4_000_000
+BUCKET_SHINGLES = 2_000_000
+#: Bytes of text whose signatures are made at once; each takes some 200 bytes of arrays.
+SIGNED_BYTES = 1 << 20
 
 
 def shingle_sets(raws: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +244,7 @@ def bucketed(df: DataFrame, frequent: np.ndarray, buckets: int, k: int, num: int
     """bucket, blob: packed signatures of one slice of texts. Equal sets of a slice are packed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, raws in row_slices(batches):
+        for ids, raws in row_slices(batches, SIGNED_BYTES):
             x, d = shingle_sets(raws, k)
             size = np.bincount(d, minlength=len(raws))
             h1, _ = class_hashes(x, d, len(raws))
@@ -268,6 +270,7 @@ def bucketed(df: DataFrame, frequent: np.ndarray, buckets: int, k: int, num: int
                 rows.append(np.array([j - i], np.uint32).tobytes() + h1[who[at]].tobytes() + size[who[at]].astype(np.uint32).tobytes() + scheme[at].astype(np.uint32).tobytes() + counts[i:j].astype(np.uint32).tobytes() + rest[lo:hi].tobytes())
                 rows_b.append(int(b))
             yield pa.RecordBatch.from_arrays([pa.array(rows_b, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "blob"])
+        give_back()
 
     return df.mapInArrow(run, "bucket int, blob binary")
 
@@ -411,7 +414,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = materialize(sets.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
     packed = bucketed(docs, frequent, buckets, k, num, den)
-    pairs = packed.groupBy("bucket").applyInArrow(lambda t: candidate_pairs(t, num, den), "scheme long, a long, b long, common long, tied boolean")
+    pairs = packed.groupBy("bucket").applyInArrow(_then_give_back(lambda t: candidate_pairs(t, num, den)), "scheme long, a long, b long, common long, tied boolean")
     pairs = pairs.groupBy("scheme", "a", "b").agg(F.sum("common").alias("common"), F.max("tied").alias("tied"))
     least = F.element_at(F.array(*[F.lit(b.c) for b in bands(num, den)]), (F.greatest(F.col("scheme"), F.lit(0)) / 128).cast("int") + 1)
     edges = pairs.where(F.col("tied") | (F.col("common") >= least)).select("a", "b")
@@ -463,9 +466,18 @@ def set_table(docs: DataFrame, placed: DataFrame, k: int) -> DataFrame:
     return rows.select("text", *names).mapInArrow(items, "h1 long, root long, blocks int, block int, items binary")
 
 
+def _then_give_back(f):
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        give_back()
+        return out
+
+    return run
+
+
 def verified(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Links a, b of the sets of each group of a task. rows: task, grp, h1, items."""
-    return rows.groupBy("task").applyInArrow(lambda t: verify_group(t, num, den), "a long, b long")
+    return rows.groupBy("task").applyInArrow(_then_give_back(lambda t: verify_group(t, num, den)), "a long, b long")
 
 
 def links_of_large_groups(held: DataFrame, num: int, den: int) -> DataFrame:

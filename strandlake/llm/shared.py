@@ -9,6 +9,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Most bytes of an Arrow batch between Spark and a worker. The default of 64 MB costs several hundred MB an executor with rows as long as texts.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches to BATCH_BYTES, where it is higher; results don't depend on it."""
+    size = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH))
+    if size is None or not 0 < int(size[1]) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
@@ -46,6 +58,7 @@ def release(spark: SparkSession) -> int:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
+    small_batches(df.sparkSession)
     path = new_folder(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -61,4 +74,5 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from strandlake.llm.kernels import U64, Words, mix, rolling, row_slices
+from strandlake.llm.kernels import U64, Words, give_back, mix, rolling, row_slices
 from strandlake.llm.shared import discard, materialize
 
 WINDOW = 50
@@ -46,9 +46,9 @@ ANCHOR = 20
 #: From how many documents of a key on it is refined, and by how many hashes (0: all of the window's).
 HOT_DOCS = 1_000
 REFINED = ((1, 4), (16, 12), (256, 0))
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 600_000
 #: Fragments that a task remembers, so that it sends the words of equal ones once.
-SEEN_FRAGMENTS = 500_000
+SEEN_FRAGMENTS = 200_000
 #: Windows of a stretch that is streamed in one piece, and the match length at which the search goes back to the window's.
 PIECE, DEEPEST = 256, 62
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
@@ -303,7 +303,7 @@ def fragments_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             key[own] = mixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -328,13 +328,15 @@ def fragments_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     for a, b in zip(edge[key[edge] != _MAX], stop[key[edge] != _MAX]):
                         words = h[at[a] : at[b - 1] + window]
                         raw = words.tobytes()
-                        digest = np.frombuffer(hashlib.blake2b(raw, digest_size=16).digest(), np.int64)
-                        f = int(digest[0]), int(digest[1])
-                        for col, v in zip(cols, (i, p, int(at[a]), len(words), int(key[a].view(np.int64)), *f, None if f in seen else raw)):
+                        digest = hashlib.blake2b(raw, digest_size=16).digest()
+                        f = np.frombuffer(digest, np.int64).tolist()
+                        for col, v in zip(cols, (i, p, int(at[a]), len(words), int(key[a].view(np.int64)), *f, None if digest in seen else raw)):
                             col.append(v)
-                        seen.add(f)
+                        seen.add(digest)
                 types = [pa.int64()] * 7 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "part", "pos", "size", "key", "f1", "f2", "codes"])
+        seen.clear()
+        give_back()
 
     return docs.select("doc_id", "part", "text", "keys", "hot").mapInArrow(run, "doc_id long, part long, pos long, size long, key long, f1 long, f2 long, codes binary")
 
@@ -371,6 +373,8 @@ def search_keys(window: int):
                     last[4], words = codes, words + len(codes) // 8
         if held:
             yield search()
+        held.clear()
+        give_back()
 
     return run
 

@@ -24,10 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strandlake.llm.kernels import give_back
+
 #: Fixed value: the vocabulary's split pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 SHORT_WORD = 48
-CACHE_WORDS = 300_000
+#: Words whose ids are remembered, at some 1,700 bytes a word.
+CACHE_WORDS = 30_000
 _NO_RANK = np.int64(1) << np.int64(40)
 _CODECS: dict[str, "WordBpe"] = {}
 
@@ -86,10 +89,13 @@ class WordBpe:
             todo, ids, slot = todo[~done], ids[~done], (slot[~done] + 1) & self.mask
         self.forget()
 
-    def forget(self) -> None:
-        """Empty the caches of words, but for the special strings."""
-        self.ids_of = {s: str(i) for s, i in self.special.items()}
-        self.tokens_of = {s: s for s in self.special}
+    def forget(self, but: set[str] | None = None) -> None:
+        """Empty the caches of words, but for the special strings and the words `but`."""
+        ids, tokens = {s: str(i) for s, i in self.special.items()}, {s: s for s in self.special}
+        for w in but or ():
+            if w in self.ids_of:
+                ids[w], tokens[w] = self.ids_of[w], self.tokens_of[w]
+        self.ids_of, self.tokens_of = ids, tokens
 
     def _slot(self, pair: np.ndarray) -> np.ndarray:
         h = pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -210,9 +216,9 @@ class WordBpe:
 
     def encode_many(self, texts: list[str]) -> list[tuple[str, int, str]]:
         """For each text: decimal ids joined by a space, their count, the decoded text."""
-        if len(self.ids_of) > CACHE_WORDS:
-            self.forget()
         split = [self.pieces(t) for t in texts]
+        if len(self.ids_of) > CACHE_WORDS:
+            self.forget(set().union(*split))  # the usual words are among these
         self.learn(list(set().union(*[set(words).difference(self.ids_of) for words in split])))
         out = []
         for words in split:
@@ -259,5 +265,6 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     arrays = [pa.array([[int(x) for x in r[0].split()] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())]
                     names = ["doc_id", "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names)
+        give_back()
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
