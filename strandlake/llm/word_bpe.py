@@ -29,8 +29,8 @@ from strandlake.llm.kernels import give_back
 #: Fixed value: the vocabulary's split pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 SHORT_WORD = 48
-#: Words whose ids are remembered, at some 1,700 bytes a word.
-CACHE_WORDS = 30_000
+#: Words whose ids a task remembers, at some 400 bytes a word.
+CACHE_WORDS = 100_000
 _NO_RANK = np.int64(1) << np.int64(40)
 _CODECS: dict[str, "WordBpe"] = {}
 
@@ -265,6 +265,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     arrays = [pa.array([[int(x) for x in r[0].split()] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())]
                     names = ["doc_id", "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names)
+        bpe.forget()  # else a reused worker would hold the words for ever
         give_back()
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
