@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import chat, decontaminate, fingerprints, language_id, ngram_join, quality, substring_dedup, token_counts, topk, warc, word_bpe
+from strandlake.llm import alignment, chat, decontaminate, fingerprints, language_id, ngram_join, quality, substring_dedup, token_counts, topk, warc, word_bpe
 from strandlake.llm.shared import table
 
 
@@ -57,6 +57,10 @@ def op11_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fm_dedup": op1_fm_dedup,
     "op2_token_counts": op2_token_counts,
@@ -69,6 +73,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
     "op11_weighted_fingerprints": op11_weighted_fingerprints,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 #: floor(256 x) as doubles are whole numbers, and their sums are exact.
 _TOP_K = """
