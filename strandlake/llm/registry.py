@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import alignment, chat, decontaminate, fingerprints, language_id, ngram_join, quality, substring_dedup, token_counts, topk, warc, word_bpe
+from strandlake.llm import alignment, chat, conversation_repair, decontaminate, fingerprints, language_id, ngram_join, quality, substring_dedup, token_counts, topk, warc, word_bpe
 from strandlake.llm.shared import table
 
 
@@ -61,6 +61,10 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_fm_dedup": op1_fm_dedup,
     "op2_token_counts": op2_token_counts,
@@ -74,6 +78,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_weighted_fingerprints": op11_weighted_fingerprints,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 #: floor(256 x) as doubles are whole numbers, and their sums are exact.
 _TOP_K = """
@@ -142,4 +147,35 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   CAST(sum(20 + length(role || text) + len(regexp_extract_all(role || text, '[\\\\<\\[]'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
-ORACLES: dict[str, str] = {"op1_fm_dedup": _REPEATS, "op6_dual_tree_top_k": _TOP_K, "op7_warc": _WARC, "op8_jaccard_components": _JACCARD, "op9_decontaminate": _DECONTAMINATE, "op10_chat_format": _CHAT}
+#: The programme over explicit edit lists: at most four of them a turn, each the cheapest and ASCII-least of its state (0 nothing, 1 system, 2 user, 3 assistant last).
+_REPAIR = """
+WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+crc AS (SELECT c.conv_id, c.turn, coalesce(c.role, ' ') AS role, coalesce(c.text, ' ') AS text,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(c.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(c.turn AS VARCHAR), ' '), ''), lambda x: ascii(x)::BIGINT)),
+    lambda h, b: xor(h >> 8, tab.tab[1 + (xor(h, b) & 255)])), 4294967295) % 20 AS way FROM conversations c, tab),
+dam AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role, CASE WHEN way = 1 THEN '' WHEN way = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(0, CASE WHEN way = 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE way <> 0),
+ord AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM dam),
+d AS (SELECT conv_id, pos, turn, role, text, role[1] AS i, last AS l, CASE WHEN last = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+  lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) || role[1] AS two
+  FROM (SELECT *, regexp_extract(text, '(?s)([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last FROM ord)),
+runs(state, code, after, put) AS (VALUES (0, '', 0, []), (0, 'I', 2, ['user:']), (0, 'II', 3, ['user:', 'assistant:']), (1, '', 1, []), (1, 'I', 2, ['user:']), (1, 'II', 3, ['user:', 'assistant:']),
+  (2, '', 2, []), (2, 'I', 3, ['assistant:']), (2, 'II', 2, ['assistant:', 'user:']), (3, '', 3, []), (3, 'I', 2, ['user:']), (3, 'II', 3, ['user:', 'assistant:'])),
+edits(code, cost) AS (VALUES ('D', 3), ('K', 0), ('R', 2)),
+r AS (SELECT DISTINCT conv_id, 0::BIGINT AS pos, 0 AS state, 0::BIGINT AS cost, '' AS list, CAST([] AS VARCHAR[]) AS made FROM d
+  UNION ALL SELECT conv_id, pos, state, cost, list, made FROM (
+    SELECT d.conv_id, d.pos, CASE WHEN e.code = 'D' THEN runs.after WHEN e.code = 'K' THEN CASE WHEN i = 's' THEN 1 WHEN i = 'u' THEN 2 ELSE 3 END WHEN runs.after = 2 THEN 3 ELSE 2 END AS state,
+      r.cost + 2 * length(runs.code) + e.cost + CASE WHEN fault = 3 AND e.code <> 'D' THEN 1 ELSE 0 END AS cost, r.list || runs.code || e.code AS list,
+      list_concat(list_concat(r.made, runs.put), CASE e.code WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE WHEN runs.after = 2 THEN 'assistant:' ELSE 'user:' END || text] END) AS made
+    FROM r JOIN d ON d.conv_id = r.conv_id AND d.pos = r.pos + 1 JOIN runs ON runs.state = r.state CROSS JOIN edits e
+    WHERE e.code = 'D' OR (fault NOT IN (1, 2) AND (e.code = 'R' OR (i = 's' AND runs.after = 0) OR (i = 'u' AND runs.after <> 2) OR (i = 'a' AND runs.after = 2))))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, list) = 1),
+n AS (SELECT conv_id, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+  count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM d GROUP BY conv_id),
+z AS (SELECT r.conv_id, r.cost + 2 * length(runs.code) AS cost, r.list || runs.code AS list, list_concat(r.made, runs.put) AS made FROM r JOIN n ON r.conv_id = n.conv_id AND r.pos = n.n JOIN runs ON runs.state = r.state AND runs.after IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY r.conv_id ORDER BY r.cost + 2 * length(runs.code), r.list || runs.code) = 1)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(list, '') AS audit, sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n USING (conv_id) LEFT JOIN z USING (conv_id)
+"""
+ORACLES: dict[str, str] = {"op1_fm_dedup": _REPEATS, "op6_dual_tree_top_k": _TOP_K, "op7_warc": _WARC, "op8_jaccard_components": _JACCARD, "op9_decontaminate": _DECONTAMINATE, "op10_chat_format": _CHAT, "op13_conversation_repair": _REPAIR}
