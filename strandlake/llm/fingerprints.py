@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.shared import materialize
 
 #: Samples of a fingerprint: rows a term is copied to, times ranks in each of them.
-SEEDS, PER_ROW = 8, 4
+SEEDS, PER_ROW = 16, 4
 _BITS = 21
 
 
@@ -91,7 +91,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, fingerprint of each document; equal rows are one document. Its samples are in the array column `samples`."""
     docs = _documents(df, id_col, text_col)
     prints = signatures(word_bags(docs, ["key", "h"], ["text"]), ["key", "h"], ["text"], seeds)
-    out = docs.select("key", "h", "copies").join(prints, ["key", "h"], "left")
+    out = docs.select("key", "h").join(prints, ["key", "h"], "left")
     return out.select(_id(df, id_col), shown(F.col("text")).alias("fingerprint"), F.col("text").alias("samples"))
 
 
@@ -111,13 +111,13 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, h, text, copies: equal rows counted before they are shuffled; partitioned by key and h."""
-    return _keyed(df, id_col, text_col).groupBy("key", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    """key, h, text: equal rows once, which they become before they are shuffled; partitioned by key and h."""
+    return _keyed(df, id_col, text_col).groupBy("key", "h").agg(F.first("text").alias("text"))
 
 
 def successors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, h, n_chars, next_key, next_h: each document's successor in the order of ids; the last one's is the first."""
-    ids = _keyed(df, id_col, text_col).select("key", "h", F.length("text").cast("long").alias("n_chars")).groupBy("key", "h").agg(F.max("n_chars").alias("n_chars"))
+    """key, h, n_chars, copies (equal rows), next_key, next_h: each document's successor in the order of ids; the last one's is the first."""
+    ids = _keyed(df, id_col, text_col).select("key", "h", F.length("text").cast("long").alias("n_chars")).groupBy("key", "h").agg(F.max("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("copies"))
     ranges = materialize(ids.repartitionByRange("key", "h").withColumn("range", F.spark_partition_id()), "ranges")
     firsts = ranges.groupBy("range").agg(F.min(F.struct("key", "h")).alias("first"))
     # one row a range
@@ -125,7 +125,7 @@ def successors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     firsts = firsts.select("range", F.coalesce(F.lead("first").over(whole), F.first("first").over(whole)).alias("after"))
     own = Window.partitionBy("range").orderBy("key", "h")
     rows = ranges.withColumn("next", F.lead(F.struct("key", "h")).over(own)).join(firsts, "range")
-    return rows.select("key", "h", "n_chars", F.coalesce("next", "after").alias("next")).select("key", "h", "n_chars", F.col("next.key").alias("next_key"), F.col("next.h").alias("next_h"))
+    return rows.select("key", "h", "n_chars", "copies", F.coalesce("next", "after").alias("next")).select("key", "h", "n_chars", "copies", F.col("next.key").alias("next_key"), F.col("next.h").alias("next_h"))
 
 
 def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = SEEDS) -> DataFrame:
@@ -137,11 +137,12 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs, links = _documents(df, id_col, text_col), materialize(successors(df, id_col, text_col), "successors")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     wanted = links.select(F.col("key").alias("to_key"), F.col("h").alias("to_h"), half.alias("size"), F.col("next_key").alias("key"), F.col("next_h").alias("h"))
-    lent = docs.drop("copies").join(wanted, keys).select(F.col("to_key").alias("key"), F.col("to_h").alias("h"), F.expr("substring(text, 1, size)").alias("lent"))
+    # both joins read one exchange of the texts
+    lent = docs.join(wanted, keys).select(F.col("to_key").alias("key"), F.col("to_h").alias("h"), F.expr("substring(text, 1, size)").alias("lent"))
     both = docs.join(lent, keys).withColumn("n_chars", F.length("text").cast("long"))
-    both = both.select(*keys, "copies", "n_chars", "text", F.concat(F.expr("substring(text, 1, int(n_chars - n_chars div 2))"), "lent").alias("edited"))
+    both = both.select(*keys, "n_chars", "text", F.concat(F.expr("substring(text, 1, int(n_chars - n_chars div 2))"), "lent").alias("edited"))
     prints = signatures(word_bags(both, keys, ["text", "edited"]), keys, ["text", "edited"], seeds)
-    told = both.select(*keys, "copies", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).join(prints, keys, "left")
+    told = both.select(*keys, "n_chars", F.sha2("edited", 256).alias("edited_sha256")).join(prints, keys, "left")
     told = materialize(told.withColumnsRenamed({"text": "own"}), "fingerprints")
     after = told.select(F.col("key").alias("next_key"), F.col("h").alias("next_h"), F.col("own").alias("following"))
     rows = told.join(links.drop("n_chars"), keys).join(after, ["next_key", "next_h"])
