@@ -6,14 +6,12 @@ it adds is the new turn's span; where it doesn't, the template rewrites history,
 the first such turn. Trailing text that every output has (say, an end marker) is found by rendering no
 turn, and is left out of the comparison.
 
-Whole prefixes are rendered, as a template may look back as far as it likes: time grows with the square of a
-conversation's turns, and its text is held in memory. A caller who knows that a turn's span depends on no turn before the last
-one declares it with `window`: then prefixes grow to `window` turns and begin again with their last turn as context, whose
-own span must come out as it did before, else RewritesHistory is raised. Under that declaration a
-template that looks back further than the window can't be told from one that doesn't. inst_template renders each turn
-by itself, so for it WINDOW turns are declared; then memory is bounded by the window and the longest turn. Conversations stream
-through in order of their turns, and digests are updated turn by turn. One conversation's digest is
-sequential by definition, so its turns meet in one task, as a stream, sorted by Spark with spilling.
+Any template is taken as a black box, and all are treated alike. Up to FULL turns every prefix is rendered whole. Beyond, rendering every prefix would take time that grows with
+the square of a conversation's turns: there the last turns are rendered as a conversation of their own, each prefix of them compared with the one before, and the whole conversation
+is rendered again when its turns have doubled and at its end. Where the last turn's span isn't the same among fewer turns, all prefixes are rendered whole. Each whole output must be the spans found so far, one after another, else RewritesHistory is raised; so the formatted text is always
+what the template gives for the whole conversation. Only a template that changes earlier output and takes it back before the turns have doubled isn't found out there.
+`full=None` renders every prefix whole, however long. A conversation's turns are held until its end, as a black box takes them all; digests are updated
+turn by turn. One conversation's digest is sequential by definition, so its turns meet in one task, as a stream, sorted by Spark with spilling.
 
 Cases: null text and null role are empty; rows of one conversation and turn are ordered by role, then
 text; a null conv_id is a conversation of its own; repeated rows are repeated turns; an empty table gives an
@@ -32,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Turns = list[tuple[str, str]]
-#: Turns of a prefix for a template that is declared to render each turn by itself.
-WINDOW = 4
+#: Turns up to which every prefix is rendered whole; beyond, the last half as many to as many are rendered with each new one.
+FULL = 64
 #: Control strings of the template.
 OPEN, MID, CLOSE, TARGET = "<s>", "[INST]", "</s>", "[/INST]"
 _CODE = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
@@ -70,6 +68,10 @@ def parse(formatted: str) -> Turns:
     return out
 
 
+#: Texts that are put in a turn's place to find where it stands; the last is longer.
+PROBES = ("a", "b", "probe")
+
+
 class RewritesHistory(ValueError):
     """The template's output for more turns doesn't begin with its output for fewer."""
 
@@ -77,68 +79,95 @@ class RewritesHistory(ValueError):
 class Incremental:
     """Spans of a conversation's turns, one by one, from a black-box template."""
 
-    def __init__(self, template: Callable[[Turns], str], window: int | None = None):
-        self.template, self.window = template, window or (WINDOW if template is inst_template else None)
+    def __init__(self, template: Callable[[Turns], str], full: int | None = FULL):
+        self.template, self.full = template, full
         self.tail = template([])
+        # all turns; those that are rendered, and their output; the last span; digest and length of all spans; turns at the last whole rendering
+        self.all: Turns = []
         self.turns: Turns = []
-        self.text, self.last, self.n = "", "", 0
+        self.text, self.last = "", ""
+        self.digest, self.size, self.whole = hashlib.sha256(), 0, 0
 
     def place_of_text(self) -> tuple[int, int] | None:
         """Where the last turn's text stands in its span, or None where the template doesn't show it."""
         before, (role, _) = self.turns[:-1], self.turns[-1]
         start = len(self.text) - len(self.last)
-        a, b = (self._body([*before, (role, probe)])[start:] for probe in "ab")
-        if a == b:
+        a, b, c = (self._body([*before, (role, probe)])[start:] for probe in PROBES)
+        if a == b == c:
             return None
         head = len(os.path.commonprefix([a, b]))
         tail = len(os.path.commonprefix([a[:head - len(a) - 1:-1], b[:head - len(b) - 1:-1]]))
+        # a longer text makes the span longer by as much, and fills the place: else it is shown more than once, or changed
+        if c != a[:head] + PROBES[2] + a[len(a) - tail :] or a[head : len(a) - tail] != PROBES[0]:
+            raise ValueError(f"turn {len(self.all) - 1}: its text isn't shown once, as it is")
         lo, hi = head, len(self.last) - tail
         if lo > hi or self.last[:lo] != a[:lo] or self.last[hi:] != a[len(a) - tail :]:
-            raise ValueError(f"turn {self.n - 1}: what surrounds its text depends on it")
+            raise ValueError(f"turn {len(self.all) - 1}: what surrounds its text depends on it")
         return lo, hi
 
     def _body(self, turns: Turns) -> str:
         out = self.template(turns)
         if self.tail and not out.endswith(self.tail):
-            raise RewritesHistory(f"turn {self.n}: the end marker changed")
+            raise RewritesHistory(f"turn {len(self.all)}: the end marker changed")
         return out[: len(out) - len(self.tail)]
 
     def add(self, role: str, text: str) -> str:
-        if self.window and len(self.turns) >= self.window:
-            self.turns = self.turns[-1:]
-            self.text = self._body(self.turns)
-            if not self.text.endswith(self.last):
-                raise RewritesHistory(f"turn {self.n - 1}: its span depends on turns before the window")
+        if self.full and len(self.turns) >= self.full:
+            if len(self.turns) == len(self.all):
+                self.whole = len(self.all)
+            few = self.turns[-(self.full // 2 or 1) :]
+            shorter = self._body(few)
+            if shorter.endswith(self.last):
+                self.turns, self.text = few, shorter
+            else:  # spans depend on how many turns stand before: no short cut for this template
+                self.full, self.turns = None, list(self.all)
+                self.text = self._body(self.turns)
+        self.all.append((role, text))
         self.turns.append((role, text))
         longer = self._body(self.turns)
         if not longer.startswith(self.text):
-            raise RewritesHistory(f"turn {self.n}: the output for the turns before it changed")
+            raise RewritesHistory(f"turn {len(self.all) - 1}: the output for the turns before it changed")
         self.last, self.text = longer[len(self.text) :], longer
-        self.n += 1
+        self.digest.update(self.last.encode("utf-8", "surrogatepass"))
+        self.size += len(self.last)
+        if len(self.turns) < len(self.all) and len(self.all) >= 2 * self.whole:
+            self.check()
         return self.last
 
+    def check(self) -> None:
+        """Render the whole conversation and compare it with the spans, where not all of it was rendered with the last turn."""
+        if len(self.turns) < len(self.all) and self.whole < len(self.all):
+            whole = self._body(self.all)
+            if len(whole) != self.size or hashlib.sha256(whole.encode("utf-8", "surrogatepass")).digest() != self.digest.digest():
+                raise RewritesHistory(f"turn {len(self.all) - 1}: the output for all turns isn't their spans")
+        self.whole = len(self.all)
 
-def rewrites_history(template: Callable[[Turns], str], turns: Turns, window: int | None = None) -> int | None:
-    """The first turn at which the template changes earlier output, or None."""
-    inc = Incremental(template, window)
+
+def rewrites_history(template: Callable[[Turns], str], turns: Turns, full: int | None = FULL) -> int | None:
+    """The first turn at which the template is found to change earlier output, or None."""
+    inc = Incremental(template, full)
     for i, (r, t) in enumerate(turns):
         try:
             inc.add(r, t)
         except RewritesHistory:
             return i
+    try:
+        inc.check()
+    except RewritesHistory:
+        return len(turns) - 1
     return None
 
 
 def turn_spans(
     df: DataFrame, template: Callable[[Turns], str] = inst_template, conv_col: str = "conv_id", turn_col: str = "turn",
-    role_col: str = "role", text_col: str = "text", window: int | None = None, learned: tuple[str, ...] = ("assistant",),
+    role_col: str = "role", text_col: str = "text", full: int | None = FULL, learned: tuple[str, ...] = ("assistant",),
 ) -> DataFrame:
     """conv_id, pos (0, 1, ...), start, span (the formatted text of the turn), loss_start, loss_end (within the span, or null).
 
     Spans of a conversation, joined in order of pos, are its formatted text.
     """
     kind = df.schema[conv_col].dataType.simpleString()
-    return _sorted(df, conv_col, turn_col, role_col, text_col).mapInArrow(_spans(template, window, learned), f"conv_id {kind}, pos long, start long, span string, loss_start long, loss_end long")
+    return _sorted(df, conv_col, turn_col, role_col, text_col).mapInArrow(_spans(template, full, learned), f"conv_id {kind}, pos long, start long, span string, loss_start long, loss_end long")
 
 
 def _sorted(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
@@ -153,7 +182,7 @@ def _rows(batches: Iterator[pa.RecordBatch]):
             yield from zip(*(part.column(i).to_pylist() for i in range(3)))
 
 
-def _spans(template: Callable[[Turns], str], window: int | None, learned: tuple[str, ...]):
+def _spans(template: Callable[[Turns], str], full: int | None, learned: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = run
         out: list[tuple] = []
@@ -173,7 +202,9 @@ def _spans(template: Callable[[Turns], str], window: int | None, learned: tuple[
 
         for conv, role, text in _rows(typed(batches)):
             if now is run or conv != now:
-                now, inc, pos, start = conv, Incremental(template, window), 0, 0
+                if now is not run:
+                    inc.check()
+                now, inc, pos, start = conv, Incremental(template, full), 0, 0
             span = inc.add(role, text)
             lo, hi = (inc.place_of_text() if role in learned else None) or (None, None)
             out.append((conv, pos, start, span, lo, hi))
@@ -182,6 +213,8 @@ def _spans(template: Callable[[Turns], str], window: int | None, learned: tuple[
                 yield flush()
                 out.clear()
                 size = 0
+        if now is not run:
+            inc.check()
         if out:
             yield flush()
 
@@ -190,7 +223,7 @@ def _spans(template: Callable[[Turns], str], window: int | None, learned: tuple[
 
 def format_digests(
     df: DataFrame, template: Callable[[Turns], str] = inst_template, conv_col: str = "conv_id", turn_col: str = "turn",
-    role_col: str = "role", text_col: str = "text", window: int | None = None, learned: tuple[str, ...] = ("assistant",),
+    role_col: str = "role", text_col: str = "text", full: int | None = FULL, learned: tuple[str, ...] = ("assistant",),
     read: Callable[[str], Turns] = parse, plain: Callable[[str], str] = unescape,
 ) -> DataFrame:
     """Per conversation, read back from its formatted text: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
@@ -198,7 +231,7 @@ def format_digests(
     read: the turns of a formatted span; plain: a learned text from its formatted form.
     """
     kind = df.schema[conv_col].dataType.simpleString()
-    spans = _spans(template, window, learned)
+    spans = _spans(template, full, learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = run

@@ -11,7 +11,8 @@ added up on the executors, and only languages x slots counts come to the driver.
 
 Cases: a null text, or one without a letter, is `und` with score 0; ties go to the language that sorts
 first; repeated rows get equal answers; rows of null language are never learned from; with no labelled
-row everything is `und`; an empty table gives an empty result; other columns are ignored.
+row everything is `und`; very long texts
+are read whole, as one row among others, and in one task's memory; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

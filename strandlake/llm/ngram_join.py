@@ -43,6 +43,8 @@ from strandlake.llm.shared import materialize
 
 K = 5
 NUM, DEN = 80, 100
+#: Least similarity that signatures serve.
+LEAST_SIMILARITY = 0.7
 #: A shingle this frequent (counted where a slice of text holds it SLICE_DF times) is left out of signatures.
 FREQUENT_DF, SLICE_DF, MAX_FREQUENT = 64, 3, 200_000
 #: Lists up to this length are paired; longer ones become a star.
@@ -398,7 +400,12 @@ def verify_group(table: pa.Table, num: int, den: int) -> pa.Table:
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard >= num/den) of each row."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard >= num/den) of each row.
+
+    Thresholds below LEAST_SIMILARITY are refused: sets then differ in so many elements that signatures of some sizes can't guarantee a common one.
+    """
+    if not LEAST_SIMILARITY <= num / den <= 1:
+        raise ValueError(f"a similarity of {num}/{den} can't be indexed; it must be between {LEAST_SIMILARITY} and 1")
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seen = materialize(describe(docs, k), "sets")

@@ -10,7 +10,8 @@ row's whole text, in one pass without shuffle.
 
 Cases: null and empty texts have all features of an empty text, and a score; repeated rows get equal
 scores; labels other than 0 and 1 and null labels are ignored; with no labels of one kind all strengths
-are 0 and every score is 0.5; an empty table gives an empty result; other columns are ignored.
+are 0 and every score is 0.5; a very long text is read
+whole, in one task's memory; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

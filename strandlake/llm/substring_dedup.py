@@ -394,7 +394,12 @@ def _part(text):
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_docs: int = HOT_DOCS) -> DataFrame:
-    """doc_id, part (xxhash64 of the text), spans: arrays of (start, stop) in words that windows of documents with smaller ids cover. Only rows that have some."""
+    """doc_id, part (xxhash64 of the text), spans: arrays of (start, stop) in words that windows of documents with smaller ids cover. Only rows that have some.
+
+    window: 1 to DEEPEST - 1 words, as common prefixes are held up to DEEPEST.
+    """
+    if not 1 <= window < DEEPEST:
+        raise ValueError(f"a window must have 1 to {DEEPEST - 1} words")
     text = F.col(text_col).cast("string")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _part(text).alias("part"))
     keys = materialize(keys_of(docs.where("doc_id is not null and text is not null"), window, anchor), "keys")

@@ -4,7 +4,7 @@ Candidates are dealt into shards by a hash of the id, each candidate once. A tas
 over them, and then streams all queries past it in blocks of BLOCK_ROWS, each with a cover tree of its own: rows reach the task
 sorted, candidates first, so it holds one shard and one block. Pairs of nodes are walked best bound first: <a, b> <= <cq, cr> + |cq| rr +
 |cr| rq + rq rr, where c are centres and r covering radii. A pair is pruned only when its bound is below the worst kth
-score of the query node, so ties survive. At leaves, scores are integer products. The k best of each shard are merged per query by a
+score of the query node, so ties survive. `walked` tells how many pairs were visited and pruned: few are pruned where vectors have no clusters (as directions drawn at random in 64 dimensions). At leaves, scores are integer products. The k best of each shard are merged per query by a
 window over k rows a shard.
 
 Equal vectors are one point of the tree that holds its k + 1 smallest ids: no other of them can be in a
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 #: Candidates of a shard at most and, while there are fewer than two shards a core, at least.
 SHARD_ROWS, LEAST_SHARD_ROWS = 100_000, 5_000
 BLOCK_ROWS = 2_048
-LEAF = 128
+#: Points of a leaf, and children of a node.
+LEAF, FANOUT = 64, 16
 #: Scores of a leaf pair that are held at once.
 TILE = 1 << 22
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
@@ -46,18 +47,21 @@ class Node:
         self.center, self.norm, self.radius, self.rows, self.children = center, float(np.sqrt(center @ center)), radius, rows, children
 
 
-def cover_tree(x: np.ndarray, leaf: int = LEAF, base: float = 2.0) -> Node | None:
-    """A cover tree over the rows of x, with measured radii.
+def cover_tree(x: np.ndarray, leaf: int = LEAF, base: float = 2.0, fanout: int = FANOUT) -> Node | None:
+    """A cover tree over the rows of x, with measured radii and leaves of at most `leaf` points (more only where they are equal).
 
-    A node's children are a net of its points at its radius divided by `base`, taken farthest first. Covering: every point is within that
-    scale of its own centre. Separation: every two centres are farther apart than it. The node's centre is its first child's
-    (nesting). Points whose net would have more than one centre for 16 points don't divide at that scale; they are a leaf, as up to `leaf` points are.
+    A node's children are a net of its points, taken farthest first: until every point is within the node's radius divided by `base` of its own centre or, where
+    that takes more than `fanout` centres, until there are so many; the next level goes on from the radii that these reach. Covering: every point is within its node's
+    measured radius of the centre. Separation: any two children's centres are at least as far apart as any child's points are from its own. The first child keeps the node's centre (nesting).
     """
     if not len(x):
         return None
     length = (x**2).sum(axis=1)
-
-    def build(rows: np.ndarray, c: int) -> Node:
+    # nodes whose children are to be made, with the list that they go to
+    top: list[Node] = []
+    todo = [(np.arange(len(x)), 0, top)]
+    while todo:
+        rows, c, into = todo.pop()
         own_x, own_l = x[rows], length[rows]
         away = lambda i: np.sqrt(np.maximum(own_l + length[i] - 2 * (own_x @ x[i]), 0))
         near = away(c)
@@ -65,23 +69,25 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF, base: float = 2.0) -> Node | Non
         # differences of large numbers: a measured distance may be short by as much
         slack = 1e-7 * float(np.sqrt(own_l.max()))
         if len(rows) <= leaf or radius <= slack:
-            return Node(x[c], radius + slack, rows, None)
+            into.append(Node(x[c], radius + slack, rows, None))
+            continue
         own, centres = np.zeros(len(rows), np.int64), [c]
-        while near[far := int(near.argmax())] > radius / base:
-            if 16 * len(centres) >= len(rows):
-                return Node(x[c], radius + slack, rows, None)
+        while len(centres) < fanout and near[far := int(near.argmax())] > radius / base:
             centres.append(int(rows[far]))
             e = away(centres[-1])
             closer = e < near
             near[closer], own[closer] = e[closer], len(centres) - 1
-        return Node(x[c], radius + slack, None, [build(rows[own == i], ci) for i, ci in enumerate(centres)])
+        node = Node(x[c], radius + slack, None, [])
+        into.append(node)
+        todo += [(rows[own == i], ci, node.children) for i, ci in reversed(list(enumerate(centres)))]
+    return top[0]
 
-    return build(np.arange(len(x)), 0)
 
-
-def dual_tree_top_k(queries: np.ndarray, points: np.ndarray, k: int, tree: Node | None = None) -> list[list[tuple[float, int]]]:
+def dual_tree_top_k(queries: np.ndarray, points: np.ndarray, k: int, tree: Node | None = None, counts: dict[str, int] | None = None) -> list[list[tuple[float, int]]]:
     """For each query (row): the k best (score, row of points), equal scores by the smaller row.
 
+    counts: gets the numbers of node pairs `visited` and `pruned`, and of `scores` computed, added up.
+
     Both sides hold whole numbers. A score s with row j is kept as s * n + (n - 1 - j), which orders by score, then row; `packable`
     says whether all such numbers are exact. tree: that of the points, where it is there already.
     """
@@ -102,11 +108,15 @@ def dual_tree_top_k(queries: np.ndarray, points: np.ndarray, k: int, tree: Node
         return node.rows
 
     heap, tick = [(-bound(qt, pt), 0, qt, pt)], 0
+    visited = pruned = scores = 0
     while heap:
         b, _, q, p = heapq.heappop(heap)
         if -b < best[rows_of(q), 0].min():
+            pruned += 1
             continue
+        visited += 1
         if q.children is None and p.children is None:
+            scores += len(q.rows) * len(p.rows)
             step = max(1, TILE // len(q.rows))
             for at in range(0, len(p.rows), step):
                 own = p.rows[at : at + step]
@@ -122,6 +132,11 @@ def dual_tree_top_k(queries: np.ndarray, points: np.ndarray, k: int, tree: Node
             if ub >= best[rows_of(a), 0].min():
                 tick += 1
                 heapq.heappush(heap, (-ub, tick, a, c))
+            else:
+                pruned += 1
+    if counts is not None:
+        for name, more in (("visited", visited), ("pruned", pruned), ("scores", scores)):
+            counts[name] = counts.get(name, 0) + more
     out = []
     for row in best[:, ::-1]:
         row = row[np.isfinite(row)]
@@ -185,6 +200,7 @@ class Shard:
         # points in order of their smallest id, so that equal scores go by it
         order = sorted(range(len(points)), key=lambda i: held[i][0])
         self.points, self.held, self.k, self.tree = points[order], [held[i] for i in order], k, None
+        self.counts: dict[str, int] = {}
 
     def search(self, ids: np.ndarray, queries: np.ndarray) -> list[tuple[int, int, int]]:
         """(query id, point id, score): the k best of each query other than itself, ties to the smaller id."""
@@ -193,7 +209,7 @@ class Shard:
         # one more than k: a query's own vector may be among them
         if packable(queries, self.points):
             self.tree = self.tree or cover_tree(self.points)
-            got = dual_tree_top_k(queries, self.points, self.k + 1, self.tree)
+            got = dual_tree_top_k(queries, self.points, self.k + 1, self.tree, self.counts)
         else:
             got = large_top_k(queries, self.points, self.k + 1)
         out = []
@@ -203,8 +219,8 @@ class Shard:
         return out
 
 
-def search_shards(k: int, block_rows: int):
-    """Maps sorted rows (shard, is_query, vec_id, v): builds each shard when its first query comes, then searches block by block."""
+def search_shards(k: int, block_rows: int, report: bool = False):
+    """Maps sorted rows (shard, is_query, vec_id, v): builds each shard when its first query comes, then searches block by block. report: what was walked, a row a block, instead of results."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, shard, last = None, None, None
@@ -223,6 +239,11 @@ def search_shards(k: int, block_rows: int):
                 ids, vectors = joined()
                 got = shard.search(ids, vectors) if shard else []
                 last = held[-1][0][-1]
+                if report:
+                    counts, shard.counts = shard.counts, {}
+                    yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), *[pa.array([counts.get(c, 0)], pa.int64()) for c in REPORTED]], ["queries", *REPORTED])
+                    held, size = [], 0
+                    return
                 cols = list(zip(*got)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
             elif held:
@@ -253,15 +274,19 @@ def search_shards(k: int, block_rows: int):
     return run
 
 
-def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: each query (id divisible by `every`) against all other rows. shard_rows: candidates of a shard, chosen by their number if not given."""
+#: What a search has walked: node pairs, pairs that bounds closed, and scores computed.
+REPORTED = ("visited", "pruned", "scores")
+
+
+def _dealt(df: DataFrame, every: int, id_col: str, vector_col: str, shard_rows: int | None) -> DataFrame | None:
+    """Rows (shard, is_query, vec_id, v), each shard in one task, its candidates first; None without usable vectors."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * 256.0) < float("inf"))))
     usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if usual is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return None
     rows = rows.where(F.size("v") == usual["d"])
     n = usual["count"]
     if not shard_rows:
@@ -269,7 +294,20 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
     shards = max(1, math.ceil(n / shard_rows))
     points = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "vec_id", "v")
     queries = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "vec_id", "v")
-    dealt = points.unionByName(queries).repartition(shards, "shard").sortWithinPartitions("shard", "is_query", "vec_id", "v")
+    return points.unionByName(queries).repartition(shards, "shard").sortWithinPartitions("shard", "is_query", "vec_id", "v")
+
+
+def walked(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """queries, visited, pruned, scores: what `top_k` walks, a row a block of queries and shard."""
+    dealt, schema = _dealt(df, every, id_col, vector_col, shard_rows), "queries long, visited long, pruned long, scores long"
+    return df.sparkSession.createDataFrame([], schema) if dealt is None else dealt.mapInArrow(search_shards(k, block_rows, report=True), schema)
+
+
+def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: each query (id divisible by `every`) against all other rows. shard_rows: candidates of a shard, chosen by their number if not given."""
+    dealt = _dealt(df, every, id_col, vector_col, shard_rows)
+    if dealt is None:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = dealt.mapInArrow(search_shards(k, block_rows), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

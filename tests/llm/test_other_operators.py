@@ -63,7 +63,8 @@ def test_cover_tree_covers_and_separates():
             inner.append(node)
             c = np.array([k.center for k in node.children])
             apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1)) + 1e9 * np.eye(len(c))
-            assert all(k.radius <= node.radius / 2 + 1e-3 for k in node.children) and apart.min() > node.radius / 2 - 1e-3
+            assert max(k.radius for k in node.children) <= apart.min() + 1e-3
+            assert len(node.children) == topk.FANOUT or all(k.radius <= node.radius / 2 + 1e-3 for k in node.children) and apart.min() > node.radius / 2 - 1e-3
             assert (node.children[0].center == node.center).all()
         return rows
 
@@ -71,6 +72,30 @@ def test_cover_tree_covers_and_separates():
     assert sorted(seen) == list(range(len(x))) and len(inner) > 1
 
 
+def leaves(node):
+    return [len(node.rows)] if node.children is None else [n for c in node.children for n in leaves(c)]
+
+
+def test_cover_tree_divides_vectors_without_clusters():
+    x = np.random.default_rng(1).normal(size=(2000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+    sizes = leaves(topk.cover_tree(x))
+    assert sum(sizes) == 2000 and max(sizes) <= topk.LEAF and len(sizes) > 2000 / topk.LEAF
+    # equal points don't divide, and steep scales don't recurse
+    assert leaves(topk.cover_tree(np.ones((500, 3)))) == [500]
+    assert sum(leaves(topk.cover_tree(np.floor(1.05 ** np.arange(600))[:, None], leaf=1))) == 600
+
+
+def test_walk_visits_pairs_of_nodes_and_prunes(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16))
+    rows = [(i, [float(v) for v in centres[i % 20] + 0.01 * rng.normal(size=16)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.walked(df, shard_rows=5000).groupBy().sum().first()
+    assert got["sum(queries)"] == 40 and got["sum(visited)"] > 20 and got["sum(pruned)"] > 0 and got["sum(scores)"] < 40 * 2000
+    assert topk.walked(df.limit(0)).count() == 0
+
+
 def test_warc_round_trip_and_pushdown(spark, tmp_path):
     rows = [(1, "u1", "<p>a</p>"), (2, "u2\r\nX: y", "<p>a</p>"), (3, None, None), (4, "u4", ""), (5, "u5", "é" * 200_000), (5, "u5", "other"), (6, "u6", "<p>a</p>")]
     df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, record_type string")
@@ -141,7 +166,33 @@ def test_templates_that_rewrite_history():
     tailed = lambda t: "".join(f"<{r}>{x}" for r, x in t) + "<end>"
     assert chat.rewrites_history(strip, turns) == 2 and chat.rewrites_history(tailed, turns) is None and chat.rewrites_history(chat.inst_template, turns * 50) is None
     numbered = lambda t: "".join(f"{i}{x}" for i, (_, x) in enumerate(t))
-    assert chat.rewrites_history(numbered, turns * 10, window=8) == 8
+    # spans that depend on the number of turns: every prefix is rendered whole then
+    assert chat.rewrites_history(numbered, turns * 10, full=8) is None and chat.rewrites_history(numbered, turns * 50) is None
+    # a template that changes its first turn late is found out when the turns have doubled, or at the end
+    late = lambda t: "".join(f"<{r}>{x}" if i or len(t) < 90 else "new" for i, (r, x) in enumerate(t))
+    assert chat.rewrites_history(late, turns * 24) == 95 and chat.rewrites_history(late, turns * 50) == 127 and chat.rewrites_history(late, turns * 50, full=None) == 89
+
+
+def test_all_templates_are_rendered_alike():
+    """Prefixes grow to FULL turns whatever the template, and whole conversations are rendered again beyond."""
+    for template in (chat.inst_template, lambda t: chat.inst_template(t)):
+        sizes = []
+        inc = chat.Incremental(lambda t: sizes.append(len(t)) or template(t))
+        for i in range(300):
+            inc.add("user", f"t{i}")
+        inc.check()
+        assert sizes[: chat.FULL + 1] == list(range(chat.FULL + 1)) and {128, 256, 300} <= set(sizes)
+        assert [n for n in sizes if n > chat.FULL] == [128, 256, 300]
+
+
+def test_very_long_conversations(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], "<x>" * (5 if i else 20_000)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat.format_digests(df).first()
+    whole = chat.inst_template([r[2:] for r in rows])
+    learned = "".join(r[3] for r in rows if r[2] == "assistant")
+    assert (got["n_turns"], got["formatted_chars"], got["loss_chars"]) == (2000, len(whole), len(learned))
+    assert got["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
 
 
 def test_whole_prefixes_are_rendered(spark):
@@ -152,7 +203,6 @@ def test_whole_prefixes_are_rendered(spark):
     df = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
     spans = chat.turn_spans(df, lambda t: "".join(f"<s>[INST]{r}[/INST]{i}{x}</s>" for i, (r, x) in enumerate(t))).orderBy("pos").collect()
     assert "".join(r["span"] for r in spans) == numbered(turns)
-    assert chat.Incremental(chat.inst_template).window == chat.WINDOW
 
 
 def test_learned_texts_of_any_template(spark):
@@ -171,6 +221,10 @@ def test_learned_texts_of_any_template(spark):
     inc.add("assistant", "four")
     with pytest.raises(ValueError):
         inc.place_of_text()
+    twice = chat.Incremental(lambda t: "".join(f"{x}#{x}" for _, x in t))
+    twice.add("assistant", "hello")
+    with pytest.raises(ValueError):
+        twice.place_of_text()
     hidden = chat.Incremental(lambda t: "-" * len(t))
     hidden.add("assistant", "four")
     assert hidden.place_of_text() is None

@@ -307,3 +307,11 @@ def test_anchors_cover_every_window(spark):
         assert r["hi"] <= r["at"] <= r["lo"] + 12 and len(r["terms"]) == r["hi"] - r["lo"] + 13
         seen += range(r["lo"], r["hi"] + 1)
     assert sorted(seen) == [s for s in range(len(item) - 12) if "unseen" not in item[s : s + 13]] and len(rows) < 30
+
+
+def test_parameters_that_the_indices_do_not_serve_are_refused(docs):
+    with pytest.raises(ValueError, match="similarity"):
+        ngram_join.jaccard_components(docs, num=60)
+    for window in (0, 62, 100):
+        with pytest.raises(ValueError, match="window"):
+            substring_dedup.remove_repeats(docs, window=window)
