@@ -5,6 +5,8 @@ Gradient boosting comes from pyspark.ml: the same algorithms as the usual single
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -312,17 +314,62 @@ def fast_mcd(x: np.ndarray, support: float = 0.85, starts: int = 30, seed: int =
     return [(mu, cov) for _, mu, cov in sorted(found.values(), key=lambda f: f[0])[:best]]
 
 
+def gamma_share(a: float, x: float) -> float:
+    """The share of Gamma(a, 1) up to x: a series below a + 1, a continued fraction above."""
+    if x <= 0:
+        return 0.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return min(1.0, scale * total)
+    # Lentz's method
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for i in range(1, 10_000):
+        n = -i * (i - a)
+        b += 2
+        d = 1 / (n * d + b)
+        c = b + n / c
+        h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return 1 - scale * h
+
+
+def chi_square_quantile(p: float, df: int) -> float:
+    """The value below which a chi-square variable with df degrees of freedom stays with probability p."""
+    lo, hi = 0.0, float(df)
+    while gamma_share(df / 2, hi / 2) < p:
+        lo, hi = hi, 2 * hi
+    while hi - lo > 1e-12 * hi:
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if gamma_share(df / 2, mid / 2) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+#: Share of a normal distribution that the reweighting step keeps.
+REWEIGHTED = 0.975
+
+
 class DistributionGate:
     """Passes rows whose robust distance from the fitted centre is within a quantile of the fitted rows' distances.
 
-    Minimum covariance determinant over all finite rows: START_ROWS distinct rows only give the centres and covariances that the
-    concentration steps start from. Each step's cut (the distance of rank h), means and covariances, as well as the dropped columns and the
-    threshold, are aggregates over all rows. Of rows that stand at the cut, each counts with the share that fills h, so copies need no order.
-    Without a finite row nothing passes; where no column varies, all rows have distance 0.
+    Reweighted minimum covariance determinant over all finite rows. First the raw estimate: START_ROWS distinct rows only give the centres and covariances that the
+    concentration steps start from. Then its covariance is multiplied by the factor that makes the median distance that of a normal distribution, and
+    centre and covariance are estimated anew from all rows whose distance is below the chi-square quantile REWEIGHTED (`reweight=False` leaves this step out). Each step's
+    cut (the distance of rank h), the median, means and covariances, as well as the dropped columns and the threshold, are aggregates over all rows. Of rows that stand at a
+    step's cut, each counts with the share that fills h, so copies need no order. Without a finite row nothing passes; where no column varies, all rows have distance 0; where half
+    the rows have distance 0, the raw estimate stays.
     """
 
-    def __init__(self, features: list[str], level: float = 0.975, support: float = 0.85):
-        self.features, self.level, self.support = features, level, support
+    def __init__(self, features: list[str], level: float = 0.975, support: float = 0.85, reweight: bool = True):
+        self.features, self.level, self.support, self.reweight = features, level, support, reweight
 
     def fit(self, df: DataFrame) -> DistributionGate:
         ok = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(self.features)]).dropna()
@@ -357,6 +404,14 @@ class DistributionGate:
                 break
         _, self.mu, cov = min(done, key=lambda d: d[0])
         self.inverse = inverse_of(cov)
+        if self.reweight:
+            raw = (self.mu, self.inverse)
+            (a, _, _), (b, _, _) = ranked(rows, at, [raw] * 2, [(n - 1) // 2, n // 2])
+            factor = (a + b) / 2 / chi_square_quantile(0.5, p)
+            if factor > 0:
+                inner = cut_sums(rows, at, [raw], [factor * chi_square_quantile(REWEIGHTED, p)], middle)[0][0]
+                self.mu, cov = moments(inner, inner[0], middle)
+                self.inverse = inverse_of(cov)
         place = (n - 1) * self.level
         lo, hi = int(np.floor(place)), int(np.ceil(place))
         shape = [(self.mu, self.inverse)] * 2
@@ -365,11 +420,11 @@ class DistributionGate:
         return self
 
     def settings(self) -> dict:
-        return {"features": self.features, "level": self.level, "support": self.support, "kept": self.kept, "mu": self.mu.tolist(), "inverse": self.inverse.tolist(), "threshold": self.threshold}
+        return {"features": self.features, "level": self.level, "support": self.support, "reweight": self.reweight, "kept": self.kept, "mu": self.mu.tolist(), "inverse": self.inverse.tolist(), "threshold": self.threshold}
 
     @classmethod
     def of(cls, s: dict) -> DistributionGate:
-        out = cls(s["features"], s["level"], s["support"])
+        out = cls(s["features"], s["level"], s["support"], s["reweight"])
         out.kept, out.mu, out.threshold = s["kept"], np.array(s["mu"], float), s["threshold"]
         out.inverse = np.array(s["inverse"], float).reshape(len(out.mu), len(out.mu))
         return out
@@ -446,12 +501,11 @@ def ranked(rows: DataFrame, at: list[int], shapes: list, ranks: list[int]) -> li
     return [(float(np.array([s["prefix"]], np.uint64).view(float)[0]), s["below"], s["left"]) for s in state]
 
 
-def concentrated(rows: DataFrame, at: list[int], shapes: list, cuts: list[float], h: int, middle: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Centre and covariance of each shape's h nearest rows; sums are taken around `middle`, per task, and added on the driver."""
+def cut_sums(rows: DataFrame, at: list[int], shapes: list, cuts: list[float], middle: np.ndarray) -> np.ndarray:
+    """For each shape, of the rows within its cut and of those at it: count, sums and products around `middle`; taken per task, and added on the driver."""
     p = len(at)
 
     def sums(batches):
-        # rows within the cut and rows at it: count, sum and products of each
         acc = np.zeros((len(shapes), 2, 1 + p + p * p))
         for x in _matrices(batches, at):
             for i, (shape, cut) in enumerate(zip(shapes, cuts)):
@@ -464,9 +518,16 @@ def concentrated(rows: DataFrame, at: list[int], shapes: list, cuts: list[float]
     total = np.zeros((len(shapes), 2, 1 + p + p * p))
     for r in rows.mapInArrow(sums, "acc array<double>").toLocalIterator():
         total += np.array(r["acc"]).reshape(total.shape)
-    out = []
-    for inner, edge in total:
-        t = inner + edge * ((h - inner[0]) / max(edge[0], 1.0))
-        m, prod = t[1 : p + 1] / h, t[p + 1 :].reshape(p, p) / h
-        out.append((middle + m, prod - np.outer(m, m)))
-    return out
+    return total
+
+
+def moments(t: np.ndarray, n: float, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of n rows from their sums."""
+    p = len(middle)
+    m, prod = t[1 : p + 1] / n, t[p + 1 :].reshape(p, p) / n
+    return middle + m, prod - np.outer(m, m)
+
+
+def concentrated(rows: DataFrame, at: list[int], shapes: list, cuts: list[float], h: int, middle: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Centre and covariance of each shape's h nearest rows."""
+    return [moments(inner + edge * ((h - inner[0]) / max(edge[0], 1.0)), h, middle) for inner, edge in cut_sums(rows, at, shapes, cuts, middle)]

@@ -157,7 +157,7 @@ def test_gate_fits_on_all_rows(spark):
     x = np.vstack([rng.normal(size=(4000, 2)), np.tile([0.5, 0.5], (7000, 1)), rng.normal(6, 1, size=(900, 2))])
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(-1, float("nan"), 1.0), (-2, None, 1.0), (-3, float("inf"), 1.0)]
     df = spark.createDataFrame(rows, "id long, a double, b double").repartition(5)
-    gate = models.DistributionGate(["a", "b"]).fit(df)
+    gate = models.DistributionGate(["a", "b"], reweight=False).fit(df)
     got = {r["id"]: r for r in gate.apply(df).collect()}
     assert gate.kept == ["a", "b"] and len(got) == len(rows) and not any(got[i]["in_distribution"] for i in (-1, -2, -3))
     d = np.array([got[i]["distance"] for i in range(len(x))])
@@ -390,3 +390,59 @@ def test_classifier_on_held_out_folds(spark):
         area += sum(own) * hits / seen
     assert got["n"] == 300 and got["average_precision"] == pytest.approx(area / hits) and got["average_precision"] > 0.9
     assert got["brier"] == pytest.approx(np.mean([(v - y) ** 2 for v, y in p]))
+
+
+def plain_gate(x, level=0.975, support=0.85):
+    """Reweighted minimum covariance determinant in plain numpy: concentration from many starts over all rows, median factor, chi-square cut."""
+    from strandlake.operators.models import chi_square_quantile
+
+    n, p = x.shape
+    h = int(np.ceil(support * n))
+    far = lambda mu, cov: (((x - mu) @ np.linalg.pinv(cov)) * (x - mu)).sum(axis=1)
+    best = None
+    rng = np.random.default_rng(99)
+    for _ in range(60):
+        at = rng.choice(n, p + 1, replace=False)
+        for _ in range(50):
+            mu, cov = x[at].mean(0), np.cov(x[at].T, bias=True) + 1e-9 * np.eye(p)
+            new = np.argsort(far(mu, cov), kind="stable")[:h]
+            if set(new) == set(at):
+                break
+            at = new
+        mu, cov = x[at].mean(0), np.cov(x[at].T, bias=True)
+        found = (np.linalg.slogdet(cov)[1], mu, cov)
+        best = found if best is None or found[0] < best[0] - 1e-12 else best
+    _, mu, cov = best
+    d = far(mu, cov)
+    inside = d < np.median(d) / chi_square_quantile(0.5, p) * chi_square_quantile(0.975, p)
+    raw = (mu, cov)
+    mu, cov = x[inside].mean(0), np.cov(x[inside].T, bias=True)
+    return mu, cov, np.quantile(far(mu, cov), level), raw
+
+
+def test_chi_square_quantiles():
+    # fixed values of printed tables
+    known = {(0.5, 1): 0.4549364, (0.975, 5): 12.8325020, (0.975, 2): 7.3777589, (0.95, 10): 18.3070381, (0.5, 64): 63.3347, (0.975, 44): 64.2015}
+    for (p, df), value in known.items():
+        assert models.chi_square_quantile(p, df) == pytest.approx(value, rel=1e-5)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_gate_reweights_as_plain_numpy_does(spark, seed):
+    rng = np.random.default_rng(seed)
+    clean = rng.normal(size=(800, 3)) @ np.array([[2.0, 0.3, 0], [0, 1, 0.4], [0, 0, 0.5]])
+    odd = rng.normal(size=(100, 3)) * 0.3 + [9, -6, 4]
+    x = np.concatenate([clean, odd])
+    rng.shuffle(x)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double").repartition(3)
+    gate = models.DistributionGate(["a", "b", "c"]).fit(df)
+    mu, cov, threshold, (raw_mu, raw_cov) = plain_gate(x)
+    assert np.allclose(gate.mu, mu) and np.allclose(gate.inverse, np.linalg.inv(cov)) and gate.threshold == pytest.approx(threshold)
+    raw = models.DistributionGate(["a", "b", "c"], reweight=False).fit(df)
+    assert np.allclose(raw.mu, raw_mu) and np.allclose(raw.inverse, np.linalg.inv(raw_cov)) and not np.allclose(raw.inverse, gate.inverse, rtol=0.01)
+    passed = {r["id"] for r in gate.apply(df).where("in_distribution").collect()}
+    d = (((x - mu) @ np.linalg.inv(cov)) * (x - mu)).sum(axis=1)
+    assert passed == set(np.flatnonzero(d <= threshold + 1e-9).tolist()) and len(passed) == pytest.approx(0.975 * len(x), abs=2)
+    # the clean rows' covariance is found again, other than by an estimate from all rows
+    assert np.allclose(np.linalg.inv(gate.inverse), np.cov(clean.T), rtol=0.35, atol=0.1) and not np.allclose(np.cov(x.T), np.cov(clean.T), rtol=1.0, atol=1.0)
+    assert models.DistributionGate.of(gate.settings()).settings() == gate.settings()
