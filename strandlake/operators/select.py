@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import cleaning as C
 from strandlake.operators.similarity import lcs_lengths, novel, violations
+from strandlake.operators.storage import durable
 from strandlake.operators.tables import balance_report, median_cells
 
 #: Rows of the top list's shortlist.
@@ -78,47 +79,87 @@ def greedy_short(df: DataFrame, score: str, k: int, weight: float = 1.0) -> Data
     return rows.groupBy("_all").applyInPandas(run, schema).drop("_all")
 
 
-def greedy_diverse(df: DataFrame, score: str, k: int, by: str, weight: float = 1.0) -> DataFrame:
-    """df's chosen rows with `pick` (1..k), for each value of `by`: greedy_indices over all rows of each group, of any size.
+#: Rows of each group, the best by score, whose exact gains the driver knows: the best of them bounds a round's pick from below.
+LEADING = 64
 
-    A round is one argmax aggregate over all groups' rows; picks are known by ord, which must be unique. Rows that can't
-    be picked are left out first: a row's gain lies between score and score * (1 - weight), and the k best by the smaller
-    of the two have a larger gain than it (at a weight of 1 that only leaves out negative scores). The frame is read in each round. Null scores are never picked.
+
+def refreshed(rows: pd.DataFrame, score: str, by: str, picks: dict, least: dict, weight: float) -> pd.DataFrame:
+    """rows with `near` and `seen` brought up to date, where the gain that they last had may still be the group's best.
+
+    near: the largest ratio to the first `seen` picks of the row's group. A gain falls as near grows where the score is positive, and stays below score * (1 - weight) otherwise.
+    picks: the sequences picked so far, by group; least: a gain that the group's best row has at least.
+    """
+    near, seen = rows["near"].to_numpy(float, copy=True), rows["seen"].to_numpy(np.int64, copy=True)
+    value, words = rows[score].to_numpy(float), rows["s"].to_numpy()
+    bound = np.where(value > 0, value * (1 - weight * near), value * (1 - weight))
+    for g, at in rows.groupby(by, dropna=False).indices.items():
+        chosen = picks.get(g, [])
+        at = at[bound[at] >= least.get(g, -np.inf)]
+        for first in np.unique(seen[at]).tolist():
+            behind = at[seen[at] == first]
+            own = words[behind].tolist()
+            size = np.array([len(x) for x in own])
+            for c in chosen[first:]:
+                near[behind] = np.maximum(near[behind], 2 * lcs_lengths([c] * len(own), own) / np.maximum(size + len(c), 1))
+        seen[at] = len(chosen)
+    return rows.assign(near=near, seen=seen)
+
+
+def greedy_rounds(df: DataFrame, score: str, k: int, by: str, weight: float = 1.0, save=durable) -> tuple[list[tuple], DataFrame]:
+    """(picks as (group, ord, s, pick); the rows with `near` and `seen` after the last round): greedy_indices over all rows of each group, of any size, evaluated lazily.
+
+    A round takes each row's last gain as a bound. Rows that it leaves below what the group's best row has at least keep it; the others are compared with the picks that they haven't
+    been compared with. So the sum of `seen` is the number of comparisons: k a row at most, and far fewer where scores fall off. The state is written after each round.
+    Rows that can't be picked are left out first: a row's gain lies between score and score * (1 - weight), and the k best by the smaller of the two have a larger gain than it
+    (at a weight of 1 that only leaves out negative scores).
     """
-    rows = df.where(F.col(score).isNotNull()).withColumns({"_hi": F.greatest(F.col(score), F.col(score) * (1 - weight)), "_lo": F.least(F.col(score), F.col(score) * (1 - weight))}).persist()
+    fields = {"_hi": F.greatest(F.col(score), F.col(score) * (1 - weight)), "_lo": F.least(F.col(score), F.col(score) * (1 - weight))}
+    rows = df.where(F.col(score).isNotNull()).select(F.col(by), "ord", "s", F.col(score).cast("double").alias(score)).withColumns(fields)
     # the k-th largest lower bound of each group; Spark keeps k rows a group and task before the shuffle
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("_lo")))
     floor = rows.select(by, "_lo").withColumn("_n", place).where(F.col("_n") <= k).groupBy(by).agg(F.min("_lo").alias("_floor"))
-    open_rows = rows.join(F.broadcast(floor), by).where(F.col("_hi") >= F.col("_floor")).select(*df.columns).persist()
-    picks: list[tuple] = []  # group, ord, s, pick
-
+    state = save(rows.join(F.broadcast(floor), by).where(F.col("_hi") >= F.col("_floor")).select(by, "ord", "s", score, F.lit(0.0).alias("near"), F.lit(0).cast("long").alias("seen")))
+    best = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), "ord"))
+    leading: dict = {}
+    for r in state.select(by, "ord", "s", score, best.alias("n")).where(F.col("n") <= LEADING).orderBy(by, "n").collect():
+        leading.setdefault(r[by], []).append([r[score], 0.0, r["s"], r["ord"]])
+    picks: dict = {}
+    out: list[tuple] = []
+    schema = state.schema
     for pick in range(1, k + 1):
-        chosen: dict = {}
-        for g, _, s, _ in picks:
-            chosen.setdefault(g, []).append(s)
-        taken = [o for _, o, _, _ in picks]
-
-        def near(group: pd.Series, s: pd.Series) -> pd.Series:
-            out = np.zeros(len(s))
-            for g, at in group.groupby(group).indices.items():
-                own = s.iloc[at].tolist()
-                size = np.array([len(x) for x in own])
-                for c in chosen.get(g, []):
-                    out[at] = np.maximum(out[at], 2 * lcs_lengths([c] * len(own), own) / np.maximum(size + len(c), 1))
-            return pd.Series(out)
-
-        left = open_rows.where(~F.col("ord").isin(taken)) if taken else open_rows
-        gain = F.col(score) * (1 - weight * (F.pandas_udf(near, "double")(by, "s") if taken else F.lit(0.0)))
-        best = left.select(by, "ord", "s", gain.alias("_gain")).groupBy(by).agg(F.max_by(F.struct("ord", "s"), F.struct("_gain", -F.col("ord"))).alias("b")).collect()
-        if not best:
+        taken = {o for _, o, _, _ in out}
+        least = {g: max((v * (1 - weight * n) for v, n, _, o in rows if o not in taken), default=-np.inf) for g, rows in leading.items()}
+        now = state
+        if picks:
+            kept, bounds = {g: list(p) for g, p in picks.items()}, dict(least)
+
+            def refresh(parts, kept=kept, bounds=bounds):
+                for p in parts:
+                    yield refreshed(p, score, by, kept, bounds, weight)
+
+            # the last round's picks go
+            now = save(state.where(~F.col("ord").isin([o for _, o, _, n in out if n == pick - 1])).mapInPandas(refresh, schema))
+        exact = now.where(F.col("seen") == pick - 1).select(by, "ord", "s", (F.col(score) * (1 - weight * F.col("near"))).alias("_gain"))
+        got = exact.groupBy(by).agg(F.max_by(F.struct("ord", "s"), F.struct("_gain", -F.col("ord"))).alias("b")).collect()
+        state = now
+        if not got:
             break
-        picks += [(r[by], r["b"]["ord"], r["b"]["s"], pick) for r in best]
-    rows.unpersist()
+        for r in got:
+            out.append((r[by], r["b"]["ord"], r["b"]["s"], pick))
+            picks.setdefault(r[by], []).append(r["b"]["s"])
+            for row in leading[r[by]]:
+                row[1] = max(row[1], float(2 * lcs_lengths([r["b"]["s"]], [row[2]])[0] / max(len(row[2]) + len(r["b"]["s"]), 1)))
+    return out, state
+
+
+def greedy_diverse(df: DataFrame, score: str, k: int, by: str, weight: float = 1.0, save=durable) -> DataFrame:
+    """df's chosen rows with `pick` (1..k), for each value of `by`: the first largest score * (1 - weight * largest ratio to what is chosen), again and again. ord must be unique. Null scores are never picked."""
     from pyspark.sql.types import LongType, StructType
 
+    picks, _ = greedy_rounds(df, score, k, by, weight, save)
     kinds = StructType().add("ord", df.schema["ord"].dataType).add("pick", LongType())
     listed = df.sparkSession.createDataFrame([(o, n) for _, o, _, n in picks], kinds)
-    return open_rows.join(F.broadcast(listed), "ord").select(*df.columns, "pick")
+    return df.join(F.broadcast(listed), "ord").select(*df.columns, "pick")
 
 
 def eligible(df: DataFrame, refs: DataFrame, score: str, t: float = 0.8) -> DataFrame:

@@ -656,28 +656,58 @@ def annealed_chains(spark, sf_dir):
     return refine(similarity.distinct_first(P.references(spark, sf_dir)).where(C.candidate_feasible(F.col("s"))), steps=400).where("place = 0").select("chain", "s", "score", "taken")
 
 
-@query()
+def _greedy(name: str, rows: str, k: str) -> str:
+    """Greedy picks of each group as a recursive table over rows (grp, s, ord, score): `taken` is the pick, 0 for none."""
+    return f"""{name}(pick, grp, s, ord, score, near, taken) AS (SELECT 0, grp, s, ord, score, CAST(0 AS DOUBLE), 0 FROM ({rows}) UNION ALL
+ SELECT pick + 1, grp, s, ord, score, greatest(near, 2.0 * ({_LCS('s', 'b')}) / (length(s) + length(b))), CASE WHEN taken > 0 THEN taken WHEN s = b THEN pick + 1 ELSE 0 END
+ FROM (SELECT *, first_value(s) OVER (PARTITION BY grp ORDER BY taken > 0, score * (1 - near) DESC, ord) AS b FROM {name} WHERE pick < {k}))"""
+
+
+_SHORT = "short AS MATERIALIZED (SELECT s, ord, charge, boman FROM sc WHERE length(s) BETWEEN 12 AND 30 AND s NOT LIKE '%C%' AND s NOT IN (SELECT s FROM near) ORDER BY charge DESC, ord LIMIT 600)"
+
+
+def _design(rows: str, pool: int) -> str:
+    """Tables of a factorial design over rows (s, ord, charge, boman): fb, the band with its cells; chosen, with pick."""
+    return f"""e AS (SELECT max(charge) AS hi, min(charge) AS lo FROM {rows}), b AS (SELECT s, ord, charge, boman FROM {rows}, e WHERE charge >= hi - 0.12 * CASE WHEN hi > lo THEN hi - lo ELSE 1 END),
+band AS MATERIALIZED (SELECT * FROM b WHERE (SELECT count(*) FROM b) >= {pool} UNION ALL SELECT * FROM (SELECT s, ord, charge, boman FROM {rows} WHERE (SELECT count(*) FROM b) < {pool} ORDER BY charge DESC, ord LIMIT {max(3 * pool, 150)})),
+fb AS MATERIALIZED (SELECT band.*, CASE WHEN charge >= a THEN 'charge:hi' ELSE 'charge:lo' END || '|' || CASE WHEN boman >= c THEN 'boman:hi' ELSE 'boman:lo' END AS cell FROM band, (SELECT median(charge) AS a, median(boman) AS c FROM band)),
+{_greedy('g', 'SELECT cell AS grp, s, ord, charge AS score FROM fb', f"(SELECT greatest({pool} // greatest(count(DISTINCT cell), 1), 1) FROM fb)")},
+d AS (SELECT grp AS cell, s, taken FROM g WHERE taken > 0 AND pick = (SELECT max(pick) FROM g)),
+chosen AS MATERIALIZED (SELECT * FROM (SELECT fb.*, CAST(row_number() OVER (ORDER BY d.s IS NULL, CASE WHEN d.s IS NOT NULL THEN fb.cell END, CASE WHEN d.s IS NOT NULL THEN taken END, charge DESC, fb.ord) AS INTEGER) AS pick FROM fb LEFT JOIN d ON d.s = fb.s) WHERE pick <= {pool})"""
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, {_SCORE}, {_SHORT}, head AS MATERIALIZED (SELECT * FROM short ORDER BY charge DESC, ord LIMIT 200), {_greedy('g', 'SELECT 0 AS grp, s, ord, charge AS score FROM head', '50')},
+first AS MATERIALIZED (SELECT s, ord, score, taken FROM g WHERE pick = 50 AND taken > 0), {_greedy('h', 'SELECT 0 AS grp, s, ord, charge AS score FROM short WHERE s NOT IN (SELECT s FROM first)', '50')}
+SELECT s, ord, score AS charge, CAST(taken AS BIGINT) AS pick FROM first UNION ALL SELECT s, ord, score, CAST(50 + taken AS BIGINT) FROM h WHERE pick = 50 AND taken > 0""")
 def diverse_top_list(spark, sf_dir):
-    """Feasible, novel, diverse."""
+    """Feasible, novel, diverse; the SQL follows each pick."""
     return sel.top_list(charges(spark, sf_dir), P.references(spark, sf_dir), "charge", 100, 50)
 
 
-@query()
+@query(f"WITH RECURSIVE {_SCORE}, {_design('sc', 50)} SELECT s, ord, charge, boman, cell, pick FROM chosen")
 def factorial_selection(spark, sf_dir):
     """Equal shares of the cells of two median splits."""
     return sel.factorial_select(_save(charges(spark, sf_dir)), "charge", ["charge", "boman"], 50, save=_save)
 
 
-@query()
+_REPORTED = ["mean_score", "mean_charge", "mean_boman", "design_mean", "greedy_mean", "relative_cost", "spread_charge"]
+
+
+@query(f"""WITH RECURSIVE {_SCORE}, {_design('sc', 50)}, there AS (SELECT cell, count(*) AS available FROM fb GROUP BY cell), got AS (SELECT cell, count(*) AS selected, avg(charge) AS mean_charge, avg(boman) AS mean_boman FROM chosen GROUP BY cell),
+m AS (SELECT median(charge) AS a, median(boman) AS c FROM chosen), own AS (SELECT avg(charge) AS x FROM chosen, m GROUP BY charge >= a, boman >= c),
+cost AS (SELECT (SELECT avg(charge) FROM chosen) AS design_mean, (SELECT avg(charge) FROM (SELECT charge FROM sc ORDER BY charge DESC, ord LIMIT (SELECT count(*) FROM chosen))) AS greedy_mean, (SELECT max(x) - min(x) FROM own) AS spread_charge)
+SELECT cell, CAST(available AS BIGINT) AS available, CAST(coalesce(selected, 0) AS BIGINT) AS selected, {R('mean_charge', 'mean_score')}, {R('mean_charge', 'mean_charge')}, {R('mean_boman', 'mean_boman')}, {R('design_mean', 'design_mean')}, {R('greedy_mean', 'greedy_mean')},
+ {R('CASE WHEN greedy_mean = 0 THEN 0 ELSE (greedy_mean - design_mean) / abs(greedy_mean) END', 'relative_cost')}, {R('spread_charge', 'spread_charge')} FROM there LEFT JOIN got USING (cell), cost""")
 def factorial_report(spark, sf_dir):
     """The design's cells, its cost against choosing by rank, and the spread of the matched charge."""
     df = _save(charges(spark, sf_dir))
     chosen = _save(sel.factorial_select(df, "charge", ["charge", "boman"], 50, save=_save))
     cells = sel.factorial_cells_report(chosen, sel.factorial_band(df, "charge", ["charge", "boman"], 50), "charge", ["charge", "boman"])
-    return cells.join(F.broadcast(sel.factorial_cost(chosen, df, "charge", ["charge", "boman"], ["charge"])))
+    return rounded(cells.join(F.broadcast(sel.factorial_cost(chosen, df, "charge", ["charge", "boman"], ["charge"]))), *_REPORTED)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, {_SCORE}, {_SHORT}, {_design('short', 50)}, {_greedy('h', 'SELECT 0 AS grp, s, ord, charge AS score FROM short WHERE s NOT IN (SELECT s FROM chosen)', '50')}
+SELECT s, ord, charge, CAST(pick AS BIGINT) AS pick FROM chosen WHERE (SELECT count(*) FROM short) >= 50 UNION ALL SELECT s, ord, score, CAST(50 + taken AS BIGINT) FROM h WHERE pick = 50 AND taken > 0 AND (SELECT count(*) FROM short) >= 50""")
 def factorial_top(spark, sf_dir):
     """A top list whose first half is a factorial design."""
     return sel.factorial_top_list(_save(charges(spark, sf_dir)), P.references(spark, sf_dir), "charge", ["charge", "boman"], 100, 50)

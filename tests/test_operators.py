@@ -446,3 +446,20 @@ def test_gate_reweights_as_plain_numpy_does(spark, seed):
     # the clean rows' covariance is found again, other than by an estimate from all rows
     assert np.allclose(np.linalg.inv(gate.inverse), np.cov(clean.T), rtol=0.35, atol=0.1) and not np.allclose(np.cov(x.T), np.cov(clean.T), rtol=1.0, atol=1.0)
     assert models.DistributionGate.of(gate.settings()).settings() == gate.settings()
+
+
+def test_greedy_rounds_compare_lazily(spark):
+    rng = np.random.default_rng(4)
+    words = list(dict.fromkeys(seqs(300, 12, "KLAWR")))
+    for weight, score in ((1.0, rng.random(len(words))), (0.6, rng.normal(size=len(words))), (0.5, np.round(rng.random(len(words)), 1))):
+        rows = [(i, w, "x" if i % 3 else None, float(v)) for i, (w, v) in enumerate(zip(words, score))]
+        df = spark.createDataFrame(rows, "ord long, s string, cell string, v double").fillna({"cell": "y"}).repartition(3)
+        picks, state = sel.greedy_rounds(df, "v", 20, "cell", weight)
+        for cell in ("x", "y"):
+            own = [i for i in range(len(words)) if bool(i % 3) == (cell == "x")]
+            want = [own[i] for i in sel.greedy_indices([words[i] for i in own], score[own], 20, weight)]
+            got = [o for g, o, _, _ in sorted(picks, key=lambda p: p[3]) if g == cell]
+            # where all scores left are negative at a weight of 1, rows that can't be picked were left out
+            assert got == want[: len(got)] and (len(got) == 20 or weight == 1.0)
+        compared = state.agg({"seen": "sum"}).first()[0]
+        assert compared <= 19 * len(words) and (weight != 0.6 or compared < 19 * len(words) / 2)
