@@ -79,42 +79,33 @@ def net_charge(s: Column, ph: float = 7.4, count=None) -> Column:
     return weighted(s, base | acid, count) + ends
 
 
-def isoelectric_point(s: Column, steps: int = 60, count=None) -> Column:
-    """Bisection of the charge over pH 0 to 14."""
-    def charge(counts: Column, ph: Column) -> Column:
-        out = 1 / (1 + F.pow(F.lit(10.0), ph - S.PKA_N_TERMINUS)) - 1 / (1 + F.pow(F.lit(10.0), S.PKA_C_TERMINUS - ph))
-        for i, (a, p) in enumerate([*S.PKA_BASE.items(), *S.PKA_ACID.items()]):
-            if a in S.PKA_BASE:
-                out = out + F.get(counts, i) / (1 + F.pow(F.lit(10.0), ph - p))
-            else:
-                out = out - F.get(counts, i) / (1 + F.pow(F.lit(10.0), p - ph))
-        return out
+def _arrow(run, names: list[str]):
+    """A pandas function of sequences with the doubles `names`, null for null sequences."""
+    schema = StructType()
+    for name in names:
+        schema.add(name, DoubleType())
 
-    counts = F.array(*[(count or counted(s))(a) for a in [*S.PKA_BASE, *S.PKA_ACID]])
+    def of(x: pd.Series) -> pd.DataFrame:
+        got = pd.DataFrame(run(x.fillna("").tolist()))[names]
+        return got.mask(x.isna().to_numpy()[:, None].repeat(got.shape[1], axis=1))
 
-    def solve(c: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            mid = (state["lo"] + state["hi"]) * 0.5
-            up = charge(c, mid) > 0
-            return F.struct(F.when(up, mid).otherwise(state["lo"]).alias("lo"), F.when(up, state["hi"]).otherwise(mid).alias("hi"))
+    return F.pandas_udf(of, schema)
 
-        start = F.struct(F.lit(0.0).alias("lo"), F.lit(14.0).alias("hi"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda st: (st["lo"] + st["hi"]) * 0.5)
 
-    return bind(counts, solve)
+def isoelectric_point(s: Column) -> Column:
+    """Bisection of the charge over pH 0 to 14, for whole batches."""
+    return _arrow(lambda x: {"pi": vectors.isoelectric(vectors.letter_counts(x))}, ["pi"])(s)["pi"]
 
 
 def positional(s: Column) -> Column:
     """Struct of the six descriptors of vectors.POSITIONAL."""
+    return _arrow(vectors.positional, vectors.POSITIONAL)(s)
 
-    def run(x: pd.Series) -> pd.DataFrame:
-        got = pd.DataFrame(vectors.positional(x.fillna("").tolist()))
-        return got.mask(x.isna().to_numpy()[:, None].repeat(got.shape[1], axis=1))
 
-    schema = StructType()
-    for name in vectors.POSITIONAL:
-        schema.add(name, DoubleType())
-    return F.pandas_udf(run, schema)(s)
+def shaped(s: Column, topology: bool = True) -> Column:
+    """Struct of the descriptors that aren't sums over letters: positional ones, isoelectric point, wheel and H0; one Arrow function, as folds over arrays are interpreted row by row."""
+    names = [*vectors.POSITIONAL, "isoelectric_point", *WHEEL, *(TOPOLOGY if topology else [])]
+    return _arrow(lambda x: vectors.shaped(x, topology), names)(s)
 
 
 def hydrophobic_positions(s: Column) -> Column:
@@ -222,18 +213,18 @@ def with_descriptors(df: DataFrame, seq: str = "s", topology: bool = True) -> Da
     count = lambda a: F.col(f"_n_{a}")
     of = lambda some: sum((count(a) for a in some[1:]), count(some[0])).cast("double")
     df = df.withColumns({f"_n_{a}": count_letters(s, a) for a in S.ALPHABET}).withColumns({
-        "net_charge": net_charge(s, count=count), "isoelectric_point": isoelectric_point(s, count=count), "mean_hydrophobicity": weighted(s, S.EISENBERG, count) / n, "gravy": weighted(s, S.KYTE_DOOLITTLE, count) / n,
+        "net_charge": net_charge(s, count=count), "mean_hydrophobicity": weighted(s, S.EISENBERG, count) / n, "gravy": weighted(s, S.KYTE_DOOLITTLE, count) / n,
         "boman": weighted(s, S.BOMAN, count) / n, "mean_helix_propensity": weighted(s, S.HELIX_PROPENSITY, count) / n, "molecular_weight": weighted(s, S.RESIDUE_MASS, count) + S.WATER_MASS,
         "dg_interface": weighted(s, S.WW_INTERFACE, count), "dg_octanol": weighted(s, S.WW_OCTANOL, count), "mean_sheet_propensity": weighted(s, S.SHEET_PROPENSITY, count) / n, "length": F.length(s).cast("double"),
         "fcr": of("KRDE") / n, "ncpr": (of("KR") - of("DE")) / n, "frac_cationic": of("KR") / n, "frac_anionic": of("DE") / n, "frac_aromatic": of("FWY") / n, "frac_glycine": of("G") / n, "frac_proline": of("P") / n,
         "frac_hydrophobic": of(S.HYDROPHOBIC) / n, "n_oxidation_prone": of(S.OXIDATION_PRONE),
         "longest_hydrophobic_run": longest_run(s, S.HYDROPHOBIC), "longest_beta_branched_run": longest_run(s, S.BETA_BRANCHED),
         "n_liability_motifs": sum(((F.length(s) - F.length(F.replace(s, F.lit(m), F.lit("")))) / 2 for m in S.LIABILITY_MOTIFS), F.lit(0.0)),
-        "_wheel": wheel(s), "_positional": positional(s),
-    } | ({"_h0": h0(s)} if topology else {}))
+        "_shaped": shaped(s, topology),
+    })
     df = df.withColumns({
         "charge_density": F.col("net_charge") / n, "dg_interface_per_res": F.col("dg_interface") / n, "dg_octanol_per_res": F.col("dg_octanol") / n, "interfacial_preference": F.col("dg_octanol") - F.col("dg_interface"),
-    } | {k: F.col("_positional")[k] for k in vectors.POSITIONAL} | {k: F.col("_wheel")[k] for k in WHEEL} | ({k: F.col("_h0")[k] for k in TOPOLOGY} if topology else {}))
+    } | {k: F.col("_shaped")[k] for k in [*vectors.POSITIONAL, "isoelectric_point", *WHEEL, *(TOPOLOGY if topology else [])]})
     made = [f for f in FEATURES if topology or f not in TOPOLOGY]
     return df.select(*[c for c in own if c not in made], *made)
 

@@ -147,24 +147,40 @@ def isoelectric(counts: np.ndarray, steps: int = 60) -> np.ndarray:
     return (lo + hi) * 0.5
 
 
+def letter_counts(seqs: list[str]) -> np.ndarray:
+    """Rows of 26 letter counts."""
+    codes, _ = letters(seqs)
+    return np.stack([(codes == i).sum(axis=1) for i in range(26)], axis=1).astype(float) if codes.shape[1] else np.zeros((len(seqs), 26))
+
+
+def shaped(seqs: list[str], topology: bool = True) -> dict[str, np.ndarray]:
+    """The descriptors that aren't sums over letters."""
+    codes, _ = letters(seqs)
+    places = [np.flatnonzero(row) for row in flags(S.HYDROPHOBIC)[codes]]
+    out = positional(seqs) | {"isoelectric_point": isoelectric(letter_counts(seqs))}
+    around = np.array([wheel(p) for p in places]).reshape(-1, 5)
+    out |= {k: around[:, i] for i, k in enumerate(["wheel_arc_width", "wheel_largest_gap", "wheel_resultant", "wheel_circular_var", "wheel_n_hydrophobic"])}
+    if topology:
+        deaths = np.array([h0(p) for p in places]).reshape(-1, 6)
+        out |= {k: deaths[:, i] for i, k in enumerate(["h0_n_components", "h0_max_death", "h0_total_death", "h0_mean_death", "h0_gap", "h0_n_patches"])}
+    return out
+
+
 def featurize(seqs: list[str]) -> dict[str, np.ndarray]:
     """All 44 descriptors by name, as `descriptors.with_descriptors` gives them."""
     codes, size = letters(seqs)
-    counts = np.stack([(codes == i).sum(axis=1) for i in range(26)], axis=1).astype(float) if codes.shape[1] else np.zeros((len(seqs), 26))
+    counts = letter_counts(seqs)
     n = np.maximum(size, 1)
     total = lambda scale: counts @ table(scale)[:26]
     share = lambda some: counts @ flags(some)[:26] / n
-    places = [np.flatnonzero(row) for row in flags(S.HYDROPHOBIC)[codes]]
-    around, deaths = np.array([wheel(p) for p in places]).reshape(-1, 5), np.array([h0(p) for p in places]).reshape(-1, 6)
     interface, octanol, q = total(S.WW_INTERFACE), total(S.WW_OCTANOL), charge(counts, 7.4)
     out = {
-        "net_charge": q, "charge_density": q / n, "isoelectric_point": isoelectric(counts), "mean_hydrophobicity": total(S.EISENBERG) / n, "gravy": total(S.KYTE_DOOLITTLE) / n,
-        "boman": total(S.BOMAN) / n, "mean_helix_propensity": total(S.HELIX_PROPENSITY) / n, "molecular_weight": total(S.RESIDUE_MASS) + S.WATER_MASS, **positional(seqs),
+        "net_charge": q, "charge_density": q / n, "mean_hydrophobicity": total(S.EISENBERG) / n, "gravy": total(S.KYTE_DOOLITTLE) / n,
+        "boman": total(S.BOMAN) / n, "mean_helix_propensity": total(S.HELIX_PROPENSITY) / n, "molecular_weight": total(S.RESIDUE_MASS) + S.WATER_MASS, **shaped(seqs),
         "fcr": share("KRDE"), "ncpr": share("KR") - share("DE"), "frac_cationic": share("KR"), "frac_anionic": share("DE"), "frac_aromatic": share("FWY"), "frac_glycine": share("G"), "frac_proline": share("P"),
         "dg_interface": interface, "dg_octanol": octanol, "dg_interface_per_res": interface / n, "dg_octanol_per_res": octanol / n, "interfacial_preference": octanol - interface,
         "frac_hydrophobic": share(S.HYDROPHOBIC), "longest_hydrophobic_run": np.array([longest_run(s, S.HYDROPHOBIC) for s in seqs]), "longest_beta_branched_run": np.array([longest_run(s, S.BETA_BRANCHED) for s in seqs]),
         "n_oxidation_prone": counts @ flags(S.OXIDATION_PRONE)[:26], "n_liability_motifs": np.array([float(sum(s.count(m) for m in S.LIABILITY_MOTIFS)) for s in seqs]),
         "mean_sheet_propensity": total(S.SHEET_PROPENSITY) / n, "length": size.astype(float),
     }
-    out |= {k: around[:, i] for i, k in enumerate(["wheel_arc_width", "wheel_largest_gap", "wheel_resultant", "wheel_circular_var", "wheel_n_hydrophobic"])}
-    return out | {k: deaths[:, i] for i, k in enumerate(["h0_n_components", "h0_max_death", "h0_total_death", "h0_mean_death", "h0_gap", "h0_n_patches"])}
+    return out

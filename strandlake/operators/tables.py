@@ -35,23 +35,31 @@ def coverage(wide: DataFrame, potent: float = 4.0) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def cuts_of(df: DataFrame, columns: list[str], ranges: int = 32) -> dict[str, list[float]]:
-    """For each column some values that cut the rows into about equal ranges, from one pass without a shuffle of rows.
+#: Distinct values that one task sums up. Fewer are one range; more are cut into ranges of about as many.
+RANGE_ROWS = 100_000
 
-    A row's range is a sum of comparisons; many more than 32 of them make a method that the JVM doesn't compile."""
-    found = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).approxQuantile(columns, [i / ranges for i in range(1, ranges)], 0.01)
-    return {c: sorted(set(q)) for c, q in zip(columns, found)}
 
+def cuts_of(counts: DataFrame, column: str) -> list[float]:
+    """Values that cut the rows into ranges of about RANGE_ROWS; none for fewer rows."""
+    ranges = -(-counts.count() // RANGE_ROWS)
+    if ranges < 2:
+        return []
+    found = counts.select(F.col(column).cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.5 / ranges)
+    return sorted(set(found))
 
-def running(counts: DataFrame, column: str, weight: str, by: list[str] | None = None, cuts: list[float] | None = None) -> DataFrame:
+
+def running(counts: DataFrame, column: str, weight: str, by: list[str] | None = None) -> DataFrame:
     """counts with `upto`: the sum of `weight` over rows whose `column` is at most as large, for each value of `by`. A value stands once in a group.
 
-    Rows are cut into ranges of about equal size (by `cuts`, or those of the counts themselves), summed up in each, and the sums (one a range and group) put
-    one after another: no task gets all rows of a group.
+    Where there are more than RANGE_ROWS rows, they are cut into ranges, as many as their number asks for, summed up in each, and the sums (one a range and group) put
+    one after another: no task gets all rows of a large group.
     """
     by = by or []
-    cuts = cuts_of(counts, [column])[column] if cuts is None else cuts
-    part = counts.withColumn("_range", sum(((F.col(column) > F.lit(c)).cast("int") for c in cuts), F.lit(0)))
+    cuts = cuts_of(counts, column)
+    whole = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    if not cuts:
+        return counts.withColumn("upto", F.sum(weight).over(whole))
+    part = counts.withColumn("_range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(column) > c)))
     sums = part.groupBy(*by, "_range").agg(F.sum(weight).alias("_sum"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     inside = F.sum(weight).over(Window.partitionBy(*by, "_range").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
@@ -69,7 +77,7 @@ def exact_quantiles(df: DataFrame, column: str, levels: list, by: list[str] | No
     """
     by = by or []
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    upto = running(counts, "_v", "_c", by, cuts_of(df, [column])[column])
+    upto = running(counts, "_v", "_c", by)
     n = counts.groupBy(*by).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"))
     keys = [F.col(k).eqNullSafe(F.col(f"_n_{k}")) for k in by]
     sized = n.withColumnsRenamed({k: f"_n_{k}" for k in by})
@@ -122,28 +130,26 @@ def run_summary(df: DataFrame, by: str, metric: str) -> DataFrame:
     return df.groupBy(by).agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"), F.count(metric).alias("n"))
 
 
-def average_ranks(df: DataFrame, column: str, out: str, by: list[str] | None = None, cuts: list[float] | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Ranks with ties averaged, from running counts of distinct values: equal values cost one row."""
     by = by or []
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"))
-    ranks = running(counts, column, "_c", by, cuts).select(*by, column, (F.col("upto") - (F.col("_c") - 1) / 2).alias(out))
+    ranks = running(counts, column, "_c", by).select(*by, column, (F.col("upto") - (F.col("_c") - 1) / 2).alias(out))
     return df.join(ranks, [*by, column])
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     by = by or []
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    cuts = cuts_of(rows, [x, y])
-    ranked = average_ranks(average_ranks(rows, x, "_rx", by, cuts[x]), y, "_ry", by, cuts[y])
+    ranked = average_ranks(average_ranks(rows, x, "_rx", by), y, "_ry", by)
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("spearman"))
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """Correlation of the residues of the ranks of x and y on those of z; from correlations, in one aggregate."""
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(x, y, z)
-    cuts = cuts_of(ranked, [x, y, z])
     for c, r in ((x, "_rx"), (y, "_ry"), (z, "_rz")):
-        ranked = average_ranks(ranked, c, r, cuts=cuts[c])
+        ranked = average_ranks(ranked, c, r)
     c = ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("xy"), F.corr("_rx", "_rz").alias("xz"), F.corr("_ry", "_rz").alias("yz"))
     return c.select("n", ((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.pow("xz", F.lit(2.0))) * (1 - F.pow("yz", F.lit(2.0))))).alias("partial"))
 
