@@ -8,10 +8,11 @@ no piece of B's vocabulary has a space after anything but spaces (checked when i
 cross it either, and memory is bounded by a part.
 
 Plan, by cogrouped postings. One pass over the texts writes a row a document (counts and digest) and posting blocks: for an id of B, the ids of A linked to it, each with
-its documents and multiplicities, sorted. Blocks are summed to pair counts before they are shuffled. Then blocks are shuffled by id of B, each id's pair counts
-ahead of its blocks in Spark's spillable sort; a task holds the counts of one id (no more than A has ids), finds their maximum, and streams the postings past them.
-Contributions are summed by document in the task, then by a partial and a final aggregate. An id with many postings is dealt to several tasks, with its counts copied to each: shares are counted
-in a table of one row an id of B, which the vocabulary bounds and which is broadcast.
+its documents and multiplicities, sorted; a set of blocks is of the same documents. Blocks are summed to pair counts before they are shuffled. Then they are cogrouped with those: sorted by id of B in
+Spark's spillable sort, each id's counts ahead of its blocks. A task holds the counts of one id (no more than A has ids), finds their maximum, and streams the postings past them.
+Ids of B with OFTEN postings or more, together nearly all postings of a large corpus, are dealt by sets of documents: all their postings of a set meet in one task, with a copy of the counts, so a document's
+sum over them is made in one task, and a frequent id is spread over many. Rarer ids are dealt by id. Contributions are summed by document in the task, sent as arrays for a chunk of documents at a time, and summed
+again where a chunk's arrays meet. Which way an id goes stands in a table of one row an id of B, which the vocabulary bounds and which is broadcast.
 
 Documents are known by task and row of the first pass, whose output is written before it is used. So null and repeated ids are rows like others.
 
@@ -36,9 +37,11 @@ from strandlake.llm.kernels import give_back
 from strandlake.llm.shared import materialize
 
 #: Characters of a part; characters of parts that are aligned at once; postings of a set of blocks, and sums that a task holds.
-PART_CHARS, SLICE_CHARS, HELD_POSTINGS, HELD_SUMS = 1 << 16, 1 << 20, 3_000_000, 1_000_000
-#: Least postings of an id of B for which it is dealt to a task of its own.
-LEAST_SHARE = 10_000
+PART_CHARS, SLICE_CHARS, HELD_POSTINGS, HELD_SUMS = 1 << 16, 1 << 20, 1_000_000, 1_000_000
+#: Documents of a first task whose sums travel together, as a power of two.
+CHUNK_BITS = 11
+#: Postings from which on an id of B is dealt by sets of documents, and least postings of a share of the work.
+OFTEN, LEAST_SHARE = 1_000, 200_000
 _SIDES: dict[tuple, Sides] = {}
 
 
@@ -176,7 +179,7 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)
 
 
-_BLOCK = "b int, ids array<int>, sizes array<int>, totals array<long>, rows array<int>, times array<int>"
+_BLOCK = "base int, b int, ids array<int>, sizes array<int>, totals array<long>, rows array<int>, times array<int>"
 
 
 def _first_pass(ranks_path: str | None, pieces_path: str | None, part_chars: int, slice_chars: int, held: int):
@@ -187,8 +190,8 @@ def _first_pass(ranks_path: str | None, pieces_path: str | None, part_chars: int
 
         def schema() -> pa.Schema:
             ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-            names = ["task", "row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "b", "ids", "sizes", "totals", "rows", "times"]
-            return pa.schema(list(zip(names, [pa.int32(), pa.int32(), kind, *[pa.int64()] * 4, pa.string(), pa.int32(), ints, ints, longs, ints, ints])))
+            names = ["task", "row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "base", "b", "ids", "sizes", "totals", "rows", "times"]
+            return pa.schema(list(zip(names, [pa.int32(), pa.int32(), kind, *[pa.int64()] * 4, pa.string(), pa.int32(), pa.int32(), ints, ints, longs, ints, ints])))
 
         def batch_of(n: int, own: dict) -> pa.RecordBatch:
             fields = schema()
@@ -241,7 +244,7 @@ def _first_pass(ranks_path: str | None, pieces_path: str | None, part_chars: int
                 cut, wide = pa.array((stops[at : to + 1] - i).astype(np.int32)), pa.array((starts[stops[at : to + 1]] - p).astype(np.int32))
                 lists = lambda offsets, x, t: pa.ListArray.from_arrays(offsets, pa.array(x.astype(t)))
                 yield batch_of(to - at, {
-                    "b": pa.array((own[of_b[at:to]] >> 16).astype(np.int32)), "ids": lists(cut, own[i:j] & 0xFFFF, np.int32), "sizes": lists(cut, sizes[i:j], np.int32),
+                    "base": pa.array(np.full(to - at, open_docs[0].row, np.int32)), "b": pa.array((own[of_b[at:to]] >> 16).astype(np.int32)), "ids": lists(cut, own[i:j] & 0xFFFF, np.int32), "sizes": lists(cut, sizes[i:j], np.int32),
                     "totals": lists(cut, totals[i:j], np.int64), "rows": lists(wide, rows[p:q], np.int32), "times": lists(wide, m[p:q], np.int32),
                 })
                 at = to
@@ -280,7 +283,7 @@ def postings(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pieces_path: str | None = None,
     part_chars: int = PART_CHARS, slice_chars: int = SLICE_CHARS, held: int = HELD_POSTINGS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Documents (task, row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256) and posting blocks (task, b, ids, sizes, totals, rows, times), written.
+    """Documents (task, row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256) and posting blocks (task, base, b, ids, sizes, totals, rows, times), written; blocks of one task and base are of the same documents.
 
     A block's ids of A come with their number of documents, the sum of multiplicities, and, one id after another, the documents' rows and multiplicities.
     """
@@ -297,8 +300,8 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
 
 def _contributions(held: int):
-    """Maps rows sorted by id of B, its counts first: task, row, n_best, count_sum, summed as far as they fit in memory."""
-    names = ["task", "row", "n_best", "count_sum"]
+    """Maps rows sorted by id of B, its counts first: task, chunk, and arrays over its documents (row, n_best, count_sum), summed as far as they fit in memory."""
+    names = ["task", "chunk", "rows", "best", "sums"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # ids and counts of the current id of B, sorted, and the highest count
@@ -307,7 +310,12 @@ def _contributions(held: int):
 
         def out(done: tuple) -> pa.RecordBatch:
             key, b, c = done
-            return pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(b), pa.array(c)], names)
+            chunk = key >> CHUNK_BITS
+            first = np.flatnonzero(np.diff(chunk, prepend=-1))
+            cut = pa.array(np.append(first, len(key)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in ((key & 0xFFFFFFFF).astype(np.int32), b, c)]
+            own = chunk[first] << CHUNK_BITS
+            return pa.RecordBatch.from_arrays([pa.array((own >> 32).astype(np.int32)), pa.array(((own & 0xFFFFFFFF) >> CHUNK_BITS).astype(np.int32)), *lists], names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -350,26 +358,33 @@ def _contributions(held: int):
 
 def align(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pieces_path: str | None = None,
-    part_chars: int = PART_CHARS, slice_chars: int = SLICE_CHARS, held: int = HELD_POSTINGS, held_sums: int = HELD_SUMS, share: int | None = None,
+    part_chars: int = PART_CHARS, slice_chars: int = SLICE_CHARS, held: int = HELD_POSTINGS, held_sums: int = HELD_SUMS, share: int | None = None, often: int = OFTEN,
 ) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row.
 
-    share: postings of an id of B that one task takes, chosen by their number if not given.
+    share: about how many postings are dealt together, chosen by their number if not given.
     """
     spark = df.sparkSession
     docs, blocks = postings(df, id_col, text_col, ranks_path, pieces_path, part_chars, slice_chars, held)
     sizes = blocks.groupBy("b").agg(F.sum(F.size("rows")).alias("n"))
+    hot, rare = sizes.agg(F.coalesce(F.sum(F.when(F.col("n") >= often, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n") < often, F.col("n"))), F.lit(0))).first()
     if not share:
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        share = max(LEAST_SHARE, (sizes.agg(F.sum("n")).first()[0] or 0) // (4 * tasks))
-    # one row an id of B
-    shares = F.broadcast(sizes.select("b", F.ceil(F.col("n") / share).cast("int").alias("shares")))
-    counts = pair_counts(blocks).groupBy("b").agg(F.collect_list("a").alias("ids"), F.collect_list("n").alias("totals")).join(shares, "b")
+        share = max(LEAST_SHARE, (hot + rare) // (2 * tasks))
+    sets, others = max(1, -(-hot // share)), max(1, -(-rare // share))
+    # one row an id of B; shares from `sets` on are those of rarer ids
+    ways = F.broadcast(sizes.select("b", (F.col("n") >= often).alias("hot")))
+    of_rare = (sets + F.pmod(F.xxhash64("b"), F.lit(others))).cast("int")
+    counts = pair_counts(blocks).groupBy("b").agg(F.collect_list("a").alias("ids"), F.collect_list("n").alias("totals")).join(ways, "b")
     none = F.lit(None).cast("array<int>")
-    first = counts.select("b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("int").alias("task"), "ids", none.alias("sizes"), "totals", none.alias("rows"), none.alias("times"))
-    then = blocks.join(shares, "b").select("b", F.pmod(F.xxhash64("b", "task", F.get("rows", F.lit(0))), "shares").cast("int").alias("share"), "task", "ids", "sizes", F.lit(None).cast("array<long>").alias("totals"), "rows", "times")
-    dealt = first.unionByName(then).repartition("b", "share").sortWithinPartitions("b", "share", F.col("task").asc_nulls_first())
-    sums = dealt.mapInArrow(_contributions(held_sums), "task int, row int, n_best long, count_sum long").groupBy("task", "row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    copies = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(sets - 1))).otherwise(F.array(of_rare)))
+    first = counts.select("b", copies.alias("share"), F.lit(None).cast("int").alias("task"), "ids", none.alias("sizes"), "totals", none.alias("rows"), none.alias("times"))
+    own = F.when(F.col("hot"), F.pmod(F.xxhash64("task", "base"), F.lit(sets)).cast("int")).otherwise(of_rare)
+    then = blocks.join(ways, "b").select("b", own.alias("share"), "task", "ids", "sizes", F.lit(None).cast("array<long>").alias("totals"), "rows", "times")
+    dealt = first.unionByName(then).repartition("share").sortWithinPartitions("share", "b", F.col("task").asc_nulls_first())
+    sums = dealt.mapInArrow(_contributions(held_sums), "task int, chunk int, rows array<int>, best array<long>, sums array<long>").repartition("task", "chunk")
+    sums = sums.select("task", "chunk", F.explode(F.arrays_zip("rows", "best", "sums")).alias("x")).groupBy("task", "chunk", F.col("x.rows").alias("row")).agg(F.sum("x.best").alias("n_best"), F.sum("x.sums").alias("count_sum"))
+    sums = sums.drop("chunk")
     out = docs.join(sums, ["task", "row"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

@@ -143,7 +143,7 @@ def test_alignment_against_brute_force(spark, libraries, small):
     texts.append(" ".join(f"word{i % 17}" for i in range(3000)))
     rows = [(None if i % 9 == 0 else i // 2, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as task", "'b' as b", "3 as row").repartition(3, "text")
-    kind = dict(part_chars=40, slice_chars=500, held=300, held_sums=50, share=20) if small else {}
+    kind = dict(part_chars=40, slice_chars=500, held=300, held_sums=50, share=200, often=30) if small else {}
     got = alignment.align(docs, **kind).collect()
     want = [(d, *w) for (d, _), w in zip(rows, aligned(texts, libraries))]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
