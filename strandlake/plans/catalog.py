@@ -16,8 +16,10 @@ from strandlake.functions import scales as S
 from strandlake.functions import tokens
 from strandlake.operators import similarity, tables
 from strandlake.operators import select as sel
+from strandlake.operators.storage import folder
 from strandlake.plans import projection as P
 from strandlake.sources import records
+from strandlake.sources import tables as files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -189,6 +191,18 @@ def face_centres(spark, sf_dir):
     return rounded(df.withColumn("n_on_face", n).withColumn("face_centre", F.when(F.col("face_centre") >= 360 - 1e-9, 0.0).otherwise(F.col("face_centre"))), "face_centre")
 
 
+_TIERS = D.tiers()
+
+
+@query(f"WITH d AS ({ORACLES['all_descriptors']}) " + " UNION ALL ".join(f"SELECT '{t}' AS tier, {len(c)} AS n_features, round(avg({' + '.join(c)}) + 1e-10, 3) + 0.0 AS mean_total FROM d" for t, c in _TIERS.items()))
+def feature_tiers(spark, sf_dir):
+    """C4: the nested tiers of descriptors, and the mean of each one's sum over all sequences."""
+    d = all_descriptors(spark, sf_dir)
+    means = d.agg(*[F.avg(sum((F.col(c) for c in cols[1:]), F.col(cols[0]))).alias(f"_{i}") for i, cols in enumerate(_TIERS.values())])
+    rows = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(len(c)).alias("n_features"), (F.round(F.col(f"_{i}") + 1e-10, 3) + F.lit(0.0)).alias("mean_total")) for i, (t, c) in enumerate(_TIERS.items())])
+    return means.select(F.explode(rows).alias("r")).select("r.*")
+
+
 _BUCKET = " + ".join(f"CAST(q >= {b} AS INTEGER)" for b in tokens.CHARGE_BOUNDS)
 
 
@@ -323,6 +337,39 @@ UNION ALL SELECT 'measurement', CASE WHEN event_id % 3 <> 0 AND event_id % 4 = 2
  WHEN event_id % 7 = 4 THEN 'unreadable_value' WHEN event_id % 5 = 4 THEN 'bad_unit' ELSE 'kept' END FROM events WHERE event_id % 19 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0"""
 
 
+@query(f"SELECT s, CAST(row_number() OVER (ORDER BY ord) AS BIGINT) AS ord FROM (SELECT s, min(ord) AS ord FROM ({P.LIBRARY_SQL}) GROUP BY s)")
+def fasta_round_trip(spark, sf_dir):
+    """The library written as FASTA in several parts, and read back in order."""
+    path = folder(spark, "fasta")
+    records.write_fasta(similarity.distinct_first(P.library(spark, sf_dir)), path, "ord", records=2_000)
+    return records.read_fasta(spark, path)
+
+
+@query(f"SELECT s, endpoint, grp, species, resistant, {R('value_um', 'value_um')}, censor, amidated FROM ({_MEASURED})")
+def long_csv_round_trip(spark, sf_dir):
+    """Kept measurements written as CSV and read back."""
+    path = folder(spark, "long-csv")
+    files.write_long(long_table(spark, sf_dir).where("drop_reason is null"), path)
+    return rounded(files.read_long(spark, path), "value_um")
+
+
+@query(ORACLES["activity_wide"])
+def wide_csv_round_trip(spark, sf_dir):
+    """The wide activity table written as CSV and read back."""
+    path = folder(spark, "wide-csv")
+    files.write_wide(tables.to_wide(tables.aggregate_activity(long_table(spark, sf_dir))), path)
+    wide = files.read_wide(spark, path)
+    return rounded(wide.withColumns({c: F.col(c).cast("double") for c in wide.columns if c.endswith(("_censor", "_n"))}), *tables.GROUPS)
+
+
+@query(ORACLES["activity_coverage"])
+def coverage_json_round_trip(spark, sf_dir):
+    """Coverage counts written as a JSON summary and read back."""
+    got, path = activity_coverage(spark, sf_dir), folder(spark, "coverage-json")
+    files.write_json(spark, files.summary(got, "grp"), path)
+    return spark.createDataFrame([(g, *(v[c] for c in got.columns[1:])) for g, v in files.read_json(spark, path).items()], got.schema)
+
+
 @query(f"SELECT level, reason, CAST(count(*) AS BIGINT) AS n FROM ({_REASONS}) GROUP BY level, reason")
 def all_drop_counters(spark, sf_dir):
     """Records and measurements by the first filter that drops them."""

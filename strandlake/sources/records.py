@@ -6,30 +6,51 @@ import json
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandlake.functions import cleaning as C
+from strandlake.operators.storage import durable
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """ord, s: records in file order; lines joined, blanks dropped, upper case, headers dropped. Text before the first header is a record."""
-    raw = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    lines = F.transform(F.split("value", "\n"), F.trim)
-    headed = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    starts_file = F.substring("value", 1, 1) == "\n"  # no header text at all
-    body = F.when(F.col("first") & ~starts_file, lines).otherwise(headed)
-    from pyspark.sql import Window
+    """ord (1, 2, ...), s: records in the order of files' names and their places; lines trimmed and joined, blanks dropped, upper case, headers dropped, empty records left out.
 
-    w = Window.partitionBy("file").orderBy("block", "at")
-    rows = raw.withColumn("n", F.row_number().over(w)).withColumn("first", F.col("n") == 1)
-    return rows.select(F.col("n").cast("long").alias("ord"), F.upper(F.array_join(body, "")).alias("s")).where("s <> ''")
-
-
-def write_fasta(df: DataFrame, path: str, rank_col: str = "rank", seq_col: str = "s") -> None:
-    """>seq{i} records in order of rank, in one file (a ranked list is small by contract)."""
-    df.orderBy(rank_col).coalesce(1).select(F.concat(F.lit(">seq"), F.col(rank_col).cast("string"), F.lit("\n"), F.col(seq_col)).alias("value")).write.mode("overwrite").text(path)
+    A record begins at a line whose first character (after blanks) is `>`; text before a file's first header is a record. Files are read in blocks: a record that crosses
+    a block's border belongs to the block that it begins in. Records are numbered within their block, and blocks by the numbers of records before them (a table of one row a
+    block), so no task gets a whole file.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    in_block = Window.partitionBy("file", "block").orderBy("at")
+    # the separator takes the sign from all records but a file's first, which has one after blanks, or has no header
+    first, bare = (F.col("block") == 0) & (F.row_number().over(in_block) == 1), F.regexp_replace("value", "^\\s+", "")
+    alike = F.when(first & bare.startswith(">"), F.substr(bare, F.lit(2))).when(first, F.concat(F.lit("\n"), "value")).otherwise(F.col("value"))
+    rows = raw.withColumn("value", alike).select("file", "block", "at", F.posexplode(F.split("value", "\n[ \\t\\r\\f\\x0B]*>")).alias("sub", "text"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
+    body = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    rows = rows.select("file", "block", "at", "sub", F.upper(F.array_join(body, "")).alias("s")).where("s <> ''")
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("file", "block").orderBy("at", "sub")))
+    blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("size"))
+    before = blocks.select("file", "block", F.coalesce(F.sum("size").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return numbered.join(F.broadcast(before), ["file", "block"]).select((F.col("before") + F.col("n")).alias("ord"), "s")
+
+
+def write_fasta(df: DataFrame, path: str, rank_col: str = "rank", seq_col: str = "s", records: int = 1_000_000) -> None:
+    """`>seq{i}` records in order of rank, i counting from 1, in parts whose names are in that order: `records` in each, roughly.
+
+    Rows are sorted by ranges of rank, and each part's numbers begin after the counts of the parts before (one number a part on the driver). Parts are committed as a whole by Spark's writer.
+    """
+    parts = max(1, -(-df.count() // records))
+    # the number of a row's part is in the upper bits
+    rows = durable(df.select(F.col(rank_col).alias("rank"), F.col(seq_col).alias("s")).repartitionByRange(parts, "rank").sortWithinPartitions("rank", "s").withColumn("at", F.monotonically_increasing_id()))
+    sizes = {r["part"]: r["count"] for r in rows.groupBy(F.shiftright("at", 33).alias("part")).count().collect()}
+    before, sum_ = [], 0
+    for i in range(max(sizes, default=0) + 1):
+        before.append(sum_)
+        sum_ += sizes.get(i, 0)
+    number = F.get(F.array(*[F.lit(b) for b in before]), F.shiftright("at", 33).cast("int")) + F.col("at").bitwiseAND((1 << 33) - 1) + 1
+    rows.select(F.concat(F.lit(">seq"), number.cast("string"), F.lit("\n"), F.col("s")).alias("value")).write.mode("overwrite").text(path)
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
@@ -250,8 +271,6 @@ def drop_counts(lines: DataFrame) -> DataFrame:
 
 def summarise(records: DataFrame, lines: DataFrame) -> DataFrame:
     """kind, name, n: the 12 most usual units, 20 most usual species, and complexities."""
-    from pyspark.sql import Window
-
     v = lines.select(F.try_parse_json("value").alias("v")).where("v is not null")
     acts = v.select(F.explode(F.try_variant_get("v", "$.targetActivities", "array<variant>")).alias("a"))
     part = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), c.alias("name"))

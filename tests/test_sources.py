@@ -1,6 +1,7 @@
 """Sources and sinks: CSV, JSON, paged indexes, resumable fetches."""
 
 import json
+import random
 
 import pytest
 
@@ -127,3 +128,50 @@ def test_json_summaries(spark, tmp_path):
     df = spark.createDataFrame([("b", 2, None), ("a", 1, 0.5)], "name string, n int, v double")
     assert tables.summary(df, "name") == {"a": {"n": 1, "v": 0.5}, "b": {"n": 2, "v": None}}
 
+
+
+def plain_fasta(text):
+    """Records by lines, as a reference reader does."""
+    out, now = [], ""
+    for line in text.split("\n"):
+        line = line.strip()
+        if line.startswith(">"):
+            out.append(now)
+            now = ""
+        else:
+            now += line
+    return [s.upper() for s in [*out, now] if s]
+
+
+def test_fasta_across_block_borders(spark, tmp_path):
+    rng = random.Random(6)
+    texts = ["ACDEF\n>a\nKL\nmn\n\n  pq  \n>b>c x\nRST\n>empty\n>\nVW", "\n \n>x\nAAA\n  >y\nCCC\r\n>z\r\nDD\r\nEE", "", ">only", "\n".join(f">r{i} {'>' * (i % 3)}\n" + "\n".join("".join(rng.choice("ACDEFGHIKL") for _ in range(rng.randint(1, 60))) for _ in range(i % 4)) for i in range(400))]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, t in enumerate(texts):
+        (folder / f"f{i}.fa").write_bytes(t.encode())
+    want = [s for t in texts for s in plain_fasta(t)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "997", "64"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = records.read_fasta(spark, str(folder)).orderBy("ord").collect()
+            assert [r["s"] for r in got] == want and [r["ord"] for r in got] == list(range(1, len(want) + 1))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_fasta_is_written_in_parts(spark, tmp_path):
+    rows = [(i * 3, "ACDE" * (1 + i % 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "rank long, s string").repartition(5)
+    path = tmp_path / "out"
+    records.write_fasta(df, str(path), records=60)
+    parts = sorted(p for p in path.iterdir() if p.name.startswith("part-"))
+    whole = "".join(p.read_text() for p in parts)
+    assert len(parts) > 4 and whole == "".join(f">seq{i}\n{s}\n" for i, (_, s) in enumerate(rows, 1))
+    back = records.read_fasta(spark, str(path)).orderBy("ord").collect()
+    assert [tuple(r) for r in back] == [(i, s) for i, (_, s) in enumerate(rows, 1)]
+    records.write_fasta(df.limit(0), str(tmp_path / "none"))
+    assert records.read_fasta(spark, str(tmp_path / "none")).count() == 0
