@@ -370,6 +370,20 @@ def coverage_json_round_trip(spark, sf_dir):
     return spark.createDataFrame([(g, *(v[c] for c in got.columns[1:])) for g, v in files.read_json(spark, path).items()], got.schema)
 
 
+@query("SELECT page_id AS id, CAST(length(coalesce(html, '')) AS BIGINT) AS size, count(*) OVER () - row_number() OVER (ORDER BY page_id) AS later FROM pages")
+def paged_stream(spark, sf_dir):
+    """The pages table as a paged index that grows while it is fetched: a first call gets one half, a second one, which goes on where that stopped, the rest."""
+    index, place = folder(spark, "index"), folder(spark, "fetched")
+    pages = P.table(spark, sf_dir, "pages").select("page_id", F.length(F.coalesce("html", F.lit(""))).cast("long").alias("size"))
+    n = P.write_index(pages, "page_id", index)
+    options = {"fetcher": "strandlake.plans.projection:index_page", "counter": "strandlake.plans.projection:index_total", "argument": index, "pageSize": str(P.INDEX_PAGE // 2)}
+    for total in (n // 2, n):
+        P.set_index_total(spark, index, total)
+        records.fetch_stream(spark, options, f"{place}/lines", f"{place}/log")
+    got = spark.read.text(f"{place}/lines").select(F.from_json("value", "id long, place long, size long").alias("r"))
+    return got.select("r.id", "r.size", (F.lit(n - 1) - F.col("r.place")).alias("later"))
+
+
 @query(f"SELECT level, reason, CAST(count(*) AS BIGINT) AS n FROM ({_REASONS}) GROUP BY level, reason")
 def all_drop_counters(spark, sf_dir):
     """Records and measurements by the first filter that drops them."""

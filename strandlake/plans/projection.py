@@ -84,3 +84,60 @@ SELECT id, s, endpoint, grp, species, endpoint = 'mic' AND user_id % 8 IN (1, 4,
   WHERE CASE WHEN event_id % 3 = 0 THEN event_id % 2 = 0 ELSE event_id % 4 <> 2 END))
 WHERE grp IS NOT NULL AND value_um IS NOT NULL
 """
+
+
+# ---- a table as a paged index: what a fetch sees of a service
+
+#: Records of a stored page.
+INDEX_PAGE = 100
+
+
+def write_index(df: DataFrame, key: str, path: str) -> int:
+    """Store df under `path` as pages of INDEX_PAGE records in order of the key, a page a Parquet folder; how many records there are.
+
+    Records are numbered by ranges of the key and the numbers of rows in the ranges before."""
+    from pyspark.sql import Window
+
+    from strandlake.operators.storage import durable
+
+    rows = durable(df.withColumnRenamed(key, "id").repartitionByRange("id").withColumn("part", F.spark_partition_id()))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
+    numbered = rows.join(F.broadcast(before), "part").withColumn("place", place).drop("part", "before").withColumn("page", F.floor(F.col("place") / INDEX_PAGE))
+    numbered.write.partitionBy("page").parquet(f"{path}/pages")
+    return rows.count()
+
+
+def _files(path: str):
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return system, place
+
+
+def set_index_total(spark: SparkSession, path: str, total: int) -> None:
+    system, place = _files(path)
+    with system.open_output_stream(f"{place}/total") as f:
+        f.write(str(total).encode())
+
+
+def index_total(path: str) -> int:
+    system, place = _files(path)
+    with system.open_input_stream(f"{place}/total") as f:
+        return int(f.read())
+
+
+def index_page(start: int, stop: int, path: str) -> list[dict]:
+    """Records start to stop of the index, from the pages that hold them."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, place = _files(path)
+    out = []
+    for page in range(start // INDEX_PAGE, (stop - 1) // INDEX_PAGE + 1):
+        for f in system.get_file_info(fs.FileSelector(f"{place}/pages/page={page}")):
+            if f.path.endswith(".parquet"):
+                with system.open_input_file(f.path) as g:
+                    out += [r for r in pq.read_table(g).to_pylist() if start <= r["place"] < stop]
+    return sorted(out, key=lambda r: r["place"])

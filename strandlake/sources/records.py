@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from strandlake.functions import cleaning as C
 from strandlake.operators.storage import durable
@@ -191,29 +191,74 @@ def function_of(name: str) -> Callable:
     return getattr(importlib.import_module(module), function)
 
 
-class PagedReader(DataSourceReader):
-    """Pages of records from option `fetcher` ('module:function' of (start, stop) -> records); one partition a page.
+def _bound(options, name: str) -> Callable | None:
+    """The function of an option, with option `argument` (if given) as its last argument."""
+    if name not in options:
+        return None
+    f, argument = function_of(options[name]), options.get("argument")
+    return f if argument is None else lambda *a: f(*a, argument)
 
-    The number of records is option `total`, or what option `counter` ('module:function' of no argument) says.
+
+class _Paged:
+    """Pages of records from option `fetcher` ('module:function' of (start, stop) -> records), with at least `delay` seconds between two pages of a task.
+
+    The number of records is option `total`, or what option `counter` ('module:function' of no argument) says. Option `argument` is handed to both functions as their last.
     """
 
     def __init__(self, options):
-        self.total, self.page = options.get("total"), int(options.get("pageSize", 100))
-        self.counter = options.get("counter")
-        if self.total is None and not self.counter:
+        self.options = dict(options.items())
+        self.fixed, self.page = options.get("total"), int(options.get("pageSize", 100))
+        if self.fixed is None and "counter" not in options:
             raise ValueError("give option total or counter")
-        self.fetcher, self.retries = options["fetcher"], int(options.get("retries", 4))
+        self.retries, self.delay = int(options.get("retries", 4)), float(options.get("delay", 0))
 
-    def partitions(self):
-        self.total = int(self.total if self.total is not None else with_retries(function_of(self.counter), self.retries))
-        return [Page(i, min(self.total, i + self.page)) for i in range(0, self.total, self.page)]
+    def count(self) -> int:
+        return int(self.fixed if self.fixed is not None else with_retries(_bound(self.options, "counter"), self.retries))
+
+    def pages(self, start: int, stop: int) -> list[Page]:
+        return [Page(i, min(stop, i + self.page)) for i in range(start, stop, self.page)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        get = function_of(self.fetcher)
+        get = _bound(self.options, "fetcher")
+        if self.delay:
+            time.sleep(self.delay)
         for r in with_retries(lambda: get(partition.start, partition.stop), self.retries) or ():
             yield (r.get("id"), json.dumps(r))
 
 
+class PagedReader(_Paged, DataSourceReader):
+    """All pages, one partition each."""
+
+    def partitions(self):
+        return self.pages(0, self.count())
+
+
+class PagedStream(_Paged, DataSourceStreamReader):
+    """Pages as they come to be: an offset is the number of records read, so an index that has grown goes on at its last record, whole page or not.
+
+    A batch's range stands in the query's log before it is fetched, and a batch that failed is fetched again over the same range; with a sink that keeps batches whole each record is there once.
+    """
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.last = 0
+
+    def initialOffset(self) -> dict:
+        return {"record": 0}
+
+    def latestOffset(self) -> dict:
+        # an index that shrinks gives nothing new
+        self.last = max(self.last, self.count())
+        return {"record": self.last}
+
+    def partitions(self, start: dict, end: dict):
+        self.last = max(self.last, start["record"])
+        return self.pages(start["record"], end["record"])
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class PagedSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -225,6 +270,19 @@ class PagedSource(DataSource):
     def reader(self, schema) -> PagedReader:
         return PagedReader(self.options)
 
+    def streamReader(self, schema) -> PagedStream:
+        return PagedStream(self.options)
+
+
+def fetch_stream(spark: SparkSession, options: dict[str, str], path: str, log: str) -> None:
+    """Fetch what an index has beyond the last call, and append it as NDJSON lines to the folder `path`; `log` keeps how far it came.
+
+    Call it again after it was broken off, or when the index has grown. Spark reads only finished batches of the folder, by the list that the sink keeps there.
+    """
+    spark.dataSource.register(PagedSource)
+    rows = spark.readStream.format("paged_records").options(**options).load()
+    rows.select("value").writeStream.format("text").option("path", path).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
 
 def append_fetched(records: DataFrame, path: str) -> None:
     """Append NDJSON lines; with still_to_fetch, an interrupted fetch goes on where it stopped."""

@@ -1,6 +1,7 @@
 """Sources and sinks: CSV, JSON, paged indexes, resumable fetches."""
 
 import json
+import os
 import random
 
 import pytest
@@ -175,3 +176,43 @@ def test_fasta_is_written_in_parts(spark, tmp_path):
     assert [tuple(r) for r in back] == [(i, s) for i, (_, s) in enumerate(rows, 1)]
     records.write_fasta(df.limit(0), str(tmp_path / "none"))
     assert records.read_fasta(spark, str(tmp_path / "none")).count() == 0
+
+
+def growing_page(start, stop, path):
+    with open(f"{path}/asked", "a") as f:
+        f.write(f"{start}-{stop} ")
+    if os.path.exists(f"{path}/fail") and start >= 20:
+        raise records.Status(403)
+    return [{"id": i} for i in range(start, stop)]
+
+
+def growing_total(path):
+    with open(f"{path}/total") as f:
+        return int(f.read())
+
+
+def test_stream_of_a_growing_index(spark, tmp_path):
+    options = {"fetcher": "tests.test_sources:growing_page", "counter": "tests.test_sources:growing_total", "argument": str(tmp_path), "pageSize": "10"}
+    fetch = lambda: records.fetch_stream(spark, options, str(tmp_path / "lines"), str(tmp_path / "log"))
+    seen = lambda: sorted(json.loads(r["value"])["id"] for r in spark.read.text(str(tmp_path / "lines")).collect())
+    (tmp_path / "total").write_text("15")
+    fetch()
+    assert seen() == list(range(15)) and sorted((tmp_path / "asked").read_text().split()) == ["0-10", "10-15"]
+    fetch()  # nothing new
+    assert seen() == list(range(15))
+    # a batch that breaks off is fetched again as a whole, and no record is there twice
+    (tmp_path / "total").write_text("37")
+    (tmp_path / "fail").write_text("")
+    with pytest.raises(Exception):
+        fetch()
+    assert seen() == list(range(15))
+    (tmp_path / "fail").unlink()
+    (tmp_path / "asked").write_text("")
+    fetch()
+    # (tasks of the broken batch may still ask)
+    assert seen() == list(range(37)) and set((tmp_path / "asked").read_text().split()) == {"15-25", "25-35", "35-37"}
+    # an index that shrinks, then grows
+    for total, n in (("3", 37), ("40", 40)):
+        (tmp_path / "total").write_text(total)
+        fetch()
+        assert seen() == list(range(n))
