@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,6 +191,26 @@ def h0(s: Column) -> Column:
     return bind(hydrophobic_positions(s), stats)
 
 
+def hydrophobic_cloud(s: Column) -> Column:
+    """Array of (place, x, y, z): the hydrophobic residues on an ideal helix."""
+    angle = lambda i: F.radians(F.lit(float(S.HELIX_DEGREES)) * i)
+    return F.transform(hydrophobic_positions(s), lambda i: F.struct(i.alias("place"), (S.HELIX_RADIUS * F.cos(angle(i))).alias("x"), (S.HELIX_RADIUS * F.sin(angle(i))).alias("y"), (S.HELIX_RISE * i).alias("z")))
+
+
+def cloud_deaths(cloud: Column) -> Column:
+    """Sorted deaths of the connected components of points (an array of structs x, y, z): edges of their minimum spanning tree. Empty for fewer than two points, null for a null cloud.
+
+    Points with a null or non-finite coordinate take no part. A cloud is grown by Prim's rule in time that grows with the square of its points, and memory with their number.
+    """
+    fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    points = F.transform(F.filter(cloud, lambda p: fine(p["x"].cast("double")) & fine(p["y"].cast("double")) & fine(p["z"].cast("double"))), lambda p: F.array(*[p[c].cast("double") for c in "xyz"]))
+
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else vectors.deaths(np.array([list(q) for q in p], float).reshape(-1, 3)) for p in x], index=x.index, dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(points)
+
+
 def helicity(s: Column, scale: float, v: float, eps: float = 1e-3) -> Column:
     """Mean helical share from a two-state transfer matrix, by a finite difference of log Z."""
     def log_z(w: Column, boost: float) -> Column:

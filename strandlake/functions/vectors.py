@@ -120,6 +120,21 @@ def h0(places: np.ndarray) -> tuple[float, float, float, float, float, float]:
     return float(k), d[-1], d.sum(), d.mean(), steps.max(), float(len(d) - int(steps.argmax()))
 
 
+def deaths(points: np.ndarray) -> np.ndarray:
+    """Sorted edges of the minimum spanning tree of points in rows, by Prim's rule: one row of distances at a time."""
+    if len(points) < 2:
+        return np.empty(0)
+    far = lambda left, p: np.sqrt(((left - p) ** 2).sum(axis=1))
+    left, out = points[1:], np.empty(len(points) - 1)
+    near = far(left, points[0])
+    for k in range(len(out)):
+        i = int(near.argmin())
+        out[k], p = near[i], left[i]
+        left, near = np.delete(left, i, axis=0), np.delete(near, i)
+        near = np.minimum(near, far(left, p))
+    return np.sort(out)
+
+
 def longest_run(s: str, some: str) -> float:
     best = now = 0
     for c in s:

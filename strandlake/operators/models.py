@@ -1,6 +1,6 @@
 """Fitted operators: censored regression, activity classification, the distribution gate.
 
-Gradient boosting comes from pyspark.ml: the same algorithms as the usual single-node libraries, with other trees.
+Gradient boosting comes from operators/boosting.py or, for more training rows than a task takes, from pyspark.ml.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.operators import boosting
 from strandlake.operators.tables import conformal_width, evaluate, running
 from strandlake.sources.tables import read_json, write_json
 
@@ -25,109 +26,140 @@ MOST_STEPS = 30
 LISTED = 65_536
 
 
+def _filled(features: list[str]):
+    """The features as an array of doubles, missing ones as 0."""
+    return F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+
+
 class CensoredRegressor:
-    """Boosted trees for targets with lower bounds: after each round, a bound's target becomes max(bound, prediction)."""
+    """Boosted trees for targets with lower bounds: after each round, a bound's target becomes max(bound, prediction).
 
-    def __init__(self, features: list[str], seeds: tuple[int, ...] = (0, 1, 2), rounds: int = 4, trees: int = 20, depth: int = 3):
-        self.features, self.seeds, self.rounds, self.trees, self.depth, self.models = features, seeds, rounds, trees, depth, []
+    step: what each tree counts; rows and columns: shares drawn anew for each tree. engine: 'tasks' fits one member a task (operators/boosting.py; at most MOST_ROWS training
+    rows, more are refused), 'spark' fits them one after another with pyspark.ml, of any number of rows; its trees draw columns anew in each node.
+    """
+
+    def __init__(self, features: list[str], seeds: tuple[int, ...] = (0, 1, 2), rounds: int = 4, trees: int = 400, depth: int = 3, step: float = 0.05, row_share: float = 0.8, column_share: float = 0.8, engine: str = "tasks"):
+        if engine not in ("tasks", "spark"):
+            raise ValueError(f"no engine {engine}")
+        self.features, self.seeds, self.rounds, self.trees, self.depth = features, seeds, rounds, trees, depth
+        self.step, self.row_share, self.column_share, self.engine, self.models = step, row_share, column_share, engine, []
 
     def _assemble(self, df: DataFrame) -> DataFrame:
         filled = df.withColumns({f"_x{i}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for i, f in enumerate(self.features)})
         return VectorAssembler(inputCols=[f"_x{i}" for i in range(len(self.features))], outputCol="_features").transform(filled).drop(*[f"_x{i}" for i in range(len(self.features))])
 
     def fit(self, df: DataFrame, target: str, censor: str) -> CensoredRegressor:
+        known = df.where(F.col(target).isNotNull())
+        if self.engine == "spark":
+            self._fit_spark(known, target, censor)
+            return self
+        settings = {"rounds": self.rounds, "trees": self.trees, "depth": self.depth, "step": self.step, "rows": self.row_share, "columns": self.column_share}
+        rows = known.select(_filled(self.features).alias("x"), F.col(target).cast("double").alias("y"), F.coalesce((F.col(censor) == 1).cast("int"), F.lit(0)).alias("mark")).persist()
+        fit = lambda x, y, mark, _, seed: boosting.imputed(x, y, mark == 1, seed=seed, **settings)
+        try:
+            self.models = boosting.fit_members(rows, len(self.features), list(enumerate(self.seeds)), fit)
+        finally:
+            rows.unpersist()
+        return self
+
+    def _fit_spark(self, df: DataFrame, target: str, censor: str) -> None:
         from pyspark.ml.regression import GBTRegressor
 
-        rows = self._assemble(df.where(F.col(target).isNotNull())).select("_features", F.col(target).cast("double").alias("_bound"), (F.col(censor) == 1).alias("_right"))
+        rows = self._assemble(df).select("_features", F.col(target).cast("double").alias("_bound"), (F.col(censor) == 1).alias("_right"))
         rows = rows.cache()
         self.models = []
         for seed in self.seeds:
             now = rows.withColumn("_y", F.col("_bound"))
             for r in range(self.rounds):
-                model = GBTRegressor(featuresCol="_features", labelCol="_y", predictionCol="_p", maxIter=self.trees, maxDepth=self.depth, stepSize=0.1, subsamplingRate=0.8, seed=seed).fit(now)
+                model = GBTRegressor(featuresCol="_features", labelCol="_y", predictionCol="_p", maxIter=self.trees, maxDepth=self.depth, stepSize=self.step, subsamplingRate=self.row_share, featureSubsetStrategy=str(self.column_share), seed=seed).fit(now)
                 # imputed from the rows themselves each round: the lineage doesn't grow
                 if r < self.rounds - 1:
                     now = model.transform(rows).withColumn("_y", F.when(F.col("_right"), F.greatest("_bound", "_p")).otherwise(F.col("_bound"))).drop("_p")
             self.models.append(model)
         rows.unpersist()
-        return self
 
     def predict(self, df: DataFrame, out: str = "prediction", spread: str = "spread") -> DataFrame:
         """Mean and population deviation over the seeds."""
-        now = self._assemble(df)
-        cols = []
-        for i, m in enumerate(self.models):
-            now = m.copy({m.predictionCol: f"_p{i}"}).transform(now)
-            cols.append(F.col(f"_p{i}"))
+        if self.engine == "tasks":
+            now = df.withColumn("_p", boosting.predicted(self.models, _filled(self.features), len(self.features)))
+            cols = [F.get("_p", i) for i in range(len(self.models))]
+        else:
+            now, cols = self._assemble(df), []
+            for i, m in enumerate(self.models):
+                now = m.copy({m.predictionCol: f"_p{i}"}).transform(now)
+                cols.append(F.col(f"_p{i}"))
         mean = sum(cols[1:], cols[0]) / len(cols)
         now = now.withColumn(out, mean)
         dev = F.sqrt(sum(((c - F.col(out)) * (c - F.col(out)) for c in cols), F.lit(0.0)) / len(cols))
-        return now.withColumn(spread, dev).drop("_features", *[f"_p{i}" for i in range(len(cols))])
+        return now.withColumn(spread, dev).drop("_features", "_p", *[f"_p{i}" for i in range(len(cols))])
 
     def importances(self) -> dict[str, float]:
-        return dict(zip(self.features, self.models[0].featureImportances.toArray().tolist()))
-
+        """Shares of the features in the first member: of its splits, or with engine 'spark' of their gain."""
+        first = self.models[0]
+        return dict(zip(self.features, (first.shares(len(self.features)) if self.engine == "tasks" else first.featureImportances.toArray()).tolist()))
 
     def save(self, path: str) -> None:
         """Write the ensembles and their settings under `path`, in any file system that Spark writes to."""
-        for i, m in enumerate(self.models):
-            m.write().overwrite().save(f"{path}/member-{i}")
-        settings = {"features": self.features, "seeds": list(self.seeds), "rounds": self.rounds, "trees": self.trees, "depth": self.depth, "members": len(self.models)}
-        write_json(SparkSession.active(), settings, f"{path}/settings")
+        spark = SparkSession.active()
+        if self.engine == "tasks":
+            spark.createDataFrame([(i, m.to_json()) for i, m in enumerate(self.models)], "member int, model string").write.mode("overwrite").parquet(f"{path}/members")
+        else:
+            for i, m in enumerate(self.models):
+                m.write().overwrite().save(f"{path}/member-{i}")
+        names = ("features", "rounds", "trees", "depth", "step", "row_share", "column_share", "engine")
+        write_json(spark, {k: getattr(self, k) for k in names} | {"seeds": list(self.seeds), "members": len(self.models)}, f"{path}/settings")
 
     @classmethod
     def load(cls, path: str) -> CensoredRegressor:
         from pyspark.ml.regression import GBTRegressionModel
 
-        s = read_json(SparkSession.active(), f"{path}/settings")
-        out = cls(s["features"], tuple(s["seeds"]), s["rounds"], s["trees"], s["depth"])
-        out.models = [GBTRegressionModel.load(f"{path}/member-{i}") for i in range(s["members"])]
+        spark = SparkSession.active()
+        s = read_json(spark, f"{path}/settings")
+        out = cls(s["features"], tuple(s["seeds"]), s["rounds"], s["trees"], s["depth"], s["step"], s["row_share"], s["column_share"], s["engine"])
+        if out.engine == "tasks":
+            out.models = [boosting.Ensemble.of_json(r["model"]) for r in spark.read.parquet(f"{path}/members").orderBy("member").collect()]
+        else:
+            out.models = [GBTRegressionModel.load(f"{path}/member-{i}") for i in range(s["members"])]
         return out
 
 
 class ActivityClassifier:
-    """Boosted trees with isotonic calibration: each of `folds` models is fitted without one fold and calibrated on it; a prediction is their mean."""
+    """Boosted trees for the log-odds with isotonic calibration: each of `folds` models is fitted without one fold and calibrated on it; a prediction is their mean. Folds are fitted in tasks of their own, at the same time."""
 
-    def __init__(self, features: list[str], trees: int = 20, folds: int = 5):
-        self.base, self.trees, self.folds, self.members = CensoredRegressor(features), trees, folds, []
+    def __init__(self, features: list[str], trees: int = 300, folds: int = 5, depth: int = 3, step: float = 0.05, row_share: float = 0.8):
+        self.features, self.trees, self.folds, self.depth, self.step, self.row_share, self.members = features, trees, folds, depth, step, row_share, []
 
     def _rows(self, df: DataFrame, label: str, key: str) -> DataFrame:
-        rows = self.base._assemble(df.where(F.col(label).isNotNull())).withColumn("_y", F.col(label).cast("double"))
-        return rows.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(self.folds)))
+        return df.where(F.col(label).isNotNull()).withColumns({"_y": F.col(label).cast("double"), "_fold": F.pmod(F.xxhash64(key), F.lit(self.folds)).cast("int")})
 
     def fit(self, df: DataFrame, label: str, key: str) -> ActivityClassifier:
-        from pyspark.ml.classification import GBTClassifier
         from pyspark.ml.regression import IsotonicRegression
 
-        rows = self._rows(df, label, key).select("_features", "_y", "_fold").persist()
-        self.members = []
-        for fold in range(self.folds):
-            model = GBTClassifier(featuresCol="_features", labelCol="_y", maxIter=self.trees, maxDepth=3, seed=7).fit(rows.where(F.col("_fold") != fold))
-            held = self._raw(model.transform(rows.where(F.col("_fold") == fold)), "_raw")
-            self.members.append((model, IsotonicRegression(featuresCol="_raw", labelCol="_y", predictionCol="_p").fit(held.select("_raw", "_y"))))
+        settings = {"trees": self.trees, "depth": self.depth, "step": self.step, "rows": self.row_share, "columns": 1.0, "loss": "logistic", "least": 1}
+        rows = self._rows(df, label, key).select(_filled(self.features).alias("_x"), "_y", "_fold").persist()
+        fit = lambda x, y, mark, fold, seed: boosting.boost(x[mark != fold], y[mark != fold], seed, **settings)
+        models = boosting.fit_members(rows.select(F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_fold").alias("mark")), len(self.features), [(f, 7 + f) for f in range(self.folds)], fit)
+        held = rows.withColumn("_raw", self._probability(F.get(boosting.predicted(models, F.col("_x"), len(self.features)), F.col("_fold")))).select("_raw", "_y", "_fold").persist()
+        self.members = [(m, IsotonicRegression(featuresCol="_raw", labelCol="_y", predictionCol="_p").fit(held.where(F.col("_fold") == f).select("_raw", "_y"))) for f, m in enumerate(models)]
+        held.unpersist()
         rows.unpersist()
         return self
 
     @staticmethod
-    def _raw(df: DataFrame, out: str) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
-        return df.withColumn(out, F.get(vector_to_array("probability"), 1)).drop("rawPrediction", "probability", "prediction")
+    def _probability(odds):
+        return 1 / (1 + F.exp(-odds))
 
     def predict(self, df: DataFrame, out: str = "probability_active") -> DataFrame:
-        now, names = self.base._assemble(df), []
-        for i, (model, isotonic) in enumerate(self.members):
-            now = isotonic.copy({isotonic.predictionCol: f"_p{i}"}).transform(self._raw(model.transform(now), "_raw")).drop("_raw")
+        now, names = df.withColumn("_odds", boosting.predicted([m for m, _ in self.members], _filled(self.features), len(self.features))), []
+        for i, (_, isotonic) in enumerate(self.members):
+            now = isotonic.copy({isotonic.predictionCol: f"_p{i}"}).transform(now.withColumn("_raw", self._probability(F.get("_odds", i)))).drop("_raw")
             names.append(f"_p{i}")
-        return now.withColumn(out, sum((F.col(c) for c in names[1:]), F.col(names[0])) / len(names)).drop("_features", *names)
+        return now.withColumn(out, sum((F.col(c) for c in names[1:]), F.col(names[0])) / len(names)).drop("_odds", *names)
 
     def predict_held_out(self, df: DataFrame, label: str, key: str, out: str = "probability_active") -> DataFrame:
         """Each row's probability from the model that was fitted without its fold, before the calibration, which saw that fold."""
-        rows, parts = self._rows(df, label, key), None
-        for fold, (model, _) in enumerate(self.members):
-            part = self._raw(model.transform(rows.where(F.col("_fold") == fold)), out)
-            parts = part if parts is None else parts.unionByName(part)
-        return parts.drop("_features", "_y")
+        odds = boosting.predicted([m for m, _ in self.members], _filled(self.features), len(self.features))
+        return self._rows(df, label, key).withColumn(out, self._probability(F.get(odds, F.col("_fold")))).drop("_y")
 
 
 def classifier_metrics(df: DataFrame, label: str, probability: str) -> DataFrame:
@@ -212,7 +244,9 @@ class Trees:
         self.trees, self.weights = trees, weights
 
     @classmethod
-    def of(cls, model) -> Trees:
+    def of(cls, model) -> Trees | boosting.Ensemble:
+        if isinstance(model, boosting.Ensemble):
+            return model
         out = []
         for tree in model.trees:
             nodes: list[tuple[int, float, int, int, float]] = []

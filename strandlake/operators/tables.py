@@ -138,11 +138,16 @@ def average_ranks(df: DataFrame, column: str, out: str, by: list[str] | None = N
     return df.join(ranks, [*by, column])
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; null where one of the two doesn't vary (`corr` divides by zero there)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     by = by or []
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     ranked = average_ranks(average_ranks(rows, x, "_rx", by), y, "_ry", by)
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("spearman"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("spearman"))
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
@@ -150,7 +155,7 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(x, y, z)
     for c, r in ((x, "_rx"), (y, "_ry"), (z, "_rz")):
         ranked = average_ranks(ranked, c, r)
-    c = ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("xy"), F.corr("_rx", "_rz").alias("xz"), F.corr("_ry", "_rz").alias("yz"))
+    c = ranked.agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("xy"), correlation("_rx", "_rz").alias("xz"), correlation("_ry", "_rz").alias("yz"))
     return c.select("n", ((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.pow("xz", F.lit(2.0))) * (1 - F.pow("yz", F.lit(2.0))))).alias("partial"))
 
 

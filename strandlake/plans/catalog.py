@@ -150,6 +150,31 @@ def face_topology(spark, sf_dir):
     return rounded(seqs(spark, sf_dir).withColumn("h", D.h0(F.col("s"))).select("s", "h.*"), *D.TOPOLOGY)
 
 
+@query(f"""WITH {SEQS}, i AS (SELECT s, list_filter(range(0, length(s)), lambda k: instr('{S.HYDROPHOBIC}', substr(s, CAST(k + 1 AS BIGINT), 1)) > 0) AS i FROM seqs), k AS (SELECT s, unnest(i) AS k FROM i)
+SELECT s, CAST(k AS INTEGER) AS place, {R('2.3 * cos(radians(100.0 * k))', 'x')}, {R('2.3 * sin(radians(100.0 * k))', 'y')}, {R('1.5 * k', 'z')} FROM k""")
+def helix_points(spark, sf_dir):
+    """coordinates of the hydrophobic residues on an ideal helix."""
+    df = seqs(spark, sf_dir).select("s", F.explode(D.hydrophobic_cloud(F.col("s"))).alias("p"))
+    return rounded(df.select("s", "p.place", "p.x", "p.y", "p.z"), "x", "y", "z")
+
+
+#: Clouds of embeddings: 63 of a vector's components, as 21 points of a coarse grid (whole numbers, so that both engines have the same distances).
+_CLOUD = "list_transform(range(0, 21), lambda j: [round(embedding[3 * j + 1] * 8), round(embedding[3 * j + 2] * 8), round(embedding[3 * j + 3] * 8)])"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT vec_id, {_CLOUD} AS p FROM embeddings), e AS MATERIALIZED (SELECT vec_id, i, j, sqrt(pow(p[i][1] - p[j][1], 2) + pow(p[i][2] - p[j][2], 2) + pow(p[i][3] - p[j][3], 2)) AS d FROM c, range(1, 22) a(i), range(1, 22) b(j) WHERE i <> j),
+t(vec_id, k, inside, died) AS (SELECT vec_id, 1, [1], CAST([] AS DOUBLE[]) FROM c UNION ALL SELECT vec_id, k + 1, list_append(inside, j), list_append(died, d) FROM (
+ SELECT t.vec_id, t.k, t.inside, t.died, e.j, e.d FROM t JOIN e ON e.vec_id = t.vec_id AND list_contains(t.inside, e.i) AND NOT list_contains(t.inside, e.j) WHERE t.k < 21 QUALIFY row_number() OVER (PARTITION BY t.vec_id ORDER BY e.d, e.j) = 1))
+SELECT vec_id, CAST(21 AS BIGINT) AS n_points, {R('list_max(died)', 'max_death')}, {R('list_sum(died)', 'total_death')}, {R('list_avg(died)', 'mean_death')} FROM t WHERE k = 21""")
+def cloud_topology(spark, sf_dir):
+    """F16, F17 of any points: deaths of the components of clouds that embeddings give."""
+    x = lambda i: F.round(F.get("embedding", i).cast("double") * 8)
+    cloud = F.array(*[F.struct(x(3 * j).alias("x"), x(3 * j + 1).alias("y"), x(3 * j + 2).alias("z")) for j in range(21)])
+    df = P.table(spark, sf_dir, "embeddings").select("vec_id", D.cloud_deaths(cloud).alias("d"))
+    total = F.aggregate("d", F.lit(0.0), lambda a, v: a + v)
+    return rounded(df.select("vec_id", (F.size("d") + 1).cast("long").alias("n_points"), F.array_max("d").alias("max_death"), total.alias("total_death"), (total / F.size("d")).alias("mean_death")), "max_death", "total_death", "mean_death")
+
+
 _LOGZ = lambda v, boost: f"""(list_reduce(list_transform(w, lambda x: struct_pack(a := x, b := CAST(0 AS DOUBLE), l := CAST(0 AS DOUBLE))), lambda z, x: struct_pack(a := (x.a * {boost} * z.a + {v} * z.b) / (x.a * {boost} * z.a + {v} * z.b + z.a + z.b),
  b := (z.a + z.b) / (x.a * {boost} * z.a + {v} * z.b + z.a + z.b), l := z.l + ln(x.a * {boost} * z.a + {v} * z.b + z.a + z.b)), struct_pack(a := CAST(1 AS DOUBLE), b := CAST(1 AS DOUBLE), l := CAST(0 AS DOUBLE)))).l"""
 _HELICITY = lambda v: f"CASE WHEN n < 4 THEN 0 ELSE least(greatest(({_LOGZ(v, 1.001)} - {_LOGZ(v, 1.0)}) / 0.001 / n, 0), 1) END"
@@ -390,6 +415,14 @@ def all_drop_counters(spark, sf_dir):
     return records.drop_counts(P.record_lines(spark, sf_dir))
 
 
+@query(f"SELECT level, reason, CAST(count(*) AS BIGINT) AS n FROM ({_REASONS}) GROUP BY level, reason")
+def live_drop_counters(spark, sf_dir):
+    """The same counters, observed on the pass that writes the long table."""
+    path = folder(spark, "long")
+    got = records.ingest(P.record_lines(spark, sf_dir), lambda df: df.write.parquet(path))
+    return spark.createDataFrame([(*k, n) for k, n in got.items()], "level string, reason string, n long")
+
+
 _PROPERTIES = f"p AS (SELECT *, {SUM(_CHARGE_TERMS)} + {_ENDS!r} AS net_charge, {MOMENT(LIST(S.EISENBERG), 100, 'length(s)')} AS moment, CAST(length(s) AS DOUBLE) AS length, least(gram_positive, gram_negative) AS best FROM w)"
 
 
@@ -603,17 +636,13 @@ def model_metrics(spark, sf_dir):
 # ---- fitted and sequential operators (rows only; held against brute force or bounds in the tests)
 
 
-#: Of registered queries that fit heads: smaller than usual (3 seeds x 4 rounds x 400 trees, at least 200 values), as README says.
-SMALL = {"seeds": (0, 1), "rounds": 2, "trees": 5}
-
-
 @query()
 def censored_regression(spark, sf_dir):
     """Predictions of log2 concentration with their spread, from all descriptors."""
     from strandlake.operators.models import CensoredRegressor
 
     df = D.with_descriptors(tables.aggregate_activity(long_table(spark, sf_dir)).where("grp = 'gram_negative'"))
-    return CensoredRegressor(D.FEATURES, **SMALL).fit(df, "log2_um", "censor").predict(df).select("s", "log2_um", "censor", "prediction", "spread")
+    return CensoredRegressor(D.FEATURES).fit(df, "log2_um", "censor").predict(df).select("s", "log2_um", "censor", "prediction", "spread")
 
 
 def activity_features(spark, sf_dir) -> DataFrame:
@@ -625,7 +654,7 @@ def fitted_heads(spark, sf_dir, measured: bool = False):
 
     wide = _save(activity_features(spark, sf_dir))
     split = similarity.group_split(similarity.leader_clusters(wide, 0.4, _save), "cluster_id") if measured else None
-    return wide, Predictors.fit(wide, D.FEATURES, split, least=20, **SMALL)
+    return wide, Predictors.fit(wide, D.FEATURES, split, least=20)
 
 
 @query()
@@ -678,7 +707,7 @@ def classified(spark, sf_dir):
     labels = P.table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", "quality")
     d = text_features(P.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(labels, "doc_id")).drop("text")
     d = _save(d)
-    return d, ActivityClassifier(TEXT_FEATURES, trees=5).fit(d, "quality", "doc_id")
+    return d, ActivityClassifier(TEXT_FEATURES).fit(d, "quality", "doc_id")
 
 
 @query()

@@ -327,6 +327,29 @@ def drop_counts(lines: DataFrame) -> DataFrame:
     return rows.groupBy("level", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: What a record or a measurement may be dropped for, in the order of the filters; the last is what is left.
+RECORD_REASONS = ("bad_json", "not_monomer", "unusual_residues", "bad_sequence", "usable")
+MEASUREMENT_REASONS = ("not_mic", "not_bacterial", "not_erythrocyte", "not_human", "unreadable_value", "bad_unit", "kept")
+
+
+def ingest(lines: DataFrame, write: Callable[[DataFrame], None]) -> dict[tuple[str, str], int]:
+    """Parse NDJSON lines and hand the kept measurements to `write`; (level, reason) -> rows, counted on the very pass that writes. Reasons without rows are left out.
+
+    write: runs one job over all of the frame, such as saving it. Rows of tasks that Spark runs again because an executor was lost are counted again.
+    """
+    from pyspark.sql import Observation
+
+    seen = {"record": Observation(), "measurement": Observation()}
+
+    def counted(df: DataFrame, level: str, reasons: tuple[str, ...]) -> DataFrame:
+        reason = F.coalesce("drop_reason", F.lit(reasons[-1]))
+        return df.observe(seen[level], *[F.count_if(reason == r).alias(r) for r in reasons])
+
+    rows = counted(measurements(counted(parse_records(lines), "record", RECORD_REASONS)), "measurement", MEASUREMENT_REASONS)
+    write(rows.where("drop_reason is null").drop("drop_reason"))
+    return {(level, r): n for level, o in seen.items() for r, n in o.get.items() if n}
+
+
 def summarise(records: DataFrame, lines: DataFrame) -> DataFrame:
     """kind, name, n: the 12 most usual units, 20 most usual species, and complexities."""
     v = lines.select(F.try_parse_json("value").alias("v")).where("v is not null")

@@ -4,7 +4,9 @@ import cmath
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.functions import descriptors as D
 from strandlake.functions import scales as S
@@ -106,3 +108,36 @@ def test_published_values():
     assert (S.PKA_BASE["K"], S.PKA_ACID["D"], S.PKA_N_TERMINUS, S.PKA_C_TERMINUS) == (10.54, 3.90, 9.69, 2.34)
     for scale in (S.EISENBERG, S.KYTE_DOOLITTLE, S.BOMAN, S.WW_INTERFACE, S.WW_OCTANOL, S.HELIX_PROPENSITY, S.SHEET_PROPENSITY, S.RESIDUE_MASS, S.HELIX_WEIGHT):
         assert "".join(scale) == S.ALPHABET
+
+
+def test_deaths_of_any_cloud(spark):
+    """Against Kruskal's rule over all pairs."""
+    from strandlake.functions import descriptors as D
+
+    rng = np.random.default_rng(2)
+    clouds = [rng.normal(size=(n, 3)).round(1).tolist() for n in (0, 1, 2, 3, 20, 60)] + [[[1.0, 1, 1]] * 5, None]
+    rows = [(i, None if c is None else [(*map(float, p), "x") for p in c]) for i, c in enumerate(clouds)]
+    rows.append((99, [(0.0, 0.0, 0.0, "x"), (None, 1.0, 1.0, "x"), (float("nan"), 1.0, 1.0, "x"), (3.0, 4.0, 0.0, "x")]))
+    df = spark.createDataFrame(rows, "id int, c array<struct<x: double, y: double, z: double, name: string>>")
+    got = {r["id"]: r["d"] for r in df.select("id", D.cloud_deaths(F.col("c")).alias("d")).collect()}
+    for i, c in enumerate(clouds):
+        if c is None:
+            assert got[i] is None
+            continue
+        root = list(range(len(c)))
+
+        def find(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        want = []
+        for d, a, b in sorted((float(np.linalg.norm(np.subtract(p, q))), a, b) for a, p in enumerate(c) for b, q in enumerate(c) if a < b):
+            if find(a) != find(b):
+                root[find(a)] = find(b)
+                want.append(d)
+        assert np.allclose(got[i], want)
+    assert got[99] == [5.0]
+    s = "AKLLGWKAV" * 2
+    points = spark.createDataFrame([(s,)], "s string").select(D.hydrophobic_cloud(F.col("s")).alias("c"), D.cloud_deaths(D.hydrophobic_cloud(F.col("s"))).alias("d"), D.h0(F.col("s")).alias("h")).first()
+    assert [p["place"] for p in points["c"]] == [i for i, c in enumerate(s) if c in "AILMFVWY"] and max(points["d"]) == pytest.approx(points["h"]["h0_max_death"]) and sum(points["d"]) == pytest.approx(points["h"]["h0_total_death"])

@@ -463,3 +463,85 @@ def test_greedy_rounds_compare_lazily(spark):
             assert got == want[: len(got)] and (len(got) == 20 or weight == 1.0)
         compared = state.agg({"seen": "sum"}).first()[0]
         assert compared <= 19 * len(words) and (weight != 0.6 or compared < 19 * len(words) / 2)
+
+
+def plain_boost(x, y, seed, trees, depth, step, rows, columns, least):
+    """Boosting of the squared loss by trying every cut of every drawn column; draws as operators/boosting.py makes them."""
+    rng = np.random.default_rng(seed)
+    n, p = x.shape
+    now, out = np.full(n, y.mean()), []
+
+    def grow(at, some, level, g):
+        mean = g[at].mean()
+        best = (1e-12, None)
+        if level < depth:
+            for c in some:
+                values = np.unique(x[:, c])
+                for cut in (values[:-1] + values[1:]) / 2:
+                    l, r = at[x[at, c] <= cut], at[x[at, c] > cut]
+                    if len(l) >= least and len(r) >= least:
+                        gain = g[l].sum() ** 2 / len(l) + g[r].sum() ** 2 / len(r) - g[at].sum() ** 2 / len(at)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (c, cut, l, r))
+        if best[1] is None:
+            return lambda row: step * mean
+        c, cut, l, r = best[1]
+        a, b = grow(l, some, level + 1, g), grow(r, some, level + 1, g)
+        return lambda row: a(row) if row[c] <= cut else b(row)
+
+    for _ in range(trees):
+        g = y - now
+        drawn = np.sort(rng.permutation(n)[: max(1, round(rows * n))])
+        some = np.sort(rng.permutation(p)[: max(1, round(columns * p))])
+        tree = grow(drawn, some, 0, g)
+        out.append(tree)
+        now = now + np.array([tree(r) for r in x])
+    return lambda rows: np.array([y.mean() + sum(t(r) for t in out) for r in rows])
+
+
+def test_boosting_against_all_cuts():
+    from strandlake.operators import boosting
+
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.normal(size=120), rng.integers(0, 4, 120), rng.normal(size=120).round(1), np.ones(120)]).astype(float)
+    y = x[:, 0] * 2 + (x[:, 1] > 1) + 0.1 * rng.normal(size=120)
+    for settings in (dict(trees=12, depth=3, step=0.3, rows=1.0, columns=1.0, least=1), dict(trees=20, depth=3, step=0.05, rows=0.8, columns=0.8, least=20)):
+        model = boosting.boost(x, y, 5, **settings)
+        assert np.allclose(model.predict(x), plain_boost(x, y, 5, **settings)(x), atol=1e-9)
+        again = boosting.Ensemble.of_json(model.to_json())
+        assert np.array_equal(again.predict(x), model.predict(x)) and model.shares(4)[3] == 0 and model.shares(4).sum() == pytest.approx(1)
+    odds = boosting.boost(x, (y > 1).astype(float), 5, trees=60, loss="logistic", step=0.2, least=5).predict(x)
+    assert ((odds > 0) == (y > 1)).mean() > 0.95
+    # no rows, no columns, a constant target, more values than bins
+    assert boosting.boost(np.empty((0, 2)), np.empty(0), 0, trees=3).predict(x[:, :2]).tolist() == [0.0] * 120
+    assert np.allclose(boosting.boost(np.empty((5, 0)), np.arange(5.0), 0, trees=3, rows=1.0).predict(np.empty((2, 0))), 2.0)
+    assert np.allclose(boosting.boost(x, np.ones(120), 0, trees=3).predict(x), 1.0)
+    assert len(boosting.cuts(rng.normal(size=5000))) <= boosting.BINS
+
+
+def test_censored_members_in_tasks(spark, tmp_path):
+    from strandlake.operators import boosting
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 2))
+    y = 3 * x[:, 0] + 0.1 * rng.normal(size=300)
+    mark = (y > 2).astype(int)
+    rows = [(float(a), None if i % 50 == 0 else float(b), float(min(t, 2.0)), int(m)) for i, ((a, b), t, m) in enumerate(zip(x, y, mark))]
+    df = spark.createDataFrame(rows, "a double, b double, y double, k int")
+    fit = lambda d, **extra: models.CensoredRegressor(["a", "b"], seeds=(1, 2), rounds=3, trees=60, step=0.1, **extra).fit(d, "y", "k")
+    model = fit(df.repartition(5))
+    got = {r["a"]: r for r in model.predict(df).collect()}
+    p = np.array([got[float(a)]["prediction"] for a in x[:, 0]])
+    assert np.abs(p - y)[mark == 0].mean() < 0.5 and (p[mark == 1] > 1.5).mean() > 0.9 and all(r["spread"] >= 0 for r in got.values())
+    # the same whatever the partitions, and after a round trip
+    other = {r["a"]: r["prediction"] for r in fit(df.coalesce(1)).predict(df).collect()}
+    assert other == {a: r["prediction"] for a, r in got.items()}
+    model.save(str(tmp_path / "m"))
+    back = models.CensoredRegressor.load(str(tmp_path / "m"))
+    assert {r["a"]: r["prediction"] for r in back.predict(df).collect()} == other and back.importances() == model.importances()
+    plain = boosting.imputed(*[np.array(v)[np.lexsort((mark, np.minimum(y, 2.0), np.where(np.arange(300) % 50 == 0, 0.0, x[:, 1]), x[:, 0]))] for v in (np.column_stack([x[:, 0], np.where(np.arange(300) % 50 == 0, 0.0, x[:, 1])]), np.minimum(y, 2.0), mark == 1)], rounds=3, trees=60, step=0.1, seed=1)
+    assert np.allclose(plain.predict(np.array([[0.5, 0.0]])), model.models[0].predict(np.array([[0.5, 0.0]])))
+    with pytest.raises(ValueError, match="spark"):
+        boosting.fit_members(df.selectExpr("array(a) as x", "y", "k as mark"), 1, [(0, 0)], None, most=10)
+    spark_trees = models.CensoredRegressor(["a", "b"], seeds=(1,), rounds=1, trees=5, engine="spark").fit(df, "y", "k").predict(df)
+    assert spark_trees.agg({"prediction": "count"}).first()[0] == 300

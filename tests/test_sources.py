@@ -216,3 +216,12 @@ def test_stream_of_a_growing_index(spark, tmp_path):
         (tmp_path / "total").write_text(total)
         fetch()
         assert seen() == list(range(n))
+
+
+def test_counters_of_the_writing_pass(spark, tmp_path):
+    act = lambda **k: {"activityMeasureGroup": {"name": "MIC"}, "targetSpecies": "Escherichia coli", "concentration": "8", "unit": "uM"} | k
+    rec = lambda **k: json.dumps({"id": 1, "sequence": "KLAKLAKLAK", "complexity": "Monomer", "targetActivities": [act(), act(unit="?"), act(concentration="x"), act(targetSpecies="Candida")]} | k)
+    lines = spark.createDataFrame([(x,) for x in (rec(), rec(complexity="Dimer"), rec(sequence="XX"), "{bad", " ", rec(targetActivities=None))], "value string").repartition(3)
+    got = records.ingest(lines, lambda df: df.write.parquet(str(tmp_path / "kept")))
+    assert got == {tuple(r)[:2]: r["n"] for r in records.drop_counts(lines).collect()}
+    assert got["measurement", "kept"] == spark.read.parquet(str(tmp_path / "kept")).count() == 1 and got["record", "usable"] == 2
