@@ -24,28 +24,38 @@ class Ensemble:
     """A start value and trees (feature, threshold, left, right, value) as arrays; a feature of -1 is a leaf. Values hold the step."""
 
     def __init__(self, start: float, trees: list[tuple[np.ndarray, ...]]):
-        self.start, self.trees = start, trees
+        self.start, nodes = start, max((len(t[0]) for t in trees), default=0)
+        # a row a tree, padded by leaves that nothing leads to
+        pad = lambda c, other: np.array([np.append(t[c], np.full(nodes - len(t[c]), other)) for t in trees], type(other)).reshape(len(trees), nodes)
+        self.wide = pad(0, -1), pad(1, 0.0), pad(2, 0), pad(3, 0), pad(4, 0.0)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.start)
-        for tree in self.trees:
-            out += tree[4][_leaves(x, tree)]
+        """All trees are walked together, some rows at a time."""
+        feature, threshold, left, right, value = self.wide
+        if not len(feature):
+            return np.full(len(x), self.start)
+        tree, out = np.arange(len(feature)), np.empty(len(x))
+        for lo in range(0, len(x), 512):
+            part = x[lo : lo + 512]
+            rows, at = np.arange(len(part))[:, None], np.zeros((len(part), len(tree)), np.int64)
+            while (open_ := (f := feature[tree, at]) >= 0).any():
+                at = np.where(open_, np.where(part[rows, f] <= threshold[tree, at], left[tree, at], right[tree, at]), at)
+            out[lo : lo + 512] = self.start + value[tree, at].sum(axis=1)
         return out
 
     def shares(self, columns: int) -> np.ndarray:
         """Each column's share of the splits."""
-        n = np.zeros(columns)
-        for feature, *_ in self.trees:
-            n += np.bincount(feature[feature >= 0], minlength=columns)
+        feature = self.wide[0]
+        n = np.bincount(feature[feature >= 0], minlength=columns)
         return n / max(n.sum(), 1)
 
     def to_json(self) -> str:
-        return json.dumps({"start": self.start, "trees": [[c.tolist() for c in t] for t in self.trees]})
+        return json.dumps({"start": self.start, "trees": [c.tolist() for c in self.wide]})
 
     @classmethod
     def of_json(cls, text: str) -> Ensemble:
         d = json.loads(text)
-        return cls(d["start"], [tuple(np.array(c, k) for c, k in zip(t, (np.int64, float, np.int64, np.int64, float))) for t in d["trees"]])
+        return cls(d["start"], [tuple(np.array(c) for c in t) for t in zip(*d["trees"])])
 
 
 def _leaves(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
