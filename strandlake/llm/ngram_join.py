@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.components import components, forest
 from strandlake.llm.kernels import U64, Words, give_back, mix, rolling, row_slices
-from strandlake.llm.shared import materialize
+from strandlake.llm.shared import discard, materialize
 
 K = 5
 NUM, DEN = 80, 100
@@ -51,10 +51,16 @@ FREQUENT_DF, SLICE_DF, MAX_FREQUENT = 64, 3, 200_000
 PAIRED = 16
 SEEDS = 4
 BLOCK_SETS, BLOCK_SHINGLES, SEED_SETS = 500, 500_000, 32
+#: Copies of a set of a large group that are shuffled at once, when pairs of its blocks are compared.
+ROUND_COPIES = 4
 PACK_SHINGLES = 1_500_000
 BUCKET_SHINGLES = 2_000_000
 #: Bytes of text whose signatures are made at once; each takes some 200 bytes of arrays.
 SIGNED_BYTES = 1 << 20
+#: Bits that a filter has for each of its ids, and most bits (16 MB). A fuller filter lets more rows pass, and loses none.
+FILTER_BITS, MOST_BITS = 16, 1 << 27
+#: A filter is made where there are this many times as many rows as ids.
+FILTERED_FROM = 1.25
 
 
 def shingle_sets(raws: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -242,11 +248,41 @@ def describe(df: DataFrame, k: int) -> DataFrame:
     return df.mapInArrow(run, f"doc_id {kind}, n long, h1 long, h2 long, often array<struct<x:long,n:long>>")
 
 
-def bucketed(df: DataFrame, frequent: np.ndarray, buckets: int, k: int, num: int, den: int) -> DataFrame:
-    """bucket, blob: packed signatures of one slice of texts. Equal sets of a slice are packed once."""
+def _filter_bits(ids: np.ndarray, size: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % U64(size)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """Flags that _passing tests: every one of the n ids (longs without nulls) passes, and few others do. Bits are joined in tasks; the driver gets one row a byte at most."""
+    size = min(MOST_BITS, max(1 << 10, 1 << (FILTER_BITS * max(n, 1) - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _filter_bits(batch.column(0).to_numpy(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((U64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
+
+    got = ids.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _passing(ids: list, words: np.ndarray) -> np.ndarray:
+    """Which ids may be among the filter's; a null isn't."""
+    there = np.array([i is not None for i in ids], bool)
+    at = _filter_bits(np.array([i or 0 for i in ids], np.int64), len(words) << 6)
+    return there & ((words[at >> 6] >> (at & 63).astype(np.uint64)) & U64(1)).astype(bool)
+
+
+def bucketed(df: DataFrame, frequent: np.ndarray, buckets: int, k: int, num: int, den: int, signed: np.ndarray | None = None) -> DataFrame:
+    """bucket, blob: packed signatures of one slice of texts. Equal sets of a slice are packed once; `signed` is a filter of the ids that are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raws in row_slices(batches, SIGNED_BYTES):
+            if signed is not None:
+                raws = [r for r, ok in zip(raws, _passing(ids, signed).tolist()) if ok]
+                if not raws:
+                    continue
             x, d = shingle_sets(raws, k)
             size = np.bincount(d, minlength=len(raws))
             h1, _ = class_hashes(x, d, len(raws))
@@ -269,7 +305,7 @@ def bucketed(df: DataFrame, frequent: np.ndarray, buckets: int, k: int, num: int
                 i, j = cut[b], cut[b + 1]
                 at = edge[i:j]
                 lo, hi = at[0], at[-1] + counts[j - 1]
-                rows.append(np.array([j - i], np.uint32).tobytes() + h1[who[at]].tobytes() + size[who[at]].astype(np.uint32).tobytes() + scheme[at].astype(np.uint32).tobytes() + counts[i:j].astype(np.uint32).tobytes() + rest[lo:hi].tobytes())
+                rows.append(_pack(h1[who[at]], size[who[at]], scheme[at], counts[i:j], rest[lo:hi]))
                 rows_b.append(int(b))
             yield pa.RecordBatch.from_arrays([pa.array(rows_b, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "blob"])
         give_back()
@@ -277,13 +313,21 @@ def bucketed(df: DataFrame, frequent: np.ndarray, buckets: int, k: int, num: int
     return df.mapInArrow(run, "bucket int, blob binary")
 
 
+def _pack(h: np.ndarray, size: np.ndarray, scheme: np.ndarray, counts: np.ndarray, rest: np.ndarray) -> bytes:
+    """Sizes, schemes and counts are compressed byte by place, as they are small or alike; hashes don't compress."""
+    small = np.concatenate([size, scheme, counts]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    small = pa.compress(small, codec="zstd", asbytes=True)
+    return np.array([len(h), len(small)], np.uint32).tobytes() + small + h.tobytes() + rest.tobytes()
+
+
 def _unpack(blobs: list[bytes]):
     cols: list[list[np.ndarray]] = [[], [], [], []]
     for raw in blobs:
-        n = int(np.frombuffer(raw, np.uint32, 1)[0])
-        h, at = np.frombuffer(raw, np.uint64, n, 4), 4 + 8 * n
-        size, scheme, counts = (np.frombuffer(raw, np.uint32, n, at + 4 * n * i) for i in range(3))
-        for c, v in zip(cols, (np.repeat(h, counts), np.repeat(size, counts), np.repeat(scheme, counts), np.frombuffer(raw, np.uint32, -1, at + 12 * n))):
+        n, taken = (int(v) for v in np.frombuffer(raw, np.uint32, 2))
+        small = pa.decompress(raw[8 : 8 + taken], 12 * n, codec="zstd", asbytes=True)
+        size, scheme, counts = np.ascontiguousarray(np.frombuffer(small, np.uint8).reshape(4, -1).T).view("<u4").reshape(3, n)
+        h = np.frombuffer(raw, np.uint64, n, 8 + taken)
+        for c, v in zip(cols, (np.repeat(h, counts), np.repeat(size, counts), np.repeat(scheme, counts), np.frombuffer(raw, np.uint32, -1, 8 + taken + 8 * n))):
             c.append(v)
     return [np.concatenate(c) for c in cols]
 
@@ -420,26 +464,36 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = seen.where("often is null")
     classes = materialize(sets.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
-    packed = bucketed(docs, frequent, buckets, k, num, den)
+    # of equal sets one document is signed, wherever the others are
+    rows, distinct = sets.count(), classes.count()
+    signed = id_filter(classes.select("rep"), distinct) if distinct * FILTERED_FROM < rows else None
+    packed = bucketed(docs, frequent, buckets, k, num, den, signed)
     pairs = packed.groupBy("bucket").applyInArrow(_then_give_back(lambda t: candidate_pairs(t, num, den)), "scheme long, a long, b long, common long, tied boolean")
     pairs = pairs.groupBy("scheme", "a", "b").agg(F.sum("common").alias("common"), F.max("tied").alias("tied"))
     least = F.element_at(F.array(*[F.lit(b.c) for b in bands(num, den)]), (F.greatest(F.col("scheme"), F.lit(0)) / 128).cast("int") + 1)
     edges = pairs.where(F.col("tied") | (F.col("common") >= least)).select("a", "b")
     groups = materialize(with_roots(components(edges)).withColumnRenamed("node", "h1"), "groups")
     members = materialize(groups.join(classes, "h1").select("root", "h1", "rep", "n"), "members")
+    discard(spark, groups)
 
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("items"))
     sizes = sizes.where("sets > 1").select("root", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("items") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     packs = max(1, -(-total // PACK_SHINGLES), min(buckets, total // 50_000))
     placed = materialize(members.join(sizes, "root").select("root", "h1", "rep", "blocks", F.pmod(F.xxhash64("h1", F.lit(5)), F.col("blocks")).cast("int").alias("block")), "placed")
-    held = materialize(set_table(docs, placed, k), "held")
+    discard(spark, members)
+    wanted = placed.count()
+    texts = possible(docs, id_filter(placed.select("rep"), wanted)) if wanted * FILTERED_FROM < rows else docs
+    held = materialize(set_table(texts, placed, k), "held")
     pack = F.pmod(F.xxhash64("root"), F.lit(packs))
     links = verified(held.where("blocks = 1").select(pack.alias("task"), F.col("root").alias("grp"), "h1", "items"), num, den)
-    if not placed.where("blocks > 1").isEmpty():
+    large = not placed.where("blocks > 1").isEmpty()
+    discard(spark, placed)
+    if large:
         links = links.unionByName(links_of_large_groups(held.where("blocks > 1"), num, den))
     # classes that are linked, and the smallest id of each component
     roots = materialize(with_roots(components(links)).join(classes, F.col("node") == F.col("h1")).select("root", "h1", "rep"), "roots")
+    discard(spark, held)
     least = roots.groupBy("root").agg(F.min("rep").alias("component"))
     linked = classes.join(roots.join(least, "root").select("h1", "component"), "h1", "left")
     labelled = sets.join(linked, ["h1", "h2", "n"], "left")
@@ -452,6 +506,16 @@ def with_roots(found: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
+def possible(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """Rows of docs (doc_id, text) whose id passes a filter, before their texts are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_passing(batch.column(0).to_pylist(), wanted)))
+
+    return docs.mapInArrow(run, "doc_id long, text string")
+
+
 def set_table(docs: DataFrame, placed: DataFrame, k: int) -> DataFrame:
     """placed (with h1 and rep, the class and a document of it) with items, the set's shingles: from the texts of the documents, each class once."""
     names = ["h1", "root", "blocks", "block"]
@@ -508,7 +572,13 @@ def links_of_large_groups(held: DataFrame, num: int, den: int) -> DataFrame:
     rest = held.select("root", "h1", "items").join(open_, ["root", "h1"]).join(parts, "root").withColumn("part", F.pmod(F.xxhash64("h1", F.lit(9)), F.col("parts")).cast("int"))
     rest = rest.select("root", "h1", "items", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     task = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))
-    return links.unionByName(verified(rest.select(task.alias("task"), task.alias("grp"), "h1", "items"), num, den))
+    pairs = rest.select(task.alias("task"), task.alias("grp"), "h1", "items")
+    # a set goes to as many pairs of blocks as its group has parts: in rounds, so that only ROUND_COPIES of it are on disk at once
+    size = parts.agg(F.coalesce(F.sum(F.col("parts") * F.col("parts")), F.lit(0)).alias("copies"), F.coalesce(F.sum("parts"), F.lit(1)).alias("once")).first()
+    rounds = max(1, -(-size["copies"] // (ROUND_COPIES * max(size["once"], 1))))
+    for i in range(rounds):
+        links = links.unionByName(materialize(verified(pairs.where(F.pmod(F.xxhash64("task", F.lit(7)), F.lit(rounds)) == i), num, den), "links"))
+    return links
 
 
 def prefixes(held: DataFrame, num: int, den: int) -> DataFrame:

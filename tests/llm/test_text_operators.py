@@ -170,6 +170,43 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
         assert got == sorted((len(sets[i]), -1 if d is None else least[find(i)], -1 if d is None else d) for i, (d, _) in enumerate(rows))
 
 
+def test_copies_cost_no_disk(spark, tmp_path, monkeypatch):
+    """Copies of other slices aren't signed, texts that nothing meets aren't shuffled, pairs of blocks come in rounds, and shuffle files go with the write that made them."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from strandlake.llm import shared
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(40)]
+    rows = [(i, texts[i % 40]) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    ids = ngram_join.id_filter(df.where("doc_id < 40").select("doc_id"), 40)
+    assert ngram_join._passing(list(range(40)), ids).all() and not ngram_join._passing([None], ids).any()
+    size = lambda *f: ngram_join.bucketed(df, np.zeros(0, np.uint64), 4, 5, 80, 100, *f).agg(F.sum(F.length("blob"))).first()[0]
+    assert size(ids) < size() / 3
+    assert ngram_join.possible(df, ids).count() < 200
+    h, counts = np.arange(2000, dtype=np.uint64), np.ones(2000, np.int64)
+    blob = ngram_join._pack(h, h % 500, h % 7, counts, (h * 3).astype(np.uint32))
+    back = ngram_join._unpack([blob, blob])
+    assert len(blob) < 16 * 2000 and all(np.array_equal(b, np.tile(w, 2)) for b, w in zip(back, (h, h % 500, h % 7, h * 3)))
+    kept = []
+    real = ngram_join.bucketed
+    monkeypatch.setattr(ngram_join, "bucketed", lambda *a: kept.append(a[-1]) or real(*a))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df).collect()}
+    assert got == {i: i % 40 for i in range(800)} and kept[0] is not None
+
+    import glob
+    import os
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    roots = [d.getPath() for d in env.blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in roots for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before = files()
+    shared.materialize(df.groupBy("text").agg(F.max("doc_id")), "test")
+    assert files() <= before and spark.conf.get(shared._CLEAN, None) is None
+
+
 def test_signatures_lose_no_pair():
     """Pairs at and around the threshold share at least the guaranteed number of signatures in one scheme."""
     import numpy as np
