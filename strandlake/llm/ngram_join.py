@@ -57,6 +57,8 @@ PACK_SHINGLES = 1_500_000
 BUCKET_SHINGLES = 2_000_000
 #: Bytes of text whose signatures are made at once; each takes some 200 bytes of arrays.
 SIGNED_BYTES = 1 << 20
+#: Passes over the texts, each with the signatures of its share of the bands: only these are on disk at once. A pair is met in one band, so in one pass.
+PASSES = 2
 #: Bits that a filter has for each of its ids, and most bits (16 MB). A fuller filter lets more rows pass, and loses none.
 FILTER_BITS, MOST_BITS = 16, 1 << 27
 #: A filter is made where there are this many times as many rows as ids.
@@ -147,10 +149,10 @@ def _his(num: int, den: int) -> np.ndarray:
     return np.array([b.hi for b in bands(num, den)], np.float64)
 
 
-def signatures(x: np.ndarray, d: np.ndarray, size: np.ndarray, frequent: np.ndarray, num: int = NUM, den: int = DEN):
+def signatures(x: np.ndarray, d: np.ndarray, size: np.ndarray, frequent: np.ndarray, num: int = NUM, den: int = DEN, passes: int = 1, now: int = 0):
     """(text, scheme, signature) arrays. scheme = (band * 2 + full) * 64 + seed.
 
-    size: the full sets' sizes. frequent: sorted hashes that are left out while a set has enough others.
+    size: the full sets' sizes. frequent: sorted hashes that are left out while a set has enough others. Of several passes, each has the bands of its remainder.
     """
     n = len(size)
     if len(frequent):
@@ -162,7 +164,8 @@ def signatures(x: np.ndarray, d: np.ndarray, size: np.ndarray, frequent: np.ndar
     todo: dict[int, list[int]] = {}
     for i in np.flatnonzero(size > 0):
         for b in schemes_of(int(size[i]), num, den):
-            todo.setdefault(b, []).append(int(i))
+            if b % passes == now:
+                todo.setdefault(b, []).append(int(i))
     out_d, out_s, out_g = [], [], []
     for b, members in todo.items():
         band = bands(num, den)[b]
@@ -274,8 +277,8 @@ def _passing(ids: list, words: np.ndarray) -> np.ndarray:
     return there & ((words[at >> 6] >> (at & 63).astype(np.uint64)) & U64(1)).astype(bool)
 
 
-def bucketed(df: DataFrame, frequent: np.ndarray, buckets: int, k: int, num: int, den: int, signed: np.ndarray | None = None) -> DataFrame:
-    """bucket, blob: packed signatures of one slice of texts. Equal sets of a slice are packed once; `signed` is a filter of the ids that are needed."""
+def bucketed(df: DataFrame, frequent: np.ndarray, buckets: int, k: int, num: int, den: int, signed: np.ndarray | None = None, passes: int = 1, now: int = 0) -> DataFrame:
+    """bucket, blob: packed signatures of one slice of texts, in the bands of one pass. Equal sets of a slice are packed once; `signed` is a filter of the ids that are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raws in row_slices(batches, SIGNED_BYTES):
@@ -290,7 +293,7 @@ def bucketed(df: DataFrame, frequent: np.ndarray, buckets: int, k: int, num: int
             fresh[np.unique(h1, return_index=True)[1]] = True
             keep = fresh[d]
             size = np.where(fresh, size, 0)
-            who, scheme, sig = signatures(x[keep], d[keep], size, frequent, num, den)
+            who, scheme, sig = signatures(x[keep], d[keep], size, frequent, num, den, passes, now)
             bucket = (sig % U64(buckets)).astype(np.int64)
             order = np.lexsort((scheme, who, bucket))
             who, scheme, bucket, rest = who[order], scheme[order], bucket[order], (sig[order] >> U64(32)).astype(np.uint32)
@@ -467,11 +470,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # of equal sets one document is signed, wherever the others are
     rows, distinct = sets.count(), classes.count()
     signed = id_filter(classes.select("rep"), distinct) if distinct * FILTERED_FROM < rows else None
-    packed = bucketed(docs, frequent, buckets, k, num, den, signed)
-    pairs = packed.groupBy("bucket").applyInArrow(_then_give_back(lambda t: candidate_pairs(t, num, den)), "scheme long, a long, b long, common long, tied boolean")
-    pairs = pairs.groupBy("scheme", "a", "b").agg(F.sum("common").alias("common"), F.max("tied").alias("tied"))
     least = F.element_at(F.array(*[F.lit(b.c) for b in bands(num, den)]), (F.greatest(F.col("scheme"), F.lit(0)) / 128).cast("int") + 1)
-    edges = pairs.where(F.col("tied") | (F.col("common") >= least)).select("a", "b")
+    edges = None
+    for now in range(PASSES):
+        packed = bucketed(docs, frequent, buckets, k, num, den, signed, PASSES, now)
+        pairs = packed.groupBy("bucket").applyInArrow(_then_give_back(lambda t: candidate_pairs(t, num, den)), "scheme long, a long, b long, common long, tied boolean")
+        pairs = pairs.groupBy("scheme", "a", "b").agg(F.sum("common").alias("common"), F.max("tied").alias("tied"))
+        found = materialize(pairs.where(F.col("tied") | (F.col("common") >= least)).select("a", "b"), "pairs")
+        edges = found if edges is None else edges.unionByName(found)
     groups = materialize(with_roots(components(edges)).withColumnRenamed("node", "h1"), "groups")
     members = materialize(groups.join(classes, "h1").select("root", "h1", "rep", "n"), "members")
     discard(spark, groups)
