@@ -545,3 +545,25 @@ def test_censored_members_in_tasks(spark, tmp_path):
         boosting.fit_members(df.selectExpr("array(a) as x", "y", "k as mark"), 1, [(0, 0)], None, most=10)
     spark_trees = models.CensoredRegressor(["a", "b"], seeds=(1,), rounds=1, trees=5, engine="spark").fit(df, "y", "k").predict(df)
     assert spark_trees.agg({"prediction": "count"}).first()[0] == 300
+
+
+def test_boosting_takes_large_tables(spark, monkeypatch):
+    """More rows than 200,000 are fitted, members in tasks of their own; regressors go to pyspark.ml beyond what a task takes; histograms of differences are exact."""
+    import numpy as np
+
+    from strandlake.operators import boosting, models
+
+    df = spark.range(200_001).selectExpr("id", "double(id % 97) as a", "double(id % 2) as y", "0 as k")
+    model = models.ActivityClassifier(["a"], trees=2, folds=3).fit(df, "y", "id")
+    assert len(model.members) == 3 and model.predict(df).count() == 200_001
+    seen = []
+    rows = df.limit(300).selectExpr("array(a) as x", "y", "k as mark")
+    fit = lambda x, y, mark, number, seed: boosting.Ensemble(100.0 * number + seed + len(x) / 1000, [])
+    assert [m.start for m in boosting.fit_members(rows, 1, [(5, 1), (2, 7), (9, 3)], fit)] == [501.3, 207.3, 903.3]
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=1000)
+    whole, unit = boosting._whole(v, 2.0**30)
+    assert np.allclose(whole * unit, v, atol=1e-8) and np.cumsum(whole)[-1] == whole[::-1].sum()
+    monkeypatch.setattr(boosting, "MOST_CELLS", 100)
+    big = models.CensoredRegressor(["a"], seeds=(1,), rounds=1, trees=2).fit(df.limit(300), "y", "k")
+    assert big.engine == "spark" and big.predict(df.limit(10)).count() == 10
