@@ -567,3 +567,22 @@ def test_boosting_takes_large_tables(spark, monkeypatch):
     monkeypatch.setattr(boosting, "MOST_CELLS", 100)
     big = models.CensoredRegressor(["a"], seeds=(1,), rounds=1, trees=2).fit(df.limit(300), "y", "k")
     assert big.engine == "spark" and big.predict(df.limit(10)).count() == 10
+
+
+def test_objective_of_long_runs(spark):
+    """The quotient of the SQL where the window of the hydrophobic run vanishes in doubles."""
+    import math
+
+    from strandlake.plans import catalog
+
+    got = {r["s"]: r["chebyshev_compat"] for r in catalog.scored(spark.createDataFrame([("K" + "L" * 17 + "K",), ("K" + "L" * 18 + "K",)], "s string")).select("s", "chebyshev_compat").collect()}
+    assert [math.isnan(got["K" + "L" * n + "K"]) for n in (17, 18)] == [False, True]
+
+
+def test_log2_at_thresholds(spark):
+    """Values that are twice others stand one apart; what has no logarithm is null."""
+    from strandlake.operators import tables
+
+    v = [50.0, 100.0, 200.0, 0.1, 0.2, 0.0, -1.0, None]
+    got = [r["y"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, x double").withColumn("y", tables.log2(F.col("x"))).orderBy("i").collect()]
+    assert got[1] - got[0] == 1.0 and got[2] - got[1] == 1.0 and got[4] - got[3] == 1.0 and got[5:] == [None] * 3
