@@ -586,3 +586,18 @@ def test_log2_at_thresholds(spark):
     v = [50.0, 100.0, 200.0, 0.1, 0.2, 0.0, -1.0, None]
     got = [r["y"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, x double").withColumn("y", tables.log2(F.col("x"))).orderBy("i").collect()]
     assert got[1] - got[0] == 1.0 and got[2] - got[1] == 1.0 and got[4] - got[3] == 1.0 and got[5:] == [None] * 3
+
+
+def test_heads_without_a_gate(spark, monkeypatch):
+    """Predictions, importances and metrics of heads read no gate, so their queries fit none."""
+    from strandlake.operators import models
+    from strandlake.plans import catalog
+
+    monkeypatch.setattr(models.DistributionGate, "fit", lambda *_: pytest.fail("fitted a gate that nothing reads"))
+    wide = spark.createDataFrame([(f"s{i}", float(i % 7), 0, float(i)) for i in range(60)], "s string, gram_negative double, gram_negative_censor int, x double")
+    wide = wide.withColumns({c: F.lit(None).cast(t) for g in ("gram_positive", "hc50", "resistant") for c, t in ((g, "double"), (f"{g}_censor", "int"))})
+    monkeypatch.setattr(catalog, "activity_features", lambda *_: wide)
+    monkeypatch.setattr(catalog.D, "FEATURES", ["x"])
+    monkeypatch.setattr(models.CensoredRegressor, "fit", lambda self, *_: self)
+    _, heads = catalog.fitted_heads(spark, "")
+    assert set(heads.heads) == {"gram_negative"} and heads.gate is None

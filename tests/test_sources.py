@@ -225,3 +225,36 @@ def test_counters_of_the_writing_pass(spark, tmp_path):
     got = records.ingest(lines, lambda df: df.write.parquet(str(tmp_path / "kept")))
     assert got == {tuple(r)[:2]: r["n"] for r in records.drop_counts(lines).collect()}
     assert got["measurement", "kept"] == spark.read.parquet(str(tmp_path / "kept")).count() == 1 and got["record", "usable"] == 2
+
+
+def test_records_are_read_by_compiled_methods(spark, capsys):
+    """The JVM doesn't compile methods over 8,000 bytes; records of millions of lines took twice as long by one of 15,339."""
+    import re
+
+    from strandlake.plans import projection
+
+    e = spark.createDataFrame([(i, i % 9, float(i)) for i in range(40)], "event_id long, user_id long, value double")
+    was, projection.table = projection.table, lambda *_: e
+    try:
+        lines = projection.record_lines(spark, "")
+    finally:
+        projection.table = was
+    # rows of an RDD: a local table's lines would be made while the plan is
+    kept = spark.createDataFrame(lines.rdd, "value string")
+    for df in (lines.select("value"), records.measurements(records.parse_records(kept))):
+        capsys.readouterr()
+        df.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) < 8000
+
+
+def test_names_of_enum_fields(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.functions import cleaning as C
+
+    texts = ['{"k":{"name":"a"}}', '{"k":"b"}', '{"k":{"id":1}}', '{"k":{"name":null}}', '{"k":null}', "{}", '{"k":"{c"}', '{"k":["d"]}', '{"k":1.50}', '{"k":{}}', "{bad"]
+    want = ["a", "b", "", "", "", "", "{c", '["d"]', "1.5", "", ""]
+    v = spark.createDataFrame(list(enumerate(texts)), "i int, value string").select("i", F.try_parse_json("value").alias("v"))
+    got = v.select("i", C.name_of(F.col("v"), "$.k").alias("at"), C.name_of(F.try_variant_get("v", "$.k", "variant")).alias("own")).orderBy("i").collect()
+    assert [r["at"] for r in got] == want == [r["own"] for r in got]
