@@ -601,3 +601,13 @@ def test_heads_without_a_gate(spark, monkeypatch):
     monkeypatch.setattr(models.CensoredRegressor, "fit", lambda self, *_: self)
     _, heads = catalog.fitted_heads(spark, "")
     assert set(heads.heads) == {"gram_negative"} and heads.gate is None
+
+
+def test_measured_heads_are_alike_without_a_gate(spark):
+    from strandlake.operators import models
+
+    wide = spark.createDataFrame([(f"s{i}", float(i % 7), 0, float(i * i % 11)) for i in range(60)], "s string, gram_negative double, gram_negative_censor int, x double")
+    wide = wide.withColumns({c: F.lit(None).cast(t) for g in ("gram_positive", "hc50", "resistant") for c, t in ((g, "double"), (f"{g}_censor", "int"))}).persist()
+    split = wide.select("s", (F.col("x") < 4).alias("test"))
+    a, b = (models.Predictors.fit(wide, ["x"], split, least=20, gated=g, seeds=(0,), rounds=1, trees=2) for g in (True, False))
+    assert a.metrics.keys() == b.metrics.keys() == {"gram_negative"} and b.metrics["gram_negative"] == pytest.approx(a.metrics["gram_negative"]) and b.widths == a.widths and a.gate is not None and b.gate is None
