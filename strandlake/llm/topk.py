@@ -4,7 +4,8 @@ Candidates are dealt into shards by a hash of the id, each candidate once. A tas
 over them, and then streams all queries past it in blocks of BLOCK_ROWS, each with a cover tree of its own: rows reach the task
 sorted, candidates first, so it holds one shard and one block. Pairs of nodes are walked best bound first: <a, b> <= <cq, cr> + |cq| rr +
 |cr| rq + rq rr, where c are centres and r covering radii. A pair is pruned only when its bound is below the worst kth
-score of the query node, so ties survive. `walked` tells how many pairs were visited and pruned: few are pruned where vectors have no clusters (as directions drawn at random in 64 dimensions). At leaves, scores are integer products. The k best of each shard are merged per query by a
+score of the query node, so ties survive. `walked` tells how many pairs were visited and pruned: few are pruned where vectors have no clusters (as directions drawn at random in 64 dimensions).
+There, going down to the leaves only costs time: while bounds prune less than one pair in PRUNES, a pair of nodes with at most BASE scores is scored as one. At leaves, and there, scores are integer products. The k best of each shard are merged per query by a
 window over k rows a shard.
 
 Equal vectors are one point of the tree that holds its k + 1 smallest ids: no other of them can be in a
@@ -37,6 +38,8 @@ BLOCK_ROWS = 2_048
 LEAF, FANOUT = 64, 16
 #: Scores of a leaf pair that are held at once.
 TILE = 1 << 22
+#: A walk that has visited TRIED pairs and pruned less than one in PRUNES of them scores pairs of nodes of at most BASE scores as they are.
+TRIED, PRUNES, BASE = 64, 8, 1 << 16
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 
@@ -115,16 +118,17 @@ def dual_tree_top_k(queries: np.ndarray, points: np.ndarray, k: int, tree: Node
             pruned += 1
             continue
         visited += 1
-        if q.children is None and p.children is None:
-            scores += len(q.rows) * len(p.rows)
-            step = max(1, TILE // len(q.rows))
-            for at in range(0, len(p.rows), step):
-                own = p.rows[at : at + step]
-                s = (queries[q.rows] @ points[own].T) * n + (n - 1 - own)
-                both = np.concatenate([best[q.rows], s], axis=1)
+        qr, pr = rows_of(q), rows_of(p)
+        if q.children is None and p.children is None or visited > TRIED and pruned * PRUNES < visited and len(qr) * len(pr) <= BASE:
+            scores += len(qr) * len(pr)
+            step = max(1, TILE // len(qr))
+            for at in range(0, len(pr), step):
+                own = pr[at : at + step]
+                s = (queries[qr] @ points[own].T) * n + (n - 1 - own)
+                both = np.concatenate([best[qr], s], axis=1)
                 both = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
                 # the smallest of the k stands first: it is what prunes
-                best[q.rows] = np.sort(both, axis=1)
+                best[qr] = np.sort(both, axis=1)
             continue
         split_q = q.children is not None and (p.children is None or q.radius >= p.radius)
         for a, c in [(a, p) for a in q.children] if split_q else [(q, c) for c in p.children]:

@@ -96,6 +96,18 @@ def test_walk_visits_pairs_of_nodes_and_prunes(spark):
     assert topk.walked(df.limit(0)).count() == 0
 
 
+def test_walk_without_clusters_stays_above_the_leaves():
+    """Bounds prune nothing here: pairs of leaves were 10,769 visits for 300 x 5,000 scores."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5300, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+    counts = {}
+    got = topk.dual_tree_top_k(x[:300], x[300:], 6, counts=counts)
+    score = x[:300] @ x[300:].T
+    assert got == [[(float(row[j]), int(j)) for j in np.lexsort((np.arange(5000), -row))[:6]] for row in score]
+    assert counts["visited"] < 1000 and counts["scores"] <= 300 * 5000
+
+
 def test_warc_round_trip_and_pushdown(spark, tmp_path):
     rows = [(1, "u1", "<p>a</p>"), (2, "u2\r\nX: y", "<p>a</p>"), (3, None, None), (4, "u4", ""), (5, "u5", "é" * 200_000), (5, "u5", "other"), (6, "u6", "<p>a</p>")]
     df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, record_type string")
