@@ -258,3 +258,53 @@ def test_names_of_enum_fields(spark):
     v = spark.createDataFrame(list(enumerate(texts)), "i int, value string").select("i", F.try_parse_json("value").alias("v"))
     got = v.select("i", C.name_of(F.col("v"), "$.k").alias("at"), C.name_of(F.try_variant_get("v", "$.k", "variant")).alias("own")).orderBy("i").collect()
     assert [r["at"] for r in got] == want == [r["own"] for r in got]
+
+
+def test_kept_measurements_run_in_methods_that_the_jvm_compiles(spark, capsys):
+    """The filter on drop_reason, with all that it reads inlined, made a method of 12,736 bytes."""
+    import re
+
+    kept = spark.createDataFrame(spark.sparkContext.parallelize([('{"id":1}',)]), "value string")
+    capsys.readouterr()
+    # what aggregate_activity reads, before its shuffle
+    records.measurements(records.parse_records(kept)).where("drop_reason is null").selectExpr("s", "explode(CASE WHEN resistant THEN array(grp, 'resistant') ELSE array(grp) END) AS grp", "value_um", "censor", "amidated").explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_events_of_one_file_are_dealt_to_all_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strandlake.plans import projection as P
+
+    spark.range(200_000).select(F.col("id").alias("event_id"), (F.col("id") % 9).alias("user_id"), F.col("id").cast("double").alias("value")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    parts = P.record_lines(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in parts) == 200_000 and len(parts) > 1 and max(r["count"] for r in parts) < 150_000
+
+
+def test_fields_of_odd_records(spark):
+    """Fields read as a whole are those that paths give one by one, for enum fields of any kind, in records and in measurements."""
+    from pyspark.sql import functions as F
+
+    from strandlake.functions import cleaning as C
+
+    odd = ['{"name":"a"}', '"b"', '{"id":1}', '{"name":null}', "null", '"{c"', '["d"]', "1.50", "{}", '{"name":{"x":1}}', '{"name":"e","id":2}', "true"]
+    base = '{"id":%s,"sequence":"KLAKLAKLAK","complexity":"Monomer","unusualAminoAcids":%s,"cTerminus":%s,"targetActivities":[%s],"hemoliticCytotoxicActivities":%s}'
+    act = '{"activityMeasureGroup":%s,"activityMeasureValue":"MIC","targetSpecies":%s,"concentration":%s,"unit":%s}'
+    lines = [base % (i, "[]", x, act % (x, x, x, x), "null") for i, x in enumerate(odd)]
+    lines += [base % ('"7"', "{}", '"AMD"', "5,null,[1]," + act % ('"MIC"', '"Escherichia coli"', 100, '"uM"'), '[{"targetCell":{"name":"Human erythrocytes"},"concentration":"5","unit":"nM"},"x"]'), base % ("1.5", '["x"]', "null", "", "3"), base % ('"x"', "null", '""', "", "[]"), "[1]", "null", "7", "{bad", '{"id":1,"id":2}', '{"targetActivities":{"a":1}}']
+    lines += ['{"complexity":%s,"nTerminus":%s}' % (x, x) for x in odd]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    name = lambda k, v="v": C.name_of(F.col(v), f"$.{k}")
+    rec = records.parse_records(df)
+    get = lambda k, t, v="v": F.try_variant_get(v, f"$.{k}", t)
+    paths = rec.select(get("id", "long").alias("id"), C.clean_sequence(get("sequence", "string")).alias("s"), F.lower(name("complexity")).alias("complexity"), F.coalesce(F.size(get("unusualAminoAcids", "array<variant>")), F.lit(0)).alias("unusual"), C.is_modified(name("nTerminus"), name("cTerminus")).alias("modified"))
+    assert rec.select(*paths.columns).collect() == paths.collect()
+    ok = rec.where("drop_reason is null")
+    own = [ok.select("id", "s", "modified", F.lit(e).alias("endpoint"), F.explode(get(k, "array<variant>")).alias("a")) for k, e in (("targetActivities", "mic"), ("hemoliticCytotoxicActivities", "hc50"))]
+    group = name("activityMeasureGroup", "a")
+    rows = own[0].unionByName(own[1]).select("id", "s", "modified", "endpoint", F.when(group != "", group).otherwise(F.coalesce(get("activityMeasureValue", "string", "a"), F.lit(""))).alias("measure"),
+        F.when(F.col("endpoint") == "mic", name("targetSpecies", "a")).otherwise(name("targetCell", "a")).alias("species"), C.concentration(get("concentration", "string", "a")).alias("c"), name("unit", "a").alias("unit"))
+    want = records.classify(rows.select("id", "s", "modified", "endpoint", "measure", "species", F.col("c.value").alias("value"), F.col("c.censor").alias("code"), "unit"))
+    got = records.measurements(rec)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == len(odd) + 6
