@@ -13,6 +13,9 @@ Shingles that are very frequent say little and would make hot lists. They are le
 (differences without them can only be fewer, so the argument holds for any left-out set); sets that consist mostly of
 them are indexed in full, in a scheme of their own, which every pair of such sets shares.
 
+Only sets that may have a partner are signed. The pass that describes the texts keeps each set's smallest elements: a fifth (at 0.8), so that linked sets share
+one of them, and a few more, so that they share several. Sets that share fewer of them with other sets link with nothing.
+
 Equal sets are one class from the start. Signatures are packed and met in buckets, where classes of a
 short list are paired and counted, and the classes of a long list are tied by a star, without pairs. Pairs
 with at least c common signatures form candidate groups, in which sets are compared exactly inside a task; only a forest of
@@ -58,7 +61,12 @@ BUCKET_SHINGLES = 2_000_000
 #: Bytes of text whose signatures are made at once; each takes some 200 bytes of arrays.
 SIGNED_BYTES = 1 << 20
 #: Passes over the texts, each with the signatures of its share of the bands: only these are on disk at once. A pair is met in one band, so in one pass.
+#: Where the sets that are signed have at most one PASSES-th of all shingles, one pass has no more on disk.
 PASSES = 2
+#: A set's prefix is longer by one and this share of its size than what makes linked sets share one element.
+PREFIX_SHARE = 20
+#: Smallest elements of sets that meet in a bucket.
+PREFIX_ELEMENTS = 1_500_000
 #: Bits that a filter has for each of its ids, and most bits (16 MB). A fuller filter lets more rows pass, and loses none.
 FILTER_BITS, MOST_BITS = 16, 1 << 27
 #: A filter is made where there are this many times as many rows as ids.
@@ -73,14 +81,14 @@ def shingle_sets(raws: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]
     runs = rolling(h, k)
     doc = w.doc[: len(runs)]
     ok = doc == w.doc[k - 1 :] if len(runs) else np.zeros(0, bool)
-    x, d = [runs[ok]], [doc[ok]]
-    for i in np.flatnonzero((n > 0) & (n < k)):
-        own = h[w.first[i] : w.first[i + 1]]
-        x.append(rolling(own, len(own), 1 + len(own)))
-        d.append(np.array([i]))
-    x, d = np.concatenate(x), np.concatenate(d)
-    order = np.lexsort((x, d))
-    x, d = x[order], d[order]
+    x, d = runs[ok], doc[ok]
+    cut = np.searchsorted(d, np.arange(len(raws) + 1))
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        x[lo:hi].sort()
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):
+        whole = [rolling(h[w.first[i] : w.first[i + 1]], int(n[i]), 1 + int(n[i]))[0] for i in short]
+        x, d = np.insert(x, cut[short], np.array(whole, np.uint64)), np.insert(d, cut[short], short)
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != x[:-1]) | (d[1:] != d[:-1])
     return x[keep], d[keep]
@@ -186,7 +194,7 @@ def signatures(x: np.ndarray, d: np.ndarray, size: np.ndarray, frequent: np.ndar
                 e = mix(v ^ salt)
                 seg = ((e >> U64(32)) * U64(band.m)) >> U64(32)
                 key = own.astype(np.uint64) * U64(band.m) + seg
-                order = np.argsort(key, kind="stable")
+                order = np.argsort(key)
                 key, e = key[order], mix(e[order] + U64(1))
                 starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
                 counts = np.diff(np.append(starts, len(key)))
@@ -225,8 +233,27 @@ def needed(scheme: int, num: int = NUM, den: int = DEN) -> int:
 # ---- stages
 
 
-def describe(df: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, h1, h2 of each text, and rows of null doc_id whose `often` holds shingles frequent within a slice."""
+def extra(size):
+    """How many elements a set of this size has in its prefix beyond those that make linked sets share one."""
+    return size // PREFIX_SHARE
+
+
+def prefix_lengths(size, num: int, den: int):
+    """Smallest elements of a set that meet others'."""
+    return np.where(size > 0, size + 1 - -(-num * size // den) + extra(size), 0)
+
+
+def shared_least(size, num: int, den: int):
+    """Elements of its prefix that a set shares with the prefix of any set that it links with.
+
+    Both have at least num/den of their elements in common, so the j-th smallest common element is among the first size - ceil(num/den size) + j of either; j is
+    what both prefixes allow, and the partner has at least num/den of the set's size.
+    """
+    return 1 + extra(-(-num * size // den))
+
+
+def describe(df: DataFrame, k: int, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n, h1, h2 of each text, and rows of null doc_id whose `often` holds shingles frequent within a slice and whose `least` holds its sets' prefixes."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,15 +267,121 @@ def describe(df: DataFrame, k: int) -> DataFrame:
             seen, times = np.unique(x[fresh[d]], return_counts=True)
             hot = times >= SLICE_DF
             often = [[(int(s), int(t)) for s, t in zip(seen[hot].view(np.int64), times[hot])]]
+            own = np.where(fresh, n, 0)
+            first = np.concatenate(([0], np.cumsum(n)))[d]
+            taken = np.arange(len(x)) - first < prefix_lengths(own, num, den)[d]
+            least = _pack_prefixes(a[own > 0], own[own > 0], prefix_lengths(own, num, den)[own > 0], x[taken])
             pad = lambda v, t: pa.concat_arrays([pa.array(v, t), pa.nulls(1, t)])
             id_type = pa.array(ids).type if any(i is not None for i in ids) else pa.int64()
             yield pa.RecordBatch.from_arrays(
                 [pad(ids, id_type), pad(n, pa.int64()), pad(a.view(np.int64), pa.int64()), pad(b.view(np.int64), pa.int64()),
-                 pa.array([None] * len(raws) + often, pa.list_(pa.struct([("x", pa.int64()), ("n", pa.int64())])))],
-                ["doc_id", "n", "h1", "h2", "often"],
+                 pa.array([None] * len(raws) + often, pa.list_(pa.struct([("x", pa.int64()), ("n", pa.int64())]))),
+                 pa.array([None] * len(raws) + [least], pa.binary())],
+                ["doc_id", "n", "h1", "h2", "often", "least"],
             )
 
-    return df.mapInArrow(run, f"doc_id {kind}, n long, h1 long, h2 long, often array<struct<x:long,n:long>>")
+    return df.mapInArrow(run, f"doc_id {kind}, n long, h1 long, h2 long, often array<struct<x:long,n:long>>, least binary")
+
+
+#: Bits of an element that prefixes keep: 32 to compare within a bucket, 16 to deal to buckets. Other elements with the same bits let sets pass, and lose none.
+_PREFIX_BITS = U64((1 << 48) - 1)
+
+
+def _pack_prefixes(h: np.ndarray, size: np.ndarray, counts: np.ndarray, x: np.ndarray) -> bytes:
+    parts = np.array([len(h)], np.uint64), h, size.astype(np.uint32), counts.astype(np.uint32), x.astype(np.uint32), (x >> U64(32)).astype(np.uint16)
+    return b"".join(p.tobytes() for p in parts)
+
+
+def _unpack_prefixes(raw: bytes):
+    n = int(np.frombuffer(raw, np.uint64, 1)[0])
+    h, (size, counts) = np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, np.uint32, 2 * n, 8 + 8 * n).reshape(2, n)
+    m = int(counts.sum())
+    low, high = np.frombuffer(raw, np.uint32, m, 8 + 16 * n), np.frombuffer(raw, np.uint16, m, 8 + 16 * n + 4 * m)
+    return h, size, counts, low, high
+
+
+def dealt_prefixes(packed: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """bucket, blob: a slice's prefixes by bucket of the elements. Frequent ones aren't compared: they count as shared (scheme 1), and are dealt by set."""
+    often = np.unique(frequent & _PREFIX_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                h, size, counts, low, high = _unpack_prefixes(raw)
+                if not len(h):
+                    continue
+                who = np.repeat(np.arange(len(h)), counts)
+                scheme = np.zeros(len(low), np.int64)
+                if len(often):
+                    x = low | (high.astype(np.uint64) << U64(32))
+                    scheme = (often[np.minimum(np.searchsorted(often, x), len(often) - 1)] == x).astype(np.int64)
+                bucket = np.where(scheme == 1, (h[who] % U64(buckets)).astype(np.int64), high.astype(np.int64) % buckets)
+                yield pa.RecordBatch.from_arrays(_blobs(bucket, who, scheme, h, size, low), ["bucket", "blob"])
+
+    return packed.mapInArrow(run, "bucket int, blob binary")
+
+
+def _blobs(bucket: np.ndarray, who: np.ndarray, scheme: np.ndarray, h: np.ndarray, size: np.ndarray, rest: np.ndarray) -> list[pa.Array]:
+    """Packed entries of each bucket: who and scheme go with a run of entries, h and size with who."""
+    order = np.argsort((bucket * len(h) + who) * (int(scheme.max(initial=0)) + 1) + scheme)
+    who, scheme, bucket, rest = who[order], scheme[order], bucket[order], rest[order]
+    edge = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (scheme[1:] != scheme[:-1]) | (bucket[1:] != bucket[:-1]))))[: len(who)]
+    counts = np.diff(np.append(edge, len(who)))
+    eb = bucket[edge]
+    starts = np.flatnonzero(np.concatenate(([True], eb[1:] != eb[:-1])))[: len(eb)]
+    rows = []
+    for i, j in zip(starts, np.append(starts[1:], len(eb))):
+        at = edge[i:j]
+        rows.append(_pack(h[who[at]], size[who[at]], scheme[at], counts[i:j], rest[at[0] : at[-1] + counts[j - 1]]))
+    return [pa.array(eb[starts], pa.int32()), pa.array(rows, pa.binary())]
+
+
+def shared_elements(table: pa.Table, buckets: int) -> pa.Table:
+    """bucket (by set), blob: how many of a bucket's elements each set shares with another; the counts stand as (h, size, count)."""
+    h, size, scheme, rest = _unpack(table.column("blob").to_pylist())
+    sure = scheme == 1
+    order = np.lexsort((h, rest, scheme))
+    h, size, scheme, rest, sure = h[order], size[order], scheme[order], rest[order], sure[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (rest[1:] != rest[:-1]) | (scheme[1:] != scheme[:-1])
+    h, size, rest, sure = h[keep], size[keep], rest[keep], sure[keep]
+    same = (rest[1:] == rest[:-1]) & (sure[1:] == sure[:-1])
+    met = sure.copy()
+    met[1:] |= same
+    met[:-1] |= same
+    h, at, counts = np.unique(h[met], return_index=True, return_counts=True)
+    size, to = size[met][at], (h % U64(buckets)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    starts = np.searchsorted(to[order], np.arange(buckets + 1))
+    names, rows = [], []
+    for b in range(buckets):
+        own = order[starts[b] : starts[b + 1]]
+        if len(own):
+            names.append(b)
+            rows.append(np.array([len(own)], np.uint64).tobytes() + h[own].tobytes() + size[own].astype(np.uint32).tobytes() + counts[own].astype(np.uint32).tobytes())
+    return pa.table([pa.array(names, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "blob"])
+
+
+def sharing_enough(table: pa.Table, num: int, den: int) -> pa.Table:
+    """h1 of a bucket's sets that share enough elements in all."""
+    hs, sizes, counts = [], [], []
+    for raw in table.column("blob").to_pylist():
+        n = int(np.frombuffer(raw, np.uint64, 1)[0])
+        hs.append(np.frombuffer(raw, np.uint64, n, 8))
+        both = np.frombuffer(raw, np.uint32, 2 * n, 8 + 8 * n)
+        sizes.append(both[:n])
+        counts.append(both[n:])
+    h, at, back = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
+    total = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+    enough = total >= shared_least(np.concatenate(sizes)[at].astype(np.int64), num, den)
+    return pa.table([pa.array(h[enough].view(np.int64))], names=["h1"])
+
+
+def with_partners(seen: DataFrame, frequent: np.ndarray, buckets: int, num: int, den: int) -> DataFrame:
+    """h1 of the sets that may link with another one: those that share enough of their smallest elements with others."""
+    dealt = dealt_prefixes(seen.where("least is not null").select("least"), frequent, buckets)
+    shared = dealt.groupBy("bucket").applyInArrow(_then_give_back(lambda t: shared_elements(t, buckets)), "bucket int, blob binary")
+    return shared.groupBy("bucket").applyInArrow(_then_give_back(lambda t: sharing_enough(t, num, den)), "h1 long")
 
 
 def _filter_bits(ids: np.ndarray, size: int) -> np.ndarray:
@@ -294,23 +427,10 @@ def bucketed(df: DataFrame, frequent: np.ndarray, buckets: int, k: int, num: int
             keep = fresh[d]
             size = np.where(fresh, size, 0)
             who, scheme, sig = signatures(x[keep], d[keep], size, frequent, num, den, passes, now)
-            bucket = (sig % U64(buckets)).astype(np.int64)
-            order = np.lexsort((scheme, who, bucket))
-            who, scheme, bucket, rest = who[order], scheme[order], bucket[order], (sig[order] >> U64(32)).astype(np.uint32)
             if not len(who):
                 continue
-            edge = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (scheme[1:] != scheme[:-1]) | (bucket[1:] != bucket[:-1]))))
-            counts = np.diff(np.append(edge, len(who)))
-            eb = bucket[edge]
-            cut = np.searchsorted(eb, np.arange(buckets + 1))
-            rows_b, rows = [], []
-            for b in np.unique(eb):
-                i, j = cut[b], cut[b + 1]
-                at = edge[i:j]
-                lo, hi = at[0], at[-1] + counts[j - 1]
-                rows.append(_pack(h1[who[at]], size[who[at]], scheme[at], counts[i:j], rest[lo:hi]))
-                rows_b.append(int(b))
-            yield pa.RecordBatch.from_arrays([pa.array(rows_b, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "blob"])
+            bucket = (sig % U64(buckets)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(_blobs(bucket, who, scheme, h1, size, (sig >> U64(32)).astype(np.uint32)), ["bucket", "blob"])
         give_back()
 
     return df.mapInArrow(run, "bucket int, blob binary")
@@ -455,10 +575,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError(f"a similarity of {num}/{den} can't be indexed; it must be between {LEAST_SIMILARITY} and 1")
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = materialize(describe(docs, k), "sets")
-    if not buckets:  # a bucket's signatures fit in a task, whatever the input
-        total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SHINGLES))
+    seen = materialize(describe(docs, k, num, den), "sets")
+    shingles = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     often = (
         seen.where("often is not null").select(F.explode("often").alias("o")).groupBy("o.x").agg(F.sum("o.n").alias("n"))
         .where(F.col("n") >= FREQUENT_DF).orderBy(F.desc("n"), "x").limit(MAX_FREQUENT).select("x").toArrow()
@@ -467,13 +586,21 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = seen.where("often is null")
     classes = materialize(sets.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
-    # of equal sets one document is signed, wherever the others are
-    rows, distinct = sets.count(), classes.count()
-    signed = id_filter(classes.select("rep"), distinct) if distinct * FILTERED_FROM < rows else None
+    # of equal sets one document is signed, wherever the others are, and of these the ones that may have a partner
+    share = 1 - num / den + 1 / PREFIX_SHARE
+    dealt = min(1 << 16, max(least_buckets, -(-int(shingles * share) // PREFIX_ELEMENTS)))
+    paired = materialize(classes.join(with_partners(seen, frequent, dealt, num, den), "h1", "left_semi").select("rep", "n"), "paired")
+    rows = sets.count()
+    distinct, items = paired.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    signed = id_filter(paired.select("rep"), distinct) if distinct * FILTERED_FROM < rows else None
+    discard(spark, paired)
+    passes = 1 if items * PASSES <= shingles else PASSES
+    if not buckets:  # a bucket's signatures fit in a task, whatever the input
+        buckets = max(least_buckets, -(-items * PASSES // (BUCKET_SHINGLES * passes)))
     least = F.element_at(F.array(*[F.lit(b.c) for b in bands(num, den)]), (F.greatest(F.col("scheme"), F.lit(0)) / 128).cast("int") + 1)
     edges = None
-    for now in range(PASSES):
-        packed = bucketed(docs, frequent, buckets, k, num, den, signed, PASSES, now)
+    for now in range(passes):
+        packed = bucketed(docs, frequent, buckets, k, num, den, signed, passes, now)
         pairs = packed.groupBy("bucket").applyInArrow(_then_give_back(lambda t: candidate_pairs(t, num, den)), "scheme long, a long, b long, common long, tied boolean")
         pairs = pairs.groupBy("scheme", "a", "b").agg(F.sum("common").alias("common"), F.max("tied").alias("tied"))
         found = materialize(pairs.where(F.col("tied") | (F.col("common") >= least)).select("a", "b"), "pairs")

@@ -354,3 +354,52 @@ def test_parameters_that_the_indices_do_not_serve_are_refused(docs):
     for window in (0, 62, 100):
         with pytest.raises(ValueError, match="window"):
             substring_dedup.remove_repeats(docs, window=window)
+
+
+def test_sets_without_partners_are_not_signed(spark, monkeypatch):
+    """Of strangers and pairs of near copies, at every distance around the threshold, the pairs and hardly a stranger are signed; a shingle that all share brings no stranger in."""
+    import numpy as np
+
+    rng = random.Random(8)
+    texts, linked = [], set()
+    for size in (5, 6, 9, 12, 25, 60, 200, 700):
+        for changed in range(0, size // 8 + 3):
+            r = [f"a{rng.randrange(10**6)}" for _ in range(size)]
+            s = list(r)
+            for i in rng.sample(range(size), min(changed, size)) if changed % 2 else range(min(changed, size)):
+                s[i] = "new" + str(rng.randrange(10**6))
+            a, b = shingles(" ".join(r)), shingles(" ".join(s))
+            if a != b and 100 * len(a & b) >= 80 * len(a | b):
+                linked |= {len(texts), len(texts) + 1}
+            texts += [" ".join(r), " ".join(s)]
+    strangers = range(len(texts), len(texts) + 300)
+    texts += [" ".join(["the", "same", "five", "first", "words"] + [f"b{rng.randrange(10**6)}" for _ in range(80)]) for _ in strangers]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    filters = []
+    real = ngram_join.bucketed
+    monkeypatch.setattr(ngram_join, "bucketed", lambda *a: filters.append(a[5:]) or real(*a))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df).collect()}
+    assert linked and all(got[i] == min(got[i], got[i ^ 1]) == got[i ^ 1] for i in linked)
+    assert all(got[i] == i for i in strangers)
+    signed = ngram_join._passing(list(range(len(texts))), filters[0][1]) if filters[0][1] is not None else np.ones(len(texts), bool)
+    assert signed[sorted(linked)].all() and signed[list(strangers)].sum() < 30
+
+
+def test_prefixes_share_what_links_guarantee():
+    """Sets at the threshold share as many of their smallest elements as either asks for."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for num in (70, 80, 95):
+        for size in (1, 2, 5, 9, 20, 39, 100, 399, 1000):
+            for _ in range(10):
+                common = np.sort(rng.choice(1 << 40, size, replace=False))
+                most = size * 100 // num - size  # elements that only one of the two has, in all
+                cut = int(rng.integers(0, most + 1))
+                low = lambda n: rng.choice(1 << 20, n, replace=False)  # noqa: E731 - the worst: smaller than most common ones
+                r, s = np.union1d(common, low(cut)), np.union1d(common, (1 << 21) + low(most - cut))
+                if 100 * len(np.intersect1d(r, s)) < num * len(np.union1d(r, s)):
+                    continue
+                heads = [x[: int(ngram_join.prefix_lengths(np.array(len(x)), num, 100))] for x in (r, s)]
+                both = len(np.intersect1d(*heads))
+                assert all(both >= ngram_join.shared_least(len(x), num, 100) for x in (r, s)), (num, size)
