@@ -611,3 +611,20 @@ def test_measured_heads_are_alike_without_a_gate(spark):
     split = wide.select("s", (F.col("x") < 4).alias("test"))
     a, b = (models.Predictors.fit(wide, ["x"], split, least=20, gated=g, seeds=(0,), rounds=1, trees=2) for g in (True, False))
     assert a.metrics.keys() == b.metrics.keys() == {"gram_negative"} and b.metrics["gram_negative"] == pytest.approx(a.metrics["gram_negative"]) and b.widths == a.widths and a.gate is not None and b.gate is None
+
+
+def test_gate_sums_take_one_job(spark):
+    """A concentration step adds up all partitions at once, and its sums are those of the whole table."""
+    from strandlake.operators import models
+
+    x = np.random.default_rng(0).normal(size=(240, 3))
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(24).persist()
+    rows.count()
+    spark.sparkContext.setJobGroup("gate-sums", "")
+    got = models.cut_sums(rows, [0, 1, 2], [(np.zeros(3), np.eye(3))], [2.0], np.zeros(3))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("gate-sums")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows.unpersist()
+    near = x[(x**2).sum(axis=1) < 2]
+    assert np.allclose(got[0, 0], np.concatenate([[len(near)], near.sum(axis=0), (near.T @ near).ravel()])) and not got[0, 1].any()
+    assert len(jobs) == 1
